@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 #: Tab, line ends, ASCII without the apostrophe (contractions) and Latin-1 letters.
 PLAIN = r"^[\t\n\r -&(-~À-ÖØ-öø-ÿ]*$"
-CUT = r"([^\sa-zà-öø-ÿ0-9]+|[0-9])"
+CUT = r"([^\sa-zß-öø-ÿ0-9]+|[0-9])"
 
 
 def default_tokenizer() -> str:
