@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm.common import once
+
 ROUNDS = 8
 _EDGE_L, _EDGE_R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 #: kind -> pattern; the order decides where two could begin at one place.
@@ -57,17 +59,12 @@ def permute_digits(d: Column, key: str, kind: str) -> Column:
     u = F.floor(n / 2).cast("int")
     ten = lambda k: F.rpad(F.lit("1"), k + 1, "0").cast("long")
     pair = feistel(F.substr(d, F.lit(1), u).cast("long"), F.substr(d, u + 1).cast("long"), ten(u), ten(n - u), key, kind)
-    return _once(pair, lambda p: F.concat(F.lpad(p["a"].cast("string"), u, "0"), F.lpad(p["b"].cast("string"), n - u, "0")))
-
-
-def _once(value: Column, use) -> Column:
-    """use(value) with value computed once, however often use names it."""
-    return F.transform(F.array(value), use)[0]
+    return once(pair, lambda p: F.concat(F.lpad(p["a"].cast("string"), u, "0"), F.lpad(p["b"].cast("string"), n - u, "0")))
 
 
 def _into(form: Column, digits: Column) -> Column:
     """form with its digits replaced, in order, by those of digits."""
-    return _once(digits, lambda d: _put(form, d))
+    return once(digits, lambda d: _put(form, d))
 
 
 def _put(form: Column, digits: Column) -> Column:
@@ -91,7 +88,7 @@ def _card(x: Column, key: str) -> Column:
     d = _digits(x)
     body = permute_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card")
     checked = lambda b: F.concat(b, F.pmod(-luhn_sum(b, True), F.lit(10)).cast("string"))
-    return F.when(luhn_sum(d, False) % 10 == 0, _into(x, _once(body, checked)))
+    return F.when(luhn_sum(d, False) % 10 == 0, _into(x, once(body, checked)))
 
 
 def _iban(x: Column, key: str) -> Column:
@@ -100,7 +97,7 @@ def _iban(x: Column, key: str) -> Column:
     digits = _digits(bban)
     country = F.substr(plain, F.lit(1), F.lit(2))
     check = lambda b: F.lpad((98 - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0")
-    other = _once(_into(bban, permute_digits(digits, key, "iban")), lambda b: F.concat(check(b), _digits(b)))
+    other = once(_into(bban, permute_digits(digits, key, "iban")), lambda b: F.concat(check(b), _digits(b)))
     valid = mod97(F.concat(bban, F.substr(plain, F.lit(1), F.lit(4)))) == 1
     return F.when(valid & F.length(digits).between(2, 30), _into(x, other))
 
@@ -116,7 +113,7 @@ def _ip(x: Column, key: str) -> Column:
     o = F.transform(F.split(x, r"\."), lambda c: c.cast("long"))
     out = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), key, "ip")
     octets = lambda p: F.concat_ws(".", *[v.cast("string") for v in (F.floor(p["a"] / 256), p["a"] % 256, F.floor(p["b"] / 256), p["b"] % 256)])
-    return F.when(F.array_max(o) <= 255, _once(out, octets))
+    return F.when(F.array_max(o) <= 255, once(out, octets))
 
 
 def _ssn(x: Column, key: str) -> Column:
@@ -130,7 +127,7 @@ def _ssn(x: Column, key: str) -> Column:
         parts = (low + 1 + (low >= 665).cast("long"), 3), (p["a"] % 99 + 1, 2), (p["b"] + 1, 4)
         return F.concat_ws("-", *[F.lpad(v.cast("string"), n, "0") for v, n in parts])
 
-    return F.when(valid, _once(out, form))
+    return F.when(valid, once(out, form))
 
 
 def _date(x: Column, key: str) -> Column:
@@ -148,7 +145,7 @@ def _date(x: Column, key: str) -> Column:
         put = lambda f: F.date_format(d, f)
         return F.when(iso, put("yyyy-MM-dd")).when(mark == ".", put("dd.MM.yyyy")).when(month_first & (F.dayofmonth(d) > 12), put("MM/dd/yyyy")).otherwise(put("dd/MM/yyyy"))
 
-    return F.when(n.between(0, 189 * 773 - 1), _once(day, form))
+    return F.when(n.between(0, 189 * 773 - 1), once(day, form))
 
 
 def _email(x: Column, key: str) -> Column:

@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, near_dup, packing, pii, toxicity
+from tabloom.llm import ann, decontaminate, html, licenses, near_dup, packing, pii, sharding, toxicity, urls
 from tabloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,6 +29,26 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.linked_outcomes(pages, table(spark, sf_dir, "labels")))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    crc = F.crc32(F.coalesce("text", F.lit("")))
+    return placed.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,7 +57,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="query-key")
 
 
-_ALL = (op2_toxicity, op3_minhash_near_dedup, op4_packing, op9_decontamination, op10_pii)
+_ALL = (
+    op1_html_extraction,
+    op2_toxicity,
+    op3_minhash_near_dedup,
+    op4_packing,
+    op5_url_filter,
+    op6_nearest_neighbours,
+    op7_license_scan,
+    op8_sharding,
+    op9_decontamination,
+    op10_pii,
+)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
-ORACLES: dict[str, str] = {}
+#: The others have no SQL: markup, trees, MinHash, token ids, a graph walk, a seeded shuffle, lookbehind, keyed rounds.
+ORACLES: dict[str, str] = {"op5_url_filter": urls.SQL, "op7_license_scan": licenses.SQL}
