@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabloom.plans import cleaning
+
 Query = Callable[[SparkSession, str], DataFrame]
+_PLANS = (cleaning,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for plan in _PLANS for name, f in plan.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}
