@@ -115,7 +115,7 @@ def gradient(rows: DataFrame, net: Net, weights: np.ndarray, l2: float = 0.0, dr
     if not len(flat):
         raise ValueError("no training rows")
     n = max(flat[-1], 1e-300)
-    flat, loss = flat[:-2] / n, flat[-2] / n
+    flat, loss = flat[:-2] / n, float(flat[-2] / n)
     shapes = net.w1.shape, net.b1.shape, net.w2.shape, net.b2.shape
     cuts = np.split(flat, np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
     g = Net(*[c.reshape(s) for c, s in zip(cuts, shapes, strict=True)])

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.plans import cleaning
+from tabloom.plans import cleaning, models, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PLANS = (cleaning,)
+_PLANS = (cleaning, models, reports)
 
 
 def queries() -> dict[str, Query]:
