@@ -2,7 +2,8 @@
 
 Largest inner product becomes smallest distance by one more component (sqrt(M^2 - |x|^2); 0 for queries). Centroids come
 from a bounded sample; a vector near a boundary goes to several lists. A query walks a neighbour graph of the centroids
-and visits the lists whose centroid is nearly as close as the closest. Lists are cut into blocks of bounded size; each
+and visits the lists whose centroid is nearly as close as the closest; one that finds too few visits all. Lists are cut
+into blocks of bounded size; each
 block meets the queries that visit it, and the best of all blocks are merged.
 """
 
@@ -126,8 +127,10 @@ def _lists(batches: Iterator[pa.RecordBatch], dim: int, most: float, c: np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(order[row, col].astype(np.int32)), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))], ["list", "vec_id", "v"])
 
 
-def _visits(batches: Iterator[pa.RecordBatch], dim: int, c: np.ndarray, graph: np.ndarray, most: float, probes: int) -> Iterator[pa.RecordBatch]:
-    """(list, vec_id, v) of queries: the lists they visit. A query is scaled to length sqrt(most), which changes no order."""
+def _visits(batches: Iterator[pa.RecordBatch], dim: int, c: np.ndarray, graph: np.ndarray, most: float, probes: int, rows: np.ndarray, enough: int) -> Iterator[pa.RecordBatch]:
+    """(list, vec_id, v) of queries: the lists they visit, at least so many that these hold `enough` rows.
+
+    A query is scaled to length sqrt(most), which changes no order."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
@@ -135,7 +138,8 @@ def _visits(batches: Iterator[pa.RecordBatch], dim: int, c: np.ndarray, graph: n
             n2 = np.asarray(part.column("n2"))
             q = np.hstack([x * np.sqrt(most / n2)[:, None], np.zeros((len(x), 1))]).astype(np.float32)
             which, d = walk(q, c, graph, probes)
-            keep = d <= d[:, :1] * PROBE_RATIO**2
+            held = np.cumsum(rows[which], axis=1) - rows[which]
+            keep = (d <= d[:, :1] * PROBE_RATIO**2) | (held < enough)
             row, col = np.nonzero(keep)
             yield pa.RecordBatch.from_arrays([pa.array(which[row, col].astype(np.int32)), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))], ["list", "vec_id", "v"])
 
@@ -143,16 +147,20 @@ def _visits(batches: Iterator[pa.RecordBatch], dim: int, c: np.ndarray, graph: n
 def best_of(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query (id, its k best of x without itself, their scores); equal scores: smaller id."""
     x = x.astype(np.float64)
+    once = len(np.unique(ids)) == len(ids)
     for lo in range(0, len(queries), 256):
         q = queries[lo : lo + 256].astype(np.float64)
         s = q @ x.T
         s[query_ids[lo : lo + 256, None] == ids[None, :]] = -np.inf
         # a product of matrices may differ in the last bits from row to row: the best are summed again, alike for all
-        edge = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(q), -np.inf)
+        edge = np.partition(s, -k, axis=1)[:, -k] if once and s.shape[1] > k else np.full(len(q), -np.inf)
         for i in range(len(q)):
             at = np.flatnonzero((s[i] >= edge[i] - 1e-6 * (1 + abs(edge[i]) if np.isfinite(edge[i]) else 0)) & (s[i] > -np.inf))
             exact = (x[at] * q[i]).sum(axis=1)
-            order = np.lexsort((ids[at], -exact))[:k]
+            order = np.lexsort((ids[at], -exact))
+            if not once:  # rows with one id are one candidate
+                order = order[np.sort(np.unique(ids[at][order], return_index=True)[1])]
+            order = order[:k]
             yield int(query_ids[lo + i]), ids[at][order], exact[order]
 
 
@@ -214,12 +222,26 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     c = centroids_of(x, int(min(MOST_LISTS, max(1, len(x) // 8), max(8, round(n**0.5)))))
     graph = graph_of(c)
     listed = cut(packed.mapInArrow(partial(_lists, dim=dim, most=most, c=c), schema), "lists")
-    sizes = listed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))  # a row for each centroid
+    counts = {r["list"]: r["n"] for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a number for each centroid
+    held = np.array([counts.get(i, 0) for i in range(len(c))])
+    sizes = vectors.sparkSession.createDataFrame([(i, -(-x // BLOCK_ROWS)) for i, x in counts.items()], "list int, blocks int")
     posted = listed.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("is_query"), "vec_id", "v")
-    asked = packed.where(F.col("vec_id") % every == 0).mapInArrow(partial(_visits, dim=dim, c=c, graph=graph, most=most, probes=PROBES), schema)
-    asked = asked.join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_query"), "vec_id", "v")
-    met = posted.unionByName(asked).repartition("list", "block").sortWithinPartitions("list", "block", "is_query")
-    found = met.mapInArrow(partial(_search, dim=dim, k=k), "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    queries = packed.where(F.col("vec_id") % every == 0)
+
+    def nearest(visits: DataFrame) -> DataFrame:
+        asked = visits.join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_query"), "vec_id", "v")
+        met = posted.unionByName(asked).repartition("list", "block").sortWithinPartitions("list", "block", "is_query")
+        found = met.mapInArrow(partial(_search, dim=dim, k=k), "query_id long, vec_id long, score double")
+        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    visit = partial(_visits, dim=dim, c=c, graph=graph, most=most, probes=PROBES, rows=held, enough=REPLICAS * (k + 1))
+    found = cut(nearest(queries.mapInArrow(visit, schema)), "found")
+    # a query that found too few visits every list
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = cut(queries.join(full, F.col("vec_id") == F.col("query_id"), "left_anti").select("vec_id", "v"), "short")
+    if short.isEmpty():
+        return found
+    every_list = nearest(short.crossJoin(F.broadcast(sizes.select("list"))).select("list", "vec_id", "v"))
+    return found.join(full, "query_id", "left_semi").unionByName(every_list)

@@ -131,4 +131,5 @@ def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, tokenizer:
     if not with_ids:
         return placed
     same = ["doc_id", "start", "ids_crc32", "doc_tokens"]
-    return placed.join(pieces.select(*same, "ids").dropDuplicates(same), on=[placed[c].eqNullSafe(pieces[c]) for c in same]).select(placed["*"], pieces["ids"])
+    ids = pieces.select(*[F.col(c).alias(f"__{c}") for c in same], "ids").dropDuplicates([f"__{c}" for c in same])
+    return placed.join(ids, on=[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in same]).select(*placed.columns, "ids")
