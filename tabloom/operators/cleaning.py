@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.scalars import normalize_class, parse_numeric
+from tabloom.sources.tables import kept
 from tabloom.spec import TableSpec
 
 
@@ -100,7 +101,8 @@ def class_distribution(df: DataFrame, label: str) -> DataFrame:
 
 def clean_pipeline(raw: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     """(clean rows, imputed rows with all issues): rules, medians over train before duplicates go, duplicates, leakage."""
-    cleaned = clean_rows(raw, spec)
+    cleaned = kept(clean_rows(raw, spec), "cleaned")  # parsed once, read by the medians and the rows
     imputed = impute_train_median(cleaned, train_medians(cleaned, spec.numeric), spec.numeric)
     signature = [*spec.numeric, spec.label]
-    return leakage_anti_join(dedup_within_split(imputed, signature), signature), imputed
+    once = kept(dedup_within_split(imputed, signature), "once")
+    return leakage_anti_join(once, signature), imputed

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabloom.operators.sampling import feature_subset, subset_size
-from tabloom.sources.tables import scratch
+from tabloom.sources.tables import kept
 
 LEAST_GAIN = 1e-7
 
@@ -160,9 +160,7 @@ def grow(rows: DataFrame, labels: Sequence[str], max_depth: int, least_leaf: int
         base = rows.select(F.lit(0).alias("tree"), F.lit(1).alias("weight"), "code", "features")
     else:
         base = weights.join(rows, "id").select(F.col("tree").cast("int").alias("tree"), "weight", "code", "features")
-    path = scratch(spark, "grow")
-    base.write.parquet(path)
-    base = spark.read.parquet(path)
+    base = kept(base, "grow")
     trees = sorted(r[0] for r in base.select("tree").distinct().collect())
     if not trees:
         raise ValueError("no training rows")

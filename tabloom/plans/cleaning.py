@@ -125,7 +125,7 @@ def schema_contract(spark, sf):
     return tables.with_split(parts, "Class").groupBy("split").agg(F.count("*").alias("n"), F.lit(n).alias("features"))
 
 
-@query(f"WITH s AS ({views.shapes('duck')}), st AS (SELECT avg(Area) AS m, stddev_pop(Area) AS sd FROM s WHERE split = 'train') SELECT 'raw' AS variant, split, count(*) AS n, round(sum(Area), 4) AS total FROM s GROUP BY split UNION ALL SELECT 'standardized', split, count(*), round(sum((Area - m) / sd), 4) FROM s, st GROUP BY split")
+@query(f"WITH s AS ({views.shapes('duck')}), st AS (SELECT avg(Area) AS m, stddev_pop(Area) AS sd FROM s WHERE split = 'train') SELECT 'raw' AS variant, split, count(*) AS n, round(sum(abs(Area)), 4) AS total FROM s GROUP BY split UNION ALL SELECT 'standardized', split, count(*), round(sum(abs((Area - m) / sd)), 4) FROM s, st GROUP BY split")
 def variant_union(spark, sf):
     raw = _shapes(spark, sf)
     std = features.standardize(raw, features.standard_stats(raw, SHAPES.numeric), SHAPES.numeric)
@@ -134,7 +134,7 @@ def variant_union(spark, sf):
         paths[variant] = tables.scratch(spark, variant)
         tables.write_splits(df, paths[variant], [*SHAPES.numeric, "Class"])
     both = tables.append_splits([spark.read.parquet(p).withColumn("variant", F.lit(v)) for v, p in paths.items()])
-    return both.groupBy("variant", "split").agg(F.count("*").alias("n"), F.round(F.sum("Area"), 4).alias("total"))
+    return both.groupBy("variant", "split").agg(F.count("*").alias("n"), F.round(F.sum(F.abs("Area")), 4).alias("total"))
 
 
 @query(_sql(f"SELECT split, {', '.join(SIG)} FROM clean"))
@@ -200,7 +200,7 @@ def train_medians(spark, sf):
 
 
 def _imputed(spark, sf):
-    rows = cleaning.clean_rows(_dirty(spark, sf), SPEC)
+    rows = tables.kept(cleaning.clean_rows(_dirty(spark, sf), SPEC), "cleaned")
     return cleaning.impute_train_median(rows, cleaning.train_medians(rows, NUM), NUM)
 
 

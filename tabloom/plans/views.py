@@ -44,8 +44,8 @@ def shapes(engine: str) -> str:
     """Events as sixteen shape measurements with id, split and Class."""
     part = lambda m, d: f"CAST(event_id % {m} AS DOUBLE) / {d}"
     return f"""
-    WITH a AS (SELECT event_id AS id, {SPLIT.format("event_id")} AS split, upper(event_type) AS Class, value * 100 AS Area, value * 100 * (1 + {part(13, 100)}) AS ConvexArea,
-      sqrt(value * 100) * (CAST(1.2 AS DOUBLE) + {part(7, 10)}) AS MajorAxisLength, sqrt(value * 100) / (CAST(1.1 AS DOUBLE) + {part(5, 10)}) AS MinorAxisLength,
+    WITH a AS (SELECT event_id AS id, {SPLIT.format("event_id")} AS split, upper(event_type) AS Class, value * 100 + 1 AS Area, (value * 100 + 1) * (1 + {part(13, 100)}) AS ConvexArea,
+      sqrt(value * 100 + 1) * (CAST(1.2 AS DOUBLE) + {part(7, 10)}) AS MajorAxisLength, sqrt(value * 100 + 1) / (CAST(1.1 AS DOUBLE) + {part(5, 10)}) AS MinorAxisLength,
       CAST(0.5 AS DOUBLE) + {part(41, 100)} AS Extent FROM events),
     b AS (SELECT *, 2 * (MajorAxisLength + MinorAxisLength) AS Perimeter, sqrt(4 * Area / pi()) AS EquivDiameter FROM a)
     SELECT id, split, Area, Perimeter, MajorAxisLength, MinorAxisLength, MajorAxisLength / MinorAxisLength AS AspectRation,

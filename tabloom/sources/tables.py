@@ -21,6 +21,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{named or _own_dir[0]}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: several readers share one run, and a lost executor costs a re-read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_text_split(spark: SparkSession, path: str, split: str, columns: Sequence[str], row_column: str | None = None) -> DataFrame:
     """A CSV split as text columns with split and source_row; a missing file raises.
 
