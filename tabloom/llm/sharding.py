@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 20240611
-#: Bytes of records that a bucket holds on average.
-BUCKET_BYTES = 16 << 20
+#: Bytes of records that a bucket holds on average, at most; small inputs get smaller ones, down to LEAST_BYTES, so that
+#: there is a bucket for each shuffle partition.
+BUCKET_BYTES, LEAST_BYTES = 16 << 20, 64 << 10
 #: Buckets are listed in one broadcast table; beyond this, buckets grow instead.
 MOST_BUCKETS = 1_000_000
 
@@ -31,7 +32,8 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = SEED, bucket_bytes: int
         raise ValueError("shards and bucket_bytes must be positive")
     docs = docs.drop("shard", "slot")
     total = docs.select(_bytes(text_col).alias("n")).agg(F.sum("n")).first()[0] or 0
-    buckets = int(min(MOST_BUCKETS, total // bucket_bytes + 1))
+    wanted = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // LEAST_BYTES + 1)
+    buckets = int(min(MOST_BUCKETS, max(total // bucket_bytes + 1, wanted)))
     bucket = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(buckets)).cast("int")
     # where each bucket begins: ids alone are read
     counts = docs.select(bucket.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
