@@ -26,8 +26,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Closed by the next of their kind or never: not kept on the stack.
 LOOSE = frozenset("p li dt dd option tr td th thead tbody tfoot h1 h2 h3 h4 h5 h6".split())
 HINTS = re.compile(
-    r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|footer|foot|sidebar|side|aside|ads?|advert|adverts|advertisement|advertising|adbox|adslot|sponsor|sponsored|promo|promotion|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|alert|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|recommended|widget|subscribe|subscription|newsletter|signup|login|search|searchform|toolbar|pagination|pager|masthead|topbar|copyright|legal|disclaimer|skip)(?:$|[^a-z])"
+    r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|menus|menubar|breadcrumbs?|footer|foot|sidebar|side|aside|ads?|advert|adverts|advertisement|advertising|adbox|adslot|adsbygoogle|adunit|outbrain|taboola|sponsor|sponsored|promo|promotion|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|alert|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|recommended|widget|subscribe|subscription|newsletter|signup|login|search|searchform|toolbar|pagination|pager|masthead|topbar|copyright|legal|disclaimer|skip)(?:$|[^a-z])"
 )
+#: Names of page headers; inside an article they may hold its title.
+HEADER = re.compile(r"(?:^|\s)(?:site-|main-|top-|global-|app-|blog-)?header(?:$|\s)")
 STOP_WORDS = frozenset(
     "a about after all also an and are as at be been but by can could for from had has have he her his if in into is it its more not of on one or other our she so than that the their them there they this to was we were what when which who will with would you your "
     "aber als am an auch auf aus bei das dass dem den der des die durch ein eine einem einen einer eines er es für hat ich ihr im in ist mit nach nicht nur oder sich sie sind so über um und von vor war wie wir wird zu zum zur "
@@ -64,7 +66,7 @@ def _named_bad(tag: str, attr: str, in_main: bool) -> bool:
     if tag in ("html", "body") or tag in MAIN or not attr:
         return False
     names = " ".join("".join(m) for m in _NAMES.findall(attr)).lower().replace("_", "-")
-    return bool(HINTS.search(names) or _HIDDEN.search(attr))
+    return bool(HINTS.search(names) or _HIDDEN.search(attr) or (not in_main and HEADER.search(names)))
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -88,7 +90,7 @@ def blocks_of(page: str) -> list[Block]:
             links = 0 if m["close"] else 1
         elif tag in ("br", "hr", "wbr", "img") and tag not in BLOCKS:
             now.parts.append(" ")
-        elif tag in BLOCKS or (tag and m["attr"] and not m["close"] and tag not in VOID and _named_bad(tag, m["attr"], False)):
+        elif tag in BLOCKS or (tag and m["attr"] and not m["close"] and tag not in VOID and _named_bad(tag, m["attr"], bool(stack and stack[-1][2]))):
             bad, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
             links = 0
             if m["close"]:

@@ -40,6 +40,15 @@ def test_block_rules_without_an_article_element():
     assert html.main_text(page.replace("<div id=content>", "<main>").replace("</div>" + END, "</main>" + END)) == "\n".join(["A story", *LINES])
 
 
+def test_names_of_parts():
+    text = "It was the best of times and it was the worst of times for all of the people that were in the city."
+    for bad in ("site-header", "header", "left_sidebar", "adsbygoogle", "cookie-notice", "main-menu", "comments-area", "newsletter-signup", "promo"):
+        assert html.main_text(f"<body><div class='{bad}'><p>{text}</p></div><main><p>x</p></main></body>") == "x", bad
+    for good in ("entry-header", "content", "gadget", "shadow", "article-body", "adverb"):
+        assert html.main_text(f"<body><div class='{good}'><p>{text}</p></div></body>") == text, good
+    assert html.main_text("<article><div class='header'><h1>Title</h1></div><p>x <span class='ad'>buy</span> y</p></article>") == "Title\nx\ny"
+
+
 def test_markup_edges():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p>") == ""
     assert html.main_text("<article><p>a&nbsp;&lt;b&gt;  c<b>d</b><br>e<!-- x --><p>f &#8364; &unknown; < g</article>") == "a <b> cd e\nf € &unknown; < g"
