@@ -30,6 +30,8 @@ HINTS = re.compile(
 )
 #: Names of page headers; inside an article they may hold its title.
 HEADER = re.compile(r"(?:^|\s)(?:site-|main-|top-|global-|app-|blog-)?header(?:$|\s)")
+#: Names of single reader comments, which may be article elements.
+READER = re.compile(r"(?:^|\s)(?:comment|reply)(?:-(?:body|item|content|text|\d+))?(?:$|\s)")
 STOP_WORDS = frozenset(
     "a about after all also an and are as at be been but by can could for from had has have he her his if in into is it its more not of on one or other our she so than that the their them there they this to was we were what when which who will with would you your "
     "aber als am an auch auf aus bei das dass dem den der des die durch ein eine einem einen einer eines er es für hat ich ihr im in ist mit nach nicht nur oder sich sie sind so über um und von vor war wie wir wird zu zum zur "
@@ -63,15 +65,18 @@ class Block:
 def _named_bad(tag: str, attr: str, in_main: bool) -> bool:
     if tag in BOILERPLATE or (tag == "header" and not in_main):
         return True
-    if tag in ("html", "body") or tag in MAIN or not attr:
+    if tag in ("html", "body") or not attr:
         return False
     names = " ".join("".join(m) for m in _NAMES.findall(attr)).lower().replace("_", "-")
+    if tag in MAIN:
+        return bool(READER.search(names))
     return bool(HINTS.search(names) or _HIDDEN.search(attr) or (not in_main and HEADER.search(names)))
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's non-empty blocks in order."""
     out, now, stack, links = [], Block(), [], 0  # stack: (tag, bad, main) of open elements
+    first = True  # no article yet
 
     def flush(bad: bool = False, heading: bool = False) -> None:
         nonlocal now
@@ -101,11 +106,10 @@ def blocks_of(page: str) -> list[Block]:
                 flush()
             else:
                 own = _named_bad(tag, m["attr"], main)
-                if tag in MAIN:  # an unclosed advert before it doesn't swallow the article
-                    while stack and stack[-1][1] and not main:
+                if tag in MAIN and not own:  # an unclosed advert before it doesn't swallow the first article
+                    while first and stack and stack[-1][1] and not main:
                         stack.pop()
-                    bad, main = (stack[-1][1] if stack else False), True
-                    own = False
+                    bad, main, first = (stack[-1][1] if stack else False), True, False
                 if tag not in LOOSE and tag not in VOID and not m["attr"].rstrip().endswith("/"):
                     stack.append((tag, bad or own, main))
                 flush(bad=own, heading=tag[0] == "h" and tag[1:].isdigit())
@@ -135,8 +139,13 @@ def first_pass(b: Block) -> str:
 
 
 def labels_of(blocks: list[Block]) -> list[str]:
-    """good or bad for each block; an open one takes the label of its nearest decided neighbours, good where they tie."""
+    """good or bad for each block; an open one takes the label of its nearest decided neighbours, good where they tie.
+
+    Where no block of the page is good, the open ones are: a short page has a main text too.
+    """
     first = [first_pass(b) for b in blocks]
+    if "good" not in first:
+        return ["good" if x == "short" else x for x in first]
     before, after, seen = [], [], None
     for i, x in enumerate(first):
         seen = (i, x) if x != "short" else seen

@@ -58,6 +58,14 @@ def test_markup_edges():
     assert html.main_text("<" * 50_000) is not None and html.main_text("<a " * 20_000) is not None
 
 
+def test_articles_of_readers_and_short_pages():
+    text, other = LINES[0], LINES[2]
+    for wrong in (f'<section class="comments"><article class="comment"><p>{other}</p></article></section>', f'<article class="comment-body" id="comment-4"><p>{other}</p></article>', f'<div class="related"><article><p>{other}</p></article></div>'):
+        assert html.main_text(f"<body><article><p>{text}</p></article>{wrong}</body>") == text, wrong
+    assert html.main_text(f'<article class="post no-comments"><p>{text}</p></article>') == text
+    assert html.main_text("<nav><a href=x>Home</a></nav><h1>Title</h1><p>One line.</p><footer>me</footer>") == "Title\nOne line."
+
+
 def test_extraction_rows(spark):
     rows = [(1, None, None, 5), (None, "u", "<article>x</article>", 6), (2, "v", "", 7), (2, "v", "", 7)]
     out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int"))
