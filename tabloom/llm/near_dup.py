@@ -6,8 +6,10 @@ turn enumerates every single error a chunk may hold, so both signatures give the
 that distance meet, whatever the data. Pairs at the asked similarity further apart than that are found with the same
 keys but not with certainty; `miss` bounds that chance for the scheme.
 
-Who shares a key forms a group around its smallest member. Groups are compared in blocks of bounded size; a block returns
-a spanning forest of its links, never its pairs.
+Who shares a key forms a group around its smallest member. A group that fits in one block is compared at once; a larger
+one first with its smallest member, block by block. What links to that needs no further comparison with its like; only
+the members that don't link are compared, in pairs of blocks, with all of the group. A block returns a spanning forest
+of its links, never its pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import byte_lists, cut, shingle_set, text_of
@@ -28,6 +30,8 @@ SHINGLE_WORDS = 5
 #: Members of a block and the shingles they may hold together.
 BLOCK_MEMBERS = 512
 BLOCK_SHINGLES = 1_500_000
+#: Parts into which the rows of a hub are dealt where they meet what belongs to the hub.
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -201,9 +205,69 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
     yield out(done())
 
 
+def _meet_hub(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (hub, b), the hub's own first: each member with whether it links to its hub."""
+    key, own = None, []
+    for batch in batches:
+        linked = []
+        columns = [batch.column(c).to_pylist() for c in ("hub", "b", "rep")]
+        for hub, b, rep, text in zip(*columns, byte_lists(batch.column("text")), strict=True):
+            if (hub, b) != key:
+                key, own = (hub, b), []
+            s = shingle_set(text, SHINGLE_WORDS)
+            if rep == hub:
+                own.append(s)
+                linked.append(True)
+                continue
+            inter = [len(np.intersect1d(s, h, assume_unique=True)) for h in own]
+            linked.append(any(100 * x >= percent * (len(s) + len(h) - x) for x, h in zip(inter, own, strict=True)))
+        yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("rep"), batch.column("n"), pa.array(linked, pa.bool_())], ["hub", "rep", "n", "linked"])
+
+
 # --- the operator -------------------------------------------------------------------------------
 
 
+def _with_hub(rows: DataFrame, hubs: DataFrame, how: str) -> DataFrame:
+    """rows joined with hubs on hub; a hub may have any share of the rows, so both sides are salted."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
+    return salted.join(hubs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["hub", "salt"], how).drop("salt")
+
+
+def _blocks(n: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(n / F.lit(BLOCK_MEMBERS), shingles / F.lit(BLOCK_SHINGLES))).cast("int")
+
+
+def _links(star: DataFrame, sizes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) that connect what the links within the groups of star (hub, rep) connect."""
+    member = star.join(sizes, "rep")  # hub, rep, n
+    large = cut(member.groupBy("hub").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks")).where("blocks > 1"), "large")
+    sized = _with_hub(member, large, "left")
+    within = lambda b, i, j: (F.lit(x).cast("int").alias(n) if isinstance(x, int) else x.alias(n) for x, n in ((b, "b"), (i, "i"), (j, "j")))
+
+    def texts(members: DataFrame) -> DataFrame:
+        return rows.join(members.hint("shuffle_hash"), rows.doc_id == members.rep).drop("doc_id")
+
+    # with the hub: the hub goes to every block
+    part = sized.where("blocks IS NOT NULL AND rep <> hub").select("hub", "rep", "n", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("b"))
+    hubs = large.join(sizes, F.col("hub") == F.col("rep")).select("hub", "rep", "n", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    met = texts(part.unionByName(hubs)).withColumn("other", F.col("rep") != F.col("hub")).repartition("hub", "b").sortWithinPartitions("hub", "b", "other")
+    met = met.select("hub", "b", "rep", "n", "text").mapInArrow(partial(_meet_hub, percent=percent), "hub long, rep long, n long, linked boolean")
+    met = cut(met.groupBy("hub", "rep").agg(F.max("n").alias("n"), F.max("linked").alias("linked")), "met")
+    # those that don't link: among themselves and with those that do
+    count = lambda c: (F.sum(c.cast("int")), F.sum(F.when(c, F.col("n")).otherwise(0)))
+    open_hubs = met.groupBy("hub").agg(_blocks(*count(~F.col("linked"))).alias("nb"), _blocks(*count(F.col("linked"))).alias("na")).where("nb > 0")
+    rest = _with_hub(met.where("rep <> hub"), open_hubs, "inner")
+    spot = F.when(F.col("linked"), F.col("nb") + F.pmod(F.xxhash64("rep"), F.col("na"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("nb"))).cast("int")
+    last = F.when(F.col("linked"), F.col("nb")).otherwise(F.col("nb") + F.col("na")) - 1
+    rest = rest.select("hub", "rep", spot.alias("b"), F.explode(F.sequence(F.lit(0), last)).alias("o"))
+    rest = rest.select("hub", "rep", *within(F.col("b"), F.least("b", "o"), F.greatest("b", "o")))
+
+    small = sized.where("blocks IS NULL").select("hub", "rep", *within(0, 0, 0))
+    groups = texts(small.unionByName(rest)).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    found = groups.select("hub", "i", "j", "b", "rep", "text").mapInArrow(partial(_confirm, percent=percent), "u long, v long")
+    return found.unionByName(met.where("linked AND rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
@@ -221,15 +285,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     keys = reps.select("rep", "sig").mapInArrow(partial(_keys, scheme=scheme), "key long, rep long")
     shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
     star = cut(keys.join(shared.select("key", "hub"), "key").select("hub", "rep").distinct(), "star")
-    # blocks of a group: bounded in members and in shingles
-    sized = star.join(reps.groupBy("rep").agg(F.max("n").alias("n")), "rep")
-    blocks = sized.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK_MEMBERS), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    members = star.join(blocks, "hub").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    members = members.select("hub", "rep", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    members = members.select("hub", "rep", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-    texts = rows.join(members.hint("shuffle_hash"), rows.doc_id == members.rep).select("hub", "i", "j", "b", "rep", "text")
-    groups = texts.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    near = components(groups.mapInArrow(partial(_confirm, percent=percent), "u long, v long").distinct())
+    near = components(_links(star, reps.groupBy("rep").agg(F.max("n").alias("n")), rows, percent).distinct())
     # equal texts of one id with different sets: its classes are linked through the id
     classes = usable.join(reps.select("set_key", "rep"), "set_key").select("doc_id", "rep").distinct()
     split = classes.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
