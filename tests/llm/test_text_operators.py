@@ -98,6 +98,25 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert {x["doc_id"]: x["component_id"] for x in got} == want
 
 
+def test_near_duplicates_of_a_large_group_that_drifts(spark, monkeypatch):
+    """Members that link with one another, but not with the smallest of their group, find each other."""
+    r = random.Random(9)
+    base, rows, i = [f"b{i}" for i in range(300)], [], 0
+    for step in range(12):  # each base is a little further from the first
+        for at in range(step * 12, step * 12 + 12):
+            base[at] = f"c{step}-{at}"
+        for _ in range(12):
+            w = list(base)
+            w[r.randrange(200, 300)] = f"x{r.randrange(10**6)}"
+            rows.append((i, " ".join(w)))
+            i += 1
+    r.shuffle(rows)
+    want, _ = brute_components(rows, 85)
+    monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", 10)
+    got = near_dup.near_duplicates(docs(spark, rows), 85).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == want
+
+
 def test_near_duplicates_edges(spark):
     got = near_dup.near_duplicates(clashing(docs(spark, edge_rows()))).collect()
     by = {}
@@ -291,6 +310,13 @@ def test_leaks_reparameterised_and_inconsistent(spark):
     assert decontaminate.leaks(docs(spark, rows), items.where("false")).count() == 0
 
 
+def test_leaks_of_short_items_wherever_they_stand(spark):
+    item = "which gas do green plants take in by day"
+    rows = [(i, "so " * i + item + " and more") for i in range(9)] + [(9, "which gas do green plants give off by day")]
+    items = spark.createDataFrame([(1, item), (2, ITEM)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.leaks(docs(spark, rows), items).collect()} == set(range(9))
+
+
 def test_leaks_by_shuffle_join_are_the_same(spark, sf, monkeypatch):
     d, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     one = {tuple(r) for r in decontaminate.leaks(d, items).collect()}
@@ -407,22 +433,3 @@ def test_shard_edges(spark):
     assert sharding.shard(docs(spark, [])).count() == 0
     with pytest.raises(ValueError):
         sharding.shard(docs(spark, []), shards=0)
-
-
-def test_near_duplicates_of_a_large_group_that_drifts(spark, monkeypatch):
-    """Members that link with one another, but not with the smallest of their group, find each other."""
-    r = random.Random(9)
-    base, rows, i = [f"b{i}" for i in range(300)], [], 0
-    for step in range(12):  # each base is a little further from the first
-        for at in range(step * 12, step * 12 + 12):
-            base[at] = f"c{step}-{at}"
-        for _ in range(12):
-            w = list(base)
-            w[r.randrange(200, 300)] = f"x{r.randrange(10**6)}"
-            rows.append((i, " ".join(w)))
-            i += 1
-    r.shuffle(rows)
-    want, _ = brute_components(rows, 85)
-    monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", 10)
-    got = near_dup.near_duplicates(docs(spark, rows), 85).collect()
-    assert {x["doc_id"]: x["component_id"] for x in got} == want
