@@ -26,7 +26,7 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = SEED, bucket_bytes: int
     """docs with shard (0 to shards - 1) and slot (gapless from 0 in each shard), in shuffled order.
 
     Every row is placed once: repeated rows, null ids and null texts too. Columns named shard or slot are replaced. An
-    empty table gives an empty table. Rows with one id go to one bucket; equal texts with other ids spread.
+    empty table gives an empty table. Rows equal in id and text go to one bucket; all others spread, null ids too.
     """
     if shards < 1 or bucket_bytes < 1:
         raise ValueError("shards and bucket_bytes must be positive")
@@ -34,8 +34,8 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = SEED, bucket_bytes: int
     total = docs.select(_bytes(text_col).alias("n")).agg(F.sum("n")).first()[0] or 0
     wanted = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // LEAST_BYTES + 1)
     buckets = int(min(MOST_BUCKETS, max(total // bucket_bytes + 1, wanted)))
-    bucket = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(buckets)).cast("int")
-    # where each bucket begins: ids alone are read
+    bucket = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), F.lit(buckets)).cast("int")
+    # where each bucket begins
     counts = docs.select(bucket.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
     begin = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     begins = counts.select("bucket", begin.alias("begin"))

@@ -424,6 +424,14 @@ def test_shards_hold_all_rows_evenly(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).count() == len(rows)
 
 
+def test_shard_spreads_a_hot_id(spark):
+    rows = [(None if i % 2 else 7, f"text {i}") for i in range(400)]
+    out = sharding.shard(docs(spark, rows).repartition(3), shards=4, bucket_bytes=500)
+    got = out.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+    assert [(r["n"], r["last"]) for r in got] == [(100, 99)] * 4
+    assert sorted(r["text"] for r in out.collect()) == sorted(t for _, t in rows)
+
+
 def test_shard_edges(spark):
     rows = edge_rows()
     out = sharding.shard(clashing(docs(spark, rows)), shards=3)
