@@ -1,22 +1,25 @@
 """Benchmark decontamination (9): template windows with typed placeholders, in SQL functions only.
 
 Numbers, names (a capital inside a sentence) and units (after a number) become typed slots, all else is lower-cased words.
-Windows of WINDOW template tokens are hash-joined: every window of an item, every STRIDE-th of a document, so any shared
-run of WINDOW + STRIDE - 1 tokens meets; where an item is shorter than that, documents are sampled so closely that it
-meets as a whole. A meeting counts if, along its alignment, slot values map one to one: then the
-document holds the item, as it is or with other numbers and names.
+A window runs from its first token to WINDOW tokens and LEAST_LITERALS literals at least; where WINDOW tokens have fewer
+literals, the window of WINDOW tokens with its slot values is a second key. Items shorter than WINDOW are one window of
+their own length. Keys are hash-joined: all of an item, those at every STRIDE-th token of a document, or closer, so that
+each item meets as a whole wherever it stands. Each alignment that met is then compared over the whole item: runs of
+agreeing tokens count if their slot values map one to one, or are all equal.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import cut, once
 
 WINDOW, STRIDE = 8, 4
-#: Tokens of a window that must not be slots.
-LEAST_LITERALS = 5
+#: Tokens of a window that must not be slots, and how long it may get for that.
+LEAST_LITERALS, WIDEST = 5, 32
+#: Agreeing tokens in a row that make a leak; the whole item, if shorter.
+LEAST_RUN = WINDOW
 #: Item windows that are broadcast; with more, the join shuffles.
 BROADCAST_WINDOWS = 300_000
 NAME, UNIT, NUMBER = "\ue000", "\ue001", "\ue002"
@@ -50,55 +53,133 @@ def _slot(t: Column) -> Column:
     return t.isin(NAME, UNIT, NUMBER)
 
 
-def _window_hashes(tokens: Column, stride: int) -> Column:
-    """array of struct(at, h): windows from 0, a shorter text as one window."""
-    last = lambda t: F.greatest(F.size(t) - WINDOW, F.lit(0))
-    one = lambda t, i: F.struct(i.cast("int").alias("at"), F.xxhash64(F.slice(t, i + 1, WINDOW)).alias("h"))
-    return once(tokens, lambda t: F.transform(F.sequence(F.lit(0), last(t), F.lit(stride)), lambda i: one(t, i)))
+def _literals(tokens: Column) -> Column:
+    return F.size(F.array_remove(F.array_remove(F.array_remove(tokens, NAME), UNIT), NUMBER))
+
+
+def _key(at: Column, h: Column, exact: bool | Column) -> Column:
+    return F.struct(at.cast("int").alias("at"), h.alias("h"), (F.lit(exact) if isinstance(exact, bool) else exact).alias("exact"))
+
+
+def _exact(raw: Column, at: Column, n: Column | int) -> Column:
+    return F.xxhash64(F.lit("exact"), F.slice(raw, at + 1, n))
+
+
+def _long_keys(t: Column, raw: Column, stride: int) -> Column:
+    """array of struct(at, h, exact) of the windows from every stride-th token; raw is only computed where needed."""
+    starts = F.when(F.size(t) >= WINDOW, F.sequence(F.lit(0), F.size(t) - WINDOW, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    plain = F.transform(starts, lambda i: once(F.slice(t, i + 1, WINDOW), lambda w: _key(i, F.when(_literals(w) >= LEAST_LITERALS, F.xxhash64(w)), False)))
+
+    def wide(at: Column) -> Column:
+        def of(w: Column) -> Column:
+            end = F.get(F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: ~_slot(F.element_at(w, i))), F.lit(LEAST_LITERALS - 1))
+            return once(end, lambda e: F.when(e.isNotNull(), F.xxhash64(F.slice(w, F.lit(1), F.coalesce(e, F.lit(0))))))
+
+        return _key(at, once(F.slice(t, at + 1, WIDEST), of), False)
+
+    def more(keys: Column) -> Column:
+        heavy = F.filter(keys, lambda k: k["h"].isNull())
+        widened = F.transform(heavy, lambda k: wide(k["at"]))
+        exact = once(raw, lambda r: F.transform(heavy, lambda k: _key(k["at"], _exact(r, k["at"], WINDOW), True)))
+        return F.when(F.exists(keys, lambda k: k["h"].isNull()), F.filter(F.concat(keys, widened, exact), lambda k: k["h"].isNotNull())).otherwise(keys)
+
+    return once(plain, more)
+
+
+def _short_keys(t: Column, raw: Column, n: Column | int) -> Column:
+    """The same of all windows of n tokens, for items of n < WINDOW tokens."""
+    n = F.lit(n) if isinstance(n, int) else n
+    starts = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
+
+    def one(i: Column) -> Column:
+        return once(F.slice(t, i + 1, n), lambda w: _key(i, F.when(_literals(w) >= LEAST_LITERALS, F.xxhash64(w)).otherwise(_exact(raw, i, n)), _literals(w) < LEAST_LITERALS))
+
+    return F.transform(starts, one)
+
+
+def _doc_keys(text: Column, stride: int, lengths: list[int]) -> Column:
+    def of(marks: Column) -> Column:
+        def keys(t: Column) -> Column:
+            found = _long_keys(t, raw_tokens(marks), stride)
+            return F.concat(found, once(raw_tokens(marks), lambda r: F.concat(*[_short_keys(t, r, n) for n in lengths]))) if lengths else found
+
+        return once(templates(marks), keys)
+
+    return once(marked(text), of)
+
+
+def _runs(ours: Column, theirs: Column) -> Column:
+    """array of struct(lo, n): maximal runs of equal tokens of two arrays, from 0."""
+    size = F.least(F.size(ours), F.size(theirs))
+    apart = F.when(size > 0, F.filter(F.sequence(F.lit(0), F.greatest(size, F.lit(1)) - 1), lambda i: F.get(ours, i) != F.get(theirs, i))).otherwise(F.array().cast("array<int>"))
+    edges = F.concat(F.array(F.lit(-1)), apart, F.array(size))
+    return once(edges, lambda e: F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda j: F.struct((F.get(e, j - 1) + 1).alias("lo"), (F.get(e, j) - F.get(e, j - 1) - 1).alias("n"))))
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and item it holds: doc_id, item_id, n_windows, reparameterised.
 
-    n_windows: sampled windows along the alignments that count; reparameterised: no such alignment has all slot values
-    equal. An item of fewer than WINDOW tokens is a window by itself that only an equally short document meets; any
-    longer one is found wherever it stands as a whole. Null
+    A document holds an item if, along an alignment, a run of LEAST_RUN tokens or more (the whole item, if shorter) agrees
+    in words and slot types, has LEAST_LITERALS literals, and its slot values map one to one; or if such a run agrees in
+    slot values too. n_windows: all windows of these runs; reparameterised: no such alignment has all slot values equal.
+    Each item that has a token is found wherever it stands as a whole, with other slot values too if a window of it has
+    the literals (within WIDEST tokens); a one-word item is held by every document with that word. Null
     texts and null ids hold nothing and are held by nothing; repeated rows of an id are one document. Documents that
     hold nothing have no row; empty tables give an empty table. Other columns are not read.
     """
     items = items.select(F.col(item_id_col).cast("long").alias("item_id"), marked(F.col(item_text_col)).alias("m")).where("item_id IS NOT NULL AND m IS NOT NULL")
-    items = items.select("item_id", raw_tokens(F.col("m")).alias("item_raw"), templates(F.col("m")).alias("item_t"))
-    windows = items.select("item_id", "item_raw", "item_t", F.explode(_window_hashes(F.col("item_t"), 1)).alias("w"))
-    part = F.slice("item_t", F.col("w.at") + 1, WINDOW)
-    literals = F.size(F.filter(part, lambda t: ~_slot(t)))
-    windows = windows.where((literals >= F.least(F.lit(LEAST_LITERALS), F.size(part))) & (F.size(part) > 0))
-    windows = cut(windows.select("item_id", F.size("item_t").alias("item_n"), F.col("w.at").alias("item_at"), F.col("w.h").alias("h"), F.slice("item_raw", F.col("w.at") + 1, WINDOW).alias("item_part"), part.alias("template")), "windows")
-    found = windows.agg(F.count("*").alias("n"), F.min(F.when(F.col("item_n") >= WINDOW, F.col("item_n"))).alias("least")).first()
-    small = found["n"] <= BROADCAST_WINDOWS
-    stride = min(STRIDE, (found["least"] or WINDOW + STRIDE) - WINDOW + 1)
+    items = items.select("item_id", raw_tokens(F.col("m")).alias("item_raw"), templates(F.col("m")).alias("item_t")).where(F.size("item_t") > 0)
+    items = cut(items.select("item_id", F.xxhash64("item_raw").alias("item_text"), "item_raw", "item_t").distinct(), "items")
+    t, raw, n = F.col("item_t"), F.col("item_raw"), F.size("item_t")
+    keys = F.when(n >= WINDOW, _long_keys(t, raw, 1)).otherwise(_short_keys(t, raw, n))
+    windows = cut(items.select("item_id", "item_text", n.alias("item_n"), F.inline(keys)).withColumnRenamed("at", "item_at"), "windows")
+    # the longest row of windows of each item, of those that hold for other slot values if it has any: documents are
+    # sampled at least so closely
+    row = F.row_number().over(Window.partitionBy("item_id", "item_text", "exact").orderBy("item_at"))
+    rows_of = windows.where(F.col("item_n") >= WINDOW).withColumn("row", F.col("item_at") - row).groupBy("item_id", "item_text", "exact", "row").agg(F.count("*").alias("n"))
+    longest = rows_of.groupBy("item_id", "item_text").agg(F.coalesce(F.max(F.when(~F.col("exact"), F.col("n"))), F.max("n")).alias("n"))
+    least = longest.agg(F.min("n")).first()[0]
+    stride = min(STRIDE, least or STRIDE)
+    lengths = sorted(r["item_n"] for r in windows.where(F.col("item_n") < WINDOW).select("item_n").distinct().collect())
+    small = windows.count() <= BROADCAST_WINDOWS
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    there = rows.select("doc_id", F.inline(_window_hashes(templates(marked(F.col("text"))), stride)))
-    keys = windows.select("h", "item_id", "item_at").distinct()
-    met = cut(there.join(F.broadcast(keys) if small else keys, "h").select("doc_id", "at", "item_id", "item_at").distinct(), "met")
+    there = rows.select("doc_id", F.inline(_doc_keys(F.col("text"), stride, lengths))).select("doc_id", "at", "h")
+    keys = windows.select("h", "item_id", "item_text", "item_at").distinct()
+    shift = (F.col("at") - F.col("item_at")).alias("shift")
+    met = cut(there.join(F.broadcast(keys) if small else keys, "h").select("doc_id", "item_id", "item_text", shift).distinct(), "met")
 
-    # slot values along each alignment, for the documents that met something
+    # each alignment over the whole item, for the documents that met something
     who = met.select("doc_id").distinct()
-    again = rows.join(who, "doc_id", "left_semi").select("doc_id", raw_tokens(marked(F.col("text"))).alias("raw"))
-    spots = met.join(again, "doc_id").select("doc_id", "item_id", "item_at", "at", F.slice("raw", F.col("at") + 1, WINDOW).alias("part"))
-    parts = windows.select("item_id", "item_at", "item_part", "template")
-    spots = spots.join(F.broadcast(parts) if small else parts, ["item_id", "item_at"])
-    pairs = F.filter(F.arrays_zip("template", "item_part", "part"), lambda z: _slot(z["template"]))
-    spots = spots.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "at", F.explode_outer(pairs).alias("z"))
-    kinds = spots.groupBy("doc_id", "item_id", "shift").agg(
-        F.count_distinct("at").alias("n"),
-        F.count_distinct("z.template", "z.item_part", "z.part").alias("pairs"),
-        F.count_distinct("z.template", "z.item_part").alias("theirs"),
-        F.count_distinct("z.template", "z.part").alias("ours"),
-        F.coalesce(F.bool_and(F.col("z.item_part") == F.col("z.part")), F.lit(True)).alias("same"),
-    )
-    consistent = kinds.where("pairs = theirs AND pairs = ours")
-    return consistent.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_windows"), (~F.max("same")).alias("reparameterised"))
+    again = rows.join(who, "doc_id", "left_semi").distinct().select("doc_id", marked(F.col("text")).alias("m")).select("doc_id", raw_tokens(F.col("m")).alias("raw"), templates(F.col("m")).alias("t"))
+    spots = met.join(again, "doc_id").join(F.broadcast(items) if small else items, ["item_id", "item_text"])
+    skipped = F.greatest(F.lit(0), -F.col("shift"))
+    part = lambda tokens, at: F.slice(tokens, at + 1, F.greatest(F.lit(0), F.size("item_t") - skipped))
+    spots = spots.select(
+        "doc_id", "item_id", "shift", F.least(F.lit(LEAST_RUN), F.size("item_t")).alias("need"),
+        part("t", F.col("shift") + skipped).alias("t"), part("raw", F.col("shift") + skipped).alias("raw"), part("item_t", skipped).alias("item_t"), part("item_raw", skipped).alias("item_raw"),
+    )
+    enough = lambda runs: F.filter(runs, lambda r: r["n"] >= F.col("need"))
+
+    def judged(r: Column) -> Column:
+        """struct(n, ok, same) of a run of agreeing templates."""
+        zipped = F.arrays_zip(F.slice("item_t", r["lo"] + 1, r["n"]).alias("t"), F.slice("item_raw", r["lo"] + 1, r["n"]).alias("a"), F.slice("raw", r["lo"] + 1, r["n"]).alias("b"))
+
+        def of(pairs: Column) -> Column:
+            theirs = F.array_distinct(F.transform(pairs, lambda z: F.struct(z["t"], z["a"])))
+            ours = F.array_distinct(F.transform(pairs, lambda z: F.struct(z["t"], z["b"])))
+            plain = _literals(F.slice("item_t", r["lo"] + 1, r["n"]))
+            one_to_one = (F.size(pairs) == F.size(theirs)) & (F.size(pairs) == F.size(ours)) & (plain >= LEAST_LITERALS)
+            return F.struct(r["n"].alias("n"), one_to_one.alias("ok"), F.forall(pairs, lambda z: z["a"] == z["b"]).alias("same"))
+
+        return once(F.array_distinct(F.filter(zipped, lambda z: _slot(z["t"]))), of)
+
+    spots = spots.select("doc_id", "item_id", F.transform(enough(_runs(F.col("t"), F.col("item_t"))), judged).alias("like"), enough(_runs(F.col("raw"), F.col("item_raw"))).alias("equal"))
+    spots = spots.select("doc_id", "item_id", "equal", F.filter("like", lambda r: r["ok"]).alias("like")).where((F.size("like") > 0) | (F.size("equal") > 0))
+    count = lambda runs: F.aggregate(runs, F.lit(0).cast("long"), lambda s, r: s + F.greatest(r["n"] - WINDOW + 1, F.lit(1)))
+    counted = F.when(F.size("like") > 0, count("like")).otherwise(count("equal"))
+    same = F.when(F.size("like") > 0, F.exists("like", lambda r: r["same"])).otherwise(F.lit(True))
+    return spots.groupBy("doc_id", "item_id").agg(F.sum(counted).alias("n_windows"), (~F.max(same)).alias("reparameterised"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -317,6 +317,24 @@ def test_leaks_of_short_items_wherever_they_stand(spark):
     assert {r["doc_id"] for r in decontaminate.leaks(docs(spark, rows), items).collect()} == set(range(9))
 
 
+def test_leaks_of_items_full_of_slots(spark):
+    """Wherever they stand: slot-dense, windows with too few literals in between, almost only numbers, very short."""
+    asked = {
+        1: "What is 15 percent of 240 plus 30 percent of 90 minus 12?",
+        2: "Compute 12 + 7 * 3 - 4 / 2 + 9 * 5 - 1",
+        3: "Tom has 3 kg of apples and Ann has 5 kg of pears",
+        4: "Name the largest moon of Saturn",
+    }
+    items = spark.createDataFrame(list(asked.items()), "item_id long, text string")
+    rows = [(10 * n + i, "so " * i + "we ask: " + text.lower() + " and then some more of it") for n, text in asked.items() for i in range(8)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(spark, rows), items.withColumn("text", F.lower("text"))).collect()}
+    assert got == {(10 * n + i, n) for n in asked for i in range(8)}
+    other = asked[3].replace("3", "8").replace("Ann", "Eve").replace("5", "6"), asked[1].replace("240", "250").replace("90", "80")
+    rows = [(10 * k + i, "so " * i + text + ". And so on.") for k, text in enumerate(other) for i in range(8)]
+    got = {(r["doc_id"], r["item_id"], r["reparameterised"]) for r in decontaminate.leaks(docs(spark, rows), spark.createDataFrame([(1, "So " + asked[3]), (2, "So " + asked[1])], "item_id long, text string")).collect()}
+    assert {(d, n) for d, n, again in got if again} >= {(10 * k + i, k + 1) for k in range(2) for i in range(1, 8)}
+
+
 def test_leaks_by_shuffle_join_are_the_same(spark, sf, monkeypatch):
     d, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     one = {tuple(r) for r in decontaminate.leaks(d, items).collect()}
