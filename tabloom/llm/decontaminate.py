@@ -5,7 +5,7 @@ A window runs from its first token to WINDOW tokens and LEAST_LITERALS literals
 literals, the window of WINDOW tokens with its slot values is a second key. Items shorter than WINDOW are one window of
 their own length. Keys are hash-joined: all of an item, those at every STRIDE-th token of a document, or closer, so that
 each item meets as a whole wherever it stands. Each alignment that met is then compared over the whole item: runs of
-agreeing tokens count if their slot values map one to one, or are all equal.
+LEAST_RUN agreeing tokens count, or LEAST_SHARE of the item, if their slot values map one to one or are all equal.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from tabloom.llm.common import cut, once
 WINDOW, STRIDE = 8, 4
 #: Tokens of a window that must not be slots, and how long it may get for that.
 LEAST_LITERALS, WIDEST = 5, 32
-#: Agreeing tokens in a row that make a leak; the whole item, if shorter.
-LEAST_RUN = WINDOW
+#: Agreeing tokens in a row that make a leak (the whole item, if shorter); or the share of the item's tokens that agrees.
+LEAST_RUN, LEAST_SHARE = 13, 0.8
 #: Item windows that are broadcast; with more, the join shuffles.
 BROADCAST_WINDOWS = 300_000
 NAME, UNIT, NUMBER = "\ue000", "\ue001", "\ue002"
@@ -121,7 +121,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     A document holds an item if, along an alignment, a run of LEAST_RUN tokens or more (the whole item, if shorter) agrees
     in words and slot types, has LEAST_LITERALS literals, and its slot values map one to one; or if such a run agrees in
-    slot values too. n_windows: all windows of these runs; reparameterised: no such alignment has all slot values equal.
+    slot values too; or if LEAST_SHARE of the item's tokens agree along it, under the conditions of the first case. A shorter
+    phrase in common is no leak. n_windows: all windows of these runs; reparameterised: no such alignment has all slot
+    values equal.
     Each item that has a token is found wherever it stands as a whole, with other slot values too if a window of it has
     the literals (within WIDEST tokens); a one-word item is held by every document with that word. Null
     texts and null ids hold nothing and are held by nothing; repeated rows of an id are one document. Documents that
@@ -156,29 +158,35 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     skipped = F.greatest(F.lit(0), -F.col("shift"))
     part = lambda tokens, at: F.slice(tokens, at + 1, F.greatest(F.lit(0), F.size("item_t") - skipped))
     spots = spots.select(
-        "doc_id", "item_id", "shift", F.least(F.lit(LEAST_RUN), F.size("item_t")).alias("need"),
+        "doc_id", "item_id", "shift", F.size("item_t").alias("item_n"), F.least(F.lit(LEAST_RUN), F.size("item_t")).alias("need"),
         part("t", F.col("shift") + skipped).alias("t"), part("raw", F.col("shift") + skipped).alias("raw"), part("item_t", skipped).alias("item_t"), part("item_raw", skipped).alias("item_raw"),
     )
     enough = lambda runs: F.filter(runs, lambda r: r["n"] >= F.col("need"))
 
-    def judged(r: Column) -> Column:
-        """struct(n, ok, same) of a run of agreeing templates."""
-        zipped = F.arrays_zip(F.slice("item_t", r["lo"] + 1, r["n"]).alias("t"), F.slice("item_raw", r["lo"] + 1, r["n"]).alias("a"), F.slice("raw", r["lo"] + 1, r["n"]).alias("b"))
+    def judged(agreeing: Column, n: Column) -> Column:
+        """struct(n, ok, same) of agreeing tokens."""
 
         def of(pairs: Column) -> Column:
-            theirs = F.array_distinct(F.transform(pairs, lambda z: F.struct(z["t"], z["a"])))
-            ours = F.array_distinct(F.transform(pairs, lambda z: F.struct(z["t"], z["b"])))
-            plain = _literals(F.slice("item_t", r["lo"] + 1, r["n"]))
-            one_to_one = (F.size(pairs) == F.size(theirs)) & (F.size(pairs) == F.size(ours)) & (plain >= LEAST_LITERALS)
-            return F.struct(r["n"].alias("n"), one_to_one.alias("ok"), F.forall(pairs, lambda z: z["a"] == z["b"]).alias("same"))
-
-        return once(F.array_distinct(F.filter(zipped, lambda z: _slot(z["t"]))), of)
-
-    spots = spots.select("doc_id", "item_id", F.transform(enough(_runs(F.col("t"), F.col("item_t"))), judged).alias("like"), enough(_runs(F.col("raw"), F.col("item_raw"))).alias("equal"))
-    spots = spots.select("doc_id", "item_id", "equal", F.filter("like", lambda r: r["ok"]).alias("like")).where((F.size("like") > 0) | (F.size("equal") > 0))
+            theirs = F.array_distinct(F.transform(pairs, lambda z: F.struct(z["item_t"], z["item_raw"])))
+            ours = F.array_distinct(F.transform(pairs, lambda z: F.struct(z["item_t"], z["raw"])))
+            one_to_one = (F.size(pairs) == F.size(theirs)) & (F.size(pairs) == F.size(ours))
+            return F.struct(n.alias("n"), one_to_one.alias("ok"), F.forall(pairs, lambda z: z["item_raw"] == z["raw"]).alias("same"))
+
+        plain = F.size(F.filter(agreeing, lambda z: ~_slot(z["item_t"])))
+        found = once(F.array_distinct(F.filter(agreeing, lambda z: _slot(z["item_t"]))), of)
+        return F.struct(found["n"].alias("n"), (found["ok"] & (plain >= LEAST_LITERALS)).alias("ok"), found["same"].alias("same"))
+
+    zipped = F.slice(F.arrays_zip("item_t", "item_raw", "t", "raw"), F.lit(1), F.least(F.size("item_t"), F.size("t")))
+    spots = spots.select("doc_id", "item_id", "need", "item_n", zipped.alias("z"), _runs(F.col("t"), F.col("item_t")).alias("runs"), enough(_runs(F.col("raw"), F.col("item_raw"))).alias("equal"))
+    agreeing = F.filter("z", lambda z: z["t"] == z["item_t"])
+    like = F.filter(F.transform(enough("runs"), lambda r: judged(F.slice("z", r["lo"] + 1, r["n"]), r["n"])), lambda x: x["ok"])
+    share = once(agreeing, lambda x: F.filter(F.array(judged(x, F.size(x))), lambda j: j["ok"] & (j["n"] >= F.col("item_n") * LEAST_SHARE)))
+    spots = spots.select("doc_id", "item_id", "runs", "equal", like.alias("like"), share.alias("share")).where("size(like) > 0 OR size(share) > 0 OR size(equal) > 0")
     count = lambda runs: F.aggregate(runs, F.lit(0).cast("long"), lambda s, r: s + F.greatest(r["n"] - WINDOW + 1, F.lit(1)))
-    counted = F.when(F.size("like") > 0, count("like")).otherwise(count("equal"))
-    same = F.when(F.size("like") > 0, F.exists("like", lambda r: r["same"])).otherwise(F.lit(True))
+    of_share = count(F.filter("runs", lambda r: r["n"] >= WINDOW))
+    counted = F.when(F.size("like") > 0, count("like")).when(F.size("share") > 0, F.greatest(of_share, F.lit(1))).otherwise(count("equal"))
+    both = F.concat("like", "share")
+    same = F.when(F.size(both) > 0, F.exists(both, lambda r: r["same"])).otherwise(F.lit(True))
     return spots.groupBy("doc_id", "item_id").agg(F.sum(counted).alias("n_windows"), (~F.max(same)).alias("reparameterised"))
 
 

@@ -335,6 +335,20 @@ def test_leaks_of_items_full_of_slots(spark):
     assert {(d, n) for d, n, again in got if again} >= {(10 * k + i, k + 1) for k in range(2) for i in range(1, 8)}
 
 
+def test_stock_phrases_are_no_leaks(spark):
+    """A shared phrase of 8 to 12 words drops no document, a run of 13 or most of the item does, at any offset."""
+    stock = "which of the following is the best answer to this question here"
+    item = stock + " about how green plants make sugar out of light and water"
+    most = item.replace("answer", "reply").replace("light", "air")  # 12 words in a row, 21 of 23
+    texts = {0: stock + " on old ships", 1: stock + " about how we sail", 2: item, 3: most}
+    rows = [(10 * k + i, "so " * i + text + " and so on") for k, text in texts.items() for i in range(5)]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: r["n_windows"] for r in decontaminate.leaks(docs(spark, rows), items).collect()}
+    assert set(got) == {10 * k + i for k in (1, 2, 3) for i in range(5)}
+    assert {got[20 + i] for i in range(5)} == {len(item.split()) - 7}
+    assert {r["doc_id"] for r in decontaminate.clean(docs(spark, rows), items).collect()} == set(range(5))
+
+
 def test_leaks_by_shuffle_join_are_the_same(spark, sf, monkeypatch):
     d, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     one = {tuple(r) for r in decontaminate.leaks(d, items).collect()}
