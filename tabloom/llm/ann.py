@@ -2,8 +2,8 @@
 
 Largest inner product becomes smallest distance by one more component (sqrt(M^2 - |x|^2); 0 for queries). Centroids come
 from a bounded sample; a vector near a boundary goes to several lists. A query walks a neighbour graph of the centroids
-and visits the lists whose centroid is nearly as close as the closest; one that finds too few visits all. Lists are cut
-into blocks of bounded size; each
+and visits all lists whose centroid is nearly as close as the closest: the walk gets wider until half of the
+centroids it holds are farther. A query that finds too few visits all lists. Lists are cut into blocks of bounded size; each
 block meets the queries that visit it, and the best of all blocks are merged.
 """
 
@@ -23,8 +23,8 @@ from tabloom.llm.common import cut
 SAMPLE_ROWS, MOST_LISTS = 20_000, 4096
 #: Lists a vector may be in, and how much further than the closest their centroids may be.
 REPLICAS, REPLICA_RATIO = 4, 1.1
-#: Lists a query visits at most, whatever their number, and the ratio of distances up to which it does. Over 51,282
-#: vectors in 226 lists, 32 visits find 0.98 of the true neighbours.
+#: Centroids that the first walk of a query holds, and the ratio of distances up to which their lists are visited, however
+#: many these are.
 PROBES, PROBE_RATIO = 36, 1.25
 BLOCK_ROWS = 2048
 #: Neighbours of a centroid in the graph, and how many of the best a walk holds.
@@ -127,8 +127,31 @@ def _lists(batches: Iterator[pa.RecordBatch], dim: int, most: float, c: np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(order[row, col].astype(np.int32)), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))], ["list", "vec_id", "v"])
 
 
-def _visits(batches: Iterator[pa.RecordBatch], dim: int, c: np.ndarray, graph: np.ndarray, most: float, probes: int, rows: np.ndarray, enough: int) -> Iterator[pa.RecordBatch]:
-    """(list, vec_id, v) of queries: the lists they visit, at least so many that these hold `enough` rows.
+def visited(q: np.ndarray, c: np.ndarray, graph: np.ndarray, rows: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, list) pairs: all lists within PROBE_RATIO of the closest, and at least so many that they hold `enough` rows.
+
+    Unless half of what a walk holds is farther, it may have missed some and is repeated with four times the width. One of an eighth
+    of all centroids would touch nearly all of them, so all distances are taken instead."""
+    out, todo, width = [], np.arange(len(q)), PROBES
+    while len(todo):
+        every = width * 8 >= len(c)
+        if every:
+            d = _distances(q[todo], c)
+            which = np.argsort(d, axis=1, kind="stable")
+            d = np.take_along_axis(d, which, 1)
+        else:
+            which, d = walk(q[todo], c, graph, width)
+        held = np.cumsum(rows[which], axis=1) - rows[which]
+        keep = (d <= d[:, :1] * PROBE_RATIO**2) | (held < enough)
+        done = np.ones(len(todo), bool) if every else keep.sum(1) * 2 <= width
+        row, col = np.nonzero(keep & done[:, None])
+        out.append((todo[row], which[row, col]))
+        todo, width = todo[~done], width * 4
+    return np.concatenate([r for r, _ in out] or [np.empty(0, int)]), np.concatenate([w for _, w in out] or [np.empty(0, int)])
+
+
+def _visits(batches: Iterator[pa.RecordBatch], dim: int, c: np.ndarray, graph: np.ndarray, most: float, rows: np.ndarray, enough: int) -> Iterator[pa.RecordBatch]:
+    """(list, vec_id, v) of queries: the lists they visit.
 
     A query is scaled to length sqrt(most), which changes no order."""
     for batch in batches:
@@ -137,11 +160,8 @@ def _visits(batches: Iterator[pa.RecordBatch], dim: int, c: np.ndarray, graph: n
             x = _matrix(part.column("v"), dim)
             n2 = np.asarray(part.column("n2"))
             q = np.hstack([x * np.sqrt(most / n2)[:, None], np.zeros((len(x), 1))]).astype(np.float32)
-            which, d = walk(q, c, graph, probes)
-            held = np.cumsum(rows[which], axis=1) - rows[which]
-            keep = (d <= d[:, :1] * PROBE_RATIO**2) | (held < enough)
-            row, col = np.nonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(which[row, col].astype(np.int32)), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))], ["list", "vec_id", "v"])
+            row, which = visited(q, c, graph, rows, enough)
+            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))], ["list", "vec_id", "v"])
 
 
 def best_of(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -236,7 +256,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    visit = partial(_visits, dim=dim, c=c, graph=graph, most=most, probes=PROBES, rows=held, enough=REPLICAS * (k + 1))
+    visit = partial(_visits, dim=dim, c=c, graph=graph, most=most, rows=held, enough=REPLICAS * (k + 1))
     found = cut(nearest(queries.mapInArrow(visit, schema)), "found")
     # a query that found too few visits every list
     full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)

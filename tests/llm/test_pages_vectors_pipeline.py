@@ -119,6 +119,18 @@ def test_search_against_brute_force(spark):
     assert np.mean(recall) >= 0.9
 
 
+@pytest.mark.parametrize("k", [200, 1500])
+def test_all_lists_within_the_ratio_are_visited(k):
+    rng = np.random.default_rng(3)
+    c, q = rng.normal(size=(k, 32)).astype(np.float32), rng.normal(size=(20, 32)).astype(np.float32)
+    row, which = ann.visited(q, c, ann.graph_of(c), np.full(k, 50), 84)
+    d = ((q[:, None] - c[None]).astype(float) ** 2).sum(2)
+    near = {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= d.min(1)[:, None] * ann.PROBE_RATIO**2), strict=True)}
+    got = set(zip(row.tolist(), which.tolist(), strict=True))
+    assert len(got) == len(row) and len(near & got) >= 0.99 * len(near)
+    assert np.bincount([i for i, _ in near]).max() > ann.PROBES
+
+
 def test_search_ties_edges_and_lengths(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [2.0, 1.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (5, [5.0, 5.0]), (6, [0.0, 0.0]), (7, None), (8, [nan, 1.0]), (9, [inf, 1.0]), (10, [1.0]), (11, [None, 1.0]), (None, [1.0, 1.0]), (40, [0.0, 0.0]), (5, [5.0, 5.0])]
