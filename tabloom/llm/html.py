@@ -28,6 +28,15 @@ LOOSE = frozenset("p li dt dd option tr td th thead tbody tfoot h1 h2 h3 h4 h5 h
 HINTS = re.compile(
     r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|menus|menubar|breadcrumbs?|footer|foot|sidebar|side|aside|ads?|advert|adverts|advertisement|advertising|adbox|adslot|adsbygoogle|adunit|outbrain|taboola|sponsor|sponsored|promo|promotion|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|alert|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|recommended|widget|subscribe|subscription|newsletter|signup|login|search|searchform|toolbar|pagination|pager|masthead|topbar|copyright|legal|disclaimer|skip)(?:$|[^a-z])"
 )
+#: Inside an article only whole names of a class, a role, or the id of a div say so: words such as legal, social or related
+#: are subjects too, and headings and sections have ids made of their titles.
+KINDS = frozenset(
+    "ad ads ad-box adbox ad-slot adslot ad-unit adunit ad-container ad-wrapper ad-banner advert adverts advertisement advertising adsbygoogle outbrain taboola sponsor sponsored "
+    "promo promotion promo-box nav navbar navigation menu menubar main-menu breadcrumb breadcrumbs pagination pager sidebar left-sidebar right-sidebar footer toolbar widget skip-link "
+    "share sharing share-bar share-buttons share-links social-share social-links social-icons social-media-links related related-posts related-articles related-links related-stories recommended "
+    "comments comment-list commentlist comments-area comment-section disqus disqus-thread respond replies cookie-banner cookie-notice cookie-consent consent gdpr popup modal overlay "
+    "newsletter newsletter-signup subscribe subscription signup searchform search-form complementary contentinfo dialog".split()
+)
 #: Names of page headers; inside an article they may hold its title.
 HEADER = re.compile(r"(?:^|\s)(?:site-|main-|top-|global-|app-|blog-)?header(?:$|\s)")
 #: Names of single reader comments, which may be article elements.
@@ -48,6 +57,7 @@ _TOKEN = re.compile(
     re.I | re.S,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden(?=[\s=>/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -67,10 +77,13 @@ def _named_bad(tag: str, attr: str, in_main: bool) -> bool:
         return True
     if tag in ("html", "body") or not attr:
         return False
+    if in_main and tag not in MAIN:
+        named = [(m[0].lower(), "".join(m[1:]).lower().replace("_", "-").split()) for m in _NAME.findall(attr)]
+        return any(KINDS.intersection(x) for kind, x in named if kind != "id" or tag == "div") or bool(_HIDDEN.search(attr))
     names = " ".join("".join(m) for m in _NAMES.findall(attr)).lower().replace("_", "-")
     if tag in MAIN:
         return bool(READER.search(names))
-    return bool(HINTS.search(names) or _HIDDEN.search(attr) or (not in_main and HEADER.search(names)))
+    return bool(HINTS.search(names) or _HIDDEN.search(attr) or HEADER.search(names))
 
 
 def blocks_of(page: str) -> list[Block]:

@@ -49,6 +49,14 @@ def test_names_of_parts():
     assert html.main_text("<article><div class='header'><h1>Title</h1></div><p>x <span class='ad'>buy</span> y</p></article>") == "Title\nx\ny"
 
 
+def test_subjects_in_an_article_are_text():
+    text = LINES[0]
+    for part in ("section id='social-impact'", "div id='related-work'", "h2 id='legal-status'", "section id='search'", "div class='legal-history'", "div class='notice'", "div aria-label='Related work'"):
+        assert html.main_text(f"<article><{part}>{text}</{part.split()[0]}></article>") == text, part
+    for part in ("div class='post-end share-buttons'", "div class='related_posts'", "section class='comments'", "div id='disqus_thread'", "div class='x ad'", "div role='navigation'"):
+        assert html.main_text(f"<article><p>x</p><{part}>{text}</{part.split()[0]}></article>") == "x", part
+
+
 def test_markup_edges():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p>") == ""
     assert html.main_text("<article><p>a&nbsp;&lt;b&gt;  c<b>d</b><br>e<!-- x --><p>f &#8364; &unknown; < g</article>") == "a <b> cd e\nf € &unknown; < g"
