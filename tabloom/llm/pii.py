@@ -8,6 +8,8 @@ pseudonyms in every document. E-mail addresses and secrets have no numeric domai
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,32 +17,48 @@ from tabloom.llm.common import once
 
 ROUNDS = 8
 _EDGE_L, _EDGE_R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+_HEX = "[0-9A-Fa-f]"
+#: Words before a secret, and before digests that are none.
+_KEYWORD = r"(?i:token|secret|password|passwd|passphrase|pwd|credential|bearer|(?:api|access|private|auth)[_\-]?key)"
+_DIGEST = r"(?i:commit|revision|changeset|tree|parent|sha-?1|sha-?256|sha-?512|md5|digest|checksum|hash|etag)"
+#: Bare hex of 32 digits or more is a secret, but for 40 digits (names of commits) and what a digest's name precedes; after
+#: a keyword any quoted value of 8 signs is one, and an unquoted one that has a digit.
+_SECRET = (
+    rf"(?<![\p{{L}}\p{{N}}_])(?<!{_DIGEST}[\"']? {{0,2}}[:=]? {{0,2}}[\"']?)(?!{_HEX}{{40}}(?!{_HEX})){_HEX}{{32,}}+(?![\p{{L}}\p{{N}}_@])"
+    rf"|(?<={_KEYWORD}[\"']? ?[=:] ?[\"'])[^\"'\s]{{8,}}+(?=[\"'])"
+    rf"|(?<={_KEYWORD}[\"']? ?[=:] ?)(?=[^\"'\s,;]*[0-9])[^\"'\s,;]{{7,}}[^\"'\s,;.!?)]"
+)
+_IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 #: kind -> pattern; the order decides where two could begin at one place.
 PATTERNS = {
-    "secret": r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{32,128}(?![0-9A-Fa-f])|(?<=(?:token|secret|password|api_key|apikey) ?[=:] ?[\"'])[^\"'\s]{8,128}(?=[\"'])",
-    "email": _EDGE_L + r"[\p{L}\p{N}._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}+(?:\.[A-Za-z0-9\-]{1,63}+)*\.[A-Za-z]{2,24}",
-    "iban": _EDGE_L + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _EDGE_R,
-    "phone": r"(?<![\p{L}\p{N}_+])(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-][0-9]{3,4}" + _EDGE_R + r"|(?<![\p{L}\p{N}_+])\+[0-9]{1,3}(?:[ .\-][0-9]{2,4}){2,4}" + _EDGE_R + r"|(?<![\p{L}\p{N}_.+\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![\p{L}\p{N}_\-])",
+    "email": _EDGE_L + r"[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*(?<=\.[A-Za-z]{2,63})",
+    "iban": _EDGE_L + f"(?:{_IBAN}|{_IBAN.replace('A-Z', 'a-z')})" + _EDGE_R,
+    "phone": r"(?<![\p{L}\p{N}_+])(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-][0-9]{3,4}" + _EDGE_R + r"|(?<![\p{L}\p{N}_+])\+[0-9]{1,3}(?:[ .\-][0-9]{2,4}){2,4}" + _EDGE_R + r"|(?<![\p{L}\p{N}_+])\+[1-9][0-9]{7,14}" + _EDGE_R + r"|(?<![\p{L}\p{N}_.+\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![\p{L}\p{N}_\-])" + r"|(?<![\p{L}\p{N}_.,+/\-])0[1-9][0-9]{1,3}[ /\-][0-9]{5,8}(?![\p{L}\p{N}_\-])",
     "ip": r"(?<![\p{L}\p{N}_.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}_]|\.[0-9])",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}_:.])(?:(?:{_HEX}{{1,4}}:){{7}}{_HEX}{{1,4}}|(?=[0-9A-Fa-f:]*[0-9])(?:{_HEX}{{1,4}}:){{1,5}}(?::{_HEX}{{1,4}}){{1,5}})(?![\p{{L}}\p{{N}}_:])",
     "date": r"(?<![\p{L}\p{N}_/.\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![\p{L}\p{N}_/\-]|\.[0-9])",
     "ssn": r"(?<![\p{L}\p{N}_.\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}_\-])",
     "card": r"(?<![\p{L}\p{N}_.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\p{L}\p{N}_\-])",
 }
-ANY = "|".join(PATTERNS.values())
+ANY = "|".join([f"({_SECRET})", *PATTERNS.values()])
 #: What any text with one of these has; a cheap test before the patterns.
-HINT = r"[0-9@]|(?:token|secret|password|api_?key) ?[=:]"
+HINT = rf"[0-9@]|{_HEX}{{32}}|::|{_KEYWORD}[\"']? ?[=:]"
+
+
+def _key(key: str | Column) -> Column:
+    return F.lit(key) if isinstance(key, str) else key
 
 
 def _digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
-def _hash(key: str, *parts: Column) -> Column:
+def _hash(key: str | Column, *parts: Column) -> Column:
     """A number below 2**52 that depends on the key and all parts."""
-    return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(key), *[p.cast("string") for p in parts]), 256), 1, 13), 16, 10).cast("long")
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", _key(key), *[p.cast("string") for p in parts]), 256), 1, 13), 16, 10).cast("long")
 
 
-def feistel(a: Column, b: Column, size_a: Column, size_b: Column, key: str, kind: str) -> Column:
+def feistel(a: Column, b: Column, size_a: Column, size_b: Column, key: str | Column, kind: str) -> Column:
     """struct(a, b): the permutation of pairs with 0 <= a < size_a and 0 <= b < size_b."""
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
 
@@ -53,23 +71,26 @@ def feistel(a: Column, b: Column, size_a: Column, size_b: Column, key: str, kind
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
 
 
-def permute_digits(d: Column, key: str, kind: str) -> Column:
-    """A digit string of 2 to 30 digits -> another of the same length, one to one."""
+def permute_digits(d: Column, key: str | Column, kind: str, base: int = 10) -> Column:
+    """A digit string of 1 to 30 digits (base 16: 28) -> another of the same length, one to one."""
     n = F.length(d)
     u = F.floor(n / 2).cast("int")
-    ten = lambda k: F.rpad(F.lit("1"), k + 1, "0").cast("long")
-    pair = feistel(F.substr(d, F.lit(1), u).cast("long"), F.substr(d, u + 1).cast("long"), ten(u), ten(n - u), key, kind)
-    return once(pair, lambda p: F.concat(F.lpad(p["a"].cast("string"), u, "0"), F.lpad(p["b"].cast("string"), n - u, "0")))
+    size = lambda k: F.pow(F.lit(float(base)), k).cast("long")
+    number = lambda s: F.coalesce(F.conv(s, base, 10).cast("long"), F.lit(0).cast("long"))
+    put = lambda v, k: F.lpad(F.lower(F.conv(v.cast("string"), 10, base)), k, "0")
+    pair = feistel(number(F.substr(d, F.lit(1), u)), number(F.substr(d, u + 1)), size(u), size(n - u), key, kind)
+    return once(pair, lambda p: F.concat(F.when(u > 0, put(p["a"], u)).otherwise(F.lit("")), put(p["b"], n - u)))
 
 
-def _into(form: Column, digits: Column) -> Column:
-    """form with its digits replaced, in order, by those of digits."""
-    return once(digits, lambda d: _put(form, d))
+def _into(form: Column, digits: Column, sign: str = "[0-9]") -> Column:
+    """form with its digits (what `sign` matches) replaced, in order, by those of digits."""
+    return once(digits, lambda d: _put(form, d, sign))
 
 
-def _put(form: Column, digits: Column) -> Column:
-    places = F.transform(F.sequence(F.lit(1), F.length(form)), lambda i: F.struct(F.substr(form, i, F.lit(1)).alias("c"), F.length(_digits(F.substr(form, F.lit(1), i))).alias("k")))
-    return F.array_join(F.transform(places, lambda p: F.when(p["c"].rlike("[0-9]"), F.substr(digits, p["k"], F.lit(1))).otherwise(p["c"])), "")
+def _put(form: Column, digits: Column, sign: str) -> Column:
+    count = lambda s: F.length(s) - F.length(F.regexp_replace(s, sign, ""))
+    places = F.transform(F.sequence(F.lit(1), F.length(form)), lambda i: F.struct(F.substr(form, i, F.lit(1)).alias("c"), count(F.substr(form, F.lit(1), i)).alias("k")))
+    return F.array_join(F.transform(places, lambda p: F.when(p["c"].rlike(sign), F.substr(digits, p["k"], F.lit(1))).otherwise(p["c"])), "")
 
 
 def luhn_sum(d: Column, doubled_last: bool) -> Column:
@@ -84,15 +105,17 @@ def mod97(s: Column) -> Column:
     return F.aggregate(value, F.lit(0), lambda r, v: F.when(v < 10, r * 10 + v).otherwise(r * 100 + v) % 97)
 
 
-def _card(x: Column, key: str) -> Column:
+def _card(x: Column, key: str | Column) -> Column:
+    """Numbers that networks give out (from 22 to 69); the first two digits name the network and stay."""
     d = _digits(x)
-    body = permute_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card")
+    body = F.concat(F.substr(d, F.lit(1), F.lit(2)), permute_digits(F.substr(d, F.lit(3), F.length(d) - 3), key, "card"))
     checked = lambda b: F.concat(b, F.pmod(-luhn_sum(b, True), F.lit(10)).cast("string"))
-    return F.when(luhn_sum(d, False) % 10 == 0, _into(x, once(body, checked)))
+    return F.when((luhn_sum(d, False) % 10 == 0) & d.rlike("^(?:2[2-7]|[3-6])"), _into(x, once(body, checked)))
 
 
-def _iban(x: Column, key: str) -> Column:
-    plain = F.replace(x, F.lit(" "), F.lit(""))
+def _iban(x: Column, key: str | Column) -> Column:
+    """Country and bank letters stay, the digits are permuted and the check digits follow."""
+    plain = F.upper(F.replace(x, F.lit(" "), F.lit("")))
     bban = F.substr(plain, F.lit(5))
     digits = _digits(bban)
     country = F.substr(plain, F.lit(1), F.lit(2))
@@ -102,21 +125,21 @@ def _iban(x: Column, key: str) -> Column:
     return F.when(valid & F.length(digits).between(2, 30), _into(x, other))
 
 
-def _phone(x: Column, key: str) -> Column:
+def _phone(x: Column, key: str | Column) -> Column:
     land = F.regexp_extract(x, r"^\+[0-9]{1,3}[ .\-]?(?=[(0-9])", 0)
     rest = F.substr(x, F.length(land) + 1)
     d = _digits(rest)
     return F.when(F.length(d).between(6, 15), F.concat(land, _into(rest, permute_digits(d, key, "phone"))))
 
 
-def _ip(x: Column, key: str) -> Column:
+def _ip(x: Column, key: str | Column) -> Column:
     o = F.transform(F.split(x, r"\."), lambda c: c.cast("long"))
     out = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), key, "ip")
     octets = lambda p: F.concat_ws(".", *[v.cast("string") for v in (F.floor(p["a"] / 256), p["a"] % 256, F.floor(p["b"] / 256), p["b"] % 256)])
     return F.when(F.array_max(o) <= 255, once(out, octets))
 
 
-def _ssn(x: Column, key: str) -> Column:
+def _ssn(x: Column, key: str | Column) -> Column:
     area, group, serial = (F.split(x, "-")[i].cast("long") for i in range(3))
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     rank = (area - 1 - (area > 666).cast("long")) * 99 + group - 1
@@ -130,49 +153,85 @@ def _ssn(x: Column, key: str) -> Column:
     return F.when(valid, once(out, form))
 
 
-def _date(x: Column, key: str) -> Column:
-    """A day of the 400 years from 1800; those have 189 * 773 days."""
+def _ipv6(x: Column, key: str | Column) -> Column:
+    """The first group names the network and stays; all other hex digits are permuted, each group keeps its length."""
+    first = F.regexp_extract(x, "^[0-9A-Fa-f]+", 0)
+    rest = F.substr(x, F.length(first) + 1)
+    digits = F.lower(F.regexp_replace(rest, "[^0-9A-Fa-f]", ""))
+    groups = F.size(F.filter(F.split(x, ":"), lambda g: g != ""))
+    return F.when(F.length(digits).between(1, 28) & (groups >= 3), F.concat(first, _into(rest, permute_digits(digits, key, "ipv6", 16), "[0-9A-Fa-f]")))
+
+
+_START = "1800-01-01"
+#: Days of the 400 years from _START and its factors; those of them after the 12th of a month and theirs.
+_DAYS, _LATE_DAYS = (189, 773), (9, 9833)
+
+
+def _permuted_day(n: Column, key: str | Column) -> Column:
+    out = feistel(F.floor(n / _DAYS[1]), n % _DAYS[1], F.lit(_DAYS[0]), F.lit(_DAYS[1]), key, "date")
+    return F.date_add(F.to_date(F.lit(_START)), (out["a"] * _DAYS[1] + out["b"]).cast("int"))
+
+
+def _permuted_late_day(day: Column, key: str | Column) -> Column:
+    """Days after the 12th among themselves: those before month m number days(m) - 12 * m."""
+    start = F.to_date(F.lit(_START))
+    month = (F.year(day) - 1800) * 12 + F.month(day) - 1
+    rank = F.datediff(day, start) - 12 * month - 12
+    out = feistel(F.floor(rank / _LATE_DAYS[1]), rank % _LATE_DAYS[1], F.lit(_LATE_DAYS[0]), F.lit(_LATE_DAYS[1]), key, "late date")
+    before = lambda m: F.datediff(F.add_months(start, m), start) - 12 * m
+
+    def found(r: Column) -> Column:
+        near = F.floor(r * 4800 / (_LATE_DAYS[0] * _LATE_DAYS[1])).cast("int")
+        m = F.array_max(F.filter(F.sequence(F.greatest(near - 3, F.lit(0)), near + 3), lambda c: before(c) <= r))
+        return once(m, lambda c: F.date_add(F.add_months(start, c), (r - before(c) + 12).cast("int")))
+
+    return once(out["a"] * _LATE_DAYS[1] + out["b"], found)
+
+
+def _date(x: Column, key: str | Column) -> Column:
+    """A day of the 400 years from 1800, written as it was read.
+
+    12/31/1999 can only be month first: such days are permuted among the days after the 12th, all others, read day
+    first, among all days, so each form's texts are mapped one to one."""
     iso, mark = x.rlike("^[0-9]{4}-"), F.substr(x, F.lit(3), F.lit(1))
     first, second = F.substr(x, F.lit(1), F.lit(2)), F.substr(x, F.lit(4), F.lit(2))
-    month_first = (mark == "/") & (second.cast("int") > 12)  # 12/31/1999; else day first
+    month_first = ~iso & (mark == "/") & (second.cast("int") > 12)
     text = F.when(iso, x).otherwise(F.concat_ws("-", F.substr(x, F.lit(7), F.lit(4)), F.when(month_first, first).otherwise(second), F.when(month_first, second).otherwise(first)))
-    start = F.to_date(F.lit("1800-01-01"))
-    n = F.datediff(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"), start)
-    out = feistel(F.floor(n / 773), n % 773, F.lit(189), F.lit(773), key, "date")
-    day = F.date_add(start, (out["a"] * 773 + out["b"]).cast("int"))
+    read = F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")
 
-    def form(d: Column) -> Column:
-        put = lambda f: F.date_format(d, f)
-        return F.when(iso, put("yyyy-MM-dd")).when(mark == ".", put("dd.MM.yyyy")).when(month_first & (F.dayofmonth(d) > 12), put("MM/dd/yyyy")).otherwise(put("dd/MM/yyyy"))
+    def of(day: Column) -> Column:
+        n = F.datediff(day, F.to_date(F.lit(_START)))
+        put = lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(mark == ".", F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy"))
+        late = F.date_format(_permuted_late_day(day, key), "MM/dd/yyyy")
+        return F.when(n.between(0, _DAYS[0] * _DAYS[1] - 1), F.when(month_first, late).otherwise(once(_permuted_day(n, key), put)))
 
-    return F.when(n.between(0, 189 * 773 - 1), once(day, form))
+    return once(read, of)
 
 
-def _email(x: Column, key: str) -> Column:
+def _email(x: Column, key: str | Column) -> Column:
     local, domain = F.substring_index(x, "@", 1), F.lower(F.substring_index(x, "@", -1))
-    h = lambda c, n: F.substring(F.sha2(F.concat(F.lit(f"{key}:email:"), c), 256), 1, n)
+    h = lambda c, n: F.substring(F.sha2(F.concat(_key(key), F.lit(":email:"), c), 256), 1, n)
     return F.concat(F.lit("u"), h(F.concat_ws("@", local, domain), 12), F.lit("@d"), h(domain, 8), F.lit(".invalid"))
 
 
-def _secret(x: Column, key: str) -> Column:
-    return F.substring(F.sha2(F.concat(F.lit(f"{key}:secret:"), x), 512), 1, 128).substr(F.lit(1), F.length(x))
+def _secret(x: Column, key: str | Column) -> Column:
+    block = lambda i: F.sha2(F.concat(_key(key), F.lit(":secret:"), i.cast("string"), F.lit(":"), x), 512)
+    return F.substr(F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / 128).cast("int")), block), ""), F.lit(1), F.length(x))
+
 
+_MAKE = {"email": _email, "iban": _iban, "phone": _phone, "ip": _ip, "ipv6": _ipv6, "date": _date, "ssn": _ssn, "card": _card}
 
-_MAKE = {"secret": _secret, "email": _email, "iban": _iban, "phone": _phone, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card}
 
+def pseudonym(x: Column, secret: Column, key: str | Column) -> Column:
+    """struct(kind, value) of a match of ANY; secret: the part of it that its first group matched.
 
-def pseudonym(x: Column, key: str) -> Column:
-    """struct(kind, value) of a match of ANY; value is null where the value doesn't validate."""
+    value is null where the value doesn't validate."""
     kind, value = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for k in reversed(PATTERNS):
-        # a match by itself has no neighbours, so only the marks of secrets need another test
-        own = r"^(?:[0-9A-Fa-f]{32,128}|[^\"'\s@]*[^\"'\s@0-9+.() /\-][^\"'\s@]*)$" if k == "secret" else f"^(?:{PATTERNS[k]})$"
-        if k == "secret":
-            hit = x.rlike(own) & ~x.rlike(f"^(?:{PATTERNS['email']})$") & ~x.rlike(f"^(?:{PATTERNS['iban']})$")
-        else:
-            hit = x.rlike(own)
+    for k in reversed(PATTERNS):  # a match by itself has no neighbours
+        hit = x.rlike(f"^(?:{PATTERNS[k]})$")
         kind = F.when(hit, F.lit(k)).otherwise(kind)
         value = F.when(hit, _MAKE[k](x, key)).otherwise(value)
+    kind, value = F.when(secret != "", F.lit("secret")).otherwise(kind), F.when(secret != "", _secret(x, key)).otherwise(value)
     return F.struct(kind.alias("kind"), value.alias("value"))
 
 
@@ -180,14 +239,19 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     """docs with private values of text_col replaced, and count_col: how many were.
 
     Everything between the values stays as it is, character by character. A null text stays null and counts 0. All rows
-    and other columns stay; a column named count_col is replaced.
+    and other columns stay, whatever their names; a column named count_col is replaced. The key is read from a table of
+    one row and stands in no plan.
     """
-    text = F.col(text_col)
-    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    out = docs.withColumn("__found", F.transform(found, lambda x: F.struct(x.alias("old"), pseudonym(x, key).alias("new"))))
-    out = out.withColumn("__between", F.when(F.size("__found") > 0, F.split(text, ANY, -1)))
-    joined = F.concat(F.col("__between")[0], F.array_join(F.transform("__found", lambda x, i: F.concat(F.coalesce(x["new"]["value"], x["old"]), F.col("__between")[i + 1])), ""))
-    counted = F.coalesce(F.size(F.filter("__found", lambda x: x["new"]["value"].isNotNull())), F.lit(0))
+    secret, found, between = (f"{n}_{uuid.uuid4().hex}" for n in ("key", "found", "between"))
+    text, names = F.col(text_col), list(docs.columns)
+    keys = docs.sparkSession.createDataFrame([(key,)], "k string")
+    hits = lambda group: F.regexp_extract_all(text, F.lit(ANY), F.lit(group))
+    out = docs.withColumn(secret, keys.scalar()).withColumn(found, F.when(text.rlike(HINT), hits(0)))
+    pairs = F.when(F.size(found) > 0, F.zip_with(F.col(found), hits(1), lambda x, s: F.struct(x.alias("old"), pseudonym(x, s, F.col(secret)).alias("new"))))
+    out = out.withColumn(found, pairs).withColumn(between, F.when(F.size(found) > 0, F.split(text, ANY, -1)))
+    joined = F.concat(F.col(between)[0], F.array_join(F.transform(found, lambda x, i: F.concat(F.coalesce(x["new"]["value"], x["old"]), F.col(between)[i + 1])), ""))
     if count_col:
+        counted = F.coalesce(F.size(F.filter(found, lambda x: x["new"]["value"].isNotNull())), F.lit(0))
         out = out.withColumn(count_col, F.greatest(counted, F.lit(0)).cast("int"))
-    return out.withColumn(text_col, F.when(F.size("__found") > 0, joined).otherwise(text)).drop("__found", "__between")
+        names += [count_col] * (count_col not in names)
+    return out.withColumn(text_col, F.when(F.size(found) > 0, joined).otherwise(text)).select(*[F.col(f"`{c}`") for c in names])

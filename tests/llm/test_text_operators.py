@@ -19,7 +19,7 @@ from tabloom.llm.tokens import Encoder, default_tokenizer
 DOCS = "doc_id long, text string"
 LONG = "alpha beta gamma delta " * 60_000
 #: Columns whose names the operators use themselves.
-CLASH = ("key", "hub", "rep", "bucket", "component_id", "kept", "shard", "slot", "n_private", "length", "score", "label", "h", "record", "records", "unit", "__found")
+CLASH = ("key", "hub", "rep", "bucket", "component_id", "kept", "shard", "slot", "n_private", "length", "score", "label", "h", "record", "records", "unit", "__found", "__between", "_bad", "_dropped", "_held", "salt", "n", "r", "copy", "copies")
 
 
 def docs(spark, rows):
@@ -414,6 +414,43 @@ def test_private_values_in_long_texts_and_gaps(spark):
     assert pii.pseudonymise(docs(spark, []), "k").count() == 0
 
 
+MORE_CASES = [
+    ("call +4930123456789 now", lambda t: re.fullmatch(r"call \+493\d{10} now", t)),
+    ("ruf 0171 2345678 an", lambda t: re.fullmatch(r"ruf \d{4} \d{7} an", t)),
+    ("password: hunter2secret.", lambda t: "hunter" not in t and t.endswith(".") and len(t) == 24),
+    ("iban de89370400440532013000", lambda t: mod97(t[5:].upper()) == 1 and t[5:7] == "de"),
+    ("at 2001:db8:85a3:0:0:8a2e:370:7334 now", lambda t: re.fullmatch(r"at 2001(:[0-9a-f]{1,4}){7} now", t)),
+    ("k " + "ab12" * 35, lambda t: re.fullmatch("k [0-9a-f]{140}", t)),
+    ("x" * 80 + "@x.org", lambda t: "x@" not in t),
+    ('token="4845168114407328"', lambda t: re.fullmatch(r'token="[0-9a-f]{16}"', t)),
+]
+MORE_LEFT = ["commit " + "a1" * 20, "a1b2" * 10, "sha256: " + "ab" * 32, "std::vector a::b", "0997523947200289", "the token: a thing", "12:30 or 1:2"]
+
+
+def test_private_values_of_more_forms(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(MORE_CASES)] + [(100 + i, t) for i, t in enumerate(MORE_LEFT)]
+    mixed = clashing(docs(spark, rows))
+    made = pii.pseudonymise(mixed, "k-that-must-not-show")
+    assert made.columns == mixed.columns
+    out = {r["doc_id"]: r for r in made.collect()}
+    assert all(out[0][c] == r for c, r in zip(("__found", "__between"), mixed.select("__found", "__between").first(), strict=True))
+    for i, (t, ok) in enumerate(MORE_CASES):
+        assert out[i]["text"] != t and ok(out[i]["text"]) and out[i]["n_private"] == 1, out[i]
+    for i, t in enumerate(MORE_LEFT):
+        assert out[100 + i]["text"] == t and out[100 + i]["n_private"] == 0, out[100 + i]
+    assert "must-not-show" not in made._jdf.queryExecution().toString()
+
+
+def test_dates_stay_distinct(spark):
+    """All dates of 30 years in each form: distinct before, distinct after, in the same form."""
+    day = F.explode(F.sequence(F.to_date(F.lit("1990-01-01")), F.to_date(F.lit("2019-12-31")))).alias("d")
+    forms = [F.date_format("d", f) for f in ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "MM/dd/yyyy")]
+    old = spark.range(1).select(day).select(F.explode(F.array(*forms)).alias("old")).distinct()
+    got = pii.pseudonymise(old.withColumn("text", F.col("old")), "k").collect()
+    shape = lambda t: re.sub(r"\d", "9", t) + ("m" if t[2] == "/" and int(t[3:5]) > 12 else "")
+    assert len({r["text"] for r in got}) == len(got) and all(shape(r["text"]) == shape(r["old"]) and r["n_private"] == 1 for r in got)
+
+
 # --- licences and shards ------------------------------------------------------------------------
 
 
@@ -473,3 +510,73 @@ def test_shard_edges(spark):
     assert sharding.shard(docs(spark, [])).count() == 0
     with pytest.raises(ValueError):
         sharding.shard(docs(spark, []), shards=0)
+
+
+def _xxh(seed, *cells):
+    """Spark's xxhash64: each cell hashed with the hash so far as its seed; nulls change nothing."""
+    import xxhash
+
+    h = seed
+    for c in cells:
+        if isinstance(c, (bool, np.int32)):
+            h = xxhash.xxh64_intdigest(int(c).to_bytes(4, "little", signed=True), h)
+        elif isinstance(c, int):
+            h = xxhash.xxh64_intdigest(c.to_bytes(8, "little", signed=True), h)
+        elif c is not None:
+            h = xxhash.xxh64_intdigest(c.encode(), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def brute_shards(rows, shards, seed, bucket_rows, bucket_bytes):
+    """(row, shard, slot) by a plain two-pass shuffle of (doc_id, text) rows."""
+    total = sum(len((t or "").encode()) + 1 for _, t in rows)
+    n = max(total // bucket_bytes, len(rows) // bucket_rows) + 1
+    buckets, seen = {}, {}
+    for row in rows:
+        h = tuple(_xxh(42, np.int32(i), row[0], row[0] is None, row[1], row[1] is None) for i in (1, 2))
+        copy = seen[h] = seen.get(h, -1) + 1
+        buckets.setdefault(_xxh(42, *h, copy, np.int32(seed)) % n, []).append((*h, copy, row))
+    order = []
+    for b in sorted(buckets):
+        x = sorted(buckets[b], key=lambda r: r[:3])
+        for i in range(len(x) - 1, 0, -1):
+            j = _xxh(42, np.int32(seed), b, np.int32(i)) % (i + 1)
+            x[i], x[j] = x[j], x[i]
+        order += [r[3] for r in x]
+    return sorted((str(r), k % shards, k // shards) for k, r in enumerate(order))
+
+
+def test_shards_against_a_plain_shuffle(spark, sf):
+    """The places are those of a plain Fisher-Yates shuffle in buckets, under any partitions, with copies and nulls."""
+    rows = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text").collect()] + [(None, ""), (None, None), (7, "same")] * 40
+    want = brute_shards(rows, 5, 11, 50, 1 << 20)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions, parts in ((4, 1), (16, 7), (211, 3)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            out = sharding.shard(docs(spark, rows).repartition(parts), 5, 11, bucket_rows=50, bucket_bytes=1 << 20).collect()
+            assert sorted((str((r["doc_id"], r["text"])), r["shard"], r["slot"]) for r in out) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_shards_of_one_repeated_row(spark, monkeypatch):
+    """Copies beyond what one task deals, with columns that no hash takes."""
+    monkeypatch.setattr(sharding, "DEALT_AT_ONCE", 30)
+    d = docs(spark, [(1, "copy")] * 200 + [(2, "other")]).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    got = sharding.shard(d, 3, bucket_rows=20).collect()
+    assert sorted((r["shard"], r["slot"]) for r in got) == sorted((k % 3, k // 3) for k in range(201))
+    assert sum(r["text"] == "copy" for r in got) == 200 and got[0]["m"] == {"k": 1}
+
+
+def test_sharding_query_digests(spark, sf):
+    from tabloom.llm import queries
+
+    texts = {r["doc_id"]: r["text"] or "" for r in table(spark, sf, "documents").collect()}
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, sf, "documents").collect()]
+    got = queries.QUERIES["op8_sharding"](spark, sf).collect()
+    for r in got:
+        raw = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+    want = brute_shards(rows, 16, sharding.SEED, sharding.BUCKET_ROWS, sharding.BUCKET_BYTES)
+    assert sorted((str((r["doc_id"], next(t for i, t in rows if i == r["doc_id"]))), r["shard"], r["slot"]) for r in got) == want
