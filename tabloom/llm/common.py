@@ -19,10 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where none is named."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    One of our own only where none is named and all run on this machine (master local); else an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="spark-work-"))
     return _own_dir[0]
@@ -39,6 +44,32 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that may hold more than this part of all rows; so many rows are broadcast at most.
+MOST_HOT = 10_000
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, total: int, weight: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined with side, which has one row for each key and in `weight` how many of the `total` rows hold the key.
+
+    Keys with more than total / MOST_HOT rows, of which there are fewer than MOST_HOT, meet their rows where these are;
+    only the others are shuffled, so no task gets all rows of a hot key. how: inner or left. weight is not returned.
+    """
+    least = total // MOST_HOT
+    hot, cold = side.where(F.col(weight) > least).drop(weight), side.where(F.col(weight) <= least).drop(weight)
+    met = rows.join(F.broadcast(hot), key)
+    out = met.unionByName(rows.where(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how))
+    if how == "left":  # null keys meet nothing and stay where they are
+        out = out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+    return out
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is in ids (one column); rows with a null id stay. No column name can clash."""
+    name = f"id_{uuid.uuid4().hex}"
+    gone = ids.toDF(name).where(F.col(name).isNotNull()).distinct()
+    return docs.join(gone, docs[id_col] == F.col(name), "left_anti")
+
+
 def text_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, under fixed names, so that other columns can't clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

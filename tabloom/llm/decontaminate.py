@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import cut, once
+from tabloom.llm.common import cut, drop_ids, once
 
 WINDOW, STRIDE = 8, 4
 #: Tokens of a window that must not be slots, and how long it may get for that.
@@ -192,5 +192,4 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without those that hold an item; columns unchanged."""
-    held = leaks(docs, items).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, docs.doc_id == F.col("_held"), "left_anti")
+    return drop_ids(docs, leaks(docs, items).select("doc_id"))

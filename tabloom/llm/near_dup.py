@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import byte_lists, cut, shingle_set, text_of
+from tabloom.llm.common import byte_lists, cut, drop_ids, join_hot, shingle_set, text_of
 from tabloom.llm.components import components
 
 SHINGLE_WORDS = 5
 #: Members of a block and the shingles they may hold together.
-BLOCK_MEMBERS = 512
+BLOCK_MEMBERS = 256
 BLOCK_SHINGLES = 1_500_000
 #: Parts into which the rows of a hub are dealt where they meet what belongs to the hub.
 SALTS = 32
@@ -245,7 +245,7 @@ def _links(star: DataFrame, sizes: DataFrame, rows: DataFrame, percent: int) ->
     within = lambda b, i, j: (F.lit(x).cast("int").alias(n) if isinstance(x, int) else x.alias(n) for x, n in ((b, "b"), (i, "i"), (j, "j")))
 
     def texts(members: DataFrame) -> DataFrame:
-        return rows.join(members.hint("shuffle_hash"), rows.doc_id == members.rep).drop("doc_id")
+        return rows.join(members, rows.doc_id == members.rep).drop("doc_id")
 
     # with the hub: the hub goes to every block
     part = sized.where("blocks IS NOT NULL AND rep <> hub").select("hub", "rep", "n", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("b"))
@@ -281,24 +281,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     marks = cut(rows.mapInArrow(partial(_fingerprint, symbols=scheme.symbols), "doc_id long, n_shingles long, set_key binary, sig binary"), "marks")
     usable = marks.where("doc_id IS NOT NULL AND n_shingles > 0")
     # equal sets: one representative, the smallest id
-    reps = cut(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig")), "reps")
+    by_set = usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
+    reps = cut(by_set, "reps")
+    sizes = reps.agg(F.sum("copies").alias("rows"), F.count("*").alias("reps")).first()
     keys = reps.select("rep", "sig").mapInArrow(partial(_keys, scheme=scheme), "key long, rep long")
-    shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
-    star = cut(keys.join(shared.select("key", "hub"), "key").select("hub", "rep").distinct(), "star")
+    shared = cut(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").drop("last"), "shared")
+    star = cut(join_hot(keys, shared, "key", sizes["reps"] * scheme.chunks * scheme.per_chunk, "c").select("hub", "rep").distinct(), "star")
     near = components(_links(star, reps.groupBy("rep").agg(F.max("n").alias("n")), rows, percent).distinct())
     # equal texts of one id with different sets: its classes are linked through the id
-    classes = usable.join(reps.select("set_key", "rep"), "set_key").select("doc_id", "rep").distinct()
+    ranked = reps.select("set_key", "rep", "copies")
+    classes = join_hot(usable, ranked, "set_key", sizes["rows"] or 0, "copies").select("doc_id", "rep").distinct()
     split = classes.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     if not split.isEmpty():
         more = classes.join(split.select("doc_id", "low"), "doc_id").select(F.col("rep").alias("u"), F.col("low").alias("v"))
         near = components(near.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(more))
-    out = marks.join(reps.select("set_key", "rep"), "set_key", "left").join(near, F.col("rep") == F.col("id"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep", "doc_id"))
+    # a set's component is found once for the set, then dealt to its documents
+    ranked = ranked.join(near, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"), "copies")
+    out = join_hot(marks, cut(ranked, "classes"), "set_key", sizes["rows"] or 0, "copies", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs without those that near_duplicates drops; columns unchanged."""
-    found = near_duplicates(docs, percent)
-    dropped = found.where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs.doc_id == F.col("_dropped"), "left_anti")
+    return drop_ids(docs, near_duplicates(docs, percent).where("NOT kept").select("doc_id"))

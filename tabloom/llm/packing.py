@@ -125,7 +125,8 @@ def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, tokenizer:
     made = text_of(docs, id_col, text_col).mapInArrow(partial(_pieces, path=tokenizer or default_tokenizer(), size=length, end=end_id, with_ids=with_ids), schema)
     pieces = cut(made, "pieces")
     groups = max(1, -(-pieces.count() // GROUP_PIECES))
-    bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("long")
+    # the row number in the written table parts equal rows too
+    bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long")
     light = pieces.drop("ids").withColumn("bucket", bucket)
     placed = light.groupBy("bucket").applyInPandas(partial(_place, size=length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     if not with_ids:

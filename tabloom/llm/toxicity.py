@@ -1,8 +1,8 @@
 """Toxicity (2): gradient-boosted trees over dense features of whole texts, with isotonic calibration.
 
 The trees are fitted on a bounded sample of labelled rows (`SAMPLE_ROWS`), two thirds for the trees and a third for the
-calibration; scoring covers all rows. The lexicon is a seed list plus words that the sample's toxic texts use and its
-clean texts don't.
+calibration; scoring covers all rows. The lexicon is a seed list plus words that toxic texts use and clean texts don't,
+learned from the trees' two thirds alone, so that the calibration sees features as they are on unseen texts.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import cut
+from tabloom.llm.common import cut, drop_ids
 
 #: Labelled rows that the lexicon, the trees and the calibration are fitted on, at most (in expectation).
 SAMPLE_ROWS = 12_000
@@ -142,14 +142,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(10**6)) < share)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     sample = cut(texts.join(known, "doc_id"), "labelled")
-    learned = _learn_words(sample)
+    third = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0  # for the calibration: neither words nor trees see it
+    learned = _learn_words(sample.where(~third))
     made = with_features(sample, ["doc_id", "toxic"], learned).withColumn("label", F.col("toxic").cast("double"))
-    made = cut(made.coalesce(2), "features").withColumn("features", array_to_vector("f"))
-    third = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0
+    made = cut(made, "features").withColumn("features", array_to_vector("f"))
     classes = {r[0] for r in made.where(~third).select("label").distinct().collect()}
     if len(classes) < 2:
         return ToxicityModel(learned, None, None)
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, maxBins=64, seed=7, checkpointInterval=-1).fit(made.where(~third).select("features", "label").cache())
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, maxBins=64, seed=7, checkpointInterval=-1).fit(made.where(~third).select("features", "label"))
     rest = made.where(third)
     rest = made if rest.isEmpty() else rest
     calibration = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="calibrated").fit(_raw(trees.transform(rest)).select("p", "label"))
@@ -169,5 +169,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted toxic; columns unchanged. Rows with a null id stay."""
-    bad = toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs.doc_id == F.col("_bad"), "left_anti")
+    return drop_ids(docs, toxicity(docs, labels).where("predicted = 1").select("doc_id"))
