@@ -24,9 +24,10 @@ _DIGEST = r"(?i:commit|revision|changeset|tree|parent|sha-?1|sha-?256|sha-?512|m
 #: Bare hex of 32 digits or more is a secret, but for 40 digits (names of commits) and what a digest's name precedes; after
 #: a keyword any quoted value of 8 signs is one, and an unquoted one that has a digit.
 _SECRET = (
-    rf"(?<![\p{{L}}\p{{N}}_])(?<!{_DIGEST}[\"']? {{0,2}}[:=]? {{0,2}}[\"']?)(?!{_HEX}{{40}}(?!{_HEX})){_HEX}{{32,}}+(?![\p{{L}}\p{{N}}_@])"
-    rf"|(?<={_KEYWORD}[\"']? ?[=:] ?[\"'])[^\"'\s]{{8,}}+(?=[\"'])"
-    rf"|(?<={_KEYWORD}[\"']? ?[=:] ?)(?=[^\"'\s,;]*[0-9])[^\"'\s,;]{{7,}}[^\"'\s,;.!?)]"
+    # cheap looks at the next and the last sign come first
+    rf"(?={_HEX}{{32}})(?<![\p{{L}}\p{{N}}_])(?!{_HEX}{{40}}(?!{_HEX}))(?<!{_DIGEST}[\"']? {{0,2}}[:=]? {{0,2}}[\"']?){_HEX}{{32,}}+(?![\p{{L}}\p{{N}}_@])"
+    rf"|(?<=[\"'])(?=[^\"'\s]{{8}})(?<={_KEYWORD}[\"']? ?[=:] ?[\"'])[^\"'\s]{{8,}}+(?=[\"'])"
+    rf"|(?<=[=: ])(?=[^\"'\s,;0-9]*+[0-9])(?<=[=:] ?)(?<={_KEYWORD}[\"']? ?[=:] ?)[^\"'\s,;]{{7,}}[^\"'\s,;.!?)]"
 )
 _IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 #: kind -> pattern; the order decides where two could begin at one place.
@@ -42,7 +43,7 @@ PATTERNS = {
 }
 ANY = "|".join([f"({_SECRET})", *PATTERNS.values()])
 #: What any text with one of these has; a cheap test before the patterns.
-HINT = rf"[0-9@]|{_HEX}{{32}}|::|{_KEYWORD}[\"']? ?[=:]"
+HINT = "[0-9@]|[=:] ?[\"']"
 
 
 def _key(key: str | Column) -> Column:
