@@ -28,7 +28,7 @@ from tabloom.llm.components import components
 
 SHINGLE_WORDS = 5
 #: Members of a block and the shingles they may hold together.
-BLOCK_MEMBERS = 256
+BLOCK_MEMBERS = 128
 BLOCK_SHINGLES = 1_500_000
 #: Parts into which the rows of a hub are dealt where they meet what belongs to the hub.
 SALTS = 32
