@@ -1,9 +1,10 @@
 """HTML extraction (1): two-pass block rules.
 
-A page is cut into blocks at block-level tags. What stands inside elements that name themselves as boilerplate is bad at
-once. The first pass decides the rest by length, link density and stop-word density and leaves short blocks open; blocks
-of an article or main element count as text unless links fill them. The second pass gives each open block the label of
-its nearest decided neighbours.
+A page is cut into blocks at block-level tags. The first pass decides by length, link density and stop-word density and
+leaves short and wordless blocks open. The second pass gives each open block the label of its nearest decided neighbours.
+Names are priors: an article or main element makes the first pass milder and keeps neighbours to itself, and an element
+that names itself as something that may be boilerplate counts as such where the page has an article. Only parts that no
+text density can tell from an article, such as comments, adverts and menus, are left out by name.
 """
 
 from __future__ import annotations
@@ -25,11 +26,9 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Closed by the next of their kind or never: not kept on the stack.
 LOOSE = frozenset("p li dt dd option tr td th thead tbody tfoot h1 h2 h3 h4 h5 h6".split())
-HINTS = re.compile(
-    r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|menus|menubar|breadcrumbs?|footer|foot|sidebar|side|aside|ads?|advert|adverts|advertisement|advertising|adbox|adslot|adsbygoogle|adunit|outbrain|taboola|sponsor|sponsored|promo|promotion|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|alert|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|recommended|widget|subscribe|subscription|newsletter|signup|login|search|searchform|toolbar|pagination|pager|masthead|topbar|copyright|legal|disclaimer|skip)(?:$|[^a-z])"
-)
-#: Inside an article only whole names of a class, a role, or the id of a div say so: words such as legal, social or related
-#: are subjects too, and headings and sections have ids made of their titles.
+#: Names of parts that are left out. Only a whole name of a class, an id or a role says so, besides PLACES before and FORMS
+#: after it: names such as has-sidebar or no-comments are those of the whole page. Inside an article ids count for div only,
+#: as headings and sections have ids made of their titles.
 KINDS = frozenset(
     "ad ads ad-box adbox ad-slot adslot ad-unit adunit ad-container ad-wrapper ad-banner advert adverts advertisement advertising adsbygoogle outbrain taboola sponsor sponsored "
     "promo promotion promo-box nav navbar navigation menu menubar main-menu breadcrumb breadcrumbs pagination pager sidebar left-sidebar right-sidebar footer toolbar widget skip-link "
@@ -37,6 +36,13 @@ KINDS = frozenset(
     "comments comment-list commentlist comments-area comment-section disqus disqus-thread respond replies cookie-banner cookie-notice cookie-consent consent gdpr popup modal overlay "
     "newsletter newsletter-signup subscribe subscription signup searchform search-form complementary contentinfo dialog".split()
 )
+PLACES = frozenset("site page main top bottom left right primary secondary global post entry article blog user sub mobile desktop js".split())
+FORMS = frozenset("box bar block area section list items links slot unit panel top bottom left right inner outer".split())
+#: Parts of a name that say the same in any company, but for LAYOUT.
+SURE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies newsletter breadcrumb breadcrumbs".split())
+LAYOUT = frozenset("no not has with without open closed free wrap wrapper layout page content story enabled by".split())
+#: Names that may be boilerplate outside an article, and may be subjects.
+WEAK = frozenset("legal social search side foot alert notice notices banner reply respond masthead topbar copyright disclaimer skip login".split())
 #: Names of page headers; inside an article they may hold its title.
 HEADER = re.compile(r"(?:^|\s)(?:site-|main-|top-|global-|app-|blog-)?header(?:$|\s)")
 #: Names of single reader comments, which may be article elements.
@@ -48,16 +54,18 @@ STOP_WORDS = frozenset(
     "al como con cual de del desde donde el ella ellos en entre era es esta este fue ha hay la las lo los más me mi muy no nos o para pero por porque que se ser si sin sobre son su sus también tiene un una y ya".split()
 )
 SHORT, LONG = 70, 200
-LINKS_MOST, STOPS_LOW, STOPS_HIGH = 0.33, 0.30, 0.32
+#: Link density: most of a text, and of one in an article. Stop-word density: least of a text that may be one (in an
+#: article: that is one), of a long text, of any.
+LINKS_MOST, LINKS_MOST_MAIN, STOPS_LEAST, STOPS_LONG, STOPS_ANY = 0.33, 0.8, 0.15, 0.30, 0.32
 
 _ATTRIBUTE = r"""[^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*"""
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<(?P<raw>{RAW.replace(' ', '|')})\b{_ATTRIBUTE}(?:/>|>.*?(?:</(?P=raw)\s*>|$))"
-    rf"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attr>{_ATTRIBUTE})>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
+    rf"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attr>{_ATTRIBUTE})>|<(?P<close2>/?)(?P<tag2>[a-z][a-z0-9:-]*)(?=[\s/>])[^<>]*>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
     re.I | re.S,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAME = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"""\bhidden(?=[\s=>/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -66,119 +74,169 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-    main: bool = False
-    bad: bool = False
+    #: Number of the article or main element around it; 0: none.
+    main: int = 0
+    #: What names say: 0 nothing, 1 perhaps boilerplate, 2 left out.
+    bad: int = 0
     heading: bool = False
     text: str = ""
 
 
-def _named_bad(tag: str, attr: str, in_main: bool) -> bool:
-    if tag in BOILERPLATE or (tag == "header" and not in_main):
+def _is_kind(name: str) -> bool:
+    if name in KINDS:
         return True
-    if tag in ("html", "body") or not attr:
+    parts = name.split("-")
+    if not LAYOUT.isdisjoint(parts):
         return False
-    if in_main and tag not in MAIN:
-        named = [(m[0].lower(), "".join(m[1:]).lower().replace("_", "-").split()) for m in _NAME.findall(attr)]
-        return any(KINDS.intersection(x) for kind, x in named if kind != "id" or tag == "div") or bool(_HIDDEN.search(attr))
-    names = " ".join("".join(m) for m in _NAMES.findall(attr)).lower().replace("_", "-")
+    while len(parts) > 1 and parts[0] in PLACES:
+        parts = parts[1:]
+    while len(parts) > 1 and (parts[-1] in FORMS or parts[-1].isdigit()):
+        parts = parts[:-1]
+    return "-".join(parts) in KINDS or not SURE.isdisjoint(parts)
+
+
+def named_bad(tag: str, attr: str, in_main: bool) -> int:
+    """0, 1 or 2: what the element's names say of its content, as in Block.bad."""
+    if tag in BOILERPLATE or (tag == "header" and not in_main):
+        return 2
+    if tag in ("html", "body") or not attr:
+        return 0
+    named = []
+    for m in _NAME.findall(attr):
+        value = _CAMEL.sub("-", "".join(m[1:])).lower().replace("_", "-")
+        kind = m[0].lower()
+        named += [(kind, x) for x in (["-".join(value.split())] if kind == "aria-label" else value.split())]
     if tag in MAIN:
-        return bool(READER.search(names))
-    return bool(HINTS.search(names) or _HIDDEN.search(attr) or HEADER.search(names))
+        return 2 * any(READER.search(x) for _, x in named)
+    if _HIDDEN.search(attr):
+        return 2
+    if in_main:
+        return 2 * any(_is_kind(x) for kind, x in named if kind in ("class", "role") or (kind == "id" and tag == "div"))
+    if any(_is_kind(x) or HEADER.search(x) for _, x in named):
+        return 2
+    return int(any(x in WEAK for _, x in named))
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's non-empty blocks in order."""
     out, now, stack, links = [], Block(), [], 0  # stack: (tag, bad, main) of open elements
-    first = True  # no article yet
+    opened: dict[str, int] = {}  # how many of each tag are on the stack
+    mains = 0
 
-    def flush(bad: bool = False, heading: bool = False) -> None:
+    def flush(bad: int = 0, heading: bool = False) -> None:
         nonlocal now
         now.text = " ".join(html.unescape("".join(now.parts)).split())
         if now.text:
             out.append(now)
-        now = Block(bad=bad or (stack[-1][1] if stack else False), main=stack[-1][2] if stack else False, heading=heading)
+        around = stack[-1] if stack else ("", 0, 0)
+        now = Block(bad=max(bad, around[1]), main=around[2], heading=heading)
+
+    def push(tag: str, bad: int, main: int) -> None:
+        stack.append((tag, bad, main))
+        opened[tag] = opened.get(tag, 0) + 1
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
 
     for m in _TOKEN.finditer(page):
-        text, tag = m["text"] or m["cdata"], (m["tag"] or "").lower()
+        text, tag = m["text"] or m["cdata"], (m["tag"] or m["tag2"] or "").lower()
+        close, attr = m["close"] or m["close2"], m["attr"] or ""
         if text:
             now.parts.append(text)
             if links:
                 now.linked += len(text.strip())
         elif tag == "a":
-            links = 0 if m["close"] else 1
+            links = 0 if close else 1
         elif tag in ("br", "hr", "wbr", "img") and tag not in BLOCKS:
             now.parts.append(" ")
-        elif tag in BLOCKS or (tag and m["attr"] and not m["close"] and tag not in VOID and _named_bad(tag, m["attr"], bool(stack and stack[-1][2]))):
-            bad, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        elif tag in BLOCKS or (tag and attr and not close and tag not in VOID and named_bad(tag, attr, bool(stack and stack[-1][2])) == 2):
+            bad, main = stack[-1][1:] if stack else (0, 0)
             links = 0
-            if m["close"]:
-                if tag not in LOOSE:
-                    at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                    if at is not None:
-                        del stack[at:]
+            if close:
+                if tag not in LOOSE and opened.get(tag):
+                    while pop() != tag:
+                        pass
                 flush()
             else:
-                own = _named_bad(tag, m["attr"], main)
-                if tag in MAIN and not own:  # an unclosed advert before it doesn't swallow the first article
-                    while first and stack and stack[-1][1] and not main:
-                        stack.pop()
-                    bad, main, first = (stack[-1][1] if stack else False), True, False
-                if tag not in LOOSE and tag not in VOID and not m["attr"].rstrip().endswith("/"):
-                    stack.append((tag, bad or own, main))
+                own = named_bad(tag, attr, bool(main))
+                if tag in MAIN and not own:
+                    while not mains and stack and stack[-1][1] and not main:  # an unclosed advert doesn't swallow the first article
+                        pop()
+                    bad = stack[-1][1] if stack else 0
+                    bad = 0 if bad == 1 else bad
+                    if not main:
+                        mains += 1
+                        main = mains
+                if tag not in LOOSE and tag not in VOID and not attr.rstrip().endswith("/"):
+                    push(tag, max(bad, own), main)
                 flush(bad=own, heading=tag[0] == "h" and tag[1:].isdigit())
-        elif m["close"] and stack and any(tag == t for t, _, _ in stack):
-            del stack[max(i for i, s in enumerate(stack) if s[0] == tag) :]
+        elif close and opened.get(tag):
+            while pop() != tag:
+                pass
             flush()
     flush()
     return out
 
 
 def first_pass(b: Block) -> str:
-    """good, bad or short."""
-    if b.bad:
-        return "bad"
-    links = b.linked / max(1, len(b.text))
-    if b.main:
-        return "good" if links <= 0.8 or len(b.text) >= LONG else "bad"
-    if links > LINKS_MOST:
+    """good, bad or short (open) by link density, length and stop-word density."""
+    if b.linked / max(1, len(b.text)) > (LINKS_MOST_MAIN if b.main else LINKS_MOST):
         return "bad"
     if len(b.text) < SHORT:
-        return "bad" if b.linked else "short"
+        return "bad" if b.linked and not b.main else "short"
     words = _WORD.findall(b.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= STOPS_HIGH or (stops >= STOPS_LOW and len(b.text) >= LONG):
+    if stops >= STOPS_ANY or (stops >= STOPS_LONG and len(b.text) >= LONG):
         return "good"
-    return "short" if stops >= STOPS_LOW / 2 else "bad"
+    if b.main:
+        return "good" if stops >= STOPS_LEAST else "short"
+    return "short" if stops >= STOPS_LEAST else "bad"
 
 
 def labels_of(blocks: list[Block]) -> list[str]:
-    """good or bad for each block; an open one takes the label of its nearest decided neighbours, good where they tie.
+    """good or bad for each block.
 
-    Where no block of the page is good, the open ones are: a short page has a main text too.
+    An open block takes the label of its nearest decided neighbours, good where they tie; a heading that of what follows.
+    In an article only neighbours in the same article speak, and without any the block is text. Blocks in elements that
+    may be boilerplate are text if the first pass says so and no article of the page has a text. Where no block
+    is good, the open ones are: a short page has a main text too.
     """
-    first = [first_pass(b) for b in blocks]
+    first = ["bad" if b.bad == 2 else first_pass(b) for b in blocks]
+    has_article = any(b.main and x == "good" for b, x in zip(blocks, first, strict=True))
+    first = ["bad" if b.bad == 1 and (has_article or x == "short") else x for b, x in zip(blocks, first, strict=True)]
     if "good" not in first:
         return ["good" if x == "short" else x for x in first]
-    before, after, seen = [], [], None
-    for i, x in enumerate(first):
-        seen = (i, x) if x != "short" else seen
-        before.append(seen)
-    seen = None
-    for i in range(len(first) - 1, -1, -1):
-        seen = (i, first[i]) if first[i] != "short" else seen
-        after.append(seen)
-    after.reverse()
+
+    def nearest(order: range) -> list[tuple[int, str] | None]:
+        """For each block the decided one before it in order that may speak for it."""
+        out: list[tuple[int, str] | None] = [None] * len(blocks)
+        seen: tuple[int, str] | None = None
+        seen_in: dict[int, tuple[int, str]] = {}
+        for i in order:
+            main = blocks[i].main
+            out[i] = seen_in.get(main) if main else seen
+            if first[i] != "short":
+                seen = (i, first[i])
+                if main and blocks[i].bad != 2:
+                    seen_in[main] = seen
+        return out
+
+    before, after = nearest(range(len(blocks))), nearest(range(len(blocks) - 1, -1, -1))
     out = []
     for i, x in enumerate(first):
         if x == "short":
             left, right = before[i], after[i]
-            if blocks[i].heading and right:  # a heading belongs to what follows
+            if blocks[i].heading and right:
                 x = right[1]
             elif left and right:
                 near = i - left[0] - (right[0] - i)
                 x = left[1] if near < 0 else right[1] if near > 0 else "good" if "good" in (left[1], right[1]) else "bad"
+            elif left or right:
+                x = (left or right)[1]
             else:
-                x = (left or right or (0, "bad"))[1]
+                x = "good" if blocks[i].main else "bad"
         out.append(x)
     return out
 
