@@ -1,21 +1,24 @@
 """Benchmark decontamination (9): template windows with typed placeholders, in SQL functions only.
 
 Numbers, names (a capital inside a sentence) and units (after a number) become typed slots, all else is lower-cased words.
-A window runs from its first token to WINDOW tokens and LEAST_LITERALS literals at least; where WINDOW tokens have fewer
-literals, the window of WINDOW tokens with its slot values is a second key. Items shorter than WINDOW are one window of
-their own length. Keys are hash-joined: all of an item, those at every STRIDE-th token of a document, or closer, so that
-each item meets as a whole wherever it stands. Each alignment that met is then compared over the whole item: runs of
-LEAST_RUN agreeing tokens count, or LEAST_SHARE of the item, if their slot values map one to one or are all equal.
+Each run of WINDOW tokens of an item and of a document, from every token on, is a key; a second key, with the names as
+words, makes the match free of case. A window with fewer than LEAST_LITERALS words is too common: it is lengthened until it
+has them, within WIDEST tokens, and its slot values are a key too. Items shorter than WINDOW are one window of their own
+length. Keys are hash-joined. Each alignment that met is then compared over the whole item: runs of LEAST_RUN agreeing
+tokens count, or LEAST_SHARE of the item, if their slot values map one to one or are all equal. What is found of an item
+depends on that item and the document alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import cut, drop_ids, once
 
-WINDOW, STRIDE = 8, 4
+WINDOW = 8
 #: Tokens of a window that must not be slots, and how long it may get for that.
 LEAST_LITERALS, WIDEST = 5, 32
 #: Agreeing tokens in a row that make a leak (the whole item, if shorter); or the share of the item's tokens that agrees.
@@ -39,128 +42,165 @@ def marked(text: Column) -> Column:
     return once(F.lower(names), lambda low: F.when(low.rlike("[0-9]"), F.regexp_replace(low, units, f" {UNIT}")).otherwise(low))
 
 
+def _tokens(marks: Column) -> Column:
+    return F.array_remove(F.split(marks, _SPLIT), "")
+
+
 def raw_tokens(marks: Column) -> Column:
-    return F.filter(F.split(marks, _SPLIT), lambda t: t != "")
+    """The words with slot values and without marks."""
+    return _tokens(F.regexp_replace(marks, f"[{NAME}{UNIT}]", ""))
 
 
 def templates(marks: Column) -> Column:
     """The tokens of raw_tokens with each slot replaced by its type."""
     slots = F.regexp_replace(marks, f"([{NAME}{UNIT}])[\\p{{L}}\\p{{N}}]+", "$1")
-    return raw_tokens(F.regexp_replace(slots, r"(?<![\p{L}\p{N}])\p{N}+(?![\p{L}\p{N}])", NUMBER))
+    return _tokens(F.regexp_replace(slots, r"(?<![\p{L}\p{N}])\p{N}+(?![\p{L}\p{N}])", NUMBER))
 
 
 def _slot(t: Column) -> Column:
     return t.isin(NAME, UNIT, NUMBER)
 
 
-def _literals(tokens: Column) -> Column:
-    return F.size(F.array_remove(F.array_remove(F.array_remove(tokens, NAME), UNIT), NUMBER))
+def _none() -> Column:
+    return F.array().cast("array<int>")
+
 
+def _range(lo: Column, hi: Column) -> Column:
+    """lo to hi; empty if lo is larger."""
+    return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(_none())
 
-def _key(at: Column, h: Column, exact: bool | Column) -> Column:
-    return F.struct(at.cast("int").alias("at"), h.alias("h"), (F.lit(exact) if isinstance(exact, bool) else exact).alias("exact"))
 
+def _key(at: Column, h: Column) -> Column:
+    return F.struct(at.cast("int").alias("at"), h.alias("h"))
 
-def _exact(raw: Column, at: Column, n: Column | int) -> Column:
-    return F.xxhash64(F.lit("exact"), F.slice(raw, at + 1, n))
 
+def _where(t: Column, test: Callable[[Column], Column]) -> Column:
+    """Places of the tokens that pass, from 0."""
+    return F.filter(_range(F.lit(0), F.size(t) - 1), lambda i: test(F.get(t, i)))
 
-def _long_keys(t: Column, raw: Column, stride: int) -> Column:
-    """array of struct(at, h, exact) of the windows from every stride-th token; raw is only computed where needed."""
-    starts = F.when(F.size(t) >= WINDOW, F.sequence(F.lit(0), F.size(t) - WINDOW, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    plain = F.transform(starts, lambda i: once(F.slice(t, i + 1, WINDOW), lambda w: _key(i, F.when(_literals(w) >= LEAST_LITERALS, F.xxhash64(w)), False)))
+
+def _dense(t: Column, slots: Column) -> Column:
+    """Starts of the windows with fewer than LEAST_LITERALS words; slots: places of slots."""
+    over = WINDOW - LEAST_LITERALS  # so many slots after the first make a window dense
+    around = lambda k: _range(F.greatest(F.get(slots, k + over) - (WINDOW - 1), F.lit(0)), F.least(F.get(slots, k), F.size(t) - WINDOW))
+    return F.array_distinct(F.flatten(F.transform(_range(F.lit(0), F.size(slots) - 1 - over), around)))
+
+
+def _more_keys(t: Column, raw: Column, dense: Column) -> Column:
+    """The keys of dense windows: lengthened to LEAST_LITERALS words, and with their slot values."""
 
     def wide(at: Column) -> Column:
         def of(w: Column) -> Column:
-            end = F.get(F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: ~_slot(F.element_at(w, i))), F.lit(LEAST_LITERALS - 1))
+            end = F.get(_where(w, lambda x: ~_slot(x)), F.lit(LEAST_LITERALS - 1)) + 1
             return once(end, lambda e: F.when(e.isNotNull(), F.xxhash64(F.slice(w, F.lit(1), F.coalesce(e, F.lit(0))))))
 
-        return _key(at, once(F.slice(t, at + 1, WIDEST), of), False)
+        return _key(at, once(F.slice(t, at + 1, WIDEST), of))
 
-    def more(keys: Column) -> Column:
-        heavy = F.filter(keys, lambda k: k["h"].isNull())
-        widened = F.transform(heavy, lambda k: wide(k["at"]))
-        exact = once(raw, lambda r: F.transform(heavy, lambda k: _key(k["at"], _exact(r, k["at"], WINDOW), True)))
-        return F.when(F.exists(keys, lambda k: k["h"].isNull()), F.filter(F.concat(keys, widened, exact), lambda k: k["h"].isNotNull())).otherwise(keys)
+    exact = lambda at: _key(at, F.xxhash64(F.lit("exact"), F.slice(raw, at + 1, WINDOW)))
+    widened = F.filter(F.transform(dense, wide), lambda k: k["h"].isNotNull())
+    return F.concat(widened, F.transform(dense, exact))
 
-    return once(plain, more)
 
+def _variant_keys(t: Column, raw: Column, starts: Column, slots: Column, of_item: bool) -> Column:
+    """Keys of the windows from starts. A document has plain keys of dense windows too, which no item has."""
+    plain = lambda at: F.transform(at, lambda i: _key(i, F.xxhash64(F.slice(t, i + 1, WINDOW))))
 
-def _short_keys(t: Column, raw: Column, n: Column | int) -> Column:
-    """The same of all windows of n tokens, for items of n < WINDOW tokens."""
-    n = F.lit(n) if isinstance(n, int) else n
-    starts = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
+    def keys(dense: Column) -> Column:
+        more = once(raw, lambda r: _more_keys(t, r, dense))
+        first = plain(F.array_except(starts, dense) if of_item else starts)
+        return F.when(F.size(dense) > 0, F.concat(first, more)).otherwise(first)
 
-    def one(i: Column) -> Column:
-        return once(F.slice(t, i + 1, n), lambda w: _key(i, F.when(_literals(w) >= LEAST_LITERALS, F.xxhash64(w)).otherwise(_exact(raw, i, n)), _literals(w) < LEAST_LITERALS))
+    return once(_dense(t, slots), keys)
 
-    return F.transform(starts, one)
 
+def _long_keys(marks: Column, of_item: bool) -> Column:
+    """array of struct(at, h) of all windows: with names as slots and, where a window has a name, with names as words."""
+    nameless = F.regexp_replace(marks, NAME, "")
+
+    def of(t: Column) -> Column:
+        last = F.size(t) - WINDOW
+
+        def keys(slots: Column) -> Column:
+            first = _variant_keys(t, raw_tokens(marks), _range(F.lit(0), last), slots, of_item)
+            names = F.filter(slots, lambda i: F.get(t, i) == NAME)
+            near = F.array_distinct(F.flatten(F.transform(names, lambda i: _range(F.greatest(i - (WINDOW - 1), F.lit(0)), F.least(i, last)))))
+            other = F.filter(slots, lambda i: F.get(t, i) != NAME)
+            second = once(templates(nameless), lambda words: _variant_keys(words, raw_tokens(marks), near, other, of_item))
+            return F.when(F.exists(slots, lambda i: F.get(t, i) == NAME), F.concat(first, second)).otherwise(first)
+
+        return F.when(last >= 0, once(_where(t, _slot), keys)).otherwise(F.array().cast("array<struct<at:int,h:bigint>>"))
+
+    return once(templates(marks), of)
+
+
+def _short_keys(marks: Column, n: Column | int, of_item: bool) -> Column:
+    """The same of all windows of n tokens, for items of n < WINDOW tokens: as template if it has the words, else exact."""
+    n = F.lit(n) if isinstance(n, int) else n
+    literals = lambda w: F.size(F.filter(w, lambda x: ~_slot(x)))
+
+    def of(t: Column, raw: Column) -> Column:
+        plain = F.transform(_range(F.lit(0), F.size(t) - n), lambda i: _key(i, F.when(literals(F.slice(t, i + 1, n)) >= LEAST_LITERALS, F.xxhash64(F.slice(t, i + 1, n)))))
+        exact = F.transform(_range(F.lit(0), F.size(t) - n), lambda i: _key(i, F.xxhash64(F.lit("exact"), F.slice(raw, i + 1, n))))
+        plain = F.filter(plain, lambda k: k["h"].isNotNull())
+        return F.when(F.size(plain) > 0, plain).otherwise(exact) if of_item else F.concat(plain, exact)
 
-def _doc_keys(text: Column, stride: int, lengths: list[int]) -> Column:
-    def of(marks: Column) -> Column:
-        def keys(t: Column) -> Column:
-            found = _long_keys(t, raw_tokens(marks), stride)
-            return F.concat(found, once(raw_tokens(marks), lambda r: F.concat(*[_short_keys(t, r, n) for n in lengths]))) if lengths else found
+    both = [once(templates(m), lambda t: once(raw_tokens(marks), lambda r: of(t, r))) for m in (marks, F.regexp_replace(marks, NAME, ""))]
+    return F.concat(*both)
 
-        return once(templates(marks), keys)
 
-    return once(marked(text), of)
+def _doc_keys(text: Column, lengths: list[int]) -> Column:
+    return once(marked(text), lambda m: F.concat(_long_keys(m, False), *[_short_keys(m, n, False) for n in lengths]))
 
 
-def _runs(ours: Column, theirs: Column) -> Column:
-    """array of struct(lo, n): maximal runs of equal tokens of two arrays, from 0."""
-    size = F.least(F.size(ours), F.size(theirs))
-    apart = F.when(size > 0, F.filter(F.sequence(F.lit(0), F.greatest(size, F.lit(1)) - 1), lambda i: F.get(ours, i) != F.get(theirs, i))).otherwise(F.array().cast("array<int>"))
-    edges = F.concat(F.array(F.lit(-1)), apart, F.array(size))
+def _runs(z: Column, agree: Callable[[Column], Column]) -> Column:
+    """array of struct(lo, n): maximal runs of elements of z that agree, from 0."""
+    apart = F.filter(_range(F.lit(0), F.size(z) - 1), lambda i: ~agree(F.get(z, i)))
+    edges = F.concat(F.array(F.lit(-1)), apart, F.array(F.size(z)))
     return once(edges, lambda e: F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda j: F.struct((F.get(e, j - 1) + 1).alias("lo"), (F.get(e, j) - F.get(e, j - 1) - 1).alias("n"))))
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and item it holds: doc_id, item_id, n_windows, reparameterised.
 
-    A document holds an item if, along an alignment, a run of LEAST_RUN tokens or more (the whole item, if shorter) agrees
-    in words and slot types, has LEAST_LITERALS literals, and its slot values map one to one; or if such a run agrees in
-    slot values too; or if LEAST_SHARE of the item's tokens agree along it, under the conditions of the first case. A shorter
-    phrase in common is no leak. n_windows: all windows of these runs; reparameterised: no such alignment has all slot
-    values equal.
-    Each item that has a token is found wherever it stands as a whole, with other slot values too if a window of it has
-    the literals (within WIDEST tokens); a one-word item is held by every document with that word. Null
+    Tokens agree if they are equal words in any case or slots of one type. A document holds an item if, along an alignment
+    that a key found, a run of LEAST_RUN tokens or more (the whole item, if shorter) agrees, has LEAST_LITERALS words,
+    and its slot values map one to one; or if such a run agrees in slot values too; or if LEAST_SHARE of the item's tokens
+    agree along it, under the conditions of the first case. A shorter phrase in common is no leak. n_windows: all windows
+    of these runs; reparameterised: no such alignment has all slot values equal.
+    Each item that has a token is found wherever it stands as a whole, in any case, with other slot values too if a window
+    of it has the words (within WIDEST tokens); a one-word item is held by every document with that word. Null
     texts and null ids hold nothing and are held by nothing; repeated rows of an id are one document. Documents that
     hold nothing have no row; empty tables give an empty table. Other columns are not read.
     """
     items = items.select(F.col(item_id_col).cast("long").alias("item_id"), marked(F.col(item_text_col)).alias("m")).where("item_id IS NOT NULL AND m IS NOT NULL")
-    items = items.select("item_id", raw_tokens(F.col("m")).alias("item_raw"), templates(F.col("m")).alias("item_t")).where(F.size("item_t") > 0)
-    items = cut(items.select("item_id", F.xxhash64("item_raw").alias("item_text"), "item_raw", "item_t").distinct(), "items")
-    t, raw, n = F.col("item_t"), F.col("item_raw"), F.size("item_t")
-    keys = F.when(n >= WINDOW, _long_keys(t, raw, 1)).otherwise(_short_keys(t, raw, n))
-    windows = cut(items.select("item_id", "item_text", n.alias("item_n"), F.inline(keys)).withColumnRenamed("at", "item_at"), "windows")
-    # the longest row of windows of each item, of those that hold for other slot values if it has any: documents are
-    # sampled at least so closely
-    row = F.row_number().over(Window.partitionBy("item_id", "item_text", "exact").orderBy("item_at"))
-    rows_of = windows.where(F.col("item_n") >= WINDOW).withColumn("row", F.col("item_at") - row).groupBy("item_id", "item_text", "exact", "row").agg(F.count("*").alias("n"))
-    longest = rows_of.groupBy("item_id", "item_text").agg(F.coalesce(F.max(F.when(~F.col("exact"), F.col("n"))), F.max("n")).alias("n"))
-    least = longest.agg(F.min("n")).first()[0]
-    stride = min(STRIDE, least or STRIDE)
+    items = items.select("item_id", F.xxhash64("m").alias("item_text"), "m", raw_tokens(F.col("m")).alias("item_raw"), templates(F.col("m")).alias("item_t"))
+    items = cut(items.where(F.size("item_t") > 0).distinct(), "items")
+    n = F.size("item_t")
+    keys = F.when(n >= WINDOW, _long_keys(F.col("m"), True)).otherwise(_short_keys(F.col("m"), n, True))
+    windows = cut(items.select("item_id", "item_text", n.alias("item_n"), F.inline(keys)).withColumnRenamed("at", "item_at").distinct(), "windows")
     lengths = sorted(r["item_n"] for r in windows.where(F.col("item_n") < WINDOW).select("item_n").distinct().collect())
     small = windows.count() <= BROADCAST_WINDOWS
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    there = rows.select("doc_id", F.inline(_doc_keys(F.col("text"), stride, lengths))).select("doc_id", "at", "h")
-    keys = windows.select("h", "item_id", "item_text", "item_at").distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    there = rows.select("doc_id", F.inline(_doc_keys(F.col("text"), lengths)))
+    keys = windows.select("h", "item_id", "item_text", "item_at")
     shift = (F.col("at") - F.col("item_at")).alias("shift")
     met = cut(there.join(F.broadcast(keys) if small else keys, "h").select("doc_id", "item_id", "item_text", shift).distinct(), "met")
 
     # each alignment over the whole item, for the documents that met something
     who = met.select("doc_id").distinct()
     again = rows.join(who, "doc_id", "left_semi").distinct().select("doc_id", marked(F.col("text")).alias("m")).select("doc_id", raw_tokens(F.col("m")).alias("raw"), templates(F.col("m")).alias("t"))
-    spots = met.join(again, "doc_id").join(F.broadcast(items) if small else items, ["item_id", "item_text"])
+    texts = items.select("item_id", "item_text", "item_raw", "item_t")
+    spots = met.join(again, "doc_id").join(F.broadcast(texts) if small else texts, ["item_id", "item_text"])
     skipped = F.greatest(F.lit(0), -F.col("shift"))
     part = lambda tokens, at: F.slice(tokens, at + 1, F.greatest(F.lit(0), F.size("item_t") - skipped))
     spots = spots.select(
-        "doc_id", "item_id", "shift", F.size("item_t").alias("item_n"), F.least(F.lit(LEAST_RUN), F.size("item_t")).alias("need"),
+        "doc_id", "item_id", F.size("item_t").alias("item_n"), F.least(F.lit(LEAST_RUN), F.size("item_t")).alias("need"),
         part("t", F.col("shift") + skipped).alias("t"), part("raw", F.col("shift") + skipped).alias("raw"), part("item_t", skipped).alias("item_t"), part("item_raw", skipped).alias("item_raw"),
     )
+    equal = lambda z: z["raw"] == z["item_raw"]
+    agree = lambda z: (z["t"] == z["item_t"]) | equal(z)
+    slot = lambda z: (z["t"] == z["item_t"]) & _slot(z["t"])
     enough = lambda runs: F.filter(runs, lambda r: r["n"] >= F.col("need"))
 
     def judged(agreeing: Column, n: Column) -> Column:
@@ -170,17 +210,17 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
             theirs = F.array_distinct(F.transform(pairs, lambda z: F.struct(z["item_t"], z["item_raw"])))
             ours = F.array_distinct(F.transform(pairs, lambda z: F.struct(z["item_t"], z["raw"])))
             one_to_one = (F.size(pairs) == F.size(theirs)) & (F.size(pairs) == F.size(ours))
-            return F.struct(n.alias("n"), one_to_one.alias("ok"), F.forall(pairs, lambda z: z["item_raw"] == z["raw"]).alias("same"))
+            return F.struct(n.alias("n"), one_to_one.alias("ok"), F.forall(pairs, equal).alias("same"))
 
-        plain = F.size(F.filter(agreeing, lambda z: ~_slot(z["item_t"])))
-        found = once(F.array_distinct(F.filter(agreeing, lambda z: _slot(z["item_t"]))), of)
-        return F.struct(found["n"].alias("n"), (found["ok"] & (plain >= LEAST_LITERALS)).alias("ok"), found["same"].alias("same"))
+        words = F.size(F.filter(agreeing, lambda z: ~slot(z)))
+        found = once(F.array_distinct(F.filter(agreeing, slot)), of)
+        return F.struct(found["n"].alias("n"), (found["ok"] & (words >= LEAST_LITERALS)).alias("ok"), found["same"].alias("same"))
 
     zipped = F.slice(F.arrays_zip("item_t", "item_raw", "t", "raw"), F.lit(1), F.least(F.size("item_t"), F.size("t")))
-    spots = spots.select("doc_id", "item_id", "need", "item_n", zipped.alias("z"), _runs(F.col("t"), F.col("item_t")).alias("runs"), enough(_runs(F.col("raw"), F.col("item_raw"))).alias("equal"))
-    agreeing = F.filter("z", lambda z: z["t"] == z["item_t"])
+    spots = spots.select("doc_id", "item_id", "need", "item_n", zipped.alias("z")).where(F.size("z") > 0)
+    spots = spots.select("doc_id", "item_id", "need", "item_n", "z", _runs(F.col("z"), agree).alias("runs"), enough(_runs(F.col("z"), equal)).alias("equal"))
     like = F.filter(F.transform(enough("runs"), lambda r: judged(F.slice("z", r["lo"] + 1, r["n"]), r["n"])), lambda x: x["ok"])
-    share = once(agreeing, lambda x: F.filter(F.array(judged(x, F.size(x))), lambda j: j["ok"] & (j["n"] >= F.col("item_n") * LEAST_SHARE)))
+    share = once(F.filter("z", agree), lambda x: F.filter(F.array(judged(x, F.size(x))), lambda j: j["ok"] & (j["n"] >= F.col("item_n") * LEAST_SHARE)))
     spots = spots.select("doc_id", "item_id", "runs", "equal", like.alias("like"), share.alias("share")).where("size(like) > 0 OR size(share) > 0 OR size(equal) > 0")
     count = lambda runs: F.aggregate(runs, F.lit(0).cast("long"), lambda s, r: s + F.greatest(r["n"] - WINDOW + 1, F.lit(1)))
     of_share = count(F.filter("runs", lambda r: r["n"] >= WINDOW))
