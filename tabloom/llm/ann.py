@@ -1,34 +1,46 @@
 """Approximate nearest neighbours (6) over balanced posting lists.
 
-Largest inner product becomes smallest distance by one more component (sqrt(M^2 - |x|^2); 0 for queries). Centroids come
-from a bounded sample; a vector near a boundary goes to several lists. A query walks a neighbour graph of the centroids
-and visits all lists whose centroid is nearly as close as the closest: the walk gets wider until half of the
-centroids it holds are farther. A query that finds too few visits all lists. Lists are cut into blocks of bounded size; each
-block meets the queries that visit it, and the best of all blocks are merged.
+Equal vectors are one entry of the index. Largest inner product becomes smallest distance by one more component
+(sqrt(M^2 - |x|^2); 0 for queries), so all entries have one length and centroids get the same. Centroids come from a bounded
+sample; a list that is longer than the average is cut at medians of its own entries, so that lists are balanced and grow
+in number and not in length. An entry near a boundary goes to several lists, but full lists take none but their own. A
+query walks a neighbour graph of the centroids and visits all lists within a ratio of distances; the ratio is the smallest
+under which a bounded number of trial queries find their true neighbours, taken from the whole table. A query that finds too few visits all lists. Lists are cut into blocks of bounded size;
+each block meets the queries that visit it, and the best of all blocks are merged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import cut
-
-#: Vectors that centroids are fitted on, at most (in expectation); centroids, at most.
-SAMPLE_ROWS, MOST_LISTS = 20_000, 4096
-#: Lists a vector may be in, and how much further than the closest their centroids may be.
-REPLICAS, REPLICA_RATIO = 4, 1.1
-#: Centroids that the first walk of a query holds, and the ratio of distances up to which their lists are visited, however
-#: many these are.
+from tabloom.llm.common import cut, join_hot
+
+#: Entries that the first centroids are fitted on, at most (in expectation); first centroids, at most.
+SAMPLE_ROWS, FIRST_LISTS = 20_000, 4096
+#: Entries of a list on average, at least (with fewer than FIRST_LISTS lists) and at most; lists altogether, at most: beyond
+#: LIST_ROWS_MOST * MOST_LISTS entries lists get longer.
+LIST_ROWS_LEAST, LIST_ROWS_MOST, MOST_LISTS = 12, 1024, 65_536
+#: A list this many times the average is cut, in up to 2^MOST_DEPTH parts, by so many sampled entries for each part.
+SPLIT_OVER, SPLIT_SAMPLE, MOST_DEPTH = 2.0, 16, 10
+#: Lists an entry may be in, how much further than the closest their centroids may be, and the multiple of the average
+#: up to which a list takes entries that have a closer list.
+REPLICAS, REPLICA_RATIO, FULL = 4, 1.2, 2.5
+#: Recall that the ratio is chosen for, the share of trial queries that must find half of theirs, and how many trial queries.
+#: A query visits lists that hold ENOUGH * k entries at least.
+WANTED_RECALL, WANTED_HALF, TRIALS, ENOUGH = 0.93, 0.995, 400, 16
+#: Centroids that the first walk of a query holds, and the ratio of distances that is used without a trial.
 PROBES, PROBE_RATIO = 36, 1.25
 BLOCK_ROWS = 2048
-#: Neighbours of a centroid in the graph, and how many of the best a walk holds.
-DEGREE = 16
+#: Neighbours of a centroid in the graph; centroids among which a walk starts; found entries that a task holds unmerged.
+DEGREE, STARTS, HELD = 24, 256, 1_000_000
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -55,33 +67,87 @@ def lifted(x: np.ndarray, n2: np.ndarray, most: float) -> np.ndarray:
     return np.hstack([x.astype(np.float64), np.sqrt(np.maximum(most - n2, 0))[:, None]]).astype(np.float32)
 
 
+def as_queries(x: np.ndarray, n2: np.ndarray, most: float) -> np.ndarray:
+    """Scaled to length sqrt(most), which changes no order."""
+    return np.hstack([x * np.sqrt(most / n2)[:, None], np.zeros((len(x), 1))]).astype(np.float32)
+
+
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * x @ c.T, 0)
 
 
-def centroids_of(x: np.ndarray, k: int, rounds: int = 30, seed: int = 5) -> np.ndarray:
-    """k centres of x; full lists are made dearer, so that lists stay balanced."""
+def _on_sphere(c: np.ndarray, radius: float) -> np.ndarray:
+    length = np.sqrt((c**2).sum(1, keepdims=True))
+    return (c * (radius / np.maximum(length, 1e-12 * max(radius, 1e-30)))).astype(np.float32)
+
+
+def centroids_of(x: np.ndarray, k: int, rounds: int = 6, seed: int = 5) -> np.ndarray:
+    """k centres of lifted rows x, of the length of x's rows."""
     rng = np.random.default_rng(seed)
     x = np.unique(x, axis=0)  # copies of a vector must not pull several centres
     k = min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)].copy()
-    price = np.zeros(k, np.float32)
+    radius = float(np.sqrt((x[:1].astype(np.float64) ** 2).sum()))
     for _ in range(rounds):
-        d = _distances(x, c)
-        scale = float(np.median(d.min(1))) + 1e-12
-        own = (d + price * scale).argmin(1)
+        own = np.concatenate([(x[lo : lo + 2048] @ c.T).argmax(1) for lo in range(0, len(x), 2048)])
         size = np.bincount(own, minlength=k)
-        price = (price + 0.25 * np.clip(size / (len(x) / k) - 1, -1, 1)).clip(-2, 2).astype(np.float32)
-        total = np.zeros_like(c)
-        np.add.at(total, own, x)
-        c = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], x[rng.integers(0, len(x), k)])
-    return c.astype(np.float32)
+        order, some = np.argsort(own, kind="stable"), np.flatnonzero(size)
+        c[some] = np.add.reduceat(x[order], np.concatenate([[0], np.cumsum(size)])[some], axis=0)
+        c = _on_sphere(c, radius)
+    return c
+
+
+@dataclass(frozen=True)
+class Split:
+    """A list cut in 2^depth parts at the medians of projections; parts[p] is the number of part p's list."""
+
+    directions: np.ndarray
+    at: np.ndarray
+    parts: np.ndarray
+
+    def part(self, x: np.ndarray) -> np.ndarray:
+        node, levels = np.zeros(len(x), np.int64), int(np.log2(len(self.parts)))
+        for _ in range(levels):
+            right = np.einsum("nd,nd->n", x, self.directions[node]) > self.at[node]
+            node = 2 * node + 1 + right
+        return node - (len(self.parts) - 1)
+
+
+def split_of(x: np.ndarray, depth: int, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(directions, cuts, centroids) that cut rows like x in 2^depth parts of about equal size."""
+    inner = 2**depth - 1
+    directions, at = np.zeros((inner, x.shape[1]), np.float32), np.zeros(inner, np.float32)
+    rows = {0: np.arange(len(x))}
+    for node in range(inner):
+        own = rows.pop(node)
+        if len(own) > 1:
+            y = x[own] - x[own].mean(0)
+            way = y[(y**2).sum(1).argmax()]
+            for _ in range(4):  # towards the longest axis
+                way = y.T @ (y @ way)
+                way = way / max(float(np.sqrt((way**2).sum())), 1e-30)
+            directions[node] = way
+            value = np.einsum("nd,d->n", x[own], directions[node])
+            at[node] = np.partition(value, (len(own) - 1) // 2)[(len(own) - 1) // 2]
+            right = value > at[node]
+        else:
+            right = np.zeros(len(own), bool)
+        rows[2 * node + 1], rows[2 * node + 2] = own[~right], own[right]
+    centres = np.stack([x[r].mean(0) if len(r) else x.mean(0) for _, r in sorted(rows.items())])
+    return directions, at, _on_sphere(centres, radius)
 
 
 def graph_of(c: np.ndarray) -> np.ndarray:
     """Neighbours of each centroid: its nearest, and links along a ring that keep the graph connected."""
     k = len(c)
-    near = np.argsort(_distances(c, c), axis=1)[:, 1 : DEGREE + 1] if k > 1 else np.zeros((k, 0), int)
+    near = np.zeros((k, min(DEGREE, k - 1)), np.int64)
+    for lo in range(0, k, 2048):
+        d = _distances(c[lo : lo + 2048], c)
+        d[np.arange(len(d)), np.arange(lo, lo + len(d))] = -1
+        if near.shape[1]:
+            some = np.argpartition(d, near.shape[1], axis=1)[:, : near.shape[1] + 1]
+            order = np.argsort(np.take_along_axis(d, some, 1), axis=1)
+            near[lo : lo + 2048] = np.take_along_axis(some, order, 1)[:, 1:]
     ring = (np.arange(k)[:, None] + np.array([1, -1, k // 3, k // 2])) % k
     return np.hstack([near, ring])
 
@@ -90,8 +156,9 @@ def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, width: int) -> tuple[n
     """For each query the `width` closest centroids that a best-first walk over the graph finds: (which, distance^2)."""
     k, n = len(c), len(q)
     width = min(width, k)
-    start = np.linspace(0, k - 1, width).astype(int)
-    best = np.tile(start, (n, 1))
+    pivots = np.unique(np.linspace(0, k - 1, max(STARTS, width)).astype(int))
+    order = np.argsort(_distances(q, c[pivots]), axis=1, kind="stable")[:, :width]
+    best = pivots[order]
     c2 = (c**2).sum(1)
     q2 = (q**2).sum(1)
 
@@ -112,23 +179,82 @@ def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, width: int) -> tuple[n
     return best, d
 
 
-def _lists(batches: Iterator[pa.RecordBatch], dim: int, most: float, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(list, vec_id, v): the closest list and those nearly as close."""
+def closest(x: np.ndarray, c: np.ndarray, graph: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The m closest centroids of each row, nearest first: (which, distance^2). With very many centroids by the graph."""
+    m = min(m, len(c))
+    if len(c) > 2 * FIRST_LISTS:
+        which, d = walk(x, c, graph, max(PROBES, m))
+        return which[:, :m], d[:, :m]
+    d = _distances(x, c)
+    which = np.argpartition(d, m - 1, axis=1)[:, :m]
+    order = np.argsort(np.take_along_axis(d, which, 1), axis=1, kind="stable")
+    which = np.take_along_axis(which, order, 1)
+    return which, np.take_along_axis(d, which, 1)
+
+
+@dataclass(frozen=True)
+class Index:
+    """Centroids, their graph, and the lists that were cut: number of the first list -> Split."""
+
+    most: float
+    first: np.ndarray
+    splits: dict[int, Split]
+    c: np.ndarray
+    graph: np.ndarray
+
+    def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists of lifted rows, own list first: (which, distance^2, whether it is one)."""
+        own = np.concatenate([(x[lo : lo + 1024] @ self.first.T).argmax(1) for lo in range(0, len(x), 1024)]) if len(x) else np.empty(0, int)
+        number = self.numbers[own]
+        for i in np.intersect1d(own, list(self.splits)):
+            at = np.flatnonzero(own == i)
+            number[at] = self.splits[i].parts[self.splits[i].part(x[at])]
+        which, d = closest(x, self.c, self.graph, REPLICAS)
+        which = np.hstack([number[:, None], which])
+        mine = np.maximum(2 * self.most - 2 * np.einsum("nd,nd->n", x, self.c[number]), 0).astype(np.float32)
+        d = np.hstack([mine[:, None], d])
+        near = (d <= d[:, 1:2] * REPLICA_RATIO**2) & (which != number[:, None])
+        near &= np.cumsum(near, axis=1) < REPLICAS
+        near[:, 0] = True
+        return which, d, near
+
+    @property
+    def numbers(self) -> np.ndarray:
+        """The number of each first list that is not cut; those come first."""
+        out = np.full(len(self.first), -1)
+        whole = np.setdiff1d(np.arange(len(self.first)), list(self.splits))
+        out[whole] = np.arange(len(whole))
+        return out
+
+
+def _first_list(batches: Iterator[pa.RecordBatch], dim: int, most: float, c: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n = batch.num_rows
-        for lo in range(0, n, 2000):
-            part = batch.slice(lo, 2000)
-            x = _matrix(part.column("v"), dim)
-            d = _distances(lifted(x, np.asarray(part.column("n2")), most), c)
-            order = np.argsort(d, axis=1, kind="stable")[:, :REPLICAS]
-            near = np.take_along_axis(d, order, 1)
-            keep = near <= near[:, :1] * REPLICA_RATIO**2
-            row, col = np.nonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(order[row, col].astype(np.int32)), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))], ["list", "vec_id", "v"])
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
+            own = (lifted(_matrix(part.column("v"), dim), np.asarray(part.column("n2")), most) @ c.T).argmax(1)
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), part.column("v"), part.column("n2")], ["list", "v", "n2"])
+
+
+def _lists(batches: Iterator[pa.RecordBatch], dim: int, index: Index) -> Iterator[pa.RecordBatch]:
+    """(list, rep, v, place, far): the own list (place 0) and those nearly as close; far: the distance^2."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
+            which, d, near = index.lists(lifted(_matrix(part.column("v"), dim), np.asarray(part.column("n2")), index.most))
+            row, col = np.nonzero(near)
+            arrays = [pa.array(which[row, col].astype(np.int32)), part.column("rep").take(pa.array(row)), part.column("v").take(pa.array(row)), pa.array(col.astype(np.int32)), pa.array(d[row, col].astype(np.float64))]
+            yield pa.RecordBatch.from_arrays(arrays, ["list", "rep", "v", "place", "far"])
+
+
+def _reach(d: np.ndarray, which: np.ndarray, rows: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray]:
+    """For lists in order of distance: which are needed to hold `enough` rows, and the distance^2 of the last of them."""
+    need = np.cumsum(rows[which], axis=1) - rows[which] < enough
+    last = np.maximum(need.sum(1) - 1, 0)
+    return need, d[np.arange(len(d)), last]
 
 
-def visited(q: np.ndarray, c: np.ndarray, graph: np.ndarray, rows: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, list) pairs: all lists within PROBE_RATIO of the closest, and at least so many that they hold `enough` rows.
+def visited(q: np.ndarray, c: np.ndarray, graph: np.ndarray, rows: np.ndarray, enough: int, ratio: float = PROBE_RATIO) -> tuple[np.ndarray, np.ndarray]:
+    """(query, list) pairs: the closest lists that hold `enough` rows together, and all within ratio of the last of them.
 
     Unless half of what a walk holds is farther, it may have missed some and is repeated with four times the width. One of an eighth
     of all centroids would touch nearly all of them, so all distances are taken instead."""
@@ -141,8 +267,8 @@ def visited(q: np.ndarray, c: np.ndarray, graph: np.ndarray, rows: np.ndarray, e
             d = np.take_along_axis(d, which, 1)
         else:
             which, d = walk(q[todo], c, graph, width)
-        held = np.cumsum(rows[which], axis=1) - rows[which]
-        keep = (d <= d[:, :1] * PROBE_RATIO**2) | (held < enough)
+        need, edge = _reach(d, which, rows, enough)
+        keep = (d <= edge[:, None] * ratio**2) | need
         done = np.ones(len(todo), bool) if every else keep.sum(1) * 2 <= width
         row, col = np.nonzero(keep & done[:, None])
         out.append((todo[row], which[row, col]))
@@ -150,118 +276,254 @@ def visited(q: np.ndarray, c: np.ndarray, graph: np.ndarray, rows: np.ndarray, e
     return np.concatenate([r for r, _ in out] or [np.empty(0, int)]), np.concatenate([w for _, w in out] or [np.empty(0, int)])
 
 
-def _visits(batches: Iterator[pa.RecordBatch], dim: int, c: np.ndarray, graph: np.ndarray, most: float, rows: np.ndarray, enough: int) -> Iterator[pa.RecordBatch]:
-    """(list, vec_id, v) of queries: the lists they visit.
+def ratio_for(q: np.ndarray, c: np.ndarray, rows: np.ndarray, enough: int, lists: list[list[np.ndarray]]) -> float:
+    """The smallest ratio of `visited` under which trial queries q find their neighbours as wanted.
+
+    lists: for each query, of each true neighbour the lists that hold it."""
+    needed, half = [], []
+    for i, neighbours in enumerate(lists):
+        if not neighbours:
+            continue
+        d = _distances(q[i : i + 1], c)
+        which = np.argsort(d, axis=1)
+        _, edge = _reach(np.take_along_axis(d, which, 1), which, rows, enough)
+        own = np.sqrt(np.array([d[0, x].min() if len(x) else np.inf for x in neighbours]) / max(float(edge[0]), 1e-30))
+        needed.append(np.maximum(own, 1.0))
+        half.append(np.sort(needed[-1])[(len(own) - 1) // 2])
+    if not needed:
+        return PROBE_RATIO
+    found = np.sort(np.concatenate(needed))
+    return float(max(found[int(np.ceil(WANTED_RECALL * len(found))) - 1], np.sort(half)[int(np.ceil(WANTED_HALF * len(half))) - 1]))
+
+
+def _trial(batches: Iterator[pa.RecordBatch], dim: int, k: int, q: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The k nearest among a task's entries of each trial query."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2048):
+            part = batch.slice(lo, 2048)
+            row, rep, score = best_of(q, _matrix(part.column("v"), dim), np.asarray(part.column("rep")), k)
+            own = ids[row] != rep
+            found = _best([*found, (ids[row][own], rep[own], score[own])], k)
+    columns = found[0] if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["query", "rep", "score"])
+
 
-    A query is scaled to length sqrt(most), which changes no order."""
+def _visits(batches: Iterator[pa.RecordBatch], dim: int, c: np.ndarray, graph: np.ndarray, most: float, rows: np.ndarray, enough: int, ratio: float) -> Iterator[pa.RecordBatch]:
+    """(list, rep, v) of queries: the lists they visit."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            x = _matrix(part.column("v"), dim)
-            n2 = np.asarray(part.column("n2"))
-            q = np.hstack([x * np.sqrt(most / n2)[:, None], np.zeros((len(x), 1))]).astype(np.float32)
-            row, which = visited(q, c, graph, rows, enough)
-            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))], ["list", "vec_id", "v"])
-
-
-def best_of(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (id, its k best of x without itself, their scores); equal scores: smaller id."""
-    x = x.astype(np.float64)
-    once = len(np.unique(ids)) == len(ids)
-    for lo in range(0, len(queries), 256):
-        q = queries[lo : lo + 256].astype(np.float64)
-        s = q @ x.T
-        s[query_ids[lo : lo + 256, None] == ids[None, :]] = -np.inf
-        # a product of matrices may differ in the last bits from row to row: the best are summed again, alike for all
-        edge = np.partition(s, -k, axis=1)[:, -k] if once and s.shape[1] > k else np.full(len(q), -np.inf)
-        for i in range(len(q)):
-            at = np.flatnonzero((s[i] >= edge[i] - 1e-6 * (1 + abs(edge[i]) if np.isfinite(edge[i]) else 0)) & (s[i] > -np.inf))
-            exact = (x[at] * q[i]).sum(axis=1)
-            order = np.lexsort((ids[at], -exact))
-            if not once:  # rows with one id are one candidate
-                order = order[np.sort(np.unique(ids[at][order], return_index=True)[1])]
-            order = order[:k]
-            yield int(query_ids[lo + i]), ids[at][order], exact[order]
+            q = as_queries(_matrix(part.column("v"), dim), np.asarray(part.column("n2")), most)
+            row, which = visited(q, c, graph, rows, enough, ratio)
+            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), part.column("rep").take(pa.array(row)), part.column("v").take(pa.array(row))], ["list", "rep", "v"])
+
+
+def best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of x (ids: distinct) for each query: (row of q, id, score), and more where they tie nearly."""
+    q, x = q.astype(np.float64), x.astype(np.float64)
+    s = q @ x.T
+    m = min(len(x), k + 12)
+    at = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(x) else np.tile(np.arange(m), (len(q), 1))
+    if m < len(x):  # all that might be among the k best are looked at
+        some = -np.sort(-np.take_along_axis(s, at, 1), axis=1)
+        close = np.flatnonzero(some[:, m - 1] >= some[:, k - 1] - 1e-6 * (1 + np.abs(some[:, k - 1])))
+    else:
+        close = np.empty(0, int)
+    row, at = np.repeat(np.arange(len(q)), m), at.ravel()
+    if len(close):
+        keep = ~np.isin(row, close)
+        row, at = np.concatenate([row[keep], np.repeat(close, len(x))]), np.concatenate([at[keep], np.tile(np.arange(len(x)), len(close))])
+    # a product of matrices may differ in the last bits from row to row: the best are summed again, alike for all
+    score = np.concatenate([(x[at[i : i + 100_000]] * q[row[i : i + 100_000]]).sum(axis=1) for i in range(0, len(at), 100_000)] or [np.empty(0)])
+    return row, ids[at], score
+
+
+def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The k best of each query, each id once."""
+    if not found:
+        return []
+    query, rep, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((rep, -score, query))
+    query, rep, score = query[order], rep[order], score[order]
+    pair = np.lexsort((rep, query))
+    twice = np.zeros(len(query), bool)
+    twice[pair[1:]] = (query[pair[1:]] == query[pair[:-1]]) & (rep[pair[1:]] == rep[pair[:-1]])
+    query, rep, score = query[~twice], rep[~twice], score[~twice]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return [(query[place < k], rep[place < k], score[place < k])]
 
 
 def _search(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (list, block, is_query): a block's vectors are held until its queries have passed."""
+    """Rows sorted by (list, block, is_query): a block's vectors are held until its queries have passed.
+
+    What the blocks of a task find is merged before it is sent."""
     key, held, asked = None, [], []
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = merged = 0
 
-    def done() -> tuple[list, list, list]:
-        out: tuple[list, list, list] = ([], [], [])
+    def done() -> None:
+        nonlocal found, size, merged
         if held and asked:
-            ids = np.array([i for i, _ in held], np.int64)
             x = np.frombuffer(b"".join(v for _, v in held), np.float32).reshape(-1, dim)
             q = np.frombuffer(b"".join(v for _, v in asked), np.float32).reshape(-1, dim)
-            for i, found, score in best_of(q, np.array([i for i, _ in asked], np.int64), x, ids, k):
-                out[0].extend([i] * len(found))
-                out[1].extend(found.tolist())
-                out[2].extend(score.tolist())
-        return out
+            row, rep, score = best_of(q, x, np.array([i for i, _ in held], np.int64), k)
+            found.append((np.array([i for i, _ in asked], np.int64)[row], rep, score))
+            size += len(row)
+            if size - merged > HELD:
+                found = _best(found, k)
+                size = merged = len(found[0][0])
 
-    def batch_of(x: tuple[list, list, list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int64()), pa.array(x[2], pa.float64())], ["query_id", "vec_id", "score"])
+    def batch_of(x: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        columns = x[0] if x else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query", "rep", "score"])
 
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("list", "block", "is_query", "vec_id", "v")], strict=True):
+        for row in zip(*[batch.column(c).to_pylist() for c in ("list", "block", "is_query", "rep", "v")], strict=True):
             if row[:2] != key:
-                if held and asked:
-                    yield batch_of(done())
+                done()
                 key, held, asked = row[:2], [], []
             (asked if row[2] else held).append(row[3:])
-            if len(asked) >= 4096:
-                yield batch_of(done())
+            if len(asked) >= 1024:
+                done()
                 asked = []
-    yield batch_of(done())
+        if size > 10 * HELD:  # more queries than a task can hold
+            yield batch_of(_best(found, k))
+            found, size, merged = [], 0, 0
+    done()
+    yield batch_of(_best(found, k))
+
+
+def _split(rows: pd.DataFrame, dim: int, most: float) -> pd.DataFrame:
+    """The cuts of one list, from its entries in the sample."""
+    x = lifted(np.frombuffer(b"".join(rows["v"]), np.float32).reshape(-1, dim), rows["n2"].to_numpy(), most)
+    x = x[np.lexsort(x.T)]
+    made = split_of(x, int(rows["depth"].iloc[0]), most**0.5)
+    return pd.DataFrame({"list": rows["list"].iloc[:1], "directions": [made[0].tobytes()], "at": [made[1].tobytes()], "c": [made[2].tobytes()]})
+
+
+def index_of(reps: DataFrame, dim: int, n: int, most: float) -> Index:
+    """The index of n distinct vectors reps (rep, v, n2)."""
+    share = int(min(1.0, SAMPLE_ROWS / n) * 10**6)
+    sample = reps.where(F.pmod(F.xxhash64("v", F.lit(11)), F.lit(10**6)) < share).select("v", "n2").toPandas()
+    if sample.empty:
+        sample = reps.select("v", "n2").limit(1).toPandas()
+    x, n2 = np.frombuffer(b"".join(sample["v"]), np.float32).reshape(-1, dim), sample["n2"].to_numpy()
+    order = np.lexsort(x.T)  # not that of the files
+    first = centroids_of(lifted(x[order], n2[order], most), int(min(FIRST_LISTS, max(1, len(x) // 4), max(1, n // LIST_ROWS_LEAST))))
+    # long lists are cut
+    target = max(min(n / len(first), LIST_ROWS_MOST), n / MOST_LISTS)
+    owned = reps.select("v", "n2").mapInArrow(partial(_first_list, dim=dim, most=most, c=first), "list int, v binary, n2 double")
+    counts = {r["list"]: r["n"] for r in owned.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a number for each centroid
+    depth = {i: int(min(MOST_DEPTH, np.ceil(np.log2(m / target)))) for i, m in counts.items() if m > SPLIT_OVER * target}
+    splits, parts, at = {}, [np.delete(first, list(depth), axis=0)], len(first) - len(depth)
+    if depth:
+        table = reps.sparkSession.createDataFrame([(i, p, float(SPLIT_SAMPLE * 2**p / counts[i])) for i, p in depth.items()], "list int, depth int, share double")
+        some = owned.join(F.broadcast(table), "list").where((F.pmod(F.xxhash64("v", F.lit(13)), F.lit(10**6)) < F.col("share") * 10**6))
+        shape = "list int, directions binary, at binary, c binary"
+        for r in sorted(some.groupBy("list").applyInPandas(partial(_split, dim=dim, most=most), shape).collect(), key=lambda r: r["list"]):  # as many rows as centroids
+            c = np.frombuffer(r["c"], np.float32).reshape(-1, dim + 1)
+            splits[r["list"]] = Split(np.frombuffer(r["directions"], np.float32).reshape(-1, dim + 1), np.frombuffer(r["at"], np.float32), np.arange(at, at + len(c)))
+            parts.append(c)
+            at += len(c)
+        if len(splits) < len(depth):  # no entry of a list was in the sample
+            parts[0], at = np.delete(first, list(splits), axis=0), len(first) - len(splits)
+            for i, c in zip(splits, parts[1:], strict=True):
+                splits[i] = Split(splits[i].directions, splits[i].at, np.arange(at, at + len(c)))
+                at += len(c)
+    c = np.concatenate(parts)
+    return Index(most, first, splits, c, graph_of(c))
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", dim: int | None = None) -> DataFrame:
     """The k nearest of each row whose id is divisible by `every`: query_id, rank (from 1), vec_id, score.
 
     Nearness: largest inner product in double precision; ties to the smaller vec_id; the query's own id is no candidate.
-    Vectors that are null, zero or of another length than dim (None: the most frequent length), or that hold null or
-    non-finite components, take no part, nor do null ids. Of rows with one id all take part, as one candidate with its
-    best score. With fewer than k candidates all that are found are returned. An empty table gives an empty table.
+    Vectors that are null, zero or of another length than dim (None: the most frequent length; an inner product needs one
+    length), or that hold null or non-finite components, take no part, nor do null ids. Of rows with one id all take part, as
+    one candidate with its best score. With fewer than k candidates all that are found are returned. An empty table gives an
+    empty table.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("v"))
     if dim is None:
         top = rows.where("v IS NOT NULL").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
         dim = top["n"] if top else 0
     packed = cut(rows.mapInArrow(partial(_pack, dim=dim), "vec_id long, v binary, n2 double"), "vectors")
-    schema = "list int, vec_id long, v binary"
-    stats = packed.agg(F.count("*").alias("n"), F.max("n2").alias("most")).first()
+    by_vector = packed.groupBy("v").agg(F.min("vec_id").alias("low"), F.max("vec_id").alias("high"), F.first("n2").alias("n2"), F.count("*").alias("copies"))
+    reps = cut(cut(by_vector, "distinct").withColumn("rep", F.monotonically_increasing_id()), "reps")
+    stats = reps.agg(F.count("*").alias("n"), F.max("n2").alias("most"), F.sum("copies").alias("rows"), F.count_if(F.col("low") < F.col("high")).alias("several")).first()
     if not stats["n"]:
         return packed.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.col("n2").alias("score")).where("false")
     n, most = stats["n"], stats["most"]
-    share = int(min(1.0, SAMPLE_ROWS / n) * 10**6)
-    sample = packed.where(F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(10**6)) < share).select("v", "n2").toPandas()
-    if sample.empty:
-        sample = packed.select("v", "n2").limit(1).toPandas()
-    x = lifted(np.frombuffer(b"".join(sample["v"]), np.float32).reshape(-1, dim), sample["n2"].to_numpy(), most)
-    c = centroids_of(x, int(min(MOST_LISTS, max(1, len(x) // 8), max(8, round(n**0.5)))))
-    graph = graph_of(c)
-    listed = cut(packed.mapInArrow(partial(_lists, dim=dim, most=most, c=c), schema), "lists")
-    counts = {r["list"]: r["n"] for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a number for each centroid
-    held = np.array([counts.get(i, 0) for i in range(len(c))])
+    index = index_of(reps, dim, n, most)
+    c, graph = index.c, index.graph
+
+    listed = cut(reps.mapInArrow(partial(_lists, dim=dim, index=index), "list int, rep long, v binary, place int, far double"), "lists")
+    # full lists take no entry that has a closer one
+    held = listed.groupBy("list").agg(F.count_if(F.col("place") == 0).alias("n"), F.count("*").alias("all")).collect()  # a number for each centroid
+    full = FULL * sum(r["all"] for r in held) / len(c)
+    over = [(r["list"], int(max(0, full - r["n"]))) for r in held if r["all"] > full]
+    if over:
+        bound = vectors.sparkSession.createDataFrame(over, "list int, room int")
+        extra = listed.where("place > 0").join(F.broadcast(bound), "list")
+        rank = F.row_number().over(Window.partitionBy("list").orderBy("far", "rep"))
+        taken = extra.withColumn("rank", rank).where(F.col("rank") <= F.col("room")).select("list", "rep", "v")
+        rest = listed.where("place > 0").join(F.broadcast(bound), "list", "left_anti").select("list", "rep", "v")
+        listed = cut(listed.where("place = 0").select("list", "rep", "v").unionByName(rest).unionByName(taken), "lists")
+    counts = {r["list"]: r["n"] for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    sizes_of = np.array([counts.get(i, 0) for i in range(len(c))])
+    enough = ENOUGH * k
+    # the ratio, by the true neighbours of a bounded number of queries
+    share = int(min(1.0, TRIALS / n) * 10**9)
+    trial = reps.where(F.pmod(F.xxhash64("v", F.lit(17)), F.lit(10**9)) < share).select("rep", "v", "n2").toPandas().sort_values("v").iloc[: 2 * TRIALS]
+    q, trial_ids = np.frombuffer(b"".join(trial["v"]), np.float32).reshape(-1, dim), trial["rep"].to_numpy()
+    ratio = PROBE_RATIO
+    if len(trial):
+        near = reps.select("rep", "v").mapInArrow(partial(_trial, dim=dim, k=k, q=q, ids=trial_ids), "query long, rep long, score double")
+        near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("rank") <= k).select("query", "rep")
+        near = cut(near, "trial")  # 2 * k * TRIALS rows at most
+        lists: dict[int, dict[int, list[int]]] = {}
+        for r in near.join(listed.select("rep", "list").join(F.broadcast(near.select("rep").distinct()), "rep", "left_semi"), "rep").collect():
+            lists.setdefault(r["query"], {}).setdefault(r["rep"], []).append(r["list"])
+        ratio = ratio_for(as_queries(q, trial["n2"].to_numpy(), most), c, sizes_of, enough, [[np.array(x) for x in lists.get(int(i), {}).values()] for i in trial_ids])
     sizes = vectors.sparkSession.createDataFrame([(i, -(-x // BLOCK_ROWS)) for i, x in counts.items()], "list int, blocks int")
-    posted = listed.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("is_query"), "vec_id", "v")
-    queries = packed.where(F.col("vec_id") % every == 0)
+    posted = listed.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("is_query"), "rep", "v")
+
+    # which entries are asked for: all queries with one vector are answered at once
+    asked = packed.where(F.col("vec_id") % every == 0).select("vec_id", "v").distinct()
+    asked = cut(join_hot(asked, reps.select("v", "rep", "copies"), "v", stats["rows"], "copies").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")), "asked")
+    queries = reps.join(asked.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi")
+    wanted = min(k + 1, n)
 
     def nearest(visits: DataFrame) -> DataFrame:
-        asked = visits.join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_query"), "vec_id", "v")
-        met = posted.unionByName(asked).repartition("list", "block").sortWithinPartitions("list", "block", "is_query")
-        found = met.mapInArrow(partial(_search, dim=dim, k=k), "query_id long, vec_id long, score double")
-        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-    visit = partial(_visits, dim=dim, c=c, graph=graph, most=most, rows=held, enough=REPLICAS * (k + 1))
-    found = cut(nearest(queries.mapInArrow(visit, schema)), "found")
+        met = visits.join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_query"), "rep", "v")
+        met = posted.unionByName(met).repartition("list", "block").sortWithinPartitions("list", "block", "is_query")
+        found = met.mapInArrow(partial(_search, dim=dim, k=k + 1), "query long, rep long, score double")
+        best = found.groupBy("query", "rep").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))
+        return best.withColumn("rank", rank).where(F.col("rank") <= k + 1).drop("rank")
+
+    visit = partial(_visits, dim=dim, c=c, graph=graph, most=most, rows=sizes_of, enough=enough, ratio=ratio)
+    found = cut(nearest(queries.mapInArrow(visit, "list int, rep long, v binary")), "found")
     # a query that found too few visits every list
-    full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    short = cut(queries.join(full, F.col("vec_id") == F.col("query_id"), "left_anti").select("vec_id", "v"), "short")
-    if short.isEmpty():
-        return found
-    every_list = nearest(short.crossJoin(F.broadcast(sizes.select("list"))).select("list", "vec_id", "v"))
-    return found.join(full, "query_id", "left_semi").unionByName(every_list)
+    full_queries = found.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= wanted).select("query")
+    short = cut(queries.join(full_queries, F.col("rep") == F.col("query"), "left_anti").select("rep", "v"), "short")
+    if not short.isEmpty():
+        every_list = nearest(short.crossJoin(F.broadcast(sizes.select("list"))).select("list", "rep", "v"))
+        found = found.join(full_queries, "query", "left_semi").unionByName(every_list)
+
+    # entries to ids: of equal vectors the k + 1 smallest ids suffice
+    ids = reps.where("low = high").select("rep", F.col("low").alias("vec_id"))
+    if stats["several"]:
+        place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+        some = packed.select("v", "vec_id").distinct().withColumn("place", place).where(F.col("place") <= k + 1)
+        ids = ids.unionByName(cut(some.join(reps.where("low < high").select("v", "rep"), "v").select("rep", "vec_id"), "ids"))
+    each = found.join(ids, "rep").groupBy("query", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    best = each.withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("query").agg(F.collect_list(F.struct("vec_id", "score")).alias("best"))
+    # `asked` has at most as many rows of a vector as the table
+    hot = cut(best.join(asked.groupBy("query").agg(F.count("*").alias("n")), "query"), "best")
+    answers = join_hot(asked, hot, "query", asked.count()).select("query_id", F.inline("best")).where(F.col("vec_id") != F.col("query_id"))
+    answers = answers.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
