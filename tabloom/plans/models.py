@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import scalars
 from tabloom.operators import experiments, knn, metrics, mlp, sampling, trees
-from tabloom.plans import views
+from tabloom.plans import model_sql, views
 from tabloom.sources import tables
 
 Q: dict = {}
@@ -314,34 +314,51 @@ def _forest(spark: SparkSession, sf: str, depth: int = 6, n: int = 9) -> tuple[t
     return trees.grow(train, NAMES, depth, least_leaf=3, least_split=6, weights=sampling.bootstrap(train, "id", n, 0.8, SEED), features_per_node="sqrt", seed=SEED), v
 
 
-@query()
+_TREE_DEPTH, _FOREST_TREES = 6, 9
+_BASE = f"SELECT 0 AS tree, id, 1 AS weight, code, features FROM ({views.vectors('duck', 16)}) WHERE split = 'train'"
+_BOOT = f"""SELECT d.tree AS tree, p.id, count(*) AS weight, any_value(v.code) AS code, any_value(v.features) AS features FROM
+      (SELECT tree, CAST(floor({_U_BOOT} * n) AS BIGINT) AS position FROM (SELECT unnest(range({_FOREST_TREES})) AS tree), (SELECT n, unnest(range(greatest(1, CAST(floor(n * CAST(0.8 AS DOUBLE)) AS BIGINT)))) AS draw FROM (SELECT count(*) AS n FROM ({_BASE})))) d
+      JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 AS position FROM ({_BASE})) p USING (position) JOIN ({_BASE}) v ON v.id = p.id GROUP BY d.tree, p.id"""
+_TREE_SQL = model_sql.grow(_BASE, CLASSES, 16, _TREE_DEPTH, 4, 8)
+_FOREST_SQL = model_sql.grow(_BOOT, CLASSES, 16, _TREE_DEPTH, 3, 6, 4, SEED)
+_REACHED = model_sql.descend(views.vectors("duck", 16), _TREE_DEPTH)
+_NODES = "SELECT tree, node, depth, prediction, feature, round(threshold, 8) AS threshold FROM nodes"
+_VOTED = f"SELECT id, 'L' || code AS true_class, 'L' || prediction AS predicted_class FROM ({model_sql.VOTE}) WHERE split = 'test' AND cut = {_TREE_DEPTH}"
+_SIZES = "SELECT tree, count(*) AS nodes, count(*) FILTER (feature < 0) AS leaves, max(depth) AS depth FROM nodes GROUP BY tree"
+
+
+def _rounded(model: trees.TreeModel, spark: SparkSession) -> DataFrame:
+    return model.table(spark).withColumn("threshold", F.round("threshold", 8))
+
+
+@query(f"WITH {_TREE_SQL} {_NODES}")
 def tree_level_fit(spark, sf):
-    return _tree(spark, sf)[0].table(spark)
+    return _rounded(_tree(spark, sf)[0], spark)
 
 
-@query()
+@query(f"WITH {_TREE_SQL}, {_REACHED} {_VOTED}")
 def tree_predict(spark, sf):
     model, v = _tree(spark, sf)
     return model.predict(_split(v, "test"))
 
 
-@query()
+@query(f"WITH {_TREE_SQL} {_SIZES}")
 def tree_summary(spark, sf):
     return _tree(spark, sf)[0].summary(spark)
 
 
-@query()
+@query(f"WITH {_FOREST_SQL} {_NODES}")
 def forest_fit(spark, sf):
-    return _forest(spark, sf)[0].table(spark)
+    return _rounded(_forest(spark, sf)[0], spark)
 
 
-@query()
+@query(f"WITH {_FOREST_SQL}, {_REACHED} {_VOTED}")
 def forest_predict(spark, sf):
     model, v = _forest(spark, sf)
     return model.predict(_split(v, "test"))
 
 
-@query()
+@query(f"WITH {_FOREST_SQL} SELECT min(depth) AS min_depth, max(depth) AS max_depth, avg(depth) AS mean_depth, avg(nodes) AS mean_nodes, avg(leaves) AS mean_leaves FROM ({_SIZES})")
 def forest_summary(spark, sf):
     return trees.forest_summary(_forest(spark, sf)[0].summary(spark))
 
@@ -352,15 +369,24 @@ def forest_vote(spark, sf):
     return trees.forest_vote(p.select("id", F.col("predicted_class").alias("label")), ["id"])
 
 
-@query()
+_CUTS = (1, 2, 3, 4, 6)
+_BY_DEPTH = f"SELECT cut, split, avg(CAST(code = prediction AS DOUBLE)) AS accuracy FROM ({model_sql.VOTE}) WHERE cut IN {_CUTS} GROUP BY cut, split"
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS model, cut AS depth, {_ROUND_GAPS} FROM (SELECT cut, {_GAPS} FROM (WITH {sql}, {_REACHED} {_BY_DEPTH}) GROUP BY cut)" for name, sql in (("tree", _TREE_SQL), ("forest", _FOREST_SQL))
+    )
+)
 def tree_depth_curve(spark, sf):
     """One deep tree and one deep forest, cut at each depth."""
     parts = []
     for name, (model, v) in (("tree", _tree(spark, sf)), ("forest", _forest(spark, sf))):
-        for depth in (1, 2, 3, 4, 6):
+        for depth in _CUTS:
             small = model.cut_at(depth)
             parts += [metrics.accuracy(small.predict(_split(v, s))).select(F.lit(name).alias("model"), F.lit(depth).alias("depth"), F.lit(s).alias("split"), "accuracy") for s in ("train", "val", "test")]
-    return experiments.sweep_gaps(tables.append_splits(parts), ["model", "depth"])
+    out = experiments.sweep_gaps(tables.append_splits(parts), ["model", "depth"])
+    return out.select("model", "depth", *[F.round(c, 8).alias(c) for c in out.columns if c not in ("model", "depth")])
 
 
 # --- net ----------------------------------------------------------------------------------------
@@ -404,11 +430,45 @@ def cross_entropy(spark, sf):
     return scored.groupBy("split").agg(F.round(mlp.cross_entropy(F.col("p"), F.col("code")), 8).alias("loss"))
 
 
-@query()
+_CLASS_WEIGHTS, _L2, _DROPOUT = [round(0.5 + k / 10, 1) for k in range(CLASSES)], 0.001, 0.25
+#: The mask of mlp.gradient for a row's id and seed 7, in integers of 128 bits.
+_CELL = "xor(CAST((CAST(id AS UHUGEINT) * 11400714819323198485 + 7) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT), CAST((CAST(c AS UHUGEINT) * 14029467366897019727) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT))"
+_MASK = f"list_transform(range({HIDDEN}), lambda c: CASE WHEN CAST((CAST((CAST(xor({_CELL}, {_CELL} >> 33) AS UHUGEINT) * 18397679294719823053) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT) >> 11) AS DOUBLE) / 9007199254740992 >= {_DROPOUT} THEN CAST(1 AS DOUBLE) / (1 - CAST({_DROPOUT} AS DOUBLE)) ELSE 0 END)"
+
+
+def _gradient_sql(mask: str | None) -> str:
+    rows = f"SELECT * FROM ({views.vectors('duck', FEATURES)}) WHERE split = 'train'"
+    ctes = f"net0 AS ({model_sql.net(hashed_net())}), {model_sql.forward('f', 'net0', rows, mask)}, {model_sql.gradient('g', 'f', 'net0', HIDDEN, FEATURES, CLASSES, _L2, _CLASS_WEIGHTS, mask)}"
+    parts = [("w1", f"j * {FEATURES} + i"), ("b1", "j"), ("w2", f"j * {HIDDEN} + i"), ("b2", "j"), ("loss", "0")]
+    return f"WITH {ctes} " + " UNION ALL ".join(f"SELECT '{p}' AS part, CAST({i} AS INT) AS i, round(v, 8) + 0.0 AS value FROM g_{p}" for p, i in parts)
+
+
+def _gradient(spark: SparkSession, sf: str, dropout: float) -> DataFrame:
+    g, loss = mlp.gradient(_split(_vectors(spark, sf, FEATURES), "train"), hashed_net(), np.array(_CLASS_WEIGHTS), _L2, dropout, 7)
+    rows = [(n, i, round(float(v), 8) + 0.0) for n in ("w1", "b1", "w2", "b2") for i, v in enumerate(getattr(g, n).ravel())]
+    return spark.createDataFrame([*rows, ("loss", 0, round(loss, 8))], "part string, i int, value double")
+
+
+@query(_gradient_sql(None))
 def mlp_gradient(spark, sf):
-    g, loss = mlp.gradient(_split(_vectors(spark, sf, FEATURES), "train"), hashed_net(), np.ones(CLASSES))
-    rows = [(n, i, float(v)) for n in ("w1", "b1", "w2", "b2") for i, v in enumerate(getattr(g, n).ravel())]
-    return spark.createDataFrame([*rows, ("loss", 0, loss)], "part string, i int, value double")
+    return _gradient(spark, sf, 0.0)
+
+
+@query(_gradient_sql(_MASK))
+def mlp_dropout_gradient(spark, sf):
+    return _gradient(spark, sf, _DROPOUT)
+
+
+_START = mlp.Net.he(FEATURES, HIDDEN, CLASSES, 1)
+_HISTORY = ("epoch", "train_update_loss", "train_loss", "val_loss", "train_accuracy", "val_accuracy", "learning_rate")
+
+
+def _train_sql(epochs: int, patience: int | None) -> str:
+    return model_sql.train(views.vectors("duck", FEATURES), _START, epochs, 2, 0.5, 1e-4, patience)
+
+
+def _history_sql(columns: tuple[str, ...]) -> str:
+    return "SELECT CAST(epoch AS BIGINT) AS epoch, " + ", ".join(f"round({c}, 8) AS {c}" for c in columns[1:]) + " FROM history"
 
 
 def _train(spark: SparkSession, sf: str, epochs: int, patience: int | None):
@@ -419,20 +479,22 @@ def _train(spark: SparkSession, sf: str, epochs: int, patience: int | None):
     return mlp.train(_split(v, "train"), _split(v, "val"), HIDDEN, CLASSES, epochs, patience=patience, steps=2, seed=1, test=_split(v, "test"))
 
 
-@query()
+def _history(spark: SparkSession, history: list[dict], columns: tuple[str, ...]) -> DataFrame:
+    return spark.createDataFrame([tuple(h[c] if c == "epoch" else round(float(h[c]), 8) for c in columns) for h in history], "epoch long, " + ", ".join(f"{c} double" for c in columns[1:]))
+
+
+@query(f"WITH {_train_sql(5, 3)} SELECT id, code AS true_code, predicted FROM ({model_sql.best_predictions(5)}) WHERE split = 'test'")
 def mlp_train(spark, sf):
     net, _ = _train(spark, sf, 5, 3)
     v = _vectors(spark, sf, FEATURES)
     return mlp.predict(net, _split(v, "test")).select("id", F.col("code").alias("true_code"), "predicted")
 
 
-@query()
+@query(f"WITH {_train_sql(5, 3)} {_history_sql(_HISTORY)}")
 def mlp_history(spark, sf):
-    _, history = _train(spark, sf, 5, 3)
-    return spark.createDataFrame([{k: v for k, v in h.items() if k != "test_accuracy"} for h in history])
+    return _history(spark, _train(spark, sf, 5, 3)[1], _HISTORY)
 
 
-@query()
+@query(f"WITH {_train_sql(4, None)} {_history_sql((*_HISTORY, 'test_accuracy'))}")
 def mlp_epoch_curve(spark, sf):
-    _, history = _train(spark, sf, 4, None)
-    return spark.createDataFrame(history)
+    return _history(spark, _train(spark, sf, 4, None)[1], (*_HISTORY, "test_accuracy"))
