@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 MISSING = ("", "?", "NA", "N/A", "NULL", "NONE", "NAN")
 NUMBER = r"^[-+]?(?:[0-9]+(?:_[0-9]+)*(?:\.(?:[0-9]+(?:_[0-9]+)*)?)?|\.[0-9]+(?:_[0-9]+)*)(?:[eE][-+]?[0-9]+(?:_[0-9]+)*)?$"
 NOT_FINITE = r"(?i)^[-+]?(?:inf|infinity|nan)$"
-WITH_UNIT = r"^([-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)\s*([A-Za-z]+)$"
+_DECIMAL = r"(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)"
+WITH_UNIT = rf"^([-+]?{_DECIMAL}(?:[eE][-+]?[0-9]+)?)\s*([A-Za-z]+)$"
 
 
 def strip(c: Column) -> Column:
@@ -24,24 +26,33 @@ def normalize_class(c: Column) -> Column:
     return F.translate(F.upper(strip(c)), "30", "EO")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def parse_numeric(c: Column) -> Column:
-    """struct(value, issue): the number a text holds, and why not or what was removed. Nothing raises."""
-    text = strip(c)
-    missing = F.upper(text).isin(*MISSING)
-    plain = F.regexp_replace(text, "_", "").try_cast("double")
-    with_unit = F.regexp_extract(text, WITH_UNIT, 1).try_cast("double")
+    """struct(value, issue): the number a text holds, and why not or what was removed. Nothing raises.
+
+    Each pattern is matched once and only where the ones before it fail."""
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf))
-    number, unit = text.rlike(NUMBER), text.rlike(WITH_UNIT)
-    value = F.when(missing, None).when(number & finite(plain), plain).when(unit & finite(with_unit) & ~text.rlike(NOT_FINITE), with_unit)
-    issue = (
-        F.when(missing, "missing_token")
-        .when(number & finite(plain), None)
-        .when(number | text.rlike(NOT_FINITE), "not_finite")
-        .when(unit & finite(with_unit), F.concat(F.lit("removed_unit_"), F.lower(F.regexp_extract(text, WITH_UNIT, 2))))
-        .when(unit, "not_finite")
-        .otherwise("not_numeric")
-    )
-    return F.struct(value.alias("value"), issue.alias("issue"))
+    made = lambda value, issue: F.struct(value.cast("double").alias("value"), issue.cast("string").alias("issue"))
+    none = F.lit(None)
+
+    def other(text: Column) -> Column:
+        def with_unit(part: Column) -> Column:
+            value = F.regexp_replace(part, r"\s*[A-Za-z]+$", "").try_cast("double")
+            removed = F.concat(F.lit("removed_unit_"), F.lower(F.regexp_extract(part, "[A-Za-z]+$", 0)))
+            return F.when(part == "", made(none, F.lit("not_numeric"))).otherwise(_once(value, lambda v: F.when(finite(v), made(v, removed)).otherwise(made(none, F.lit("not_finite")))))
+
+        return F.when(text.rlike(NOT_FINITE), made(none, F.lit("not_finite"))).otherwise(_once(F.regexp_extract(text, WITH_UNIT, 0), with_unit))
+
+    def parsed(text: Column) -> Column:
+        plain = F.regexp_replace(text, "_", "").try_cast("double")
+        number = _once(plain, lambda v: F.when(finite(v), made(v, none)).otherwise(made(none, F.lit("not_finite"))))
+        return F.when(F.upper(text).isin(*MISSING), made(none, F.lit("missing_token"))).when(text.rlike(NUMBER), number).otherwise(other(text))
+
+    return _once(strip(c), parsed)
 
 
 def safe_divide(n: Column, d: Column) -> Column:

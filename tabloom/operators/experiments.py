@@ -14,7 +14,7 @@ def robustness_drop(results: DataFrame) -> DataFrame:
     """results (noise_type, noise_intensity, model, test_accuracy), 'clean' being the baseline, with drops against it."""
     base = results.where("noise_type = 'clean'").groupBy("model").agg(F.max("test_accuracy").alias("baseline_accuracy"))
     drop = F.col("baseline_accuracy") - F.col("test_accuracy")
-    out = results.join(F.broadcast(base), "model").withColumn("accuracy_drop", drop)
+    out = results.join(base, "model").withColumn("accuracy_drop", drop)
     return out.withColumn("relative_drop_percent", 100 * safe_divide(F.col("accuracy_drop"), F.col("baseline_accuracy")))
 
 
@@ -60,7 +60,7 @@ def latency_summary(timings: DataFrame, samples: int) -> DataFrame:
     values = timings.groupBy("model", "seconds").agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy("model").orderBy("seconds"))
     place = F.greatest(F.lit(0), F.floor(F.lit(0.95) * F.col("repeats")).cast("int") - 1)
-    at = values.withColumn("upto", upto).join(F.broadcast(stats.select("model", "repeats")), "model").where(F.col("upto") > place)
+    at = values.withColumn("upto", upto).join(stats.select("model", "repeats"), "model").where(F.col("upto") > place)
     p95 = at.groupBy("model").agg(F.min("seconds").alias("p95"))
     return stats.join(p95, "model").select("*", (1000 * F.col("mean") / samples).alias("ms_per_sample"), safe_divide(F.lit(float(samples)), F.col("mean")).alias("samples_per_second"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.scalars import safe_divide
+from tabloom.operators.sampling import MOST_CLASSES
 from tabloom.spec import LOG_COLUMNS
 
 
@@ -73,38 +74,37 @@ def standardize(df: DataFrame, stats: DataFrame, columns: Sequence[str]) -> Data
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, r) for each pair of columns in order, a before b; r is null where a column doesn't vary.
 
-    Values are centred by the mean first; then one pass adds up all products.
+    Values are centred by the mean first; then each partition gives one matrix of products, which are added up.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    means = df.agg(*[F.avg(c).alias(f"__m_{c}") for c in columns])
-    centred = df.crossJoin(F.broadcast(means)).select(*[(F.col(c) - F.col(f"__m_{c}")).alias(c) for c in columns])
-    products = [F.sum(F.col(c) * F.col(c)).alias(f"__{c}") for c in columns] + [F.sum(F.col(a) * F.col(b)).alias(f"__{a}__{b}") for a, b in pairs]
-    sums = centred.agg(*products)
-    spread = lambda a, b: F.sqrt(F.col(f"__{a}") * F.col(f"__{b}"))
-    r = lambda a, b: F.when(spread(a, b) > 1e-300, F.col(f"__{a}__{b}") / spread(a, b))
-    return sums.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r(a, b).alias("r")) for a, b in pairs])))
+    r = correlation_matrix(df, columns)
+    found = [(a, b, float(r[i, j]) if np.isfinite(r[i, j]) else None) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
+    return df.sparkSession.createDataFrame(found, "a string, b string, r double")
 
 
 def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:
         x = np.column_stack([np.asarray(batch.column(i).cast(pa.float64())) for i in range(batch.num_columns)])
+        x = np.nan_to_num(x, nan=0.0)  # a null is in no sum
         total = x.T @ x if total is None else total + x.T @ x
     if total is not None:
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["g"])
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """The same for many columns: each partition gives one matrix of products, p * p numbers, which are added up."""
+    """p * p numbers; nan where a column doesn't vary."""
     means = df.agg(*[F.avg(c).alias(f"__m_{c}") for c in columns])
     centred = df.crossJoin(F.broadcast(means)).select(*[(F.col(c) - F.col(f"__m_{c}")).alias(c) for c in columns])
     p = len(columns)
     parts = centred.mapInArrow(_gram, "g array<double>")
     summed = parts.select(F.posexplode("g").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+    if not summed:
+        return np.full((p, p), np.nan)
     g = np.array([row["x"] for row in summed]).reshape(p, p)
     d = np.sqrt(np.diag(g))
+    spread = np.outer(d, d)
     with np.errstate(invalid="ignore", divide="ignore"):
-        return g / np.outer(d, d)
+        return np.where(spread > 1e-300, g / spread, np.nan)
 
 
 def greedy_selection(columns: Sequence[str], r: dict[tuple[str, str], float | None], threshold: float = 0.95) -> tuple[list[str], list[tuple[str, str, float]]]:
@@ -130,6 +130,8 @@ def select_uncorrelated(df: DataFrame, columns: Sequence[str], threshold: float
 def label_codes(df: DataFrame, label: str) -> DataFrame:
     """(label, code): the labels of all splits in order, from 0."""
     distinct = df.select(F.col(label).alias("label")).where(F.col(label).isNotNull()).distinct()
+    if distinct.limit(MOST_CLASSES + 1).count() > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} labels")
     one = distinct.agg(F.sort_array(F.collect_list("label")).alias("l"))  # as many as there are classes
     return one.select(F.posexplode("l").alias("code", "label")).select("label", "code")
 

@@ -13,8 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.sources.tables import kept
+
 #: Rows of a block; a pair of blocks holds BLOCK * BLOCK distances at once.
 BLOCK = 2048
+#: Blocks of either kind in a group of the grid, at most (on average).
+GROUP = 16
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -26,39 +30,68 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([part.column("label").to_pylist()], pa.list_(pa.string())), pa.array([x.tobytes()], pa.binary())], ["ids", "labels", "x"])
 
 
+def _first(at: np.ndarray, ids: np.ndarray, distance: np.ndarray, k: int) -> np.ndarray:
+    """Of pairs the k nearest of each query, ties to the smaller id."""
+    order = np.lexsort((ids, distance, at))
+    first = np.searchsorted(at[order], at[order])
+    return order[np.arange(len(order)) - first < k]
+
+
+def _nearest(q: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row of t, distance): the k nearest of two blocks."""
+    d = (q**2).sum(1)[:, None] + (t**2).sum(1)[None, :] - 2 * q @ t.T
+    some = min(len(t), k)
+    edge = np.partition(d, some - 1, axis=1)[:, some - 1]
+    # the expanded form loses digits: all near the edge are measured again, directly
+    slack = 1e-9 * (1 + np.abs(d).max(axis=1))
+    at, to = np.nonzero(d <= (edge + slack)[:, None])
+    exact = np.zeros(len(at))
+    for j in range(q.shape[1]):
+        exact += (q[at, j] - t[to, j]) ** 2
+    keep = _first(at, ids[to], exact, some)
+    return at[keep], to[keep], exact[keep]
+
+
 def _block_topk(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (row, col, is_query): a group's training blocks are held until its query blocks have passed."""
+    key, held = None, []
     for batch in batches:
         for row in batch.to_pylist():
-            qid, tid = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-            q, t = np.frombuffer(row["q_x"]).reshape(len(qid), -1), np.frombuffer(row["x"]).reshape(len(tid), -1)
-            d = (q**2).sum(1)[:, None] + (t**2).sum(1)[None, :] - 2 * q @ t.T
-            some = min(len(tid), k)
-            edge = np.partition(d, some - 1, axis=1)[:, some - 1]
-            # the expanded form loses digits: all near the edge are measured again, directly
-            slack = 1e-9 * (1 + np.abs(d).max(axis=1))
-            at, to = np.nonzero(d <= (edge + slack)[:, None])
-            exact = np.zeros(len(at))
-            for j in range(q.shape[1]):
-                exact += (q[at, j] - t[to, j]) ** 2
-            order = np.lexsort((tid[to], exact, at))
-            at, to, exact = at[order], to[order], exact[order]
-            first = np.searchsorted(at, np.arange(len(qid)))
-            keep = np.arange(len(at)) - first[at] < some
-            at, to, exact = at[keep], to[keep], exact[keep]
-            labels = np.array(row["labels"], object)
-            yield pa.RecordBatch.from_arrays([pa.array(qid[at]), pa.array(tid[to]), pa.array(labels[to], pa.string()), pa.array(exact)], ["query_id", "train_id", "label", "distance"])
+            if (row["row"], row["col"]) != key:
+                key, held = (row["row"], row["col"]), []
+            ids = np.frombuffer(row["ids"], np.int64)
+            x = np.frombuffer(row["x"]).reshape(len(ids), -1)
+            if not row["is_query"]:
+                held.append((ids, np.array(row["labels"], object), x))
+                continue
+            parts = [(at, tid[to], labels[to], d) for tid, labels, t in held for at, to, d in [_nearest(x, t, tid, k)]]
+            if not parts:
+                continue
+            at, to, labels, d = (np.concatenate(c) for c in zip(*parts, strict=True))
+            keep = _first(at, to, d, k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at[keep]]), pa.array(to[keep]), pa.array(labels[keep], pa.string()), pa.array(d[keep])], ["query_id", "train_id", "label", "distance"])
 
 
 def topk(train: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, train_id, label, distance): the k nearest training rows, ties to the smaller id; fewer if there
-    are fewer. Each block of queries meets each block of training rows and keeps its k best; the rest is a merge."""
+    are fewer. Each block of queries meets each block of training rows: both are dealt to a grid of groups of up to GROUP
+    blocks, a query block once to each column, a training block once to each row. A group sends the k best; the rest is a merge."""
     if k <= 0:
         raise ValueError("k must be positive")
     schema = "ids binary, labels array<string>, x binary"
     cols = ["id", "label", "features"]
-    t = train.select(*cols).mapInArrow(_blocks, schema)
-    q = queries.select(*cols).mapInArrow(_blocks, schema).select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
-    found = q.crossJoin(t).mapInArrow(partial(_block_topk, k=k), "query_id long, train_id long, label string, distance double")
+    t, q = (kept(df.select(*cols).mapInArrow(_blocks, schema), "blocks") for df in (train, queries))
+    tn, qn = t.count(), q.count()
+    group = GROUP
+    while group > 1 and -(-tn // group) * -(-qn // group) < 2 * train.sparkSession.sparkContext.defaultParallelism:
+        group //= 2
+    rows, columns = max(1, -(-qn // group)), max(1, -(-tn // group))
+    own = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumns({"is_query": F.lit(True), "row": own(rows)}).withColumn("col", every(columns))
+    t = t.withColumns({"is_query": F.lit(False), "col": own(columns)}).withColumn("row", every(rows))
+    met = q.unionByName(t).repartition(max(rows * columns, 1), "row", "col").sortWithinPartitions("row", "col", "is_query")
+    found = met.mapInArrow(partial(_block_topk, k=k), "query_id long, train_id long, label string, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "train_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "train_id", "label", "distance")
 

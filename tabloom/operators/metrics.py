@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tabloom.functions.scalars import safe_divide
 
 
+#: Labels of a confusion table; it has their square of cells for each group.
+MOST_LABELS = 1000
+
+
 def accuracy(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return predictions.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col("true_class") == F.col("predicted_class")).cast("double")).alias("accuracy"))
 
@@ -17,9 +21,11 @@ def accuracy(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def confusion(predictions: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, true_class, predicted_class, n) for each pair of labels (label), 0 where none; one count over the rows."""
     seen = predictions.groupBy(*by, "true_class", "predicted_class").agg(F.count("*").alias("n"))
+    if labels.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     pairs = labels.select(F.col("label").alias("true_class")).crossJoin(F.broadcast(labels.select(F.col("label").alias("predicted_class"))))
     if by:
-        pairs = pairs.crossJoin(F.broadcast(seen.select(*by).distinct()))
+        pairs = seen.select(*by).distinct().crossJoin(F.broadcast(pairs))
     return pairs.join(seen, [*by, "true_class", "predicted_class"], "left").select(*by, "true_class", "predicted_class", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -31,7 +37,7 @@ def confusion_wide(table: DataFrame, labels: Sequence[str]) -> DataFrame:
 def confusion_shares(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """share: of its true class."""
     total = table.groupBy(*by, "true_class").agg(F.sum("n").alias("__t"))
-    return table.join(F.broadcast(total), [*by, "true_class"]).select(*by, "true_class", "predicted_class", safe_divide(F.col("n").cast("double"), F.col("__t")).alias("share"))
+    return table.join(total, [*by, "true_class"]).select(*by, "true_class", "predicted_class", safe_divide(F.col("n").cast("double"), F.col("__t")).alias("share"))
 
 
 def per_class(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:

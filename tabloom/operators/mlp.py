@@ -12,7 +12,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,14 @@ class Net:
         rng = np.random.default_rng(seed)
         return cls(rng.normal(0, np.sqrt(2 / features), (hidden, features)), np.zeros(hidden), rng.normal(0, np.sqrt(2 / hidden), (classes, hidden)), np.zeros(classes))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = [(n, list(getattr(self, n).shape), [float(v) for v in getattr(self, n).ravel()]) for n in ("w1", "b1", "w2", "b2")]
+        spark.createDataFrame(rows, "part string, shape array<int>, values array<double>").write.parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Net:
+        return cls(**{r["part"]: np.array(r["values"]).reshape(r["shape"]) for r in spark.read.parquet(path).collect()})
+
     def forward(self, x: np.ndarray) -> np.ndarray:
         z = np.maximum(x @ self.w1.T + self.b1, 0) @ self.w2.T + self.b2
         e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -122,11 +130,21 @@ def gradient(rows: DataFrame, net: Net, weights: np.ndarray, l2: float = 0.0, dr
     return replace(g, w1=g.w1 + l2 * net.w1, w2=g.w2 + l2 * net.w2), loss
 
 
-def _measure(net: Net, rows: DataFrame) -> tuple[float, float]:
+def measure(net: Net, rows: DataFrame) -> tuple[float, float]:
+    """(cross-entropy, accuracy)."""
     r = predict(net, rows).agg(cross_entropy(F.col("p"), F.col("code")).alias("loss"), F.avg((F.col("predicted") == F.col("code")).cast("double")).alias("acc")).first()
     return r["loss"], r["acc"]
 
 
+def descend(fit: DataFrame, net: Net, steps: int, rate: float, l2: float = 0.0, dropout: float = 0.0, weights: np.ndarray | None = None, seed: int = 0) -> Net:
+    """net after so many steps of synchronous descent, without measuring in between."""
+    weights = np.ones(len(net.b2)) if weights is None else weights
+    for s in range(steps):
+        g, _ = gradient(fit, net, weights, l2, dropout, seed + s)
+        net = Net(net.w1 - rate * g.w1, net.b1 - rate * g.b1, net.w2 - rate * g.w2, net.b2 - rate * g.b2)
+    return net
+
+
 def train(fit: DataFrame, val: DataFrame, hidden: int, classes: int, epochs: int, rate: float = 0.5, patience: int | None = 15, steps: int = 4, l2: float = 1e-4, dropout: float = 0.0, weights: np.ndarray | None = None, seed: int = 0, test: DataFrame | None = None) -> tuple[Net, list[dict]]:
     """(best net by validation accuracy, history). Synchronous descent: each step is one job over all rows of fit.
 
@@ -142,10 +160,10 @@ def train(fit: DataFrame, val: DataFrame, hidden: int, classes: int, epochs: int
         for s in range(steps):
             g, update = gradient(fit, net, weights, l2, dropout, seed + epoch * 1000 + s)
             net = Net(net.w1 - rate * g.w1, net.b1 - rate * g.b1, net.w2 - rate * g.w2, net.b2 - rate * g.b2)
-        (tl, ta), (vl, va) = _measure(net, fit), _measure(net, val)
+        (tl, ta), (vl, va) = measure(net, fit), measure(net, val)
         row = {"epoch": epoch, "train_update_loss": update, "train_loss": tl, "val_loss": vl, "train_accuracy": ta, "val_accuracy": va, "learning_rate": rate}
         if test is not None:
-            row["test_accuracy"] = _measure(net, test)[1]
+            row["test_accuracy"] = measure(net, test)[1]
         history.append(row)
         if va > top:
             top, best, stale = va, net, 0

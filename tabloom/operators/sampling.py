@@ -9,27 +9,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.scalars import normal, uniform
+from tabloom.sources.tables import in_order
 
+#: Labels that a column may have.
+MOST_CLASSES = 100_000
 NOISES = ("clean", "gaussian", "uniform", "dropout", "label_flip")
 
 
 def quotas(df: DataFrame, label: str, limit: int) -> DataFrame:
-    """(label, n, quota): about limit * n / rows and at least 1; the last label takes what is left."""
+    """(label, n, quota): about limit * n / rows and at least 1, in label order; the last label takes what is left.
+
+    More than MOST_CLASSES labels raise: such a column is no label."""
     counts = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    if counts.limit(MOST_CLASSES + 1).count() > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} labels")
     one = counts.agg(F.sort_array(F.collect_list(F.struct("label", "n"))).alias("l"), F.sum("n").alias("rows"), F.count("*").alias("classes"))  # as many as there are classes
     each = one.select("rows", "classes", F.posexplode("l").alias("i", "x")).select("rows", "classes", "i", "x.label", "x.n")
     share = F.least(F.col("n"), F.greatest(F.lit(1), F.bround(F.lit(float(limit)) * F.col("n") / F.col("rows"), 0).cast("long")))
     before = F.coalesce(F.sum("share").over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rest = F.greatest(F.lit(0), F.least(F.col("n"), F.lit(limit) - F.col("before")))
-    return each.withColumn("share", share).withColumn("before", before).select("label", "n", F.when(F.col("i") == F.col("classes") - 1, rest).otherwise(F.col("share")).alias("quota"))
+    part = F.when(F.col("i") == F.col("classes") - 1, rest).otherwise(F.greatest(F.lit(0), F.least(F.col("share"), F.lit(limit) - F.col("before"))))
+    return each.withColumn("share", share).withColumn("before", before).select("label", "n", part.alias("quota"))
 
 
 def stratified_limit(df: DataFrame, label: str, id_col: str, limit: int, seed: int) -> DataFrame:
     """Exactly limit rows (all if limit <= 0 or there are no more) with nearly the label shares of df.
 
     A row's place in its label depends on its id and the seed. Ranks are counted among the rows whose random number is
-    near the quota's cut, not in whole labels; what is missing is filled from the rows left, what is too much goes in
-    label order.
+    near the quota's cut, not in whole labels; what is missing is filled from the rows left.
     """
     if limit <= 0:
         return df
@@ -40,12 +47,11 @@ def stratified_limit(df: DataFrame, label: str, id_col: str, limit: int, seed: i
     # with n rows left the quota-th smallest of n uniform numbers lies under this bound but for a chance of about 1e-9
     bound = (F.col("quota") + 6 * F.sqrt(F.col("quota") + 1) + 20) / F.col("n")
     near = part.where(F.col("__u") <= bound).withColumn("__r", first).where(F.col("__r") <= F.col("quota"))
-    order = near.withColumn("__o", F.row_number().over(Window.orderBy(label, "__r"))).where(F.col("__o") <= limit)
-    chosen = order.select(id_col)
-    missing = chosen.agg((F.lit(limit) - F.count("*")).alias("__missing"))
-    left = ranked.join(chosen, id_col, "left_anti").crossJoin(F.broadcast(missing)).where("__missing > 0")
-    fill = left.orderBy("__f", id_col).limit(limit).withColumn("__r", F.row_number().over(Window.orderBy("__f", id_col))).where(F.col("__r") <= F.col("__missing"))
-    return order.select(df.columns).unionByName(fill.select(df.columns))
+    missing = limit - near.count()
+    if missing <= 0:
+        return near.select(df.columns)
+    fill = ranked.join(near.select(id_col), id_col, "left_anti").orderBy("__f", id_col).limit(missing)
+    return near.select(df.columns).unionByName(fill.select(df.columns))
 
 
 def bootstrap(df: DataFrame, id_col: str, trees: int, ratio: float, seed: int) -> DataFrame:
@@ -55,8 +61,7 @@ def bootstrap(df: DataFrame, id_col: str, trees: int, ratio: float, seed: int) -
     """
     n = df.count()
     draws = max(1, int(n * ratio))
-    rows = df.select(F.col(id_col).alias("id")).rdd.map(lambda r: r[0]).sortBy(lambda x: x).zipWithIndex()
-    placed = df.sparkSession.createDataFrame(rows, "id long, position long")
+    placed = in_order(df.select(F.col(id_col).cast("long").alias("id")), "id", "position")
     slots = df.sparkSession.range(trees * draws).select((F.col("id") / draws).cast("int").alias("tree"), (F.col("id") % draws).alias("draw"))
     picked = slots.withColumn("position", F.floor(uniform(F.col("draw"), F.col("tree"), seed) * n).cast("long"))
     weights = picked.groupBy("tree", "position").agg(F.count("*").alias("weight"))

@@ -20,6 +20,8 @@ from tabloom.operators.sampling import feature_subset, subset_size
 from tabloom.sources.tables import kept
 
 LEAST_GAIN = 1e-7
+#: Rows up to which splits look at every distinct value, and the quantiles of a feature beyond.
+EXACT_ROWS, BINS = 1_000_000, 256
 
 
 def entropy(counts: Sequence[Column]) -> Column:
@@ -53,7 +55,7 @@ def best_splits(rows: DataFrame, classes: int, least_leaf: int, allowed: DataFra
     key = ["tree", "node"]
     long = rows.select(*key, "weight", "code", F.posexplode("features").alias("feature", "value"))
     if allowed is not None:
-        long = long.join(F.broadcast(allowed), [*key, "feature"])
+        long = long.join(allowed, [*key, "feature"])
     each = [F.sum(F.when(F.col("code") == k, F.col("weight")).otherwise(0)).cast("double").alias(f"c{k}") for k in range(classes)]
     values = long.groupBy(*key, "feature", "value").agg(*each, F.min("code").alias("low"), F.max("code").alias("high"))
     w = Window.partitionBy(*key, "feature").orderBy("value")
@@ -81,6 +83,16 @@ class TreeModel:
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.nodes, "tree int, node long, depth int, prediction int, feature int, threshold double")
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        names = spark.createDataFrame(list(enumerate(self.labels)), "code int, label string")
+        self.table(spark).write.parquet(f"{path}/nodes")
+        names.write.parquet(f"{path}/labels")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TreeModel:
+        labels = [r["label"] for r in spark.read.parquet(f"{path}/labels").orderBy("code").collect()]
+        return cls(spark.read.parquet(f"{path}/nodes").orderBy("tree", "node").toPandas(), labels)
+
     def cut_at(self, depth: int) -> TreeModel:
         """The same trees, no deeper than depth."""
         kept = self.nodes[self.nodes["depth"] <= depth].copy()
@@ -145,13 +157,16 @@ def grow(rows: DataFrame, labels: Sequence[str], max_depth: int, least_leaf: int
 
     A level is one job for all trees: rows find their node by walking the broadcast model, nodes are counted, and the
     splits of all open nodes come from best_splits. The driver holds the node table alone. bins: features are replaced
-    by so many quantiles first, which bounds the values a window sees; None is exact.
+    by so many quantiles first, which bounds the values that a shuffle and a window see, as each partition sends counts by
+    quantile; None: BINS beyond EXACT_ROWS rows, else exact.
     """
     if max_depth > 30:
         raise ValueError("max_depth must be 30 at most")
     spark = rows.sparkSession
     rows = rows.select("id", "code", "features")
     p, classes = len(rows.select("features").first()[0]), len(labels)
+    if bins is None and rows.limit(EXACT_ROWS + 1).count() > EXACT_ROWS:
+        bins = BINS
     if bins:
         edges = rows.select(*[F.percentile_approx(F.col("features")[j], [i / bins for i in range(1, bins)], 10_000).alias(f"q{j}") for j in range(p)]).first()
         snap = lambda x, q: F.coalesce(F.array_min(F.filter(F.array(*map(F.lit, sorted(set(q)))), lambda e: e >= x)), F.lit(max(q)) + 1.0)

@@ -293,7 +293,7 @@ def standardize_fit(spark, sf):
 
 @query(f"{FEATURES_SQL}, m AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in ALL_FEATURES)} FROM f WHERE split = 'train') SELECT id, split, {', '.join(f'round(({c} - m_{c}) / s_{c}, 5) + 0 AS {c}' for c in ALL_FEATURES)} FROM f, m")
 def standardize_apply(spark, sf):
-    df = _all(spark, sf)
+    df = tables.kept(_all(spark, sf), "features")
     out = features.standardize(df, features.standard_stats(df, ALL_FEATURES), ALL_FEATURES)
     return out.select("id", "split", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ALL_FEATURES])  # no negative zeros
 

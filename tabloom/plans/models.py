@@ -196,30 +196,6 @@ def noise_scenarios(spark, sf):
     return many.groupBy("noise_type", F.col("intensity").alias("noise_intensity"), "label").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in DIMS])
 
 
-_WIDE_DIST = " + ".join(f"(q.{c} - t.{c}) * (q.{c} - t.{c})" for c in DIMS)
-
-
-@query(
-    f"""WITH w AS ({views.wide_vectors('duck')}), n AS ({_ALL_NOISE}), d AS (SELECT q.id AS query_id, q.label AS true_class, t.noise_type, t.noise_intensity, t.id AS train_id, t.label, {_WIDE_DIST} AS distance FROM w q, n t WHERE q.split = 'test' AND t.split = 'train'),
-    near AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id, noise_type ORDER BY distance, train_id) <= 11), voted AS ({_vote_sql('near', ', noise_type, noise_intensity')}),
-    a AS (SELECT noise_type, noise_intensity, 'knn' AS model, avg(CAST(true_class = predicted_class AS DOUBLE)) AS test_accuracy FROM voted GROUP BY ALL), b AS (SELECT test_accuracy AS baseline_accuracy FROM a WHERE noise_type = 'clean')
-    SELECT noise_type, noise_intensity, model, round(test_accuracy, 8) AS test_accuracy, round(baseline_accuracy, 8) AS baseline_accuracy, round(baseline_accuracy - test_accuracy, 8) AS accuracy_drop,
-      round(CASE WHEN baseline_accuracy = 0 THEN 0 ELSE 100 * ((baseline_accuracy - test_accuracy) / baseline_accuracy) END, 6) AS relative_drop_percent FROM a, b"""
-)
-def robustness_knn(spark, sf):
-    wide = _wide(spark, sf)
-    arrays = lambda df: df.withColumn("features", F.array(*DIMS))
-    many = tables.scratch(spark, "scenarios")
-    arrays(sampling.scenarios(_split(wide, "train"), GRID, DIMS, "label", NAMES, "id", SEED)).select("noise_type", "intensity", "id", "label", "features").write.parquet(many)
-    train, test = spark.read.parquet(many), arrays(_split(wide, "test"))
-    parts = []
-    for kind, intensity in GRID:
-        found = knn.predict(train.where(F.col("noise_type") == kind), test, 11)
-        parts.append(metrics.accuracy(found).select(F.lit(kind).alias("noise_type"), F.lit(float(intensity)).alias("noise_intensity"), F.lit("knn").alias("model"), F.col("accuracy").alias("test_accuracy")))
-    out = experiments.robustness_drop(tables.append_splits(parts))
-    return out.select("noise_type", "noise_intensity", "model", *[F.round(c, 8).alias(c) for c in ("test_accuracy", "baseline_accuracy", "accuracy_drop")], F.round("relative_drop_percent", 6).alias("relative_drop_percent"))
-
-
 # --- samples ------------------------------------------------------------------------------------
 
 _LIMIT = 137
@@ -254,14 +230,30 @@ def bootstrap_sample(spark, sf):
 _U_SUB = views.uniform_sql("duck", "CAST(tree AS STRING) || '/' || CAST(node AS STRING) || ':' || CAST(feature AS STRING) || ':42'")
 
 
-@query(
-    f"""WITH k AS (SELECT DISTINCT vec_id % 7 AS tree, vec_id % 31 AS node FROM embeddings), x AS (SELECT tree, node, f AS feature FROM k, (SELECT unnest(range(64)) AS f))
-    SELECT CAST(tree AS INT) AS tree, node, CAST(feature AS INT) AS feature FROM x QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY {_U_SUB}, feature) <= 8"""
-)
-def feature_subset(spark, sf):
+def _subset_sql(size: int) -> str:
+    return f"""WITH k AS (SELECT DISTINCT vec_id % 7 AS tree, vec_id % 31 AS node FROM embeddings), x AS (SELECT tree, node, f AS feature FROM k, (SELECT unnest(range(64)) AS f))
+    SELECT CAST(tree AS INT) AS tree, node, CAST(feature AS INT) AS feature FROM x QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY {_U_SUB}, feature) <= {size}"""
+
+
+def _subset(spark: SparkSession, sf: str, rule: str | int) -> DataFrame:
     nodes = views.load(spark, sf, "SELECT DISTINCT CAST(vec_id % 7 AS INT) AS tree, vec_id % 31 AS node FROM embeddings")
     names = spark.range(64).select(F.col("id").cast("int").alias("feature"))
-    return sampling.feature_subset(nodes, names, sampling.subset_size(64, "sqrt"), 42)
+    return sampling.feature_subset(nodes, names, sampling.subset_size(64, rule), 42)
+
+
+@query(_subset_sql(6))
+def feature_subset_log2(spark, sf):
+    return _subset(spark, sf, "log2")
+
+
+@query(_subset_sql(12))
+def feature_subset_number(spark, sf):
+    return _subset(spark, sf, 12)
+
+
+@query(_subset_sql(8))
+def feature_subset(spark, sf):
+    return _subset(spark, sf, "sqrt")
 
 
 # --- trees --------------------------------------------------------------------------------------

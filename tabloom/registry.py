@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.plans import cleaning, models, reports
+from tabloom.plans import cleaning, models, reports, robustness
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PLANS = (cleaning, models, reports)
+_PLANS = (cleaning, models, reports, robustness)
 
 
 def queries() -> dict[str, Query]:

@@ -7,15 +7,20 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); our own only where none is set."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
+
+    One of our own only where none is set and all run on this machine (master local); else an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not named and not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="spark-tables-"))
     return f"{named or _own_dir[0]}/{name}-{uuid.uuid4().hex}"
@@ -28,6 +33,25 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _numbered(rows: DataFrame, parts: Sequence[str], name: str) -> DataFrame:
+    """rows with name: 0, 1, ... in the order of parts and of __at, which is consecutive within a part.
+
+    Only the parts are added up in one window, of which there are as many as file splits or partitions.
+    """
+    each = rows.groupBy(*parts).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = each.select(*parts, (before - F.col("__first")).alias("__shift"))
+    return rows.join(starts, list(parts)).withColumn(name, F.col("__at") + F.col("__shift")).drop("__at", "__shift", *parts)
+
+
+def in_order(ids: DataFrame, column: str, name: str) -> DataFrame:
+    """ids (one column) sorted by range over the partitions, with name: the place in order, from 0."""
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = ids.repartitionByRange(parts, column).sortWithinPartitions(column)
+    rows = kept(ranged.withColumns({"__at": F.monotonically_increasing_id(), "__part": F.spark_partition_id()}), "ordered")
+    return _numbered(rows, ["__part"], name)
+
+
 def read_text_split(spark: SparkSession, path: str, split: str, columns: Sequence[str], row_column: str | None = None) -> DataFrame:
     """A CSV split as text columns with split and source_row; a missing file raises.
 
@@ -37,8 +61,10 @@ def read_text_split(spark: SparkSession, path: str, split: str, columns: Sequenc
     rows = spark.read.csv(path, header=True, schema=schema)
     if row_column:
         return rows.withColumns({"split": F.lit(split), "source_row": F.col(row_column).cast("long")})
-    numbered = rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 2))
-    return spark.createDataFrame(numbered, f"{schema}, source_row long").withColumn("split", F.lit(split))
+    # rows of one part of a file stand together, in their order
+    placed = rows.withColumns({"__file": F.col("_metadata.file_path"), "__start": F.col("_metadata.file_block_start"), "__at": F.monotonically_increasing_id()})
+    out = _numbered(kept(placed, "lines"), ["__file", "__start"], "source_row")
+    return out.select(*columns, (F.col("source_row") + 2).alias("source_row"), F.lit(split).alias("split"))
 
 
 def append_splits(parts: Sequence[DataFrame]) -> DataFrame:
