@@ -1,8 +1,9 @@
 """URL filters (5): host rules, then empirical-Bayes host reputation, in SQL functions only.
 
-Labelled page outcomes (good or not) are counted by host. A beta-binomial prior is carried down from all pages to suffix,
-registered domain and host: each level is shrunk towards the one above with a strength from the spread between its units
-(method of moments). A page that no rule judges is blocked if the upper posterior bound of its host is under MIN_GOOD.
+Labelled page outcomes (good or not) are counted by host. A beta-binomial prior is carried down from all pages to public
+suffix, registered domain and host: each level is shrunk towards the one above with a strength from the spread between its
+units (method of moments). A page that no rule judges is blocked if the upper posterior bound of its host is under
+MIN_GOOD; a host without a label has the bound that its domain, else its suffix, else all pages give it.
 """
 
 from __future__ import annotations
@@ -12,10 +13,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm.common import cut, join_hot
+
 MIN_GOOD, Z = 0.8, 1.6448536269514722
 #: Rules are a literal of the plan.
 MOST_RULES = 10_000
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+#: Common public suffixes of two labels; any other list can be given. All last labels are suffixes.
+SUFFIXES = tuple(
+    "ac.uk co.uk gov.uk ltd.uk me.uk net.uk nhs.uk org.uk plc.uk sch.uk com.au edu.au gov.au id.au net.au org.au ac.nz co.nz govt.nz net.nz org.nz "
+    "ac.jp ad.jp co.jp ed.jp go.jp ne.jp or.jp com.br edu.br gov.br net.br org.br ac.cn com.cn edu.cn gov.cn net.cn org.cn com.hk edu.hk org.hk com.tw edu.tw org.tw "
+    "com.sg edu.sg com.my edu.my co.in ac.in gov.in net.in org.in co.kr ac.kr or.kr co.za ac.za org.za com.mx org.mx com.ar com.tr edu.tr co.il ac.il org.il co.id ac.id "
+    "com.pl edu.pl com.ua com.ru com.es org.es com.pt com.gr com.eg com.ng com.pk com.ph com.vn com.co com.pe com.ve co.th ac.th github.io gitlab.io blogspot.com".split()
+)
+MOST_SUFFIXES = 20_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,54 +57,77 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULE
     return F.array_max(F.filter(fits, lambda r: F.startswith(path, F.substr(r["rule"], F.instr(r["rule"], "/")))))
 
 
-def _strength(units: DataFrame, total: DataFrame, name: str) -> DataFrame:
-    """One row: pseudo-counts of the prior of units (n, k) around the rate of total (n0, k0)."""
-    p = F.col("k0") / F.col("n0")
-    s = units.crossJoin(F.broadcast(total)).agg(
-        F.count("*").alias("m"), F.sum("n").alias("nn"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.max("n0").alias("n0"), F.max("k0").alias("k0"),
-        F.sum(F.col("k") * F.col("k") / F.col("n")).alias("kk"),
-    )
-    pq = p * (1 - p)
-    spread = F.col("kk") - F.col("k0") * p  # sum of n * (rate - p)^2
-    scale = F.col("nn") - F.col("n2") / F.col("nn") - (F.col("m") - 1)
-    rho = F.when((pq > 0) & (scale > 0), (spread / F.nullif(pq, F.lit(0.0)) - (F.col("m") - 1)) / F.nullif(scale, F.lit(0.0)))
-    held = F.least(F.greatest(F.coalesce(rho, F.lit(0.0)), F.lit(0.001)), F.lit(0.5))
-    return s.select((1 / held - 1).alias(name))
-
-
-def reputation(labelled: DataFrame) -> DataFrame:
-    """labelled (host, good 0/1) -> one row for each host: host, n_labelled, upper_bound; needs a row at least."""
-    hosts = labelled.where("host IS NOT NULL AND good IN (0, 1)").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("k"))
-    hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    total = suffixes.agg(F.sum("n").alias("n0"), F.sum("k").alias("k0"))
-    fixed = total.crossJoin(_strength(suffixes, total, "s1")).crossJoin(_strength(domains, total, "s2")).crossJoin(_strength(hosts, total, "s3"))  # one row
-    by_suffix = suffixes.crossJoin(F.broadcast(fixed)).select("suffix", "s2", "s3", ((F.col("k") + F.col("s1") * F.col("k0") / F.col("n0")) / (F.col("n") + F.col("s1"))).alias("m1"))
-    by_domain = domains.join(by_suffix, "suffix").select("domain", "s3", ((F.col("k") + F.col("s2") * F.col("m1")) / (F.col("n") + F.col("s2"))).alias("m2"))
-    a, b = F.col("k") + F.col("s3") * F.col("m2"), F.col("n") - F.col("k") + F.col("s3") * (1 - F.col("m2"))
-    found = hosts.join(by_domain, "domain").select("host", F.col("n").alias("n_labelled"), a.alias("a"), b.alias("b"))
-    a, b = F.col("a"), F.col("b")
-    upper = a / (a + b) + Z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return found.select("host", "n_labelled", F.round(upper, 6).alias("upper_bound"))
-
-
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, min_good: float = MIN_GOOD, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def site_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """struct(domain, suffix): the registered domain and public suffix, without user, port and last dot.
+
+    A number address is its own domain, and a name that is a suffix too; addresses have the suffix "address"."""
+    if len(suffixes) > MOST_SUFFIXES:
+        raise ValueError(f"more than {MOST_SUFFIXES} suffixes")
+    name = F.regexp_replace(host, r"^.*@|:[0-9]*$|\.$", "")
+    last = lambda n: F.substring_index(name, ".", -n)
+    two = last(2).isin(*suffixes) if suffixes else F.lit(False)
+    address = name.rlike(r"^(?:[0-9]+(?:\.[0-9]+){3}|\[.*)$")
+    domain = F.when(address, name).when(two, last(3)).otherwise(last(2))
+    return F.struct(domain.alias("domain"), F.when(address, F.lit("address")).when(two, last(2)).otherwise(last(1)).alias("suffix"))
+
+
+def _strengths(hosts: DataFrame) -> dict:
+    """Of labelled hosts (host, domain, suffix, n, k): n0 and k0 altogether, and s1, s2, s3: the pseudo-counts of the priors
+    of suffixes, domains and hosts."""
+    units = [hosts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("k").alias("k")).select(F.lit(i + 1).alias("level"), "n", "k") for i, by in enumerate((["suffix"], ["suffix", "domain"], ["host"]))]
+    sums = units[0].unionByName(units[1]).unionByName(units[2]).groupBy("level")
+    sums = sums.agg(F.count("*").alias("m"), F.sum("n").alias("nn"), F.sum("k").alias("k0"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("kk"))
+    out = {"n0": 0.0, "k0": 0.0}
+    for r in sums.collect():  # three rows
+        n0, k0 = float(r["nn"]), float(r["k0"])
+        p = k0 / n0
+        scale = n0 - r["n2"] / n0 - (r["m"] - 1)
+        rho = ((r["kk"] - k0 * p) / (p * (1 - p)) - (r["m"] - 1)) / scale if p * (1 - p) > 0 and scale > 0 else 0.0
+        out |= {"n0": n0, "k0": k0, f"s{r['level']}": 1 / min(max(rho, 0.001), 0.5) - 1}
+    return out
+
+
+def _upper(a: Column, b: Column) -> Column:
+    return F.round(a / (a + b) + Z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 6)
+
+
+def reputation(hosts: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """hosts (host, pages, n labelled, k of them good) -> host, pages, n_labelled, bound; bound is null without any label."""
+    hosts = cut(hosts.withColumn("site", site_of(F.col("host"), suffixes)).select("host", "pages", "n", "k", "site.domain", "site.suffix"), "hosts")
+    x = _strengths(hosts.where("n > 0"))
+    if not x["n0"]:
+        return hosts.select("host", "pages", F.col("n").alias("n_labelled"), F.lit(None).cast("double").alias("bound"))
+    overall = x["k0"] / x["n0"]
+    by_suffix = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count_distinct("domain").alias("domains"))
+    by_suffix = cut(by_suffix.select("suffix", "domains", ((F.col("k") + x["s1"] * x["k0"] / x["n0"]) / (F.col("n") + x["s1"])).alias("m1")), "suffixes")
+    by_domain = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("*").alias("hosts"))
+    totals = by_suffix.agg(F.sum("domains")).first()[0]
+    m2 = (F.col("k") + x["s2"] * F.coalesce("m1", F.lit(overall))) / (F.col("n") + x["s2"])
+    by_domain = cut(join_hot(by_domain, by_suffix, "suffix", totals, "domains").select("domain", "hosts", m2.alias("m2")), "domains")
+    found = join_hot(hosts, by_domain, "domain", by_domain.agg(F.sum("hosts")).first()[0], "hosts")
+    a, b = F.col("k") + x["s3"] * F.col("m2"), F.col("n") - F.col("k") + x["s3"] * (1 - F.col("m2"))
+    return found.select("host", "pages", F.col("n").alias("n_labelled"), _upper(a, b).alias("bound"))
+
+
+def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, min_good: float = MIN_GOOD, id_col: str = "page_id", url_col: str = "url", suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """One row for each row of pages: page_id, host, path, rule, verdict, n_labelled, upper_bound.
 
     outcomes (page_id, good 0/1) may label any part of the pages; null and other values of good count as no label. A null
-    url or one without :// has an empty host and path, fits no rule and is judged as the host "". Hosts without a label
-    are allowed. Repeated rows are judged alike. An empty table gives an empty table. Other columns are not read.
+    url or one without :// has an empty host and path, fits no rule and is judged as the host "". A host without a label is
+    judged by the bound that its domain or suffix gives it; upper_bound, the evidence of its own pages, is null. Without
+    any label all are allowed. Repeated rows are judged alike. An empty table gives an empty table. Other columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
     rows = rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     good = outcomes.select(F.col("page_id").cast("long").alias("page_id"), F.col("good").cast("int").alias("good")).where("good IN (0, 1)")
-    labelled = rows.select("page_id", "host").join(good, "page_id")
-    known = reputation(labelled)
-    rule = rule_for(F.col("host"), F.col("path"), rules)
-    out = rows.withColumn("r", rule).join(known, "host", "left")
-    own = F.when(F.col("upper_bound") < min_good, F.lit("block")).otherwise(F.lit("allow"))
-    return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), own).alias("verdict"), F.coalesce("n_labelled", F.lit(0)).cast("long").alias("n_labelled"), "upper_bound")
+    labelled = rows.select("page_id", "host").join(good, "page_id").select("host", F.lit(0).alias("pages"), F.lit(1).alias("n"), F.col("good").alias("k"))
+    each = rows.select("host", F.lit(1).alias("pages"), F.lit(0).alias("n"), F.lit(0).alias("k")).unionByName(labelled)
+    known = cut(reputation(each.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("pages", "n", "k")]), suffixes), "reputation")
+    total = known.agg(F.sum("pages")).first()[0] or 0
+    out = join_hot(rows, known, "host", total, "pages").withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
+    own = F.when(F.col("bound") < min_good, F.lit("block")).otherwise(F.lit("allow"))
+    upper = F.when(F.col("n_labelled") > 0, F.col("bound")).alias("upper_bound")
+    return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), own).alias("verdict"), F.col("n_labelled").cast("long").alias("n_labelled"), upper)
 
 
 def linked_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -112,25 +146,29 @@ p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), '{
 q AS (SELECT page_id, regexp_extract(path, '/([0-9]{{1,18}})(?:/|\\.html)?$', 1) AS num, host FROM p),
 good AS (SELECT doc_id, max(quality) AS good FROM labels GROUP BY doc_id),
 l AS (SELECT host, good FROM q JOIN good ON CASE WHEN num <> '' THEN CAST(num AS BIGINT) END = doc_id WHERE good IN (0, 1)),
-h AS (SELECT host, list_reverse(string_split(host, '.')) AS r, CAST(count(*) AS DOUBLE) AS n, CAST(sum(good) AS DOUBLE) AS k FROM l GROUP BY host),
-hosts AS (SELECT host, n, k, r[1] AS suffix, CASE WHEN len(r) > 1 THEN r[2] || '.' || r[1] ELSE r[1] END AS domain FROM h),
+h AS (SELECT host, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(k) AS DOUBLE) AS k, regexp_replace(host, '^.*@|:[0-9]*$|\\.$', '', 'g') AS name
+      FROM (SELECT host, 0 AS n, 0 AS k FROM p UNION ALL SELECT host, 1, good FROM l) GROUP BY host),
+site AS (SELECT *, regexp_matches(name, '^(?:[0-9]+(?:\\.[0-9]+){{3}}|\\[.*)$') AS address, string_split(name, '.') AS r, len(string_split(name, '.')) AS m FROM h),
+ends AS (SELECT *, array_to_string(r[greatest(m - 1, 1):], '.') AS last2, array_to_string(r[greatest(m - 2, 1):], '.') AS last3 FROM site),
+hosts AS (SELECT host, n, k, CASE WHEN address THEN 'address' WHEN last2 IN ({", ".join(f"'{x}'" for x in SUFFIXES)}) THEN last2 ELSE r[m] END AS suffix,
+        CASE WHEN address THEN name WHEN last2 IN ({", ".join(f"'{x}'" for x in SUFFIXES)}) THEN last3 ELSE last2 END AS domain FROM ends),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY suffix, domain),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY suffix),
 total AS (SELECT sum(n) AS n0, sum(k) AS k0 FROM suffixes),
 units AS (SELECT 1 AS lv, n, k FROM suffixes UNION ALL SELECT 2, n, k FROM domains UNION ALL SELECT 3, n, k FROM hosts),
-st AS (SELECT lv, count(*) AS m, sum(n) AS nn, sum(n * n) AS n2, sum(k * k / n) AS kk FROM units GROUP BY lv),
+st AS (SELECT lv, count(*) AS m, sum(n) AS nn, sum(n * n) AS n2, sum(k * k / n) AS kk FROM units WHERE n > 0 GROUP BY lv),
 rho AS (SELECT lv, CASE WHEN k0 / n0 * (1 - k0 / n0) > 0 AND nn - n2 / nn - (m - 1) > 0
         THEN ((kk - k0 * (k0 / n0)) / (k0 / n0 * (1 - k0 / n0)) - (m - 1)) / (nn - n2 / nn - (m - 1)) END AS rho FROM st, total),
 s AS (SELECT lv, 1 / least(greatest(coalesce(rho, 0.0), 0.001), CAST(0.5 AS DOUBLE)) - 1 AS s FROM rho),
 b1 AS (SELECT suffix, (k + s * k0 / n0) / (n + s) AS m1 FROM suffixes, total, s WHERE lv = 1),
 b2 AS (SELECT domain, (k + s * m1) / (n + s) AS m2 FROM domains JOIN b1 USING (suffix), s WHERE lv = 2),
 b3 AS (SELECT host, CAST(n AS BIGINT) AS n_labelled, k + s * m2 AS a, n - k + s * (1 - m2) AS b FROM hosts JOIN b2 USING (domain), s WHERE lv = 3),
-rep AS (SELECT host, n_labelled, round(a / (a + b) + {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 6) AS upper_bound FROM b3),
+rep AS (SELECT host, n_labelled, round(a / (a + b) + {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 6) AS bound FROM b3),
 rules AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}')" for v, r in RULES)}) AS x(verdict, rule, h, pa)),
 fit AS (SELECT DISTINCT host, path, first(rule ORDER BY length(rule) DESC) OVER (PARTITION BY host, path ORDER BY length(rule) DESC) AS rule
         FROM (SELECT DISTINCT host, path FROM p) d JOIN rules ON (d.host = h OR ends_with(d.host, '.' || h)) AND starts_with(d.path, pa))
 SELECT p.page_id, p.host, p.path, fit.rule,
-       coalesce(rules.verdict, CASE WHEN rep.upper_bound < {MIN_GOOD} THEN 'block' ELSE 'allow' END) AS verdict,
-       coalesce(n_labelled, 0) AS n_labelled, upper_bound
+       coalesce(rules.verdict, CASE WHEN rep.bound < {MIN_GOOD} THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(n_labelled, 0) AS n_labelled, CASE WHEN n_labelled > 0 THEN bound END AS upper_bound
 FROM p LEFT JOIN fit ON p.host = fit.host AND p.path = fit.path LEFT JOIN rules ON rules.rule = fit.rule LEFT JOIN rep ON rep.host = p.host
 """

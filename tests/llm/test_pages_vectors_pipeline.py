@@ -2,8 +2,10 @@
 
 import html as entities
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import same
 from pyspark.sql import functions as F
@@ -33,6 +35,33 @@ END = """<ul class="related"><li><a href=1>More of the same that you may like</a
 <section id="comments"><p>I like it a lot and so do all of the people that I know of in the town of the hills.</p></section><form><input><label>Email</label></form><footer>&copy; me</footer>"""
 
 
+def test_densities_and_neighbours_decide(spark, sf):
+    """Inside the articles of the pages, text is decided by the first pass or by neighbours, not by the element."""
+    seen = {}
+    for r in table(spark, sf, "pages").collect():
+        for b in html.blocks_of(r["html"]):
+            kind = "name" if b.bad == 2 else html.first_pass(b)
+            seen[(bool(b.main), kind)] = seen.get((bool(b.main), kind), 0) + 1
+    assert seen[(True, "good")] > 100 and seen[(True, "short")] > 100 and (True, "name") not in seen
+    links = "".join(f"<a href={i}>{w}</a> " for i, w in enumerate(LINES[0].split()))
+    assert html.main_text(f"<article><p>{LINES[0]}</p><div>{links}</div><p>{LINES[2]}</p></article>") == f"{LINES[0]}\n{LINES[2]}"
+    lost = "<p>" + "</p><p>".join([LINES[0], "zzz qqq " * 20, LINES[2]]) + "</p>"  # no stop words, but between text
+    assert html.main_text(f"<article>{lost}</article>").count("\n") == 2
+
+
+def test_names_of_whole_pages_and_long_markup():
+    for name in ("has-sidebar", "content-with-sidebar", "side-by-side", "legal", "comments-open", "no-comments", "search-results-story", "article-share-wrap"):
+        for page in ("<div class='{}'><article><p>{}</p></article></div>", "<article><div class='{}'><p>{}</p></div></article>", "<body><div class='{}'><p>{}</p></div></body>"):
+            assert html.main_text(page.format(name, LINES[0])) == LINES[0], (name, page)
+    notice = f"<div class='notice'><p>{LINES[2]}</p></div>"
+    assert html.main_text(f"{notice}<article><p>{LINES[0]}</p></article>") == LINES[0]  # text of its own only without an article
+    assert html.main_text("<article><p title='x>b</p><p>c</p></article>") == "b\nc"
+    for part in ("<div></b>", "<div>", "</div>", "<p title='x>"):
+        began = time.perf_counter()
+        html.main_text(part * 100_000)
+        assert time.perf_counter() - began < 5, part
+
+
 def test_block_rules_without_an_article_element():
     body = "".join(f"<p>{x}</p>" for x in LINES)
     page = f"<html><head><title>T</title><script>if (a < b) '<p>x</p>'</script></head><body>{BAD}<div id=content><h2>A story</h2>{body}</div>{END}</body></html>"
@@ -107,6 +136,26 @@ def test_reputation_shrinks_and_blocks(spark):
     assert judged(spark, []) == []
 
 
+def test_unlabelled_hosts_inherit(spark):
+    """A new host is judged by its domain, one of a new domain by its suffix."""
+    rows = [f"http://a{i % 5}.fine.com/{i}" for i in range(100)] + [f"http://b{i % 5}.bad.org/{i}" for i in range(100)] + [f"http://c{i}.worse.xyz/{i}" for i in range(60)]
+    new = ["http://new.fine.com/", "http://new.bad.org/", "http://other.xyz/", "http://other.com/"]
+    outcomes = [(i, 1) for i in range(100)] + [(100 + i, 0) for i in range(160)]
+    by = {r["host"]: r for r in judged(spark, rows + new, outcomes)}
+    assert [by[h]["verdict"] for h in ("new.fine.com", "new.bad.org", "other.xyz", "other.com")] == ["allow", "block", "block", "allow"]
+    assert all(by[h.split("/")[2]]["upper_bound"] is None for h in new)
+    assert {r["verdict"] for r in judged(spark, rows)} == {"allow"}
+
+
+def test_registered_domains(spark):
+    want = {
+        "shop.co.uk": ("shop.co.uk", "co.uk"), "www.other.co.uk": ("other.co.uk", "co.uk"), "x.com:8080": ("x.com", "com"), "u@w.x.org.": ("x.org", "org"),
+        "10.0.0.1": ("10.0.0.1", "address"), "10.0.0.1:80": ("10.0.0.1", "address"), "[::1]": ("[::1]", "address"), "localhost": ("localhost", "localhost"), "": ("", ""), "co.uk": ("co.uk", "co.uk"),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "h string").select("h", urls.site_of(F.col("h")).alias("s"))
+    assert {r["h"]: (r["s"]["domain"], r["s"]["suffix"]) for r in df.collect()} == want
+
+
 def test_search_against_brute_force(spark):
     v = table(spark, "/root/testdata/sf0.1", "embeddings")
     x = v.toPandas()
@@ -139,6 +188,56 @@ def test_all_lists_within_the_ratio_are_visited(k):
     assert np.bincount([i for i, _ in near]).max() > ann.PROBES
 
 
+def clustered(n, clusters, spread, seed):
+    r = np.random.default_rng(seed)
+    c = r.normal(size=(clusters, 32))
+    share = r.dirichlet(np.full(clusters, 0.3))
+    x = c[r.choice(clusters, n, p=share)] + spread * r.normal(size=(n, 32))
+    return (x * r.uniform(0.5, 1.5, (n, 1))).astype(np.float32)
+
+
+@pytest.mark.parametrize("n", [4000, 20_000])
+def test_lists_are_balanced_and_few_are_scanned(spark, n, monkeypatch):
+    seen = {}
+    visited = ann.ratio_for
+    monkeypatch.setattr(ann, "ratio_for", lambda q, c, rows, enough, lists: seen.update(rows=rows, c=c, ratio=visited(q, c, rows, enough, lists)) or seen["ratio"])
+    x = clustered(n, 60, 0.5, 1)
+    x[: n // 3] = x[0] + 1e-3 * x[: n // 3]  # a group of near copies
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float32()))}).to_pandas())
+    got = ann.search(frame, k=10).toPandas()
+    rows, c = seen["rows"], seen["c"]
+    assert rows.max() <= 4 * rows.mean()
+    m, recall, asked = x.astype(float), [], np.arange(0, n, 20)[:200]
+    by = {q: set(g["vec_id"]) for q, g in got.groupby("query_id")}
+    for q in asked:
+        s = m @ m[q]
+        s[q] = -np.inf
+        recall.append(len(by[q] & set(np.argpartition(-s, 10)[:10])) / 10)
+    n2 = (m**2).sum(1)
+    query, which = ann.visited(ann.as_queries(x[asked], n2[asked], n2.max()), c, ann.graph_of(c), rows, ann.ENOUGH * 10, seen["ratio"])
+    scanned = rows[which].sum() / (len(asked) * n)
+    assert np.mean(recall) >= 0.9 and min(recall) >= 0.5 and scanned < 0.2, (np.mean(recall), min(recall), scanned)
+
+
+def test_search_of_equal_vectors_and_repeated_ids(spark):
+    """Copies of a vector are one entry and come out by id; rows with one id are one candidate."""
+    r = np.random.default_rng(2)
+    x = np.round(r.normal(size=(40, 4)), 1).astype(np.float32)
+    rows = [(int(i), x[r.integers(0, 40)].tolist()) for i in r.integers(0, 300, 500)]
+    got = {}
+    for g in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=7).collect():
+        got.setdefault(g["query_id"], []).append((g["rank"], g["vec_id"], round(g["score"], 9)))
+    want = {}
+    for q in {i for i, _ in rows if i % 20 == 0}:
+        best = {}
+        for _, a in (z for z in rows if z[0] == q):
+            for i, b in rows:
+                if i != q:
+                    best[i] = max(best.get(i, -np.inf), float(np.dot(np.array(a, np.float32).astype(float), np.array(b, np.float32).astype(float))))
+        want[q] = [(n + 1, i, round(s, 9)) for n, (i, s) in enumerate(sorted(best.items(), key=lambda z: (-z[1], z[0]))[:7])]
+    assert {q: sorted(f) for q, f in got.items()} == want
+
+
 def test_search_ties_edges_and_lengths(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [2.0, 1.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (5, [5.0, 5.0]), (6, [0.0, 0.0]), (7, None), (8, [nan, 1.0]), (9, [inf, 1.0]), (10, [1.0]), (11, [None, 1.0]), (None, [1.0, 1.0]), (40, [0.0, 0.0]), (5, [5.0, 5.0])]

@@ -349,6 +349,106 @@ def test_stock_phrases_are_no_leaks(spark):
     assert {r["doc_id"] for r in decontaminate.clean(docs(spark, rows), items).collect()} == set(range(5))
 
 
+def brute_tokens(text):
+    """(template token, word) by plain rules: units after numbers, capitals inside a sentence as names."""
+    units, out, last = set(decontaminate.UNITS.split()), [], ""
+    for m in re.finditer(r"[^\W_]+", text):
+        raw, before = m[0], text[max(0, m.start() - 2) : m.start()]
+        glued = re.fullmatch(r"(\d+)([^\W\d_]+)", raw)
+        if glued and glued[2].lower() in units:
+            out += [(decontaminate.NUMBER, glued[1]), (decontaminate.UNIT, glued[2].lower())]
+        elif raw.isdigit():
+            out.append((decontaminate.NUMBER, raw))
+        elif raw.lower() in units and last.isdigit() and len(before.strip()) <= 1 and text[m.start() - 1] == " " and text[m.start() - 2].isdigit():
+            out.append((decontaminate.UNIT, raw.lower()))
+        elif raw[0].isupper() and len(before) == 2 and before[1] == " " and (before[0].islower() or before[0].isdigit() or before[0] in ",;"):
+            out.append((decontaminate.NAME, raw.lower()))
+        else:
+            out.append((raw.lower(), raw.lower()))
+        last = raw
+    return out
+
+
+def brute_leaks(docs_, items_):
+    """All pairs, all alignments, whole items."""
+    found = {}
+    for d, text in docs_:
+        ours = brute_tokens(text)
+        for i, asked in items_:
+            theirs = brute_tokens(asked)
+            need = min(13, len(theirs))
+            for shift in range(-len(theirs) + 1, len(ours)):
+                z = [(theirs[k], ours[k + shift]) for k in range(max(0, -shift), min(len(theirs), len(ours) - shift))]
+                same = [a[1] == b[1] for a, b in z]
+                agree = [a[0] == b[0] or a[1] == b[1] for a, b in z]
+                slots = {decontaminate.NAME, decontaminate.UNIT, decontaminate.NUMBER}
+
+                def ok(part):
+                    pairs = {(a, b) for a, b in part if a[0] == b[0] and a[0] in slots}
+                    words = sum(not (a[0] == b[0] and a[0] in slots) for a, b in part)
+                    return words >= 5 and len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
+
+                def runs(flags):
+                    lo = 0
+                    for k, f in enumerate([*flags, False]):
+                        if not f:
+                            yield lo, k
+                            lo = k + 1
+
+                like = any(b - a >= need and ok(z[a:b]) for a, b in runs(agree))
+                share = [p for p, f in zip(z, agree, strict=True) if f]
+                # an alignment is met by a key: eight agreeing tokens in a row, or all of a short item
+                key = any(b - a >= min(8, len(theirs)) for a, b in runs(agree))
+                if like or (key and len(share) >= 0.8 * len(theirs) and ok(share)) or any(b - a >= need for a, b in runs(same)):
+                    found[(d, i)] = True
+    return set(found)
+
+
+def test_leaks_against_all_alignments(spark):
+    """Copies, other values, other case, cuts at all lengths, at any offset: as a plain comparison of all alignments."""
+    r = random.Random(6)
+    words = [f"w{c}{d}" for c in "abcdefgh" for d in "klmnop"]
+    items_, docs_ = [], []
+    for i in range(30):
+        w = r.choices(words, k=r.randint(9, 30))
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(1, len(w))] = r.choice(("Anna", "17", "30 kg", "5", "Bob"))
+        items_.append((i, " ".join(w) + "."))
+    for d in range(240):
+        i, text = r.choice(items_)
+        w = text.rstrip(".").split(" ")
+        kind = d % 6
+        if kind == 1:
+            w = [{"17": "23", "30": "45", "5": "9", "Anna": "Carl", "Bob": "Dora"}.get(x, x) for x in w]
+        elif kind == 2:
+            w = [x.lower() for x in w] if d % 12 == 2 else [x.upper() for x in w]
+        elif kind == 3:
+            lo = r.randrange(len(w))
+            w = w[lo : lo + r.randint(6, 20)]
+        elif kind == 4:
+            w[r.randrange(len(w))] = "other"
+            w[r.randrange(len(w))] = "another"
+        elif kind == 5:
+            w = r.choices(words, k=20)
+        docs_.append((d, " ".join([*r.choices(words, k=r.randint(0, 9)), *w, *r.choices(words, k=3)])))
+    want = brute_leaks(docs_, items_)
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(docs(spark, docs_), spark.createDataFrame(items_, "item_id long, text string")).collect()}
+    assert 100 < len(want) < 240 and got == want
+
+
+def test_leaks_do_not_depend_on_other_items_or_case(spark):
+    run = "river stone cloud seven maple tower quiet window garden lantern copper bridge feather"
+    dense = "What is 3 x 4 + 5 x 6 - 7 x 8 + 9 x 10 - 11 x 12 ?"
+    named = "In spring Anna and Bob walk from Berlin to the old mill and count all of the birds"
+    items = [(1, run + " and more words that no document has"), (2, dense), (3, named)]
+    rows = [(i, "so " * i + run + " then it ends") for i in range(8)] + [(20, "so we ask: " + dense), (21, dense.upper()), (30, named.lower()), (31, named.upper()), (32, named.replace("Anna", "Eva"))]
+    want = {(i, 1) for i in range(8)} | {(20, 2), (21, 2), (30, 3), (31, 3), (32, 3)}
+    for more in ([], [(9, "eight little tokens that stand for no one")], [(9, "word")]):
+        got = decontaminate.leaks(docs(spark, rows), spark.createDataFrame(items + more, "item_id long, text string")).collect()
+        assert {(x["doc_id"], x["item_id"]) for x in got} == want
+    assert {x["doc_id"]: x["reparameterised"] for x in got if x["item_id"] == 3} == {30: False, 31: False, 32: True}
+
+
 def test_leaks_by_shuffle_join_are_the_same(spark, sf, monkeypatch):
     d, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     one = {tuple(r) for r in decontaminate.leaks(d, items).collect()}
