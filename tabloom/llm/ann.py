@@ -40,7 +40,7 @@ WANTED_RECALL, WANTED_HALF, TRIALS, ENOUGH = 0.93, 0.995, 400, 16
 PROBES, PROBE_RATIO = 36, 1.25
 BLOCK_ROWS = 2048
 #: Neighbours of a centroid in the graph; centroids among which a walk starts; found entries that a task holds unmerged.
-DEGREE, STARTS, HELD = 24, 256, 1_000_000
+DEGREE, STARTS, HELD = 24, 256, 250_000
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -319,21 +319,17 @@ def _visits(batches: Iterator[pa.RecordBatch], dim: int, c: np.ndarray, graph: n
             yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), part.column("rep").take(pa.array(row)), part.column("v").take(pa.array(row))], ["list", "rep", "v"])
 
 
-def best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of x (ids: distinct) for each query: (row of q, id, score), and more where they tie nearly."""
+def best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of x (ids: distinct) for each query, and more where they tie nearly: (row of q, id, score).
+
+    floor: scores under which nothing is wanted."""
     q, x = q.astype(np.float64), x.astype(np.float64)
     s = q @ x.T
-    m = min(len(x), k + 12)
-    at = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(x) else np.tile(np.arange(m), (len(q), 1))
-    if m < len(x):  # all that might be among the k best are looked at
-        some = -np.sort(-np.take_along_axis(s, at, 1), axis=1)
-        close = np.flatnonzero(some[:, m - 1] >= some[:, k - 1] - 1e-6 * (1 + np.abs(some[:, k - 1])))
-    else:
-        close = np.empty(0, int)
-    row, at = np.repeat(np.arange(len(q)), m), at.ravel()
-    if len(close):
-        keep = ~np.isin(row, close)
-        row, at = np.concatenate([row[keep], np.repeat(close, len(x))]), np.concatenate([at[keep], np.tile(np.arange(len(x)), len(close))])
+    edge = np.full(len(q), -np.inf) if floor is None else floor
+    if len(x) > k:
+        edge = np.maximum(edge, np.partition(s, len(x) - k, axis=1)[:, len(x) - k])
+    edge = np.where(np.isfinite(edge), edge - 1e-6 * (1 + np.abs(edge)), -np.inf)
+    row, at = np.nonzero(s >= edge[:, None])
     # a product of matrices may differ in the last bits from row to row: the best are summed again, alike for all
     score = np.concatenate([(x[at[i : i + 100_000]] * q[row[i : i + 100_000]]).sum(axis=1) for i in range(0, len(at), 100_000)] or [np.empty(0)])
     return row, ids[at], score
@@ -357,43 +353,80 @@ def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> lis
 def _search(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (list, block, is_query): a block's vectors are held until its queries have passed.
 
-    What the blocks of a task find is merged before it is sent."""
-    key, held, asked = None, [], []
+    What the blocks of a task find is merged before it is sent; what is worse than the k best so far isn't looked at."""
+    key, ids, held = None, [], []
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = merged = 0
-
-    def done() -> None:
-        nonlocal found, size, merged
-        if held and asked:
-            x = np.frombuffer(b"".join(v for _, v in held), np.float32).reshape(-1, dim)
-            q = np.frombuffer(b"".join(v for _, v in asked), np.float32).reshape(-1, dim)
-            row, rep, score = best_of(q, x, np.array([i for i, _ in held], np.int64), k)
-            found.append((np.array([i for i, _ in asked], np.int64)[row], rep, score))
+    known, floors = np.empty(0, np.int64), np.empty(0)
+
+    def merge() -> None:
+        nonlocal found, size, merged, known, floors
+        found = _best(found, k)
+        query, _, score = found[0]
+        known, start, count = np.unique(query, return_index=True, return_counts=True)
+        floors = np.where(count >= k, score[np.minimum(start + k, start + count) - 1], -np.inf)
+        size = merged = len(query)
+
+    def ask(reps: np.ndarray, q: np.ndarray) -> None:
+        nonlocal size
+        x, rows = np.concatenate(held), np.concatenate(ids)
+        for lo in range(0, len(q), 1024):
+            own = reps[lo : lo + 1024]
+            floor = np.full(len(own), -np.inf)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                floor = np.where(known[at] == own, floors[at], -np.inf)
+            row, rep, score = best_of(q[lo : lo + 1024], x, rows, k, floor)
+            found.append((own[row], rep, score))
             size += len(row)
             if size - merged > HELD:
-                found = _best(found, k)
-                size = merged = len(found[0][0])
+                merge()
 
     def batch_of(x: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        columns = x[0] if x else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query", "rep", "score"])
+        """A row for each query."""
+        query, rep, score = x[0] if x else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        one, start = np.unique(query, return_index=True)
+        ends = pa.array(np.append(start, len(query)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(one), pa.ListArray.from_arrays(ends, pa.array(rep)), pa.ListArray.from_arrays(ends, pa.array(score))], ["query", "reps", "scores"])
 
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("list", "block", "is_query", "rep", "v")], strict=True):
-            if row[:2] != key:
-                done()
-                key, held, asked = row[:2], [], []
-            (asked if row[2] else held).append(row[3:])
-            if len(asked) >= 1024:
-                done()
-                asked = []
-        if size > 10 * HELD:  # more queries than a task can hold
+        if not batch.num_rows:
+            continue
+        parts = [np.asarray(batch.column(c).cast(pa.int64())) for c in ("list", "block", "is_query")]
+        reps, v = np.asarray(batch.column("rep")), _matrix(batch.column("v"), dim)
+        changes = np.flatnonzero(np.any([p[1:] != p[:-1] for p in parts], axis=0)) + 1
+        for lo, hi in zip([0, *changes], [*changes, batch.num_rows], strict=True):
+            at = parts[0][lo], parts[1][lo]
+            if at != key:
+                key, ids, held = at, [], []
+            if not parts[2][lo]:
+                ids.append(reps[lo:hi])
+                held.append(v[lo:hi])
+            elif held:
+                ask(reps[lo:hi], v[lo:hi])
+        if merged > 10 * HELD:  # more queries than a task can hold
             yield batch_of(_best(found, k))
-            found, size, merged = [], 0, 0
-    done()
+            found, size, merged, known, floors = [], 0, 0, np.empty(0, np.int64), np.empty(0)
     yield batch_of(_best(found, k))
 
 
+def _merge(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """What tasks found for the queries of this task, merged: (query, rep, score), the k best of each."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = merged = 0
+    for batch in batches:
+        reps, scores = batch.column("reps"), batch.column("scores")
+        query = np.repeat(np.asarray(batch.column("query")), np.asarray(reps.value_lengths()))
+        found.append((query, np.asarray(reps.flatten()), np.asarray(scores.flatten())))
+        size += len(query)
+        if size - merged > HELD:
+            found = _best(found, k)
+            size = merged = len(found[0][0])
+    for query, rep, score in _best(found, k):
+        for lo in range(0, len(query), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in (query, rep, score)], ["query", "rep", "score"])
+
+
 def _split(rows: pd.DataFrame, dim: int, most: float) -> pd.DataFrame:
     """The cuts of one list, from its entries in the sample."""
     x = lifted(np.frombuffer(b"".join(rows["v"]), np.float32).reshape(-1, dim), rows["n2"].to_numpy(), most)
@@ -498,10 +531,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     def nearest(visits: DataFrame) -> DataFrame:
         met = visits.join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_query"), "rep", "v")
         met = posted.unionByName(met).repartition("list", "block").sortWithinPartitions("list", "block", "is_query")
-        found = met.mapInArrow(partial(_search, dim=dim, k=k + 1), "query long, rep long, score double")
-        best = found.groupBy("query", "rep").agg(F.max("score").alias("score"))
-        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))
-        return best.withColumn("rank", rank).where(F.col("rank") <= k + 1).drop("rank")
+        found = met.mapInArrow(partial(_search, dim=dim, k=k + 1), "query long, reps array<long>, scores array<double>")
+        return found.repartition("query").mapInArrow(partial(_merge, k=k + 1), "query long, rep long, score double")
 
     visit = partial(_visits, dim=dim, c=c, graph=graph, most=most, rows=sizes_of, enough=enough, ratio=ratio)
     found = cut(nearest(queries.mapInArrow(visit, "list int, rep long, v binary")), "found")
