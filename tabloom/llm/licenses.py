@@ -1,11 +1,15 @@
 """License scans (7): canonical digest lookup.
 
 A text, and each of its paragraphs and lines, is brought to a canonical form (case, punctuation, copyright lines and
-equivalent spellings), digested, and hash-joined with the digests of known licence texts.
+equivalent spellings), digested, and hash-joined with the digests of known texts: whole licences (short ones below, long ones
+in licence_texts/), their standard headers, and the one-line notices that NAMES and NOTICES make.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,54 +45,112 @@ _BSD_END = (
     "USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
     "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
-#: (licence, text); a licence may have several texts. A scan may be given any other list.
-KNOWN = (
-    ("MIT", f"MIT License\n{_MIT_GRANT}, subject to the following conditions:\n{_MIT_NOTICE}\n{_MIT_WARRANTY}"),
+_ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_WARRANTY = (
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+    "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n"
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n"
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n"
+    "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution."
+)
+_APACHE_HEADER = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n'
+    "http://www.apache.org/licenses/LICENSE-2.0\n"
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
+    "either express or implied. See the License for the specific language governing permissions and limitations under the License."
+)
+_MPL_HEADER = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+
+
+def _gnu_header(name: str, version: str, later: bool = True) -> str:
+    which = f"either version {version} of the License, or (at your option) any later version" if later else f"version {version}"
+    return f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, {which}."
+
+
+_GNU = {"GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License", "AGPL": "GNU Affero General Public License"}
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+#: licence -> how one-line notices name it.
+NAMES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License",), "ISC": ("ISC License",), "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License", "Modified BSD License"), "Zlib": ("zlib License",), "Unlicense": ("Unlicense",),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"), "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL 2.0"),
+    "CC0-1.0": ("CC0 1.0 Universal", "CC0 1.0"),
+    **{f"{k}-{v}": (f"{n}, version {v[0] if v.endswith('.0') else v}", f"{n} v{v}", f"{n} {v}", f"GNU {k} v{v[0] if v.endswith('.0') else v}", f"{k}-{v}") for k, n in _GNU.items() for v in (("2.1", "3.0") if k == "LGPL" else ("3.0",) if k == "AGPL" else ("2.0", "3.0"))},
+    **{f"CC-{k}-4.0": (f"CC {k} 4.0", f"CC-{k}-4.0", f"Creative Commons {n} 4.0 International License", f"Creative Commons {n} 4.0 License") for k, n in _CC.items()},
+}
+NOTICES = (
+    *(f"{verb} under {{}}" for verb in ("Licensed", "Released", "Distributed", "Available", "Published", "Provided")),
+    *(f"This {thing} is {verb} under {{}}" for thing in ("work", "file", "software", "project", "document", "text", "page") for verb in ("licensed", "released", "distributed")),
+)
+_LONG = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")
+
+
+def _notices() -> list[tuple[str, str]]:
+    made = [(k, n.format(f"{article}{name}.")) for k, names in NAMES.items() for name in names for article in ("the ", "") for n in NOTICES]
+    return [x for x in made if _signed(x[1])] + [(k, f"SPDX-License-Identifier: {k}") for k in NAMES]
+
+
+def _signed(text: str) -> bool:
+    return any(sign in text.lower() for sign in SIGNS)
+
+
+#: Every known text has one of these; units without are not digested.
+SIGNS = ("licen", "permission", "redistribution", "copyright")
+#: (licence, text); a licence may have several texts. A scan may be given any other list or table.
+KNOWN: tuple[tuple[str, str], ...] = (
     ("MIT", f"{_MIT_GRANT}, subject to the following conditions:\n{_MIT_NOTICE}\n{_MIT_WARRANTY}"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
+    ("MIT", f"MIT License\n{_MIT_GRANT}, subject to the following conditions:\n{_MIT_NOTICE}\n{_MIT_WARRANTY}"),
+    ("MIT", f"The MIT License (MIT)\n{_MIT_GRANT}, subject to the following conditions:\n{_MIT_NOTICE}\n{_MIT_WARRANTY}"),
     ("MIT-0", f"MIT No Attribution\n{_MIT_GRANT}.\n{_MIT_WARRANTY}"),
     ("BSD-2-Clause", f"{_BSD_HEAD}\n{_BSD_1}\n{_BSD_2}\n{_BSD_END}"),
+    ("BSD-2-Clause", f"BSD 2-Clause License\n{_BSD_HEAD}\n{_BSD_1}\n{_BSD_2}\n{_BSD_END}"),
     ("BSD-3-Clause", f"{_BSD_HEAD}\n{_BSD_1}\n{_BSD_2}\n{_BSD_3}\n{_BSD_END}"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "Released under CC0 1.0 Universal: to the extent possible under law, all copyright is waived."),
+    ("BSD-3-Clause", f"BSD 3-Clause License\n{_BSD_HEAD}\n{_BSD_1}\n{_BSD_2}\n{_BSD_3}\n{_BSD_END}"),
+    ("ISC", f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_WARRANTY}"),
+    ("ISC", f"ISC License\n{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n{_ISC_WARRANTY}"),
+    ("0BSD", f"{_ISC_GRANT}.\n{_ISC_WARRANTY}"),
+    ("Zlib", _ZLIB),
+    ("Zlib", f"zlib License\n{_ZLIB}"),
+    ("Apache-2.0", _APACHE_HEADER),
+    ("MPL-2.0", _MPL_HEADER),
+    *((f"{k}-{v}.0", _gnu_header(n, v, later)) for k, n in _GNU.items() for v in ("2", "3") if (k, v) not in (("LGPL", "2"), ("AGPL", "2")) for later in (True, False)),
+    *((name, resources.files(__package__).joinpath(f"licence_texts/{name}.txt").read_text("utf-8")) for name in _LONG),
+    *_notices(),
 )
-#: Every known text has one of these; units without are not digested.
-SIGNS = ("licen", "permission", "redistribution", "copyright")
-#: Digests are broadcast, so their number is bounded.
+#: Digests are broadcast up to this number, shuffled beyond.
 MOST_KNOWN = 100_000
+#: Lines that name a holder or a year; not those of a text that happen to begin with the word.
+_HOLDER = r"(?m)^[^\p{L}\p{N}(©]*(?:copyright\s*(?:\(c\)|©|[0-9<\[{]|by\s)|\(c\)\s*(?:copyright\s*)?[0-9<\[{]|©)[^\n]*$|(?m)^[^\p{L}\p{N}]*all rights reserved[^\n]*$"
 
 
 def canonical(text: Column) -> Column:
     """Lower case; no copyright lines; one spelling; letters and digits with single spaces."""
-    low = F.regexp_replace(F.lower(text), r"(?m)^[^\p{L}\p{N}(©]*(?:copyright|\(c\)|©)[^\n]*$|(?m)^[^\p{L}\p{N}]*all rights reserved[^\n]*$", " ")
+    low = F.regexp_replace(F.lower(text), _HOLDER, " ")
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     for old, new in SPELLINGS.items():
         plain = F.replace(plain, F.lit(f" {old} "), F.lit(f" {new} "))
     return F.trim(plain)
 
 
-def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: Sequence[tuple[str, str]] | DataFrame = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document and licence found in it: doc_id, license, whole, n_units.
 
-    whole: the text as a whole is the licence; n_units: how many of its distinct units (text, paragraphs, lines) are.
-    Null and empty texts and null ids have no row; rows of one doc_id are one document; an empty table gives an empty
-    table. A known text that occurs in two licences gives a row for each. Other columns are not read.
+    known: pairs or a table (license, text); each text must hold one of SIGNS. whole: the text as a whole is the licence;
+    n_units: how many of its distinct units (text, paragraphs, lines) are. Null and empty texts and null ids have no row; rows
+    of one doc_id are one document; an empty table gives an empty table. A known text that occurs in two licences gives a row
+    for each. Other columns are not read.
     """
-    if len(known) > MOST_KNOWN:
-        raise ValueError(f"more than {MOST_KNOWN} known texts")
-    if unmarked := [name for name, text in known if not any(s in text.lower() for s in SIGNS)]:
-        raise ValueError(f"known texts without one of {SIGNS}: {unmarked}")
-    spark = docs.sparkSession
-    table = spark.createDataFrame(list(known), "license string, text string").select("license", F.md5(canonical(F.col("text"))).alias("digest")).distinct()
+    if isinstance(known, DataFrame):
+        texts, small = known.select("license", "text"), known.limit(MOST_KNOWN + 1).count() <= MOST_KNOWN
+    else:
+        if unmarked := [name for name, text in known if not _signed(text)]:
+            raise ValueError(f"known texts without one of {SIGNS}: {unmarked}")
+        texts, small = docs.sparkSession.createDataFrame(list(known), "license string, text string"), len(known) <= MOST_KNOWN
+    table = texts.select("license", F.md5(canonical(F.col("text"))).alias("digest")).distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
 
     def signed(c: Column) -> Column:
@@ -100,12 +162,13 @@ def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, id_col: st
     some = rows.where(signed(F.col("text")))
     units = F.array_distinct(F.concat(F.array("text"), F.split("text", r"\n[ \t\r]*\n"), F.split("text", r"\n")))
     each = some.select("doc_id", "text", F.explode(F.filter(units, signed)).alias("unit"))
-    found = each.select("doc_id", (F.col("unit") == F.col("text")).alias("whole"), F.md5(canonical(F.col("unit"))).alias("digest")).join(F.broadcast(table), "digest")
+    each = each.select("doc_id", (F.col("unit") == F.col("text")).alias("whole"), F.md5(canonical(F.col("unit"))).alias("digest"))
+    found = each.join(F.broadcast(table) if small else table, "digest")
     return found.groupBy("doc_id", "license").agg(F.bool_or("whole").alias("whole"), F.count("*").alias("n_units"))
 
 
 def _sql_canonical(text: str) -> str:
-    low = rf"regexp_replace(lower({text}), '(?m)^[^\p{{L}}\p{{N}}(©]*(?:copyright|\(c\)|©)[^\n]*$|(?m)^[^\p{{L}}\p{{N}}]*all rights reserved[^\n]*$', ' ', 'g')"
+    low = f"regexp_replace(lower({text}), '{_HOLDER}', ' ', 'g')"
     out = rf"' ' || trim(regexp_replace({low}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
     for old, new in SPELLINGS.items():
         out = f"replace({out}, ' {old} ', ' {new} ')"

@@ -575,6 +575,34 @@ def test_license_forms(spark):
         licenses.scan(docs(spark, []), (("x", "no sign of it"),))
 
 
+def test_whole_licences_in_other_forms(spark):
+    """Entire texts, wrapped anew, with other case, punctuation, years and spellings, are whole; changed ones are not."""
+    import textwrap
+
+    first = {}
+    for name, text in licenses.KNOWN:
+        first.setdefault(name, text)
+    names = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "MIT", "ISC", "0BSD", "Zlib", "BSD-2-Clause", "BSD-3-Clause", "MIT-0")
+    rows, want = [], {}
+    for i, name in enumerate(names):
+        longest = max((t for n, t in licenses.KNOWN if n == name), key=len)
+        paragraphs = longest.split("\n\n")
+        short = "\n\n".join("\n".join(textwrap.wrap(p, 50)) if "opyright (" not in p else p for p in paragraphs)
+        other = re.sub(r"\blicense\b", "licence", longest.upper().lower()).replace('"', "''").replace("http:", "https:")
+        forms = [longest, "Copyright (c) 2031, Someone Else\nAll rights reserved.\n\n" + other, short, longest.upper().replace(",", " ,")]
+        for k, text in enumerate(forms):
+            rows.append((10 * i + k, text))
+            want[10 * i + k] = name
+        rows.append((10 * i + 9, re.sub(r"(?i)\b(any|software)\b", "thing", longest, count=1)))
+    got = {}
+    for r in licenses.scan(docs(spark, rows)).where("whole").collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert all(got.get(d) == {name} for d, name in want.items()), {d: (name, got.get(d)) for d, name in want.items() if got.get(d) != {name}}
+    assert not any(d % 10 == 9 for d in got)
+    table_ = spark.createDataFrame([("Own", "You have permission to read this text.")], "license string, text string")
+    assert [tuple(r) for r in licenses.scan(docs(spark, [(1, "you have Permission: to read -- this text")]), table_).collect()] == [(1, "Own", True, 1)]
+
+
 def test_shards_hold_all_rows_evenly(spark, sf, tmp_path):
     d = table(spark, sf, "documents")
     out = sharding.shard(d.select("doc_id", "text", "lang"), bucket_bytes=40_000)
