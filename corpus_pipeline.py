@@ -1,7 +1,9 @@
 """The corpus pipeline: documents through five stages of tabloom.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read back as the
-next stage's docs. All but the last return the columns of documents.
+next stage's docs. All but the last return the columns of documents, and any others that docs has, whatever their names.
+For all stages: an empty table gives an empty table; repeated rows of an id are kept or dropped together; rows with a null
+id are dropped by no stage, as nothing names them.
 """
 
 from __future__ import annotations
@@ -17,23 +19,42 @@ KEY = "pipeline-key"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents predicted toxic (score >= 0.5) by a model learned from labels outside held_out.
+
+    Null and empty texts are scored like any other; without labels of both classes nothing goes.
+    """
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Word shingles as everywhere: five words and a similarity of 0.8 (op3's contract has 0.85). Null and empty texts are in
+    no group and stay.
+    """
     return near_dup.keep_one(docs, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold an item of benchmark, in any case or with other slot values.
+
+    Null and empty texts hold nothing; an empty benchmark drops nothing.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Private values of text replaced by pseudonyms; all rows stay; n_chars, if there, is counted anew.
+
+    A null text stays null.
+    """
     out = pii.pseudonymise(docs, KEY, count_col=None)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document (another schema than documents). A null text is the end id alone.
+    """
     return packing.pack(docs)
 
 
