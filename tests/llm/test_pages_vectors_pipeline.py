@@ -294,7 +294,7 @@ def test_pipeline_stages(spark, sf, tmp_path):
 def test_pipeline_stages_take_edge_rows(spark, sf):
     schema = table(spark, sf, "documents").schema
     rows = [(1, None, None, None, None), (None, "a b c", "en", "s", 5), (2, "", "en", None, 0), (3, "x " * 50_000, "en", "s", 1), (3, "x " * 50_000, "en", "s", 1)]
-    docs = spark.createDataFrame(rows, schema).withColumns({"component_id": F.lit(1), "score": F.lit("x"), "bucket": F.lit(2)})
+    docs = spark.createDataFrame(rows, schema).withColumns({c: F.lit(c) for c in ("component_id", "score", "bucket", "_bad", "_dropped", "_held", "__found", "__between", "n", "rep", "hub", "copies")})
     for some in (docs, docs.where("false")):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, some, sf)
