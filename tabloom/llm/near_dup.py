@@ -30,6 +30,8 @@ SHINGLE_WORDS = 5
 #: Members of a block and the shingles they may hold together.
 BLOCK_MEMBERS = 128
 BLOCK_SHINGLES = 1_500_000
+#: Ids that are broadcast, at most.
+BROADCAST_IDS = 1_000_000
 #: Parts into which the rows of a hub are dealt where they meet what belongs to the hub.
 SALTS = 32
 
@@ -240,6 +242,10 @@ def _blocks(n: Column, shingles: Column) -> Column:
 def _links(star: DataFrame, sizes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) that connect what the links within the groups of star (hub, rep) connect."""
     member = star.join(sizes, "rep")  # hub, rep, n
+    # the texts of members once; those of all others are not shuffled where the members' ids fit in a broadcast
+    ids = cut(star.select(F.col("rep").alias("id")).distinct(), "ids")
+    known = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    rows = cut(rows.join(known, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
     large = cut(member.groupBy("hub").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks")).where("blocks > 1"), "large")
     sized = _with_hub(member, large, "left")
     within = lambda b, i, j: (F.lit(x).cast("int").alias(n) if isinstance(x, int) else x.alias(n) for x, n in ((b, "b"), (i, "i"), (j, "j")))
