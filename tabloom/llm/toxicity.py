@@ -14,6 +14,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -39,47 +40,84 @@ _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 NEAR = 4
 
 
-def features(text: str | None, learned: frozenset[str]) -> list[float]:
-    """The dense features of a whole text; null and empty texts have zeros."""
-    words = text.split() if text else []
-    if not words:
-        return [0.0] * len(FEATURES)
-    n, length = len(words), len(text)
-    bare = [w.strip(_EDGE) for w in text.lower().split()]
-    hits, other, hidden, odd, stretched, you = [], 0, 0, 0, 0, []
-    for i, w in enumerate(bare):
+class _Kinds(dict):
+    """word without edges -> (number, kind); starts anew after `bound` words, so that memory stays bounded."""
+
+    bound = 400_000
+
+    def __init__(self, learned: frozenset[str]):
+        super().__init__()
+        self.learned = learned
+        self.numbers: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> tuple[int, int]:
+        w = word.strip(_EDGE)
+        self[word] = found = self.numbers.setdefault(w, len(self.numbers)), self._kind(w)
+        return found
+
+    def _kind(self, w: str) -> int:
         if w in SEED_LEXICON:
-            hits.append(i)
-        elif w in learned:
-            other += 1
-        elif w in SECOND_PERSON:
-            you.append(i)
-        elif not w.isalpha() and w:
-            odd += 1
+            return SEED
+        if w in self.learned:
+            return LEARNED
+        if w in SECOND_PERSON:
+            return YOU
+        if w and not w.isalpha():
             plain = "".join(_LETTERS.findall(w.translate(_LEET)))
-            if plain in SEED_LEXICON or plain in learned:
-                hidden += 1
-                hits.append(i)
-        elif len(w) > 3 and _STRETCHED.search(w):
-            stretched += 1
-            if _STRETCHED.sub(r"\1", w) in SEED_LEXICON:
-                hidden += 1
-                hits.append(i)
-    near = 0
-    if hits and you:
-        at, where = np.array(sorted(hits)), np.array(you)
-        k = np.searchsorted(where, at - NEAR)
-        near = int(((k < len(where)) & (where[np.minimum(k, len(where) - 1)] <= at + NEAR)).sum())
-    letters = sum(map(str.isupper, text))
-    marks = text.count("!") + text.count("?")
-    known = sum(bare[i] in SEED_LEXICON for i in hits)
-    return [100 * len(hits) / n, float(np.log1p(len(hits))), 100 * (known + other) / n, float(np.log1p(known + other)), 100 * hidden / n, 100 * near / n, 100 * len(you) / n, letters / length, marks / length, odd / n, stretched / n, float(np.log1p(n)), len(set(bare)) / n]
+            return ODD_HIDDEN if plain in SEED_LEXICON or plain in self.learned else ODD
+        if len(w) > 3 and _STRETCHED.search(w):
+            return STRETCHED_HIDDEN if _STRETCHED.sub(r"\1", w) in SEED_LEXICON else STRETCHED
+        return PLAIN
+
+
+#: What a word is.
+PLAIN, SEED, LEARNED, YOU, ODD, ODD_HIDDEN, STRETCHED, STRETCHED_HIDDEN = range(8)
+
+
+def features(texts: list[str | None] | pa.Array, kinds: _Kinds) -> np.ndarray:
+    """A row of dense features for each whole text; null, empty and wordless texts have zeros.
+
+    Arrow cuts the texts and finds the distinct words; each of these is judged once."""
+    column = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+    n = len(column)
+    cut_words = pc.utf8_split_whitespace(pc.utf8_lower(column))
+    offsets = np.asarray(cut_words.offsets)
+    coded = cut_words.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    if len(kinds) > kinds.bound:
+        kinds.clear()
+        kinds.numbers.clear()
+    distinct = coded.dictionary.to_pylist()
+    judged = np.array([kinds[w] if w else (-1, -1) for w in distinct], np.int64).reshape(-1, 2)
+    number, kind = judged[np.asarray(coded.indices)].T if len(coded) else np.empty((2, 0), np.int64)
+    doc = np.repeat(np.arange(n), np.diff(offsets))
+    real = number >= 0  # ends of texts leave empty words
+    number, kind, doc = number[real], kind[real], doc[real]
+    count = lambda *which: np.bincount(doc[np.isin(kind, which)], minlength=n).astype(np.float64)
+    words = np.bincount(doc, minlength=n).astype(np.float64)
+    place = np.arange(len(doc)) + doc * (2 * NEAR + 1)  # words of two texts are never near
+    hit, you = place[np.isin(kind, (SEED, ODD_HIDDEN, STRETCHED_HIDDEN))], place[kind == YOU]
+    close = np.zeros(len(hit), bool)
+    if len(you):
+        at = np.searchsorted(you, hit - NEAR)
+        close = (at < len(you)) & (you[np.minimum(at, len(you) - 1)] <= hit + NEAR)
+    near = np.bincount(doc[np.isin(kind, (SEED, ODD_HIDDEN, STRETCHED_HIDDEN))][close], minlength=n).astype(np.float64)
+    pairs = np.unique(doc * (int(number.max()) + 1 if len(number) else 1) + number)
+    different = np.bincount(pairs // (int(number.max()) + 1), minlength=n) if len(number) else np.zeros(n)
+    hits, hidden, seeds = count(SEED, ODD_HIDDEN, STRETCHED_HIDDEN), count(ODD_HIDDEN, STRETCHED_HIDDEN), count(SEED, LEARNED)
+    length = np.maximum(np.asarray(pc.utf8_length(column)), 1)
+    signs = lambda pattern: np.asarray(pc.count_substring_regex(column, pattern))
+    some = np.maximum(words, 1)
+    made = (
+        100 * hits / some, np.log1p(hits), 100 * seeds / some, np.log1p(seeds), 100 * hidden / some, 100 * near / some, 100 * count(YOU) / some, signs(r"\p{Lu}") / length,
+        signs("[!?]") / length, count(ODD, ODD_HIDDEN) / some, count(STRETCHED, STRETCHED_HIDDEN) / some, np.log1p(words), different / some,
+    )
+    return np.where(words[:, None] > 0, np.column_stack(made), 0.0)
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch], learned: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    kinds = _Kinds(learned)
     for batch in batches:
-        rows = [features(t, learned) for t in batch.column("text").to_pylist()]
-        flat = pa.array(np.array(rows, np.float64).reshape(-1))
+        flat = pa.array(features(batch.column("text"), kinds).reshape(-1))
         made = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(FEATURES)), pa.int32()), flat)
         yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns - 1)] + [made], [*batch.schema.names[:-1], "f"])
 
