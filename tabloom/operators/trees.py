@@ -45,12 +45,13 @@ def majority(df: DataFrame, group: Sequence[str], label: str) -> DataFrame:
     return counts.withColumn("__r", rank).where("__r = 1").drop("__r")
 
 
-def best_splits(rows: DataFrame, classes: int, least_leaf: int, allowed: DataFrame | None = None) -> DataFrame:
+def best_splits(rows: DataFrame, classes: int, least_leaf: int, allowed: DataFrame | None = None, binned: bool = False) -> DataFrame:
     """rows (tree, node, weight, code, features) -> for each node the split of most information.
 
     Thresholds are midpoints between neighbouring distinct values, but for those where the largest label on the left
     equals the smallest on the right. Equal gains: first feature, then lowest threshold. Counts by distinct value come
-    first, so windows run over values, not rows; allowed (tree, node, feature) limits the features of a node.
+    first, so windows run over values, not rows; allowed (tree, node, feature) limits the features of a node. binned: a
+    value is the upper edge of a bin; thresholds are edges, between any bins that don't both hold one label alone.
     """
     key = ["tree", "node"]
     long = rows.select(*key, "weight", "code", F.posexplode("features").alias("feature", "value"))
@@ -62,13 +63,14 @@ def best_splits(rows: DataFrame, classes: int, least_leaf: int, allowed: DataFra
     upto, whole = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*key, "feature")
     left = {f"l{k}": F.sum(f"c{k}").over(upto) for k in range(classes)}
     total = {f"t{k}": F.sum(f"c{k}").over(whole) for k in range(classes)}
-    at = values.withColumns(left | total | {"next": F.lead("value").over(w), "next_low": F.lead("low").over(w)})
-    at = at.where(F.col("next").isNotNull() & (F.col("high") != F.col("next_low")))
+    at = values.withColumns(left | total | {"next": F.lead("value").over(w), "next_low": F.lead("low").over(w), "next_high": F.lead("high").over(w)})
+    same = (F.col("high") == F.col("next_low")) & ((F.col("low") == F.col("next_high")) if binned else F.lit(True))
+    at = at.where(F.col("next").isNotNull() & ~same)
     ls, ts = [F.col(f"l{k}") for k in range(classes)], [F.col(f"t{k}") for k in range(classes)]
     rs = [t - x for t, x in zip(ts, ls, strict=True)]
     n, nl, nr = sum(ts, F.lit(0.0)), sum(ls, F.lit(0.0)), sum(rs, F.lit(0.0))
     gain = F.round(entropy(ts) - nl / n * entropy(ls) - nr / n * entropy(rs), 12)
-    scored = at.where((nl >= least_leaf) & (nr >= least_leaf)).select(*key, "feature", ((F.col("value") + F.col("next")) / 2).alias("threshold"), gain.alias("gain"))
+    scored = at.where((nl >= least_leaf) & (nr >= least_leaf)).select(*key, "feature", (F.col("value") if binned else (F.col("value") + F.col("next")) / 2).alias("threshold"), gain.alias("gain"))
     best = F.max(F.struct("gain", (-F.col("feature")).alias("f"), (-F.col("threshold")).alias("t"))).alias("b")
     return scored.groupBy(*key).agg(best).select(*key, (-F.col("b.f")).alias("feature"), (-F.col("b.t")).alias("threshold"), F.col("b.gain").alias("gain"))
 
@@ -207,7 +209,7 @@ def grow(rows: DataFrame, labels: Sequence[str], max_depth: int, least_leaf: int
         if features_per_node is not None:
             names = spark.range(p).select(F.col("id").cast("int").alias("feature"))
             allowed = feature_subset(wanted, names, subset_size(p, features_per_node), seed)
-        found = best_splits(here.join(F.broadcast(wanted), ["tree", "node"]), classes, least_leaf, allowed)
+        found = best_splits(here.join(F.broadcast(wanted), ["tree", "node"]), classes, least_leaf, allowed, binned=bool(bins))
         for r in found.where(F.col("gain") >= least_gain).collect():
             k = (r["tree"], r["node"])
             nodes[k][2], nodes[k][3] = r["feature"], r["threshold"]

@@ -277,3 +277,94 @@ def test_scoring_runs_on_a_stream(spark, tmp_path):
 
 def test_preset_has_sixteen_columns():
     assert len(SHAPES.numeric) == 16 and len(features.derived_columns()) == 19
+
+
+def test_lines_are_numbered_over_splits_of_files(spark, tmp_path):
+    """Several files, cut into several parts: each line has its number, in the order of files and lines."""
+    n = 0
+    for name in ("a", "b", "c"):
+        rows = 400 if name == "b" else 7
+        (tmp_path / f"{name}.csv").write_text("x,y\n" + "".join(f"{n + i},{'p' * 40}\n" for i in range(rows)))
+        n += rows
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        rows = tables.read_text_split(spark, str(tmp_path), "train", ["x", "y"]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((int(r["x"]), r["source_row"]) for r in rows) == [(i, i + 2) for i in range(n)]
+    assert {r["split"] for r in rows} == {"train"}
+
+
+def test_places_in_order(spark):
+    ids = spark.range(0, 3000, 3, 7).selectExpr("(id * 7919) % 3000 AS id")
+    got = tables.in_order(ids, "id", "place").collect()
+    assert sorted((r["id"], r["place"]) for r in got) == [(v, i) for i, v in enumerate(sorted(r["id"] for r in ids.collect()))]
+    assert tables.in_order(ids.where("false"), "id", "place").count() == 0
+
+
+@pytest.mark.parametrize("group", [1, 2, 16])
+def test_topk_over_a_grid_of_blocks(spark, monkeypatch, group):
+    """Small blocks, many groups: as one comparison of all."""
+    monkeypatch.setattr(knn, "BLOCK", 16)
+    monkeypatch.setattr(knn, "GROUP", group)
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=(230, 3)), 1)
+    rows = [(i, f"L{i % 3}", [float(v) for v in x[i]]) for i in range(230)]
+    df = spark.createDataFrame(rows, "id long, label string, features array<double>").repartition(5)
+    got = {}
+    for row in knn.topk(df.where("id < 150"), df.where("id >= 150"), 6).collect():
+        got.setdefault(row["query_id"], []).append((row["rank"], row["train_id"]))
+    for q in range(150, 230):
+        d = np.zeros(150)
+        for j in range(3):
+            d += (x[q, j] - x[:150, j]) ** 2
+        assert sorted(got[q]) == [(k + 1, int(i)) for k, i in enumerate(np.lexsort((np.arange(150), d))[:6])]
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 3, [float(i % 3), float(i % 5)]) for i in range(60)], "id long, code int, features array<double>")
+    tree = trees.grow(rows, ["a", "b", "c"], 4)
+    tree.save(spark, str(tmp_path / "tree"))
+    again = trees.TreeModel.load(spark, str(tmp_path / "tree"))
+    assert again.labels == tree.labels
+    assert sorted(map(tuple, again.predict(rows).collect())) == sorted(map(tuple, tree.predict(rows).collect()))
+    net = mlp.Net.he(2, 4, 3, 1)
+    net.save(spark, str(tmp_path / "net"))
+    back = mlp.Net.load(spark, str(tmp_path / "net"))
+    assert all(np.array_equal(getattr(net, n), getattr(back, n)) for n in ("w1", "b1", "w2", "b2"))
+    assert mlp.descend(rows, net, 2, 0.1).w1.shape == (4, 2)
+
+
+def test_many_rows_use_quantiles(spark, monkeypatch):
+    """Beyond EXACT_ROWS splits are those of quantiles, near the exact ones."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(600, 2))
+    rows = spark.createDataFrame([(i, int(x[i, 0] > 0.3), [float(v) for v in x[i]]) for i in range(600)], "id long, code int, features array<double>")
+    exact = trees.grow(rows, ["a", "b"], 1).nodes
+    monkeypatch.setattr(trees, "EXACT_ROWS", 500)
+    monkeypatch.setattr(trees, "BINS", 64)
+    binned = trees.grow(rows, ["a", "b"], 1).nodes
+    assert exact["feature"][0] == binned["feature"][0] == 0 and abs(exact["threshold"][0] - binned["threshold"][0]) < 0.1
+
+
+def test_labels_are_counted_before_they_are_gathered(spark, monkeypatch):
+    df = spark.range(20).selectExpr("id", "CAST(id AS string) AS label", "'train' AS split")
+    monkeypatch.setattr(sampling, "MOST_CLASSES", 10)
+    monkeypatch.setattr(features, "MOST_CLASSES", 10)
+    monkeypatch.setattr(metrics, "MOST_LABELS", 10)
+    for call in (lambda: sampling.quotas(df, "label", 5), lambda: features.label_codes(df, "label"), lambda: metrics.confusion(df.selectExpr("label AS true_class", "label AS predicted_class"), df)):
+        with pytest.raises(ValueError, match="more than 10"):
+            call()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "getConf": staticmethod(lambda: Conf())})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.scratch(Cluster(), "x")

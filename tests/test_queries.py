@@ -1,4 +1,4 @@
-"""Every registered query but those of the subpackage llm: against its SQL, or it runs and has rows."""
+"""Every registered query but those of the subpackage llm: against its SQL."""
 
 import pytest
 from compare import same
@@ -13,9 +13,8 @@ def test_sql(spark, sf, duck, name):
     same(QUERIES[name](spark, sf), duck, SQL[name])
 
 
-@pytest.mark.parametrize("name", ["tree_level_fit", "forest_predict", "mlp_gradient", "mlp_history"])
-def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry_imports(spark):
