@@ -36,6 +36,8 @@ _LEET = str.maketrans("013457@$!|", "oieastasii")
 _EDGE = ".,;:!?\"'()[]{}<>*#%&$~|-_/\\…«»“”„"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
+#: Bytes of texts whose words are judged together.
+AT_ONCE = 2_000_000
 #: Words on either side within which a second person counts as near.
 NEAR = 4
 
@@ -43,7 +45,7 @@ NEAR = 4
 class _Kinds(dict):
     """word without edges -> (number, kind); starts anew after `bound` words, so that memory stays bounded."""
 
-    bound = 400_000
+    bound = 200_000
 
     def __init__(self, learned: frozenset[str]):
         super().__init__()
@@ -117,7 +119,14 @@ def features(texts: list[str | None] | pa.Array, kinds: _Kinds) -> np.ndarray:
 def _feature_batches(batches: Iterator[pa.RecordBatch], learned: frozenset[str]) -> Iterator[pa.RecordBatch]:
     kinds = _Kinds(learned)
     for batch in batches:
-        flat = pa.array(features(batch.column("text"), kinds).reshape(-1))
+        text, rows = batch.column("text"), []
+        lengths = np.asarray(pc.fill_null(pc.binary_length(text), 0))
+        lo = 0
+        while lo < len(lengths):  # texts of AT_ONCE bytes together, or one
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(lengths[lo:]), AT_ONCE)))
+            rows.append(features(text.slice(lo, hi - lo), kinds))
+            lo = hi
+        flat = pa.array(np.concatenate([np.empty((0, len(FEATURES))), *rows]).reshape(-1))
         made = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(FEATURES)), pa.int32()), flat)
         yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns - 1)] + [made], [*batch.schema.names[:-1], "f"])
 
