@@ -27,7 +27,7 @@ from tabloom.llm.common import cut, drop_ids
 SAMPLE_ROWS = 12_000
 TREES, DEPTH = 20, 3
 #: A learned word: at least this many of the sample's toxic texts, this log odds ratio, so many words at most.
-LEAST_TOXIC_TEXTS, LEAST_LOG_ODDS, MOST_WORDS = 8, 3.0, 200
+LEAST_TOXIC_TEXTS, LEAST_LOG_ODDS, MOST_WORDS = 5, 3.0, 200
 SEED_LEXICON = frozenset("idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless disgusting clown clowns imbecile fool fools jerk jerks vermin filth garbage hate shutup bastard bitch crap damn".split())
 SECOND_PERSON = frozenset("you your yours yourself u ur youre tu toi vous votre vos te ton ta tes du dich dir dein deine sie ihr euch usted ustedes ti tus su vosotros".split())
 FEATURES = ("lexicon", "lexicon_log", "learned", "learned_log", "hidden", "near_you", "you", "capitals", "marks", "obfuscated", "stretched", "log_words", "distinct")
