@@ -37,10 +37,11 @@ REPLICAS, REPLICA_RATIO, FULL = 4, 1.2, 2.5
 #: A query visits lists that hold ENOUGH * k entries at least.
 WANTED_RECALL, WANTED_HALF, TRIALS, ENOUGH = 0.93, 0.995, 400, 16
 #: Centroids that the first walk of a query holds, and the ratio of distances that is used without a trial.
-PROBES, PROBE_RATIO = 36, 1.25
+WALK, PROBE_RATIO = 128, 1.25
 BLOCK_ROWS = 2048
-#: Neighbours of a centroid in the graph; centroids among which a walk starts; found entries that a task holds unmerged.
-DEGREE, STARTS, HELD = 24, 256, 250_000
+#: Nearest and random neighbours of a centroid in the graph; centroids among which a walk starts; found entries that a task
+#: holds unmerged.
+DEGREE, FAR, STARTS, HELD = 20, 12, 512, 250_000
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -73,6 +74,8 @@ def as_queries(x: np.ndarray, n2: np.ndarray, most: float) -> np.ndarray:
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared, in double precision: near copies differ by less than what single precision keeps of a large distance."""
+    x, c = x.astype(np.float64), c.astype(np.float64)
     return np.maximum((x**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * x @ c.T, 0)
 
 
@@ -138,8 +141,9 @@ def split_of(x: np.ndarray, depth: int, radius: float) -> tuple[np.ndarray, np.n
 
 
 def graph_of(c: np.ndarray) -> np.ndarray:
-    """Neighbours of each centroid: its nearest, and links along a ring that keep the graph connected."""
+    """Neighbours of each centroid: its nearest, random ones that lead out of a dense group, and a ring that connects all."""
     k = len(c)
+    far = np.random.default_rng(7).integers(0, k, (k, FAR))
     near = np.zeros((k, min(DEGREE, k - 1)), np.int64)
     for lo in range(0, k, 2048):
         d = _distances(c[lo : lo + 2048], c)
@@ -149,7 +153,7 @@ def graph_of(c: np.ndarray) -> np.ndarray:
             order = np.argsort(np.take_along_axis(d, some, 1), axis=1)
             near[lo : lo + 2048] = np.take_along_axis(some, order, 1)[:, 1:]
     ring = (np.arange(k)[:, None] + np.array([1, -1, k // 3, k // 2])) % k
-    return np.hstack([near, ring])
+    return np.hstack([near, far, ring])
 
 
 def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +163,7 @@ def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, width: int) -> tuple[n
     pivots = np.unique(np.linspace(0, k - 1, max(STARTS, width)).astype(int))
     order = np.argsort(_distances(q, c[pivots]), axis=1, kind="stable")[:, :width]
     best = pivots[order]
+    q, c = q.astype(np.float64), c.astype(np.float64)
     c2 = (c**2).sum(1)
     q2 = (q**2).sum(1)
 
@@ -183,7 +188,7 @@ def closest(x: np.ndarray, c: np.ndarray, graph: np.ndarray, m: int) -> tuple[np
     """The m closest centroids of each row, nearest first: (which, distance^2). With very many centroids by the graph."""
     m = min(m, len(c))
     if len(c) > 2 * FIRST_LISTS:
-        which, d = walk(x, c, graph, max(PROBES, m))
+        which, d = walk(x, c, graph, max(WALK, m))
         return which[:, :m], d[:, :m]
     d = _distances(x, c)
     which = np.argpartition(d, m - 1, axis=1)[:, :m]
@@ -257,10 +262,11 @@ def visited(q: np.ndarray, c: np.ndarray, graph: np.ndarray, rows: np.ndarray, e
     """(query, list) pairs: the closest lists that hold `enough` rows together, and all within ratio of the last of them.
 
     Unless half of what a walk holds is farther, it may have missed some and is repeated with four times the width. One of an eighth
-    of all centroids would touch nearly all of them, so all distances are taken instead."""
-    out, todo, width = [], np.arange(len(q)), PROBES
+    of all centroids would touch nearly all of them, so all distances are taken instead; up to 2 * FIRST_LISTS centroids
+    these cost less than a walk, which may miss the closest one in a dense group, and are taken at once."""
+    out, todo, width = [], np.arange(len(q)), WALK
     while len(todo):
-        every = width * 8 >= len(c)
+        every = width * 8 >= len(c) or len(c) <= 2 * FIRST_LISTS
         if every:
             d = _distances(q[todo], c)
             which = np.argsort(d, axis=1, kind="stable")

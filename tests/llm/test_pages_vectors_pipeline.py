@@ -177,7 +177,8 @@ def test_search_against_brute_force(spark):
 
 
 @pytest.mark.parametrize("k", [200, 1500])
-def test_all_lists_within_the_ratio_are_visited(k):
+def test_all_lists_within_the_ratio_are_visited(k, monkeypatch):
+    monkeypatch.setattr(ann, "FIRST_LISTS", 50)  # the walk, not all distances
     rng = np.random.default_rng(3)
     c, q = rng.normal(size=(k, 32)).astype(np.float32), rng.normal(size=(20, 32)).astype(np.float32)
     row, which = ann.visited(q, c, ann.graph_of(c), np.full(k, 50), 84)
@@ -185,7 +186,7 @@ def test_all_lists_within_the_ratio_are_visited(k):
     near = {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= d.min(1)[:, None] * ann.PROBE_RATIO**2), strict=True)}
     got = set(zip(row.tolist(), which.tolist(), strict=True))
     assert len(got) == len(row) and len(near & got) >= 0.99 * len(near)
-    assert np.bincount([i for i, _ in near]).max() > ann.PROBES
+    assert np.bincount([i for i, _ in near]).max() > 36
 
 
 def clustered(n, clusters, spread, seed):
@@ -203,7 +204,7 @@ def test_lists_are_balanced_and_few_are_scanned(spark, n, monkeypatch):
     monkeypatch.setattr(ann, "ratio_for", lambda q, c, rows, enough, lists: seen.update(rows=rows, c=c, ratio=visited(q, c, rows, enough, lists)) or seen["ratio"])
     x = clustered(n, 60, 0.5, 1)
     x[: n // 3] = x[0] + 1e-3 * x[: n // 3]  # a group of near copies
-    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float32()))}).to_pandas())
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
     got = ann.search(frame, k=10).toPandas()
     rows, c = seen["rows"], seen["c"]
     assert rows.max() <= 4 * rows.mean()
