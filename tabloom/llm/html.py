@@ -73,6 +73,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 @dataclass
 class Block:
     parts: list[str] = field(default_factory=list)
+    #: Signs within links, without spaces.
     linked: int = 0
     #: Number of the article or main element around it; 0: none.
     main: int = 0
@@ -146,7 +147,7 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             now.parts.append(text)
             if links:
-                now.linked += len(text.strip())
+                now.linked += len("".join(text.split()))
         elif tag == "a":
             links = 0 if close else 1
         elif tag in ("br", "hr", "wbr", "img") and tag not in BLOCKS:
@@ -182,7 +183,7 @@ def blocks_of(page: str) -> list[Block]:
 
 def first_pass(b: Block) -> str:
     """good, bad or short (open) by link density, length and stop-word density."""
-    if b.linked / max(1, len(b.text)) > (LINKS_MOST_MAIN if b.main else LINKS_MOST):
+    if b.linked / max(1, len(b.text) - b.text.count(" ")) > (LINKS_MOST_MAIN if b.main else LINKS_MOST):
         return "bad"
     if len(b.text) < SHORT:
         return "bad" if b.linked and not b.main else "short"
