@@ -90,7 +90,7 @@ _ROLL = np.uint64(0x9E3779B97F4A7C15)
 class _WordCodes(dict):
     """word bytes -> 64-bit code; keeps the codes of at most `bound` words, so that memory stays bounded."""
 
-    bound = 400_000
+    bound = 200_000
 
     def __missing__(self, word: bytes) -> int:
         code = xxhash.xxh3_64_intdigest(word)

@@ -45,7 +45,7 @@ NEAR = 4
 class _Kinds(dict):
     """word without edges -> (number, kind); starts anew after `bound` words, so that memory stays bounded."""
 
-    bound = 200_000
+    bound = 60_000
 
     def __init__(self, learned: frozenset[str]):
         super().__init__()
