@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import ann, decontaminate, html, licenses, near_dup, packing, pii, sharding, toxicity, urls
+from tabloom.llm import ann, clustering, decontaminate, exact_topk, html, licenses, near_dup, negatives, packing, pii, sharding, toxicity, urls
 from tabloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="query-key")
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), moved)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 _ALL = (
     op1_html_extraction,
     op2_toxicity,
@@ -68,8 +81,17 @@ _ALL = (
     op8_sharding,
     op9_decontamination,
     op10_pii,
+    op11_exact_topk,
+    op12_hard_negatives,
+    op13_centroid_clustering,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 #: The others have no SQL: markup, trees, MinHash, token ids, a graph walk, a seeded shuffle, lookbehind, keyed rounds.
-ORACLES: dict[str, str] = {"op5_url_filter": urls.SQL, "op7_license_scan": licenses.SQL}
+ORACLES: dict[str, str] = {
+    "op5_url_filter": urls.SQL,
+    "op7_license_scan": licenses.SQL,
+    "op11_exact_topk": exact_topk.sql(),
+    "op12_hard_negatives": negatives.sql("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"),
+    "op13_centroid_clustering": clustering.sql(),
+}
