@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.scalars import normalize_class, parse_numeric
+from tabloom.operators import selection
 from tabloom.sources.tables import kept
 from tabloom.spec import TableSpec
 
@@ -54,8 +55,10 @@ def clean_rows(df: DataFrame, spec: TableSpec, keep: Sequence[str] = ("split", "
 
 
 def train_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: the exact median of each column over the non-null values of split train."""
-    return df.where("split = 'train'").agg(*[F.median(c).alias(c) for c in columns])
+    """One row: the exact median of each column over the non-null values of split train. df is read once a round of
+    selection.medians, so a derived df should be written first."""
+    found = selection.medians(df.where("split = 'train'"), columns)
+    return df.sparkSession.createDataFrame([tuple(found[c] for c in columns)], ", ".join(f"`{c}` double" for c in columns))
 
 
 def require_values(medians: DataFrame) -> DataFrame:

@@ -72,39 +72,52 @@ def standardize(df: DataFrame, stats: DataFrame, columns: Sequence[str]) -> Data
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, r) for each pair of columns in order, a before b; r is null where a column doesn't vary.
+    """(a, b, r) for each pair of columns in order, a before b; r is null where either doesn't vary on the rows that have both.
 
-    Values are centred by the mean first; then each partition gives one matrix of products, which are added up.
+    A pair is measured on the rows where neither is null (or NaN), whatever the other columns hold.
     """
     r = correlation_matrix(df, columns)
     found = [(a, b, float(r[i, j]) if np.isfinite(r[i, j]) else None) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
     return df.sparkSession.createDataFrame(found, "a string, b string, r double")
 
 
-def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Share of a sum of squares under which a variance is taken for rounding.
+_ROUNDING = 1e-13
+
+
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for a partition: for each pair (i, j), over the rows that have both, how many, the sums of i and of i squared,
+    and the sum of products. Such rows add up."""
     total = None
     for batch in batches:
         x = np.column_stack([np.asarray(batch.column(i).cast(pa.float64())) for i in range(batch.num_columns)])
-        x = np.nan_to_num(x, nan=0.0)  # a null is in no sum
-        total = x.T @ x if total is None else total + x.T @ x
+        there = ~np.isnan(x)
+        x, there = np.where(there, x, 0.0), there.astype(np.float64)
+        own = np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+        total = own if total is None else total + own
     if total is not None:
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["g"])
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """p * p numbers; nan where a column doesn't vary."""
-    means = df.agg(*[F.avg(c).alias(f"__m_{c}") for c in columns])
-    centred = df.crossJoin(F.broadcast(means)).select(*[(F.col(c) - F.col(f"__m_{c}")).alias(c) for c in columns])
+    """p * p pairwise coefficients; nan where a column doesn't vary on the pair's rows, or the pair has no two rows.
+
+    Values are centred by their column's mean first, so that sums keep their digits; moments of partitions are added up by Spark.
+    """
+    clean = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]
+    means = df.select(*clean).agg(*[F.avg(c).alias(f"__m_{c}") for c in columns])
+    centred = df.select(*clean).crossJoin(F.broadcast(means)).select(*[(F.col(c) - F.col(f"__m_{c}")).alias(c) for c in columns])
     p = len(columns)
-    parts = centred.mapInArrow(_gram, "g array<double>")
-    summed = parts.select(F.posexplode("g").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+    parts = centred.mapInArrow(_moments, "g array<double>")
+    summed = parts.select(F.posexplode("g").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()  # 4 * p * p numbers
     if not summed:
         return np.full((p, p), np.nan)
-    g = np.array([row["x"] for row in summed]).reshape(p, p)
-    d = np.sqrt(np.diag(g))
-    spread = np.outer(d, d)
+    n, s, q, both = np.array([row["x"] for row in summed]).reshape(4, p, p)
+    spread = n * q - s * s  # of column i on the rows that it shares with j
+    spread = np.where(spread > _ROUNDING * n * q, spread, 0.0)
     with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(spread > 1e-300, g / spread, np.nan)
+        r = (n * both - s * s.T) / (np.sqrt(spread) * np.sqrt(spread.T))
+        return np.where((spread > 0) & (spread.T > 0), np.clip(r, -1.0, 1.0), np.nan)
 
 
 def greedy_selection(columns: Sequence[str], r: dict[tuple[str, str], float | None], threshold: float = 0.95) -> tuple[list[str], list[tuple[str, str, float]]]:

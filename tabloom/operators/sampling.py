@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -114,8 +115,9 @@ def with_noise(df: DataFrame, kind: str, intensity: float, features: Sequence[st
     return df.withColumns({c: noisy(c, kind, intensity, id_col, seed) for c in features})
 
 
-def scenario_seed(kind: str, intensity: float, random_state: int) -> int:
-    return random_state + int(intensity * 1000) + 97 * len(kind)
+def scenario_seed(kind: str, intensity: float, seed: int) -> int:
+    """A seed of its own for each kind and intensity."""
+    return zlib.crc32(f"{seed}/{kind}/{float(intensity)!r}".encode()) >> 1
 
 
 def scenarios(df: DataFrame, grid: Sequence[tuple[str, float]], features: Sequence[str], label: str, labels: Sequence[str], id_col: str, random_state: int) -> DataFrame:

@@ -196,7 +196,7 @@ def clean_rows(spark, sf):
 
 @query(_sql(f"SELECT {', '.join(f'm_{c} AS {c}' for c in NUM)} FROM medians"))
 def train_medians(spark, sf):
-    return cleaning.train_medians(cleaning.clean_rows(_dirty(spark, sf), SPEC), NUM)
+    return cleaning.train_medians(tables.kept(cleaning.clean_rows(_dirty(spark, sf), SPEC), "cleaned"), NUM)
 
 
 def _imputed(spark, sf):
@@ -307,6 +307,24 @@ def correlation_matrix(spark, sf):
     return features.correlations(_shapes(spark, sf).where("split = 'train'"), SHAPES.numeric).withColumn("r", F.round("r", 6))
 
 
+#: Columns with gaps: each is null in rows of its own, and one doesn't vary where another is there.
+_GAPPY = tuple(SHAPES.numeric[:8])
+_GAPS_SQL = "SELECT " + ", ".join(f"CASE WHEN id % {i + 3} <> {i} THEN {c} END AS {c}" for i, c in enumerate(_GAPPY)) + ", CASE WHEN id % 2 = 0 THEN 7 WHEN id % 3 = 0 THEN CAST(id AS DOUBLE) END AS even, CASE WHEN id % 2 = 0 THEN CAST(id % 11 AS DOUBLE) END AS sparse FROM s WHERE split = 'train'"
+_GAP_PAIRS = [(a, b) for i, a in enumerate((*_GAPPY, "even", "sparse")) for b in (*_GAPPY, "even", "sparse")[i + 1 :]]
+_BOTH = "FILTER ({0} IS NOT NULL AND {1} IS NOT NULL)"
+
+
+def _gap_sql(a: str, b: str) -> str:
+    varies = " AND ".join(f"min({c}) {_BOTH.format(a, b)} < max({c}) {_BOTH.format(a, b)}" for c in (a, b))
+    return f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN {varies} THEN round(corr({a}, {b}), 6) END AS r FROM g"
+
+
+@query(f"WITH s AS ({views.shapes('duck')}), g AS MATERIALIZED ({_GAPS_SQL}) " + " UNION ALL ".join(_gap_sql(a, b) for a, b in _GAP_PAIRS))
+def correlation_with_gaps(spark, sf):
+    gappy = spark.sql(_GAPS_SQL.replace("FROM s", "FROM {s}"), s=_shapes(spark, sf))
+    return features.correlations(gappy, (*_GAPPY, "even", "sparse")).withColumn("r", F.round("r", 6))
+
+
 def _greedy_sql(last: str) -> str:
     """The walk over the columns as a recursion: each is kept unless a kept one before it qualifies."""
     cols = SHAPES.numeric
