@@ -1,27 +1,33 @@
-"""Entropy trees and forests, grown level by level for all trees at once.
+"""Entropy trees and forests, grown for all trees at once.
 
 Rows are (id long, code int, features array<double>); code is the label's number. A node has a heap number: its children
 are 2i + 1 and 2i + 2. The node table (tree, node, depth, prediction, feature, threshold) is the model.
+
+Growth has two phases. Large nodes are split level by level (module growth): rows carry their node number in written blocks, and
+one pass over the rows of open nodes moves them to their children and counts what the next splits need. A node of at most
+growth.LOCAL_VALUES values leaves that loop: its rows meet in one task, which grows the whole subtree. So a small table takes one job
+for all trees and depths, and a large one a pass for each level until its nodes are small.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tabloom.operators import growth
 from tabloom.operators.sampling import feature_subset, subset_size
 from tabloom.sources.tables import kept
 
 LEAST_GAIN = 1e-7
-#: Rows up to which splits look at every distinct value, and the quantiles of a feature beyond.
-EXACT_ROWS, BINS = 1_000_000, 256
 
 
 def entropy(counts: Sequence[Column]) -> Column:
@@ -51,7 +57,8 @@ def best_splits(rows: DataFrame, classes: int, least_leaf: int, allowed: DataFra
     Thresholds are midpoints between neighbouring distinct values, but for those where the largest label on the left
     equals the smallest on the right. Equal gains: first feature, then lowest threshold. Counts by distinct value come
     first, so windows run over values, not rows; allowed (tree, node, feature) limits the features of a node. binned: a
-    value is the upper edge of a bin; thresholds are edges, between any bins that don't both hold one label alone.
+    value is the upper edge of a bin; thresholds are edges, between any bins that don't both hold one label alone. left: the
+    weights by class of what goes left.
     """
     key = ["tree", "node"]
     long = rows.select(*key, "weight", "code", F.posexplode("features").alias("feature", "value"))
@@ -70,9 +77,9 @@ def best_splits(rows: DataFrame, classes: int, least_leaf: int, allowed: DataFra
     rs = [t - x for t, x in zip(ts, ls, strict=True)]
     n, nl, nr = sum(ts, F.lit(0.0)), sum(ls, F.lit(0.0)), sum(rs, F.lit(0.0))
     gain = F.round(entropy(ts) - nl / n * entropy(ls) - nr / n * entropy(rs), 12)
-    scored = at.where((nl >= least_leaf) & (nr >= least_leaf)).select(*key, "feature", (F.col("value") if binned else (F.col("value") + F.col("next")) / 2).alias("threshold"), gain.alias("gain"))
-    best = F.max(F.struct("gain", (-F.col("feature")).alias("f"), (-F.col("threshold")).alias("t"))).alias("b")
-    return scored.groupBy(*key).agg(best).select(*key, (-F.col("b.f")).alias("feature"), (-F.col("b.t")).alias("threshold"), F.col("b.gain").alias("gain"))
+    scored = at.where((nl >= least_leaf) & (nr >= least_leaf)).select(*key, "feature", (F.col("value") if binned else (F.col("value") + F.col("next")) / 2).alias("threshold"), gain.alias("gain"), F.array(*ls).alias("left"))
+    best = F.max(F.struct("gain", (-F.col("feature")).alias("f"), (-F.col("threshold")).alias("t"), "left")).alias("b")
+    return scored.groupBy(*key).agg(best).select(*key, (-F.col("b.f")).alias("feature"), (-F.col("b.t")).alias("threshold"), F.col("b.gain").alias("gain"), F.col("b.left").alias("left"))
 
 
 @dataclass
@@ -131,12 +138,11 @@ class TreeModel:
         return go(features)
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """(id, true_class, predicted_class): each tree has one vote; ties to the smallest label."""
-        each = rows.select("id", "code", F.posexplode(self.descend(F.col("features"))).alias("tree", "vote"))
-        won = forest_vote(each.select("id", "code", F.col("vote").alias("label")), ["id", "code"])
-        names = F.array(*map(F.lit, self.labels))
-        name = lambda c: F.element_at(names, c.cast("int") + 1)
-        return won.select("id", name(F.col("code")).alias("true_class"), name(F.col("label")).alias("predicted_class"))
+        """(id, true_class, predicted_class) for each row, in one pass: each tree has one vote; ties to the smallest label.
+
+        Rows stay rows, also where ids repeat; without features a row has no prediction."""
+        vote = partial(_voted, flat=self._flat(), depth=int(self.nodes["depth"].max()), labels=self.labels)
+        return rows.select("id", "code", "features").mapInArrow(vote, "id long, true_class string, predicted_class string")
 
     def summary(self, spark: SparkSession) -> DataFrame:
         """(tree, nodes, leaves, depth)."""
@@ -154,69 +160,89 @@ def forest_summary(trees: DataFrame) -> DataFrame:
     return trees.agg(F.min("depth").alias("min_depth"), F.max("depth").alias("max_depth"), F.avg("depth").alias("mean_depth"), F.avg("nodes").alias("mean_nodes"), F.avg("leaves").alias("mean_leaves"))
 
 
+def _voted(batches: Iterator[pa.RecordBatch], flat: tuple[np.ndarray, ...], depth: int, labels: list[str]) -> Iterator[pa.RecordBatch]:
+    feature, threshold, prediction, left, right, roots = flat
+    names = pa.array(labels, pa.string())
+    for batch in batches:
+        column = batch.column("features")
+        there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        won = np.full(batch.num_rows, -1)
+        if len(there):
+            x = np.asarray(column.flatten().cast(pa.float64())).reshape(len(there), -1)
+            at = np.tile(roots, (len(x), 1))
+            each = np.arange(len(x))[:, None]
+            for _ in range(depth):
+                f = feature[at]
+                if (f < 0).all():
+                    break
+                down = np.where(x[each, np.maximum(f, 0)] <= threshold[at], left[at], right[at])
+                at = np.where(f >= 0, down, at)
+            votes = np.bincount((each * len(labels) + prediction[at]).ravel(), minlength=len(x) * len(labels))
+            won[there] = votes.reshape(len(x), -1).argmax(axis=1)
+        taken = names.take(pa.array(won, pa.int64(), mask=won < 0))
+        yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), names.take(batch.column("code").cast(pa.int64())), taken], ["id", "true_class", "predicted_class"])
+
+
 def grow(rows: DataFrame, labels: Sequence[str], max_depth: int, least_leaf: int = 1, least_split: int = 2, least_gain: float = LEAST_GAIN, weights: DataFrame | None = None, features_per_node: str | int | None = None, seed: int = 0, bins: int | None = None) -> TreeModel:
-    """Grow one tree, or with weights (tree, id, weight) one for each tree in them.
+    """Grow one tree, or with weights (tree, id, weight) one for each tree in them. The driver holds the node table alone.
 
-    A level is one job for all trees: rows find their node by walking the broadcast model, nodes are counted, and the
-    splits of all open nodes come from best_splits. The driver holds the node table alone. bins: features are replaced
-    by so many quantiles first, which bounds the values that a shuffle and a window see, as each partition sends counts by
-    quantile; None: BINS beyond EXACT_ROWS rows, else exact.
+    bins: features are replaced by so many quantiles first, and large nodes are split by histograms, which bounds what a level
+    sends; without bins every distinct value counts, at any number of rows. A table without rows raises.
     """
     if max_depth > 30:
         raise ValueError("max_depth must be 30 at most")
-    spark = rows.sparkSession
     rows = rows.select("id", "code", "features")
-    p, classes = len(rows.select("features").first()[0]), len(labels)
-    if bins is None and rows.limit(EXACT_ROWS + 1).count() > EXACT_ROWS:
-        bins = BINS
+    if (first := rows.first()) is None:
+        raise ValueError("no training rows")
+    p = len(first["features"])
+    edges = None
     if bins:
-        edges = rows.select(*[F.percentile_approx(F.col("features")[j], [i / bins for i in range(1, bins)], 10_000).alias(f"q{j}") for j in range(p)]).first()
-        snap = lambda x, q: F.coalesce(F.array_min(F.filter(F.array(*map(F.lit, sorted(set(q)))), lambda e: e >= x)), F.lit(max(q)) + 1.0)
-        rows = rows.withColumn("features", F.array(*[snap(F.col("features")[j], edges[j]) for j in range(p)]))
-    if weights is None:
-        base = rows.select(F.lit(0).alias("tree"), F.lit(1).alias("weight"), "code", "features")
-    else:
-        base = weights.join(rows, "id").select(F.col("tree").cast("int").alias("tree"), "weight", "code", "features")
-    base = kept(base, "grow")
-    trees = sorted(r[0] for r in base.select("tree").distinct().collect())
-    if not trees:
+        found = rows.select(*[F.percentile_approx(F.col("features")[j], [i / bins for i in range(1, bins)], 10_000).alias(f"q{j}") for j in range(p)]).first()
+        edges = [np.array([*sorted(set(q)), max(q) + 1.0]) for q in found]
+    rule = growth.Rule(len(labels), p, max_depth, least_leaf, least_split, least_gain, None if features_per_node is None else subset_size(p, features_per_node), seed, edges)
+    blocks = growth.blocks_of(rows, weights, rule)
+    nodes, pieces = {}, []
+    open_ = {k: c for k, c in growth.root_counts(blocks, rule).items()}
+    if not open_:
         raise ValueError("no training rows")
-    nodes = {(t, 0): [0, 0, -1, None] for t in trees}  # depth, prediction, feature, threshold
-    open_nodes = set(nodes)
-    number = {t: i for i, t in enumerate(trees)}
+    level, hists = growth.Level(), None
     for depth in range(max_depth + 1):
-        if not open_nodes:
-            break
-        model = _model(nodes, labels)
-        index = F.element_at(F.create_map(*[x for t in trees for x in (F.lit(t), F.lit(number[t] + 1))]), F.col("tree"))
-        at = base.withColumn("node", F.element_at(model.descend(F.col("features"), "node"), index))
-        live = spark.createDataFrame([(t, n) for t, n in sorted(open_nodes)], "tree int, node long")
-        here = at.join(F.broadcast(live), ["tree", "node"])
-        counted = here.groupBy("tree", "node", "code").agg(F.sum("weight").alias("w")).collect()
-        tally: dict[tuple[int, int], dict[int, int]] = {}
-        for r in counted:
-            tally.setdefault((r["tree"], r["node"]), {})[r["code"]] = r["w"]
-        todo = []
-        for k, c in tally.items():
-            nodes[k][1] = min(c, key=lambda label: (-c[label], label))
-            if len(c) > 1 and depth < max_depth and sum(c.values()) >= least_split:
-                todo.append(k)
-        open_nodes = set()
+        todo = {}
+        for k, c in open_.items():
+            nodes[k] = [depth, int(c.argmax()), -1, None]
+            if (c > 0).sum() > 1 and depth < max_depth and c.sum() >= least_split:
+                todo[k] = c
+        large = {k: c for k, c in todo.items() if c.sum() * p > growth.LOCAL_VALUES}
         if not todo:
             break
-        wanted = spark.createDataFrame(sorted(todo), "tree int, node long")
-        allowed = None
-        if features_per_node is not None:
-            names = spark.range(p).select(F.col("id").cast("int").alias("feature"))
-            allowed = feature_subset(wanted, names, subset_size(p, features_per_node), seed)
-        found = best_splits(here.join(F.broadcast(wanted), ["tree", "node"]), classes, least_leaf, allowed, binned=bool(bins))
-        for r in found.where(F.col("gain") >= least_gain).collect():
+        level.aim(large, set(todo) - set(large), open_, edges is not None)
+        made = growth.passed(blocks, level, rule)
+        pieces.append(made.where("kind = 2"))
+        if not large:
+            break
+        blocks = made.where("kind = 0")
+        if edges is not None:
+            hists = growth.summed(made.where("kind = 1"), hists, level, rule)
+            splits = growth.best_of(hists)
+        else:
+            allowed = None
+            if rule.subset is not None:
+                spark = rows.sparkSession
+                names = spark.range(p).select(F.col("id").cast("int").alias("feature"))
+                allowed = feature_subset(spark.createDataFrame(sorted(large), "tree int, node long"), names, rule.subset, seed)
+            splits = best_splits(growth.unpacked(blocks, rule), len(labels), least_leaf, allowed)
+        parents, open_ = open_, {}
+        level = growth.Level()
+        for r in splits.where(F.col("gain") >= least_gain).collect():
             k = (r["tree"], r["node"])
+            left = np.array(r["left"])
             nodes[k][2], nodes[k][3] = r["feature"], r["threshold"]
-            for side in (1, 2):
-                child = (k[0], 2 * k[1] + side)
-                nodes[child] = [depth + 1, nodes[k][1], -1, None]
-                open_nodes.add(child)
+            level.split(k, r["feature"], r["threshold"])
+            open_[(k[0], 2 * k[1] + 1)], open_[(k[0], 2 * k[1] + 2)] = left, parents[k] - left
+        if not open_:
+            break
+    for r in growth.subtrees(pieces, rule).collect() if pieces else ():
+        nodes[(r["tree"], r["node"])] = [r["depth"], r["prediction"], r["feature"], r["threshold"]]
     return _model(nodes, labels)
 
 
