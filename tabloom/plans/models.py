@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions import scalars
-from tabloom.operators import experiments, knn, metrics, mlp, sampling, trees
+from tabloom.operators import experiments, knn, metrics, mlp, pruned_knn, sampling, trees
 from tabloom.plans import model_sql, views
 from tabloom.sources import tables
 
@@ -71,6 +71,12 @@ def knn_topk(spark, sf):
     return knn.topk(_split(v, "train"), _split(v, "val"), 11).withColumn("distance", F.round("distance", 6))
 
 
+@query(f"WITH {_near_sql('test', 7)} SELECT query_id, CAST(rank AS INT) AS rank, train_id, label, round(distance, 6) AS distance FROM near")
+def knn_pruned_topk(spark, sf):
+    v = _vectors(spark, sf)
+    return pruned_knn.topk(_split(v, "train"), _split(v, "test"), 7).withColumn("distance", F.round("distance", 6))
+
+
 @query(f"WITH {_near_sql('val', 11)} SELECT query_id, predicted_class FROM ({_vote_sql('near')})")
 def knn_vote(spark, sf):
     v = _vectors(spark, sf)

@@ -69,8 +69,8 @@ _VOTED = f"SELECT * FROM ({_COUNTED}) QUALIFY row_number() OVER (PARTITION BY id
 @query(f"WITH {_TABLES}, {_drops_sql('knn', f'SELECT number, true_code = code AS hit FROM ({_VOTED})')}")
 def robustness_knn(spark, sf):
     many, test, grid = _scenarios(spark, sf)
-    each = [metrics.accuracy(knn.predict(many.where(F.col("number") == n), test, 11)).select(F.lit(n).alias("number"), F.col("accuracy").alias("test_accuracy")) for n in range(len(GRID))]
-    return _drops(tables.append_splits(each), grid, "knn")
+    hits = metrics.accuracy(knn.predict(many, test, 11, by="number"), ["number"])
+    return _drops(hits.select("number", F.col("accuracy").alias("test_accuracy")), grid, "knn")
 
 
 def _trees_sql(model: str, base: str, each: int, leaf: int, split: int, subset: int | None) -> str:
