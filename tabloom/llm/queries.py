@@ -30,8 +30,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return urls.judge(pages, urls.linked_outcomes(pages, table(spark, sf_dir, "labels")))
+    labelled = urls.with_quality(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return urls.judge(labelled, good_col="good")
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

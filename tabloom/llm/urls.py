@@ -88,7 +88,7 @@ def _strengths(hosts: DataFrame) -> dict:
 
 
 def _upper(a: Column, b: Column) -> Column:
-    return F.round(a / (a + b) + Z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 6)
+    return F.least(F.lit(1.0), F.round(a / (a + b) + Z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 6))
 
 
 def reputation(hosts: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
@@ -109,33 +109,45 @@ def reputation(hosts: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFram
     return found.select("host", "pages", F.col("n").alias("n_labelled"), _upper(a, b).alias("bound"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, min_good: float = MIN_GOOD, id_col: str = "page_id", url_col: str = "url", suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame | None = None, rules: Sequence[tuple[str, str]] = RULES, min_good: float = MIN_GOOD, id_col: str = "page_id", url_col: str = "url", suffixes: Sequence[str] = SUFFIXES, good_col: str | None = None) -> DataFrame:
     """One row for each row of pages: page_id, host, path, rule, verdict, n_labelled, upper_bound.
 
-    outcomes (page_id, good 0/1) may label any part of the pages; null and other values of good count as no label. A null
-    url or one without :// has an empty host and path, fits no rule and is judged as the host "". A host without a label is
-    judged by the bound that its domain or suffix gives it; upper_bound, the evidence of its own pages, is null. Without
-    any label all are allowed. Repeated rows are judged alike. An empty table gives an empty table. Other columns are not read.
+    Labels (0 or 1; null and other values are none) come from good_col of pages, one for each row, or from outcomes (page_id,
+    good), each of which counts once for each host that its page id has. A null url or one without :// has an empty host and
+    path, fits no rule and is judged as the host "". A host without a label is judged by the bound that its domain or suffix
+    gives it; upper_bound, the evidence of its own pages, is null. Without any label all are allowed. Repeated rows are judged
+    alike, and their labels count as often as they stand. An empty table gives an empty table. Other columns are not read.
+
+    upper_bound is the mean and Z standard deviations of the posterior, 1 at most: a normal approximation.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
-    rows = rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    good = outcomes.select(F.col("page_id").cast("long").alias("page_id"), F.col("good").cast("int").alias("good")).where("good IN (0, 1)")
-    labelled = rows.select("page_id", "host").join(good, "page_id").select("host", F.lit(0).alias("pages"), F.lit(1).alias("n"), F.col("good").alias("k"))
-    each = rows.select("host", F.lit(1).alias("pages"), F.lit(0).alias("n"), F.lit(0).alias("k")).unionByName(labelled)
+    label = F.col(good_col).cast("int") if good_col else F.lit(None).cast("int")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), label.alias("good"))
+    rows = rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "good")
+    counted = lambda good: [good.isin(0, 1).cast("int").alias("n"), (good == 1).cast("int").alias("k")]
+    each = rows.select("host", F.lit(1).alias("pages"), *[F.coalesce(c, F.lit(0)).alias(n) for c, n in zip(counted(F.col("good")), "nk", strict=True)])
+    if outcomes is not None:
+        good = outcomes.select(F.col("page_id").cast("long").alias("page_id"), F.col("good").cast("int").alias("good")).where("good IN (0, 1) AND page_id IS NOT NULL")
+        by_page = good.groupBy("page_id").agg(F.count("*").alias("n"), F.sum("good").alias("k"))
+        each = each.unionByName(rows.select("page_id", "host").distinct().join(by_page, "page_id").select("host", F.lit(0).alias("pages"), "n", "k"))
     known = cut(reputation(each.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("pages", "n", "k")]), suffixes), "reputation")
     total = known.agg(F.sum("pages")).first()[0] or 0
-    out = join_hot(rows, known, "host", total, "pages").withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
+    out = join_hot(rows.drop("good"), known, "host", total, "pages").withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
     own = F.when(F.col("bound") < min_good, F.lit("block")).otherwise(F.lit("allow"))
     upper = F.when(F.col("n_labelled") > 0, F.col("bound")).alias("upper_bound")
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), own).alias("verdict"), F.col("n_labelled").cast("long").alias("n_labelled"), upper)
 
 
-def linked_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """page_id, good: pages whose path ends in a document's number have the quality label of that document."""
+def with_quality(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """page_id, url, good of each row of pages: the quality label of the document whose number ends the path, else null.
+
+    Rows of a number that many pages share get their label where they are."""
     number = F.regexp_extract(path_of(F.col("url")), r"/([0-9]{1,18})(?:/|\.html)?$", 1)
-    linked = pages.select("page_id", F.when(number != "", number).cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
+    rows = pages.select("page_id", "url", F.when(number != "", number).cast("long").alias("doc_id"))
+    held = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
     marks = labels.groupBy("doc_id").agg(F.max("quality").alias("good"))
-    return linked.join(marks, "doc_id").select("page_id", "good")
+    side = cut(held.join(marks, "doc_id"), "quality")
+    total = side.agg(F.sum("n")).first()[0] or 0
+    return join_hot(rows, side, "doc_id", total, "n", "left").select("page_id", "url", "good")
 
 
 #: The same judgement for DuckDB.
@@ -163,7 +175,7 @@ s AS (SELECT lv, 1 / least(greatest(coalesce(rho, 0.0), 0.001), CAST(0.5 AS DOUB
 b1 AS (SELECT suffix, (k + s * k0 / n0) / (n + s) AS m1 FROM suffixes, total, s WHERE lv = 1),
 b2 AS (SELECT domain, (k + s * m1) / (n + s) AS m2 FROM domains JOIN b1 USING (suffix), s WHERE lv = 2),
 b3 AS (SELECT host, CAST(n AS BIGINT) AS n_labelled, k + s * m2 AS a, n - k + s * (1 - m2) AS b FROM hosts JOIN b2 USING (domain), s WHERE lv = 3),
-rep AS (SELECT host, n_labelled, round(a / (a + b) + {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 6) AS bound FROM b3),
+rep AS (SELECT host, n_labelled, least(CAST(1 AS DOUBLE), round(a / (a + b) + {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 6)) AS bound FROM b3),
 rules AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}')" for v, r in RULES)}) AS x(verdict, rule, h, pa)),
 fit AS (SELECT DISTINCT host, path, first(rule ORDER BY length(rule) DESC) OVER (PARTITION BY host, path ORDER BY length(rule) DESC) AS rule
         FROM (SELECT DISTINCT host, path FROM p) d JOIN rules ON (d.host = h OR ends_with(d.host, '.' || h)) AND starts_with(d.path, pa))

@@ -147,6 +147,30 @@ def test_unlabelled_hosts_inherit(spark):
     assert {r["verdict"] for r in judged(spark, rows)} == {"allow"}
 
 
+def test_url_sql_on_repeated_null_and_shared_rows(spark, tmp_path):
+    """Each labelled row counts once, however often its page stands, and many pages may share a document's number."""
+    import duckdb
+
+    pages = [(1, "http://a.com/x/1"), *[(2, "http://a.com/x/2")] * 5, (2, "http://b.com/x/2"), *[(10 + i, f"http://c{i % 7}.org/p/3.html") for i in range(60)], (None, "http://a.com/x/1"), (3, None), (4, "no url"), (5, "http://d.net/q/99"), (6, "http://e.com/9/4/"), (6, "http://e.com/9/4/")]
+    labels = [(1, 1, 0), (2, 0, 0), (3, 1, 0), (3, 0, 1), (4, None, 1), (None, 1, 1), (5, 1, 0)]
+    spark.createDataFrame(pages, "page_id long, url string").withColumn("good", F.lit("x")).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = queries.op5_url_filter(spark, str(tmp_path)).where("page_id IS NOT NULL")
+    same(got, con, f"SELECT * FROM ({urls.SQL}) WHERE page_id IS NOT NULL")
+    by = {r["host"]: r["n_labelled"] for r in got.collect()}
+    assert by["a.com"] == 7 and by["b.com"] == 1 and sum(by[f"c{i}.org"] for i in range(7)) == 60 and by["e.com"] == 0
+    assert got.where("upper_bound > 1").count() == 0
+
+
+def test_outcomes_count_once_for_repeated_pages(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/1")] * 5 + [(2, "http://a.com/2")], "page_id long, url string")
+    good = spark.createDataFrame([(1, 0), (2, 1)], "page_id long, good int")
+    assert {r["n_labelled"] for r in urls.judge(pages, good).collect()} == {2}
+
+
 def test_registered_domains(spark):
     want = {
         "shop.co.uk": ("shop.co.uk", "co.uk"), "www.other.co.uk": ("other.co.uk", "co.uk"), "x.com:8080": ("x.com", "com"), "u@w.x.org.": ("x.org", "org"),
