@@ -110,8 +110,10 @@ def step(name: str, g: str, weights: str, rate: float) -> str:
     return f"{name} AS MATERIALIZED (SELECT {mat('w1')} AS w1, {vec('b1')} AS b1, {mat('w2')} AS w2, {vec('b2')} AS b2)"
 
 
-def train(rows: str, start: mlp.Net, epochs: int, steps: int, rate: float, l2: float, patience: int | None) -> str:
-    """CTEs: net1 ... (the net after each epoch) and history (epoch, losses, accuracies) up to the epoch that stops."""
+def train(rows: str, start: mlp.Net, epochs: int, steps: int, rate: float, l2: float, patience: int | None, batch_seed: int | None = None) -> str:
+    """CTEs: net1 ... (the net after each epoch) and history (epoch, losses, accuracies) up to the epoch that stops.
+
+    With batch_seed a step has a mini-batch of the epoch's own deal instead of all rows."""
     hidden, features = start.w1.shape
     classes = len(start.b2)
     ones = [1.0] * classes
@@ -120,13 +122,20 @@ def train(rows: str, start: mlp.Net, epochs: int, steps: int, rate: float, l2: f
         for s in range(steps):
             name = f"g{epoch}s{s}"
             new = f"net{epoch}" if s == steps - 1 else f"net{epoch}s{s}"
-            out += [forward(f"{name}f", weights, "SELECT * FROM rows WHERE split = 'train'"), gradient(name, f"{name}f", weights, hidden, features, classes, l2, ones), step(new, name, weights, rate)]
+            fit = "SELECT * FROM rows WHERE split = 'train'"
+            if batch_seed is not None:
+                u = views.uniform_sql("duck", f"CAST(id AS STRING) || ':batch.{epoch}:{batch_seed}'")
+                fit += f" AND least(CAST(floor({u} * {steps}) AS INT), {steps - 1}) = {s}"
+            out += [forward(f"{name}f", weights, fit), gradient(name, f"{name}f", weights, hidden, features, classes, l2, ones), step(new, name, weights, rate)]
             weights = new
         out.append(forward(f"m{epoch}", weights, "SELECT * FROM rows"))
         loss = lambda part, e=epoch: f"(SELECT avg(-ln(greatest(p[code + 1], CAST({mlp.FLOOR} AS DOUBLE)))) FROM m{e} WHERE split = '{part}')"
         acc = lambda part, e=epoch: f"(SELECT avg(CAST(list_position(p, list_max(p)) - 1 = code AS DOUBLE)) FROM m{e} WHERE split = '{part}')"
+        update = f"(SELECT v FROM g{epoch}s{steps - 1}_loss)"
+        if batch_seed is not None:
+            update = "(SELECT sum(v * n) / sum(n) FROM (" + " UNION ALL ".join(f"SELECT v, n FROM g{epoch}s{s}_loss, g{epoch}s{s}n" for s in range(steps)) + "))"
         each.append(
-            f"SELECT {epoch} AS epoch, (SELECT v FROM g{epoch}s{steps - 1}_loss) AS train_update_loss, {loss('train')} AS train_loss, {loss('val')} AS val_loss, {acc('train')} AS train_accuracy, {acc('val')} AS val_accuracy, CAST({rate} AS DOUBLE) AS learning_rate, {acc('test')} AS test_accuracy"
+            f"SELECT {epoch} AS epoch, {update} AS train_update_loss, {loss('train')} AS train_loss, {loss('val')} AS val_loss, {acc('train')} AS train_accuracy, {acc('val')} AS val_accuracy, CAST({rate} AS DOUBLE) AS learning_rate, {acc('test')} AS test_accuracy"
         )
         rate = rate * 0.85 if epoch % 10 == 0 else rate
     out.append("every_epoch AS MATERIALIZED (" + " UNION ALL ".join(each) + ")")

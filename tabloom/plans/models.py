@@ -461,20 +461,20 @@ _START = mlp.Net.he(FEATURES, HIDDEN, CLASSES, 1)
 _HISTORY = ("epoch", "train_update_loss", "train_loss", "val_loss", "train_accuracy", "val_accuracy", "learning_rate")
 
 
-def _train_sql(epochs: int, patience: int | None) -> str:
-    return model_sql.train(views.vectors("duck", FEATURES), _START, epochs, 2, 0.5, 1e-4, patience)
+def _train_sql(epochs: int, patience: int | None, batches: int | None = None) -> str:
+    return model_sql.train(views.vectors("duck", FEATURES), _START, epochs, batches or 2, 0.5, 1e-4, patience, 1 if batches else None)
 
 
 def _history_sql(columns: tuple[str, ...]) -> str:
     return "SELECT CAST(epoch AS BIGINT) AS epoch, " + ", ".join(f"round({c}, 8) AS {c}" for c in columns[1:]) + " FROM history"
 
 
-def _train(spark: SparkSession, sf: str, epochs: int, patience: int | None):
+def _train(spark: SparkSession, sf: str, epochs: int, patience: int | None, batches: int | None = None):
     v = _vectors(spark, sf, FEATURES)
     path = tables.scratch(spark, "net")
     v.select("id", "split", "code", "features").write.parquet(path)
     v = spark.read.parquet(path)
-    return mlp.train(_split(v, "train"), _split(v, "val"), HIDDEN, CLASSES, epochs, patience=patience, steps=2, seed=1, test=_split(v, "test"))
+    return mlp.train(_split(v, "train"), _split(v, "val"), HIDDEN, CLASSES, epochs, patience=patience, steps=2, seed=1, test=_split(v, "test"), batches=batches)
 
 
 def _history(spark: SparkSession, history: list[dict], columns: tuple[str, ...]) -> DataFrame:
@@ -496,3 +496,14 @@ def mlp_history(spark, sf):
 @query(f"WITH {_train_sql(4, None)} {_history_sql((*_HISTORY, 'test_accuracy'))}")
 def mlp_epoch_curve(spark, sf):
     return _history(spark, _train(spark, sf, 4, None)[1], (*_HISTORY, "test_accuracy"))
+
+
+@query(f"WITH {_train_sql(2, None, 3)} {_history_sql((*_HISTORY, 'test_accuracy'))}")
+def mlp_minibatch_history(spark, sf):
+    return _history(spark, _train(spark, sf, 2, None, 3)[1], (*_HISTORY, "test_accuracy"))
+
+
+@query(f"WITH {_train_sql(2, None, 3)} SELECT id, code AS true_code, predicted FROM ({model_sql.best_predictions(2)}) WHERE split = 'test'")
+def mlp_minibatch_train(spark, sf):
+    net, _ = _train(spark, sf, 2, None, 3)
+    return mlp.predict(net, _split(_vectors(spark, sf, FEATURES), "test")).select("id", F.col("code").alias("true_code"), "predicted")

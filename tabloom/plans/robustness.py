@@ -128,8 +128,5 @@ def _net_sql(number: int) -> str:
 @query(f"WITH {_TABLES}, {_drops_sql('net', ' UNION ALL '.join(_net_sql(n) for n in range(len(GRID))))}")
 def robustness_net(spark, sf):
     many, test, grid = _scenarios(spark, sf)
-    found = []
-    for n in range(len(GRID)):
-        net = mlp.descend(many.where(F.col("number") == n), models._START, STEPS, RATE, L2)
-        found.append((n, mlp.measure(net, test)[1]))
-    return _drops(spark.createDataFrame(found, "number int, test_accuracy double"), grid, "net")
+    nets = mlp.descend_many(many, dict.fromkeys(range(len(GRID)), models._START), STEPS, RATE, L2, by="number")
+    return _drops(mlp.accuracies(nets, test).withColumnRenamed("accuracy", "test_accuracy"), grid, "net")

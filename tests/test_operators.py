@@ -336,15 +336,13 @@ def test_models_are_saved_and_loaded(spark, tmp_path):
     assert mlp.descend(rows, net, 2, 0.1).w1.shape == (4, 2)
 
 
-def test_many_rows_use_quantiles(spark, monkeypatch):
-    """Beyond EXACT_ROWS splits are those of quantiles, near the exact ones."""
+def test_bins_are_quantiles(spark):
+    """With bins splits are those of quantiles, near the exact ones."""
     r = np.random.default_rng(5)
     x = r.normal(size=(600, 2))
     rows = spark.createDataFrame([(i, int(x[i, 0] > 0.3), [float(v) for v in x[i]]) for i in range(600)], "id long, code int, features array<double>")
     exact = trees.grow(rows, ["a", "b"], 1).nodes
-    monkeypatch.setattr(trees, "EXACT_ROWS", 500)
-    monkeypatch.setattr(trees, "BINS", 64)
-    binned = trees.grow(rows, ["a", "b"], 1).nodes
+    binned = trees.grow(rows, ["a", "b"], 1, bins=64).nodes
     assert exact["feature"][0] == binned["feature"][0] == 0 and abs(exact["threshold"][0] - binned["threshold"][0]) < 0.1
 
 
