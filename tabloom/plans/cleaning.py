@@ -110,6 +110,22 @@ def read_tag_union(spark, sf):
     return tables.append_splits(parts).select("source_row", "split", *[F.coalesce(c, F.lit("")).alias(c) for c in _RAW])
 
 
+#: Events as text whose fields hold quotes, separators and line ends, in order of id.
+_QUOTED = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'two' || chr(10) || 'lines, "' || event_type || '"' WHEN 1 THEN chr(10) || chr(10) WHEN 2 THEN '"' WHEN 3 THEN NULL ELSE event_type END AS note,
+      CASE WHEN event_id % 3 = 0 THEN ' ",' || chr(10) || CAST(event_id AS STRING) || '"' ELSE CAST(event_id AS STRING) END AS name FROM events"""
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY event_id) + 1 AS BIGINT) AS source_row, 'train' AS split, CAST(event_id AS STRING) AS row, coalesce(note, '') AS note, name FROM ({_QUOTED})")
+def read_quoted_lines(spark, sf):
+    """Records that span lines keep their number, over all files that hold the split."""
+    rows = views.load(spark, sf, _QUOTED).select(F.col("event_id").alias("row"), "note", "name")
+    ordered = rows.repartitionByRange(8, "row").sortWithinPartitions("row")
+    path = tables.scratch(spark, "quoted")
+    ordered.write.options(header=True, escape='"', quoteAll=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    back = tables.read_text_split(spark, path, "train", ["row", "note", "name"])
+    return back.select("source_row", "split", "row", F.coalesce("note", F.lit("")).alias("note"), "name")
+
+
 @query(f"WITH s AS ({views.shapes('duck')}) SELECT split, count(*) AS n, round(avg(Area), 6) AS mean_area, min(Class) AS first_class FROM s GROUP BY split")
 def typed_feature_read(spark, sf):
     text = _shapes(spark, sf).drop("id").withColumns({c: F.col(c).cast("string") for c in SHAPES.numeric})

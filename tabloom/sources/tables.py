@@ -2,36 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_own_dir: list[str] = []
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
-
-    One of our own only where none is set and all run on this machine (master local); else an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not named and not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="spark-tables-"))
-    return f"{named or _own_dir[0]}/{name}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: several readers share one run, and a lost executor costs a re-read."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from tabloom.sources import records
+from tabloom.sources.shared import kept, scratch  # noqa: F401
 
 def _numbered(rows: DataFrame, parts: Sequence[str], name: str) -> DataFrame:
     """rows with name: 0, 1, ... in the order of parts and of __at, which is consecutive within a part.
@@ -53,18 +31,13 @@ def in_order(ids: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def read_text_split(spark: SparkSession, path: str, split: str, columns: Sequence[str], row_column: str | None = None) -> DataFrame:
-    """A CSV split as text columns with split and source_row; a missing file raises.
+    """A CSV split as text columns with split and source_row; a missing file raises. Quoted fields may hold line ends.
 
-    A UTF-8 mark is dropped. source_row is row_column if given; else the line, counted from 2 below the header.
+    A UTF-8 mark is dropped. source_row is row_column if given; else the record's number, counted from 2 below the header.
     """
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    rows = spark.read.csv(path, header=True, schema=schema)
-    if row_column:
-        return rows.withColumns({"split": F.lit(split), "source_row": F.col(row_column).cast("long")})
-    # rows of one part of a file stand together, in their order
-    placed = rows.withColumns({"__file": F.col("_metadata.file_path"), "__start": F.col("_metadata.file_block_start"), "__at": F.monotonically_increasing_id()})
-    out = _numbered(kept(placed, "lines"), ["__file", "__start"], "source_row")
-    return out.select(*columns, (F.col("source_row") + 2).alias("source_row"), F.lit(split).alias("split"))
+    rows = records.parsed(records.read_records(spark, path), columns)
+    number = F.col(row_column).cast("long") if row_column else F.col("number") + 2
+    return rows.select(*columns, number.alias("source_row"), F.lit(split).alias("split"))
 
 
 def append_splits(parts: Sequence[DataFrame]) -> DataFrame:
