@@ -20,30 +20,37 @@ _EDGE_L, _EDGE_R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 _HEX = "[0-9A-Fa-f]"
 #: Words before a secret, and before digests that are none.
 _KEYWORD = r"(?i:token|secret|password|passwd|passphrase|pwd|credential|bearer|(?:api|access|private|auth)[_\-]?key)"
+#: What keys of common services begin with, and how they go on.
+_KNOWN_KEYS = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_\-]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}"
+_KNOWN_START = r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[rs]k_(?:live|test)_|AIza)"
 _DIGEST = r"(?i:commit|revision|changeset|tree|parent|sha-?1|sha-?256|sha-?512|md5|digest|checksum|hash|etag)"
 #: Bare hex of 32 digits or more is a secret, but for 40 digits (names of commits) and what a digest's name precedes; after
 #: a keyword any quoted value of 8 signs is one, and an unquoted one that has a digit.
 _SECRET = (
     # cheap looks at the next and the last sign come first
-    rf"(?={_HEX}{{32}})(?<![\p{{L}}\p{{N}}_])(?!{_HEX}{{40}}(?!{_HEX}))(?<!{_DIGEST}[\"']? {{0,2}}[:=]? {{0,2}}[\"']?){_HEX}{{32,}}+(?![\p{{L}}\p{{N}}_@])"
+    rf"(?<![\p{{L}}\p{{N}}_])(?=[Agxrs])(?:{_KNOWN_KEYS})(?![\p{{L}}\p{{N}}_])"
+    rf"|(?={_HEX}{{32}})(?<![\p{{L}}\p{{N}}_])(?!{_HEX}{{40}}(?!{_HEX}))(?<!{_DIGEST}[\"']? {{0,2}}[:=]? {{0,2}}[\"']?){_HEX}{{32,}}+(?![\p{{L}}\p{{N}}_@])"
     rf"|(?<=[\"'])(?=[^\"'\s]{{8}})(?<={_KEYWORD}[\"']? ?[=:] ?[\"'])[^\"'\s]{{8,}}+(?=[\"'])"
     rf"|(?<=[=: ])(?=[^\"'\s,;0-9]*+[0-9])(?<=[=:] ?)(?<={_KEYWORD}[\"']? ?[=:] ?)[^\"'\s,;]{{7,}}[^\"'\s,;.!?)]"
 )
+_PLUS = r"(?<![\p{L}\p{N}_+])"
 _IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 #: kind -> pattern; the order decides where two could begin at one place.
 PATTERNS = {
     "email": _EDGE_L + r"[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*(?<=\.[A-Za-z]{2,63})",
     "iban": _EDGE_L + f"(?:{_IBAN}|{_IBAN.replace('A-Z', 'a-z')})" + _EDGE_R,
-    "phone": r"(?<![\p{L}\p{N}_+])(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-][0-9]{3,4}" + _EDGE_R + r"|(?<![\p{L}\p{N}_+])\+[0-9]{1,3}(?:[ .\-][0-9]{2,4}){2,4}" + _EDGE_R + r"|(?<![\p{L}\p{N}_+])\+[1-9][0-9]{7,14}" + _EDGE_R + r"|(?<![\p{L}\p{N}_.+\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![\p{L}\p{N}_\-])" + r"|(?<![\p{L}\p{N}_.,+/\-])0[1-9][0-9]{1,3}[ /\-][0-9]{5,8}(?![\p{L}\p{N}_\-])",
+    "phone": "|".join([_PLUS + r"\+[0-9]{1,3}[ .\-][0-9]{1,5}[ .\-/][0-9]{5,8}" + _EDGE_R, _PLUS + r"(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,5}\)[ .\-]?(?:[0-9]{3,4}[ .\-][0-9]{3,4}|[0-9]{5,8})" + _EDGE_R, _PLUS + r"\+[0-9]{1,3}(?:[ .\-][0-9]{2,4}){2,4}" + _EDGE_R,
+        _PLUS + r"\+[1-9][0-9]{7,14}" + _EDGE_R, r"(?<![\p{L}\p{N}_.+\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![\p{L}\p{N}_\-])", r"(?<![\p{L}\p{N}_.,+/\-])0[1-9][0-9]{1,3}[ /\-][0-9]{5,8}(?![\p{L}\p{N}_\-])",
+        r"(?<=[ .:#])(?<=\b(?i:phone|tel|telephone|call|mobile|cell|fax|whatsapp)(?: (?:me|us))?(?: (?:no|number|at|on))?(?: is)?[.:#]? ?)[0-9]{9,11}(?![\p{L}\p{N}_\-]|[.,][0-9])"]),
     "ip": r"(?<![\p{L}\p{N}_.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}_]|\.[0-9])",
     "ipv6": rf"(?<![\p{{L}}\p{{N}}_:.])(?:(?:{_HEX}{{1,4}}:){{7}}{_HEX}{{1,4}}|(?=[0-9A-Fa-f:]*[0-9])(?:{_HEX}{{1,4}}:){{1,5}}(?::{_HEX}{{1,4}}){{1,5}})(?![\p{{L}}\p{{N}}_:])",
-    "date": r"(?<![\p{L}\p{N}_/.\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![\p{L}\p{N}_/\-]|\.[0-9])",
-    "ssn": r"(?<![\p{L}\p{N}_.\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}_\-])",
+    "date": r"(?<![\p{L}\p{N}_/.\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\p{L}\p{N}_/\-]|\.[0-9])",
+    "ssn": r"(?<![\p{L}\p{N}_.\-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|(?<![0-9] )[0-9]{3} [0-9]{2} [0-9]{4}(?! [0-9]))(?![\p{L}\p{N}_\-])",
     "card": r"(?<![\p{L}\p{N}_.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\p{L}\p{N}_\-])",
 }
 ANY = "|".join([f"({_SECRET})", *PATTERNS.values()])
 #: What any text with one of these has; a cheap test before the patterns.
-HINT = "[0-9@]|[=:] ?[\"']"
+HINT = "[0-9@]|[=:] ?[\"']|A[KS]IA|xox|AIza|gh[pousr]_|github_pat_|glpat-|k_(?:live|test)_"
 
 
 def _key(key: str | Column) -> Column:
@@ -126,11 +133,19 @@ def _iban(x: Column, key: str | Column) -> Column:
     return F.when(valid & F.length(digits).between(2, 30), _into(x, other))
 
 
+#: Country codes of one and of two digits; all others have three.
+_LAND1, _LAND2 = "^[17]", "^(?:20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+
+
 def _phone(x: Column, key: str | Column) -> Column:
-    land = F.regexp_extract(x, r"^\+[0-9]{1,3}[ .\-]?(?=[(0-9])", 0)
-    rest = F.substr(x, F.length(land) + 1)
-    d = _digits(rest)
-    return F.when(F.length(d).between(6, 15), F.concat(land, _into(rest, permute_digits(d, key, "phone"))))
+    """The country code stays; the other digits are permuted, however they are grouped."""
+
+    def of(d: Column) -> Column:
+        land = F.when(~F.startswith(x, F.lit("+")), 0).when(d.rlike(_LAND1), 1).when(d.rlike(_LAND2), 2).otherwise(3)
+        rest = F.substr(d, land + 1)
+        return F.when(F.length(rest).between(6, 15), _into(x, F.concat(F.substr(d, F.lit(1), land), permute_digits(rest, key, "phone"))))
+
+    return once(_digits(x), of)
 
 
 def _ip(x: Column, key: str | Column) -> Column:
@@ -141,7 +156,7 @@ def _ip(x: Column, key: str | Column) -> Column:
 
 
 def _ssn(x: Column, key: str | Column) -> Column:
-    area, group, serial = (F.split(x, "-")[i].cast("long") for i in range(3))
+    area, group, serial = (F.split(x, "[ -]")[i].cast("long") for i in range(3))
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     rank = (area - 1 - (area > 666).cast("long")) * 99 + group - 1
     out = feistel(rank, serial - 1, F.lit(898 * 99), F.lit(9999), key, "ssn")
@@ -149,64 +164,76 @@ def _ssn(x: Column, key: str | Column) -> Column:
     def form(p: Column) -> Column:
         low = F.floor(p["a"] / 99)
         parts = (low + 1 + (low >= 665).cast("long"), 3), (p["a"] % 99 + 1, 2), (p["b"] + 1, 4)
-        return F.concat_ws("-", *[F.lpad(v.cast("string"), n, "0") for v, n in parts])
+        return _into(x, F.concat(*[F.lpad(v.cast("string"), n, "0") for v, n in parts]))
 
     return F.when(valid, once(out, form))
 
 
 def _ipv6(x: Column, key: str | Column) -> Column:
-    """The first group names the network and stays; all other hex digits are permuted, each group keeps its length."""
-    first = F.regexp_extract(x, "^[0-9A-Fa-f]+", 0)
-    rest = F.substr(x, F.length(first) + 1)
-    digits = F.lower(F.regexp_replace(rest, "[^0-9A-Fa-f]", ""))
-    groups = F.size(F.filter(F.split(x, ":"), lambda g: g != ""))
-    return F.when(F.length(digits).between(1, 28) & (groups >= 3), F.concat(first, _into(rest, permute_digits(digits, key, "ipv6", 16), "[0-9A-Fa-f]")))
+    """The first group names the network and stays; the other seven, written out, are permuted together. All forms of an address
+    get one pseudonym, of eight groups."""
+    sides = F.split(F.lower(x), "::")
+    groups = lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ":"))
+    left, right = groups(sides[0]), F.when(F.size(sides) > 1, groups(F.try_element_at(sides, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    given = F.size(left) + F.size(right)
+    filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0))), right)
+    full = F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), "")
+    put = lambda d: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substr(d, 4 * i + 1, F.lit(4)), "^0{1,3}", "")), ":")
+    other = once(full, lambda d: F.concat(F.substr(d, F.lit(1), F.lit(4)), permute_digits(F.substr(d, F.lit(5), F.lit(28)), key, "ipv6", 16)))
+    return F.when(F.when(F.size(sides) > 1, given.between(3, 7)).otherwise(given == 8), once(other, put))
 
 
 _START = "1800-01-01"
-#: Days of the 400 years from _START and its factors; those of them after the 12th of a month and theirs.
-_DAYS, _LATE_DAYS = (189, 773), (9, 9833)
-
+#: Factors of the number of days after the 12th of a month in the 400 years from _START, and of all others.
+_LATE_DAYS, _EARLY_DAYS = (9, 9833), (240, 240)
 
-def _permuted_day(n: Column, key: str | Column) -> Column:
-    out = feistel(F.floor(n / _DAYS[1]), n % _DAYS[1], F.lit(_DAYS[0]), F.lit(_DAYS[1]), key, "date")
-    return F.date_add(F.to_date(F.lit(_START)), (out["a"] * _DAYS[1] + out["b"]).cast("int"))
 
-
-def _permuted_late_day(day: Column, key: str | Column) -> Column:
-    """Days after the 12th among themselves: those before month m number days(m) - 12 * m."""
+def _permuted_day(day: Column, key: str | Column) -> Column:
+    """Days after the 12th of a month among themselves, and all others too: a text that can only be read month first has another
+    such day, whichever form it is written in."""
     start = F.to_date(F.lit(_START))
     month = (F.year(day) - 1800) * 12 + F.month(day) - 1
-    rank = F.datediff(day, start) - 12 * month - 12
-    out = feistel(F.floor(rank / _LATE_DAYS[1]), rank % _LATE_DAYS[1], F.lit(_LATE_DAYS[0]), F.lit(_LATE_DAYS[1]), key, "late date")
-    before = lambda m: F.datediff(F.add_months(start, m), start) - 12 * m
+    late = F.dayofmonth(day) > 12
+    rank = F.when(late, F.datediff(day, start) - 12 * month - 12).otherwise(12 * month + F.dayofmonth(day) - 1)
+    size = lambda i: F.when(late, F.lit(_LATE_DAYS[i])).otherwise(F.lit(_EARLY_DAYS[i]))
+    before = lambda m: F.datediff(F.add_months(start, m), start) - 12 * m  # noqa: E731  days after the 12th before month m
 
     def found(r: Column) -> Column:
         near = F.floor(r * 4800 / (_LATE_DAYS[0] * _LATE_DAYS[1])).cast("int")
         m = F.array_max(F.filter(F.sequence(F.greatest(near - 3, F.lit(0)), near + 3), lambda c: before(c) <= r))
-        return once(m, lambda c: F.date_add(F.add_months(start, c), (r - before(c) + 12).cast("int")))
+        of_late = once(m, lambda c: F.date_add(F.add_months(start, c), (r - before(c) + 12).cast("int")))
+        return F.when(late, of_late).otherwise(F.date_add(F.add_months(start, F.floor(r / 12).cast("int")), (r % 12).cast("int")))
+
+    def of(n: Column) -> Column:
+        out = feistel(F.floor(n / size(1)), n % size(1), size(0), size(1), key, "date")
+        return once(once(out, lambda o: o["a"] * size(1) + o["b"]), found)
 
-    return once(out["a"] * _LATE_DAYS[1] + out["b"], found)
+    return once(rank, of)
 
 
 def _date(x: Column, key: str | Column) -> Column:
-    """A day of the 400 years from 1800, written as it was read.
+    """A day of the 400 years from 1800, by one permutation of all days whatever form it has, written as it was read.
+
+    Texts are read day first, but for those like 12/31/1999 that can only be month first. All texts of one day stay linked, and
+    each form's texts are mapped one to one."""
+    year_first, mark = x.rlike("^[0-9]{4}"), F.regexp_extract(x, "[/.-]", 0)
+    parts = F.split(x, "[/.-]")
+    short = x.rlike(r"(?:^|[/.])[0-9](?:[/.]|$)")
+
+    def of(n: Column) -> Column:
+        month_first = ~year_first & (mark == "/") & (n[1] > 12) & (n[0] <= 12)
+        year, month = F.when(year_first, n[0]).otherwise(n[2]), F.when(year_first, n[1]).when(month_first, n[0]).otherwise(n[1])
+        day = F.when(year_first, n[2]).when(month_first, n[1]).otherwise(n[0])
+        read = F.try_to_timestamp(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
 
-    12/31/1999 can only be month first: such days are permuted among the days after the 12th, all others, read day
-    first, among all days, so each form's texts are mapped one to one."""
-    iso, mark = x.rlike("^[0-9]{4}-"), F.substr(x, F.lit(3), F.lit(1))
-    first, second = F.substr(x, F.lit(1), F.lit(2)), F.substr(x, F.lit(4), F.lit(2))
-    month_first = ~iso & (mark == "/") & (second.cast("int") > 12)
-    text = F.when(iso, x).otherwise(F.concat_ws("-", F.substr(x, F.lit(7), F.lit(4)), F.when(month_first, first).otherwise(second), F.when(month_first, second).otherwise(first)))
-    read = F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")
+        def put(d: Column) -> Column:
+            two = lambda v: F.when(short, v.cast("string")).otherwise(F.lpad(v.cast("string"), 2, "0"))
+            m, dd, y = two(F.month(d)), two(F.dayofmonth(d)), F.year(d).cast("string")
+            return F.when(year_first, F.concat(y, mark, m, mark, dd)).when(month_first, F.concat(m, mark, dd, mark, y)).otherwise(F.concat(dd, mark, m, mark, y))
 
-    def of(day: Column) -> Column:
-        n = F.datediff(day, F.to_date(F.lit(_START)))
-        put = lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(mark == ".", F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy"))
-        late = F.date_format(_permuted_late_day(day, key), "MM/dd/yyyy")
-        return F.when(n.between(0, _DAYS[0] * _DAYS[1] - 1), F.when(month_first, late).otherwise(once(_permuted_day(n, key), put)))
+        return once(read, lambda d: F.when(F.year(d).between(1800, 2199), once(_permuted_day(d, key), put)))
 
-    return once(read, of)
+    return once(F.transform(parts, lambda p: p.cast("int")), of)
 
 
 def _email(x: Column, key: str | Column) -> Column:
@@ -217,7 +244,8 @@ def _email(x: Column, key: str | Column) -> Column:
 
 def _secret(x: Column, key: str | Column) -> Column:
     block = lambda i: F.sha2(F.concat(_key(key), F.lit(":secret:"), i.cast("string"), F.lit(":"), x), 512)
-    return F.substr(F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / 128).cast("int")), block), ""), F.lit(1), F.length(x))
+    start = F.regexp_extract(x, _KNOWN_START, 0)  # of a known service: it stays
+    return F.concat(start, F.substr(F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / 128).cast("int")), block), ""), F.lit(1), F.length(x) - F.length(start)))
 
 
 _MAKE = {"email": _email, "iban": _iban, "phone": _phone, "ip": _ip, "ipv6": _ipv6, "date": _date, "ssn": _ssn, "card": _card}
@@ -228,8 +256,8 @@ def pseudonym(x: Column, secret: Column, key: str | Column) -> Column:
 
     value is null where the value doesn't validate."""
     kind, value = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for k in reversed(PATTERNS):  # a match by itself has no neighbours
-        hit = x.rlike(f"^(?:{PATTERNS[k]})$")
+    for k in reversed(PATTERNS):  # a match by itself has no neighbours; bare digits are a number after a word for it
+        hit = x.rlike(f"^(?:{PATTERNS[k]}{'|[0-9]{9,11}' if k == 'phone' else ''})$")
         kind = F.when(hit, F.lit(k)).otherwise(kind)
         value = F.when(hit, _MAKE[k](x, key)).otherwise(value)
     kind, value = F.when(secret != "", F.lit("secret")).otherwise(kind), F.when(secret != "", _secret(x, key)).otherwise(value)
