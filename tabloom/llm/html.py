@@ -4,13 +4,15 @@ A page is cut into blocks at block-level tags. The first pass decides by length,
 leaves short and wordless blocks open. The second pass gives each open block the label of its nearest decided neighbours.
 Names are priors: an article or main element makes the first pass milder and keeps neighbours to itself, and an element
 that names itself as something that may be boilerplate counts as such where the page has an article. Only parts that no
-text density can tell from an article, such as comments, adverts and menus, are left out by name.
+text density can tell from an article, such as comments, adverts and menus, are left out by name. A page whose words are of none of
+the stop-word languages is judged by length and link density alone.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,18 +33,21 @@ LOOSE = frozenset("p li dt dd option tr td th thead tbody tfoot h1 h2 h3 h4 h5 h
 #: as headings and sections have ids made of their titles.
 KINDS = frozenset(
     "ad ads ad-box adbox ad-slot adslot ad-unit adunit ad-container ad-wrapper ad-banner advert adverts advertisement advertising adsbygoogle outbrain taboola sponsor sponsored "
-    "promo promotion promo-box nav navbar navigation menu menubar main-menu breadcrumb breadcrumbs pagination pager sidebar left-sidebar right-sidebar footer toolbar widget skip-link "
-    "share sharing share-bar share-buttons share-links social-share social-links social-icons social-media-links related related-posts related-articles related-links related-stories recommended "
+    "promo promotion promo-box nav navbar navigation menu menubar main-menu breadcrumb breadcrumbs pagination pager sidebar left-sidebar right-sidebar footer toolbar skip-link "
+    "share sharing share-bar share-buttons share-links social-share social-links social-icons social-media-links related-posts related-articles related-links related-stories recommended-posts "
     "comments comment-list commentlist comments-area comment-section disqus disqus-thread respond replies cookie-banner cookie-notice cookie-consent consent gdpr popup modal overlay "
     "newsletter newsletter-signup subscribe subscription signup searchform search-form complementary contentinfo dialog".split()
 )
-PLACES = frozenset("site page main top bottom left right primary secondary global post entry article blog user sub mobile desktop js".split())
+PLACES = frozenset("reader user site page main top bottom left right primary secondary global post entry article blog sub mobile desktop js".split())
 FORMS = frozenset("box bar block area section list items links slot unit panel top bottom left right inner outer".split())
-#: Parts of a name that say the same in any company, but for LAYOUT.
-SURE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies newsletter breadcrumb breadcrumbs".split())
+#: Names that count within compounds: of these, KINDS, PLACES, FORMS and COMPANY alone a name is made that says so.
+SURE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies newsletter breadcrumb breadcrumbs widget related recommended".split())
+COMPANY = frozenset("banner notice message law info policy settings preferences warning alert label form modal popup consent code zone space holder placeholder google dfp posts articles stories more read".split())
+#: Roles of elements that are no text, wherever they stand.
+ROLES = frozenset("alert alertdialog complementary contentinfo dialog menu menubar navigation search status toolbar".split())
 LAYOUT = frozenset("no not has with without open closed free wrap wrapper layout page content story enabled by".split())
 #: Names that may be boilerplate outside an article, and may be subjects.
-WEAK = frozenset("legal social search side foot alert notice notices banner reply respond masthead topbar copyright disclaimer skip login".split())
+WEAK = frozenset("widget related recommended discussion legal social search side foot alert notice notices banner reply respond masthead topbar copyright disclaimer skip login".split())
 #: Names of page headers; inside an article they may hold its title.
 HEADER = re.compile(r"(?:^|\s)(?:site-|main-|top-|global-|app-|blog-)?header(?:$|\s)")
 #: Names of single reader comments, which may be article elements.
@@ -57,6 +62,8 @@ SHORT, LONG = 70, 200
 #: Link density: most of a text, and of one in an article. Stop-word density: least of a text that may be one (in an
 #: article: that is one), of a long text, of any.
 LINKS_MOST, LINKS_MOST_MAIN, STOPS_LEAST, STOPS_LONG, STOPS_ANY = 0.33, 0.8, 0.15, 0.30, 0.32
+#: A page with fewer stop words among those outside links is in another language.
+STOPS_LANGUAGE = 0.05
 
 _ATTRIBUTE = r"""[^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*"""
 _TOKEN = re.compile(
@@ -67,6 +74,7 @@ _TOKEN = re.compile(
 _NAME = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"""\bhidden(?=[\s=>/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_LINK_START, _LINK_END = re.compile(r"<a(?=[\s>])", re.I), re.compile(r"</a(?=[\s>])", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -89,11 +97,14 @@ def _is_kind(name: str) -> bool:
     parts = name.split("-")
     if not LAYOUT.isdisjoint(parts):
         return False
+    known = [p for p in parts if p in SURE or p in KINDS]
+    if known and all(p in SURE or p in KINDS or p in PLACES or p in FORMS or p in COMPANY or p.isdigit() for p in parts):
+        return len(parts) > 1 or name not in WEAK
     while len(parts) > 1 and parts[0] in PLACES:
         parts = parts[1:]
     while len(parts) > 1 and (parts[-1] in FORMS or parts[-1].isdigit()):
         parts = parts[:-1]
-    return "-".join(parts) in KINDS or not SURE.isdisjoint(parts)
+    return "-".join(parts) in KINDS
 
 
 def named_bad(tag: str, attr: str, in_main: bool) -> int:
@@ -109,10 +120,10 @@ def named_bad(tag: str, attr: str, in_main: bool) -> int:
         named += [(kind, x) for x in (["-".join(value.split())] if kind == "aria-label" else value.split())]
     if tag in MAIN:
         return 2 * any(READER.search(x) for _, x in named)
-    if _HIDDEN.search(attr):
+    if _HIDDEN.search(attr) or any(kind == "role" and x in ROLES for kind, x in named):
         return 2
-    if in_main:
-        return 2 * any(_is_kind(x) for kind, x in named if kind in ("class", "role") or (kind == "id" and tag == "div"))
+    if in_main:  # ids of one word may be made of a section's title
+        return 2 * any(_is_kind(x) for kind, x in named if kind in ("class", "role") or (kind == "id" and (tag == "div" or (tag == "section" and "-" in x))))
     if any(_is_kind(x) or HEADER.search(x) for _, x in named):
         return 2
     return int(any(x in WEAK for _, x in named))
@@ -121,6 +132,7 @@ def named_bad(tag: str, attr: str, in_main: bool) -> int:
 def blocks_of(page: str) -> list[Block]:
     """The page's non-empty blocks in order."""
     out, now, stack, links = [], Block(), [], 0  # stack: (tag, bad, main) of open elements
+    ends, starts = [m.start() for m in _LINK_END.finditer(page)], [m.start() for m in _LINK_START.finditer(page)]
     opened: dict[str, int] = {}  # how many of each tag are on the stack
     mains = 0
 
@@ -149,12 +161,15 @@ def blocks_of(page: str) -> list[Block]:
             if links:
                 now.linked += len("".join(text.split()))
         elif tag == "a":
-            links = 0 if close else 1
+            links = 0
+            if not close:  # a link that is closed before the next one begins holds blocks too; an unclosed one ends at a block
+                end, following = bisect_left(ends, m.end()), bisect_left(starts, m.end())
+                links = 2 if end < len(ends) and (following == len(starts) or ends[end] < starts[following]) else 1
         elif tag in ("br", "hr", "wbr", "img") and tag not in BLOCKS:
             now.parts.append(" ")
         elif tag in BLOCKS or (tag and attr and not close and tag not in VOID and named_bad(tag, attr, bool(stack and stack[-1][2])) == 2):
             bad, main = stack[-1][1:] if stack else (0, 0)
-            links = 0
+            links = 0 if links == 1 else links
             if close:
                 if tag not in LOOSE and opened.get(tag):
                     while pop() != tag:
@@ -165,8 +180,9 @@ def blocks_of(page: str) -> list[Block]:
                 if tag in MAIN and not own:
                     while not mains and stack and stack[-1][1] and not main:  # an unclosed advert doesn't swallow the first article
                         pop()
+                    if not mains:  # what holds the first article is no boilerplate
+                        stack[:] = [(t, 0 if b == 1 else b, x) for t, b, x in stack]
                     bad = stack[-1][1] if stack else 0
-                    bad = 0 if bad == 1 else bad
                     if not main:
                         mains += 1
                         main = mains
@@ -181,14 +197,33 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def first_pass(b: Block) -> str:
-    """good, bad or short (open) by link density, length and stop-word density."""
-    if b.linked / max(1, len(b.text) - b.text.count(" ")) > (LINKS_MOST_MAIN if b.main else LINKS_MOST):
+def link_density(b: Block) -> float:
+    return b.linked / max(1, len(b.text) - b.text.count(" "))
+
+
+def stop_words(b: Block) -> tuple[int, int]:
+    """(stop words, words)."""
+    words = _WORD.findall(b.text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def other_language(blocks: list[Block]) -> bool:
+    """Whether the unlinked text of the page, long texts there are, has hardly a stop word."""
+    rest = [b for b in blocks if b.bad != 2 and link_density(b) <= LINKS_MOST]
+    stops, words = (sum(x) for x in zip(*map(stop_words, rest), strict=True)) if rest else (0, 0)
+    return any(len(b.text) >= LONG for b in rest) and stops < STOPS_LANGUAGE * words
+
+
+def first_pass(b: Block, other: bool = False) -> str:
+    """good, bad or short (open) by link density, length and stop-word density; other: of a page in another language."""
+    if link_density(b) > (LINKS_MOST_MAIN if b.main else LINKS_MOST):
         return "bad"
     if len(b.text) < SHORT:
         return "bad" if b.linked and not b.main else "short"
-    words = _WORD.findall(b.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if other:
+        return "good"
+    stops, words = stop_words(b)
+    stops /= max(1, words)
     if stops >= STOPS_ANY or (stops >= STOPS_LONG and len(b.text) >= LONG):
         return "good"
     if b.main:
@@ -201,14 +236,19 @@ def labels_of(blocks: list[Block]) -> list[str]:
 
     An open block takes the label of its nearest decided neighbours, good where they tie; a heading that of what follows.
     In an article only neighbours in the same article speak, and without any the block is text. Blocks in elements that
-    may be boilerplate are text if the first pass says so and no article of the page has a text. Where no block
-    is good, the open ones are: a short page has a main text too.
+    may be boilerplate are text if the first pass says so and no article of the page has a text. Where articles hold most of what
+    the first pass calls good, blocks outside are none. Where no block is good, the open ones are: a short page has a main
+    text too.
     """
-    first = ["bad" if b.bad == 2 else first_pass(b) for b in blocks]
+    other = other_language(blocks)
+    first = ["bad" if b.bad == 2 else first_pass(b, other) for b in blocks]
     has_article = any(b.main and x == "good" for b, x in zip(blocks, first, strict=True))
     first = ["bad" if b.bad == 1 and (has_article or x == "short") else x for b, x in zip(blocks, first, strict=True)]
     if "good" not in first:
         return ["good" if x == "short" else x for x in first]
+    held = [sum(len(b.text) for b, x in zip(blocks, first, strict=True) if x == "good" and bool(b.main) == inside) for inside in (False, True)]
+    if held[1] >= held[0]:
+        first = ["bad" if not b.main else x for b, x in zip(blocks, first, strict=True)]
 
     def nearest(order: range) -> list[tuple[int, str] | None]:
         """For each block the decided one before it in order that may speak for it."""
