@@ -64,10 +64,12 @@ def join_hot(rows: DataFrame, side: DataFrame, key: str, total: int, weight: str
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id is in ids (one column); rows with a null id stay. No column name can clash."""
+    """docs without the rows whose id is in ids (one column); rows with a null id stay, and stay where they are. No column name
+    can clash."""
     name = f"id_{uuid.uuid4().hex}"
     gone = ids.toDF(name).where(F.col(name).isNotNull()).distinct()
-    return docs.join(gone, docs[id_col] == F.col(name), "left_anti")
+    named = docs.where(docs[id_col].isNotNull())
+    return named.join(gone, named[id_col] == F.col(name), "left_anti").union(docs.where(docs[id_col].isNull()))
 
 
 def text_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -68,7 +68,8 @@ class _Kinds(dict):
             plain = "".join(_LETTERS.findall(w.translate(_LEET)))
             return ODD_HIDDEN if plain in SEED_LEXICON or plain in self.learned else ODD
         if len(w) > 3 and _STRETCHED.search(w):
-            return STRETCHED_HIDDEN if _STRETCHED.sub(r"\1", w) in SEED_LEXICON else STRETCHED
+            plain = _STRETCHED.sub(r"\1", w)
+            return STRETCHED_HIDDEN if plain in SEED_LEXICON or plain in self.learned else STRETCHED
         return PLAIN
 
 
@@ -97,12 +98,13 @@ def features(texts: list[str | None] | pa.Array, kinds: _Kinds) -> np.ndarray:
     count = lambda *which: np.bincount(doc[np.isin(kind, which)], minlength=n).astype(np.float64)
     words = np.bincount(doc, minlength=n).astype(np.float64)
     place = np.arange(len(doc)) + doc * (2 * NEAR + 1)  # words of two texts are never near
-    hit, you = place[np.isin(kind, (SEED, ODD_HIDDEN, STRETCHED_HIDDEN))], place[kind == YOU]
+    rude = np.isin(kind, (SEED, LEARNED, ODD_HIDDEN, STRETCHED_HIDDEN))
+    hit, you = place[rude], place[kind == YOU]
     close = np.zeros(len(hit), bool)
     if len(you):
         at = np.searchsorted(you, hit - NEAR)
         close = (at < len(you)) & (you[np.minimum(at, len(you) - 1)] <= hit + NEAR)
-    near = np.bincount(doc[np.isin(kind, (SEED, ODD_HIDDEN, STRETCHED_HIDDEN))][close], minlength=n).astype(np.float64)
+    near = np.bincount(doc[rude][close], minlength=n).astype(np.float64)
     pairs = np.unique(doc * (int(number.max()) + 1 if len(number) else 1) + number)
     different = np.bincount(pairs // (int(number.max()) + 1), minlength=n) if len(number) else np.zeros(n)
     hits, hidden, seeds = count(SEED, ODD_HIDDEN, STRETCHED_HIDDEN), count(ODD_HIDDEN, STRETCHED_HIDDEN), count(SEED, LEARNED)

@@ -273,12 +273,12 @@ def plain_features(text, learned):
         return [0.0] * len(toxicity.FEATURES)
     n, length = len(words), len(text)
     bare = [w.strip(toxicity._EDGE) for w in text.lower().split()]
-    hits, other, hidden, odd, stretched, you = [], 0, 0, 0, 0, []
+    hits, other, hidden, odd, stretched, you = [], [], 0, 0, 0, []
     for i, w in enumerate(bare):
         if w in toxicity.SEED_LEXICON:
             hits.append(i)
         elif w in learned:
-            other += 1
+            other.append(i)
         elif w in toxicity.SECOND_PERSON:
             you.append(i)
         elif not w.isalpha() and w:
@@ -289,18 +289,18 @@ def plain_features(text, learned):
                 hits.append(i)
         elif len(w) > 3 and toxicity._STRETCHED.search(w):
             stretched += 1
-            if toxicity._STRETCHED.sub(r"\1", w) in toxicity.SEED_LEXICON:
+            if toxicity._STRETCHED.sub(r"\1", w) in toxicity.SEED_LEXICON | learned:
                 hidden += 1
                 hits.append(i)
     near = 0
-    if hits and you:
-        at, where = np.array(sorted(hits)), np.array(you)
+    if (hits or other) and you:
+        at, where = np.array(sorted(hits + other)), np.array(you)
         k = np.searchsorted(where, at - toxicity.NEAR)
         near = int(((k < len(where)) & (where[np.minimum(k, len(where) - 1)] <= at + toxicity.NEAR)).sum())
     letters = sum(map(str.isupper, text))
     marks = text.count("!") + text.count("?")
     known = sum(bare[i] in toxicity.SEED_LEXICON for i in hits)
-    return [100 * len(hits) / n, float(np.log1p(len(hits))), 100 * (known + other) / n, float(np.log1p(known + other)), 100 * hidden / n, 100 * near / n, 100 * len(you) / n, letters / length, marks / length, odd / n, stretched / n, float(np.log1p(n)), len(set(bare)) / n]
+    return [100 * len(hits) / n, float(np.log1p(len(hits))), 100 * (known + len(other)) / n, float(np.log1p(known + len(other))), 100 * hidden / n, 100 * near / n, 100 * len(you) / n, letters / length, marks / length, odd / n, stretched / n, float(np.log1p(n)), len(set(bare)) / n]
 
 
 def test_toxicity_features(spark, sf):
@@ -308,7 +308,7 @@ def test_toxicity_features(spark, sf):
     f = dict(zip(toxicity.FEATURES, toxicity.features(["You are an 1d10t and a looooser, moron!"], kinds)[0], strict=True))
     assert f["lexicon_log"] > 0 and f["hidden"] > 0 and f["near_you"] > 0 and f["marks"] > 0
     assert not toxicity.features([None, " ", ""], kinds).any() and toxicity.features([], kinds).shape == (0, len(toxicity.FEATURES))
-    texts = [None, "", " \n", "You", "idiot", "you " * 3 + "x " * 9 + "fool", "fool", "you", "n4ff wr3tch !!! ??", "Loooooser ÉTÉ Straße"]
+    texts = [None, "", " \n", "You", "idiot", "you " * 3 + "x " * 9 + "fool", "fool", "you", "n4ff wr3tch !!! ??", "you naff naaaff wreeetch", "Loooooser ÉTÉ Straße"]
     texts += [r["text"] for r in table(spark, sf, "documents").select("text").collect()]
     got = toxicity.features(texts, kinds)
     assert np.allclose(got, [plain_features(x, kinds.learned) for x in texts], rtol=0, atol=1e-12)
