@@ -2,17 +2,23 @@
 
 A text, and each of its paragraphs and lines, is brought to a canonical form (case, punctuation, copyright lines and
 equivalent spellings), digested, and hash-joined with the digests of known texts: whole licences (short ones below, long ones
-in licence_texts/), their standard headers, and the one-line notices that NAMES and NOTICES make.
+in licence_texts/), with and without their appendix, their standard headers, and the one-line notices that NAMES and NOTICES make.
+
+A known text of several paragraphs is also found within a longer document, whole: its paragraphs' digests are one run, digested
+again, which is looked up wherever a document's paragraph is the run's first.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm.common import cut
+
 #: Spellings that license matching treats as one.
 SPELLINGS = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact", "authorisation": "authorization",
@@ -89,6 +95,18 @@ NOTICES = (
 _LONG = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")
 
 
+#: Where the terms of long licences end and an appendix begins.
+_APPENDIX = re.compile(r"\n[ \t]*(?:END OF TERMS AND CONDITIONS|Exhibit A - )")
+
+
+def _long(name: str) -> list[str]:
+    """The whole text; up to the line that ends its terms, with and without that line."""
+    text = resources.files(__package__).joinpath(f"licence_texts/{name}.txt").read_text("utf-8")
+    if not (m := _APPENDIX.search(text)):
+        return [text]
+    return [text, text[: m.start()], *([text[: m.end()]] if "END" in m[0] else [])]
+
+
 def _notices() -> list[tuple[str, str]]:
     made = [(k, n.format(f"{article}{name}.")) for k, names in NAMES.items() for name in names for article in ("the ", "") for n in NOTICES]
     return [x for x in made if _signed(x[1])] + [(k, f"SPDX-License-Identifier: {k}") for k in NAMES]
@@ -118,7 +136,7 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", _APACHE_HEADER),
     ("MPL-2.0", _MPL_HEADER),
     *((f"{k}-{v}.0", _gnu_header(n, v, later)) for k, n in _GNU.items() for v in ("2", "3") if (k, v) not in (("LGPL", "2"), ("AGPL", "2")) for later in (True, False)),
-    *((name, resources.files(__package__).joinpath(f"licence_texts/{name}.txt").read_text("utf-8")) for name in _LONG),
+    *((name, text) for name in _LONG for text in _long(name)),
     *_notices(),
 )
 #: Digests are broadcast up to this number, shuffled beyond.
@@ -136,13 +154,25 @@ def canonical(text: Column) -> Column:
     return F.trim(plain)
 
 
+_PARAGRAPHS = r"\n[ \t\r]*\n"
+
+
+def _paragraph_digests(text: Column) -> Column:
+    """Digests of the paragraphs that have words, in order."""
+    return F.transform(F.filter(F.transform(F.split(text, _PARAGRAPHS), canonical), lambda c: c != ""), F.md5)
+
+
+def _run(digests: Column, at: Column, n: Column) -> Column:
+    return F.md5(F.array_join(F.slice(digests, at + 1, n), ""))
+
+
 def scan(docs: DataFrame, known: Sequence[tuple[str, str]] | DataFrame = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document and licence found in it: doc_id, license, whole, n_units.
 
     known: pairs or a table (license, text); each text must hold one of SIGNS. whole: the text as a whole is the licence;
-    n_units: how many of its distinct units (text, paragraphs, lines) are. Null and empty texts and null ids have no row; rows
-    of one doc_id are one document; an empty table gives an empty table. A known text that occurs in two licences gives a row
-    for each. Other columns are not read.
+    n_units: how many of its distinct units (text, paragraphs, lines, and runs of paragraphs where a licence stands within a
+    longer text) are. Null and empty texts and null ids have no row; rows of one doc_id are one document; an empty table gives
+    an empty table. A known text that occurs in two licences gives a row for each. Other columns are not read.
     """
     if isinstance(known, DataFrame):
         texts, small = known.select("license", "text"), known.limit(MOST_KNOWN + 1).count() <= MOST_KNOWN
@@ -151,6 +181,8 @@ def scan(docs: DataFrame, known: Sequence[tuple[str, str]] | DataFrame = KNOWN,
             raise ValueError(f"known texts without one of {SIGNS}: {unmarked}")
         texts, small = docs.sparkSession.createDataFrame(list(known), "license string, text string"), len(known) <= MOST_KNOWN
     table = texts.select("license", F.md5(canonical(F.col("text"))).alias("digest")).distinct()
+    runs = texts.where(F.col("text").rlike(_PARAGRAPHS)).select("license", _paragraph_digests(F.col("text")).alias("d")).where("size(d) > 1")
+    runs = cut(runs.select("license", F.get("d", F.lit(0)).alias("digest"), F.size("d").alias("n"), _run(F.col("d"), F.lit(0), F.size("d")).alias("run")).distinct(), "runs")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
 
     def signed(c: Column) -> Column:
@@ -159,12 +191,18 @@ def scan(docs: DataFrame, known: Sequence[tuple[str, str]] | DataFrame = KNOWN,
             out = out | F.contains(low, F.lit(s))
         return out
 
+    known_of = lambda df: F.broadcast(df) if small else df
     some = rows.where(signed(F.col("text")))
-    units = F.array_distinct(F.concat(F.array("text"), F.split("text", r"\n[ \t\r]*\n"), F.split("text", r"\n")))
+    units = F.array_distinct(F.concat(F.array("text"), F.split("text", _PARAGRAPHS), F.split("text", r"\n")))
     each = some.select("doc_id", "text", F.explode(F.filter(units, signed)).alias("unit"))
     each = each.select("doc_id", (F.col("unit") == F.col("text")).alias("whole"), F.md5(canonical(F.col("unit"))).alias("digest"))
-    found = each.join(F.broadcast(table) if small else table, "digest")
-    return found.groupBy("doc_id", "license").agg(F.bool_or("whole").alias("whole"), F.count("*").alias("n_units"))
+    found = each.join(known_of(table), "digest").select("doc_id", "license", "whole")
+    marked = some.where(F.col("text").rlike(_PARAGRAPHS)).select("doc_id", _paragraph_digests(F.col("text")).alias("d"))
+    starts = marked.select("doc_id", "d", F.posexplode("d").alias("at", "digest")).join(known_of(runs), "digest")
+    # a text that is one run was found as a whole
+    within = starts.where((F.size("d") > F.col("n")) & (_run(F.col("d"), F.col("at"), F.col("n")) == F.col("run")))
+    within = within.select("doc_id", "license", "run").distinct().select("doc_id", "license", F.lit(False).alias("whole"))
+    return found.unionByName(within).groupBy("doc_id", "license").agg(F.bool_or("whole").alias("whole"), F.count("*").alias("n_units"))
 
 
 def _sql_canonical(text: str) -> str:
@@ -177,11 +215,24 @@ def _sql_canonical(text: str) -> str:
 
 _SIGNED = " OR ".join("contains(lower({0}), '" + s + "')" for s in SIGNS)
 _VALUES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
+_BLANK = r"\n[ \t\r]*\n"
+
+
+def _sql_runs(source: str, key: str) -> str:
+    """(key, d: digests of paragraphs with words) of the rows of source (key, text)."""
+    parts = f"SELECT {key}, unnest(string_split_regex(text, '{_BLANK}')) AS part, unnest(range(len(string_split_regex(text, '{_BLANK}')))) AS i FROM {source} WHERE regexp_matches(text, '{_BLANK}')"
+    return f"SELECT {key}, list(md5(c) ORDER BY i) AS d FROM (SELECT {key}, i, {_sql_canonical('part')} AS c FROM ({parts})) WHERE c <> '' GROUP BY {key}"
+
+
 #: The same scan for DuckDB.
 SQL = rf"""
-WITH known AS (SELECT DISTINCT name AS license, md5({_sql_canonical("t")}) AS digest FROM (VALUES {_VALUES}) AS k(name, t)),
-units AS (SELECT doc_id, text, unnest(list_distinct(list_concat([text], string_split_regex(text, '\n[ \t\r]*\n'), string_split(text, chr(10))))) AS unit
-          FROM documents WHERE {_SIGNED.format("text")}),
-found AS (SELECT doc_id, unit = text AS whole, md5({_sql_canonical("unit")}) AS digest FROM units WHERE {_SIGNED.format("unit")})
-SELECT doc_id, license, bool_or(whole) AS whole, count(*) AS n_units FROM found JOIN known USING (digest) GROUP BY doc_id, license
+WITH texts AS (SELECT name AS license, t AS text, row_number() OVER () AS k FROM (VALUES {_VALUES}) AS k(name, t)),
+known AS (SELECT DISTINCT license, md5({_sql_canonical("text")}) AS digest FROM texts),
+runs AS (SELECT DISTINCT license, d[1] AS digest, len(d) AS n, md5(array_to_string(d, '')) AS run FROM ({_sql_runs("texts", "k")}) JOIN texts USING (k) WHERE len(d) > 1),
+docs AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents WHERE {_SIGNED.format("text")}),
+units AS (SELECT doc_id, text, unnest(list_distinct(list_concat([text], string_split_regex(text, '{_BLANK}'), string_split(text, chr(10))))) AS unit FROM docs),
+found AS (SELECT doc_id, license, whole FROM (SELECT doc_id, unit = text AS whole, md5({_sql_canonical("unit")}) AS digest FROM units WHERE {_SIGNED.format("unit")}) JOIN known USING (digest)),
+marked AS (SELECT r, d, unnest(d) AS digest, unnest(range(len(d))) AS place FROM ({_sql_runs("docs", "r")})),
+within_ AS (SELECT DISTINCT doc_id, license, run FROM marked JOIN runs USING (digest) JOIN docs USING (r) WHERE len(d) > n AND md5(array_to_string(d[place + 1:place + n], '')) = run)
+SELECT doc_id, license, bool_or(whole) AS whole, count(*) AS n_units FROM (SELECT * FROM found UNION ALL SELECT doc_id, license, false FROM within_) GROUP BY doc_id, license
 """
