@@ -37,11 +37,11 @@ REPLICAS, REPLICA_RATIO, FULL = 4, 1.2, 2.5
 #: A query visits lists that hold ENOUGH * k entries at least.
 WANTED_RECALL, WANTED_HALF, TRIALS, ENOUGH = 0.93, 0.995, 400, 16
 #: Centroids that the first walk of a query holds, and the ratio of distances that is used without a trial.
-WALK, PROBE_RATIO = 128, 1.25
+WALK, PROBE_RATIO = 256, 1.25
 BLOCK_ROWS = 2048
-#: Nearest and random neighbours of a centroid in the graph; centroids among which a walk starts; found entries that a task
-#: holds unmerged.
-DEGREE, FAR, STARTS, HELD = 20, 12, 512, 250_000
+#: Neighbours of a centroid in the graph, the near ones they are picked from, and links back; centroids that a step of a walk
+#: follows, and steps at most; queries that walk together; found entries that a task holds unmerged.
+DEGREE, CANDIDATES, BACK, EXPAND, STEPS, TOGETHER, HELD = 24, 64, 12, 4, 200, 512, 250_000
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -141,47 +141,81 @@ def split_of(x: np.ndarray, depth: int, radius: float) -> tuple[np.ndarray, np.n
 
 
 def graph_of(c: np.ndarray) -> np.ndarray:
-    """Neighbours of each centroid: its nearest, random ones that lead out of a dense group, and a ring that connects all."""
+    """Neighbours of each centroid: near ones in different directions, some that have it as such, and a ring that connects all.
+
+    Of the CANDIDATES nearest, one is a neighbour if no neighbour before it is closer to it than the centroid is; so links leave
+    a dense group instead of filling up with its members. Nearest ones fill what is left."""
     k = len(c)
-    far = np.random.default_rng(7).integers(0, k, (k, FAR))
-    near = np.zeros((k, min(DEGREE, k - 1)), np.int64)
-    for lo in range(0, k, 2048):
-        d = _distances(c[lo : lo + 2048], c)
-        d[np.arange(len(d)), np.arange(lo, lo + len(d))] = -1
-        if near.shape[1]:
-            some = np.argpartition(d, near.shape[1], axis=1)[:, : near.shape[1] + 1]
-            order = np.argsort(np.take_along_axis(d, some, 1), axis=1)
-            near[lo : lo + 2048] = np.take_along_axis(some, order, 1)[:, 1:]
+    m = min(CANDIDATES, k - 1)
     ring = (np.arange(k)[:, None] + np.array([1, -1, k // 3, k // 2])) % k
-    return np.hstack([near, far, ring])
+    if not m:
+        return ring
+    near = np.zeros((k, min(DEGREE, m)), np.int64)
+    for lo in range(0, k, 512):
+        d = _distances(c[lo : lo + 512], c)
+        rows = np.arange(len(d))
+        d[rows, rows + lo] = np.inf
+        some = np.argpartition(d, m - 1, axis=1)[:, :m]
+        some = np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1), 1)
+        own, x = np.take_along_axis(d, some, 1), c[some].astype(np.float64)
+        length = np.einsum("nid,nid->ni", x, x)
+        apart = length[:, :, None] + length[:, None] - 2 * np.einsum("nid,njd->nij", x, x)
+        kept = np.zeros(some.shape, bool)
+        for i in range(m):
+            kept[:, i] = ~(kept[:, :i] & (apart[:, i, :i] < own[:, i, None])).any(axis=1)
+        order = np.argsort(~kept, axis=1, kind="stable")[:, : near.shape[1]]
+        near[lo : lo + 512] = np.take_along_axis(some, order, 1)
+    to, place = np.divmod(np.argsort(near[:, :BACK].ravel(), kind="stable"), near[:, :BACK].shape[1])
+    of = near[to, place]
+    rank = np.arange(len(of)) - np.searchsorted(of, of)
+    back = np.repeat(near[:, :1], BACK, axis=1)  # where fewer have it, its nearest again
+    back[of[rank < BACK], rank[rank < BACK]] = to[rank < BACK]
+    return np.hstack([near, back, ring])
 
 
 def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the `width` closest centroids that a best-first walk over the graph finds: (which, distance^2)."""
-    k, n = len(c), len(q)
-    width = min(width, k)
-    pivots = np.unique(np.linspace(0, k - 1, max(STARTS, width)).astype(int))
-    order = np.argsort(_distances(q, c[pivots]), axis=1, kind="stable")[:, :width]
-    best = pivots[order]
+    """For each query the `width` closest centroids that a best-first walk over the graph finds: (which, distance^2).
+
+    It starts at the closest of 4 * sqrt(k) centroids, follows the EXPAND closest ones that it has not followed yet, looks at a centroid
+    once, and ends when all that it holds have been followed."""
+    parts = [_walk(q[lo : lo + TOGETHER], c, graph, min(width, len(c))) for lo in range(0, len(q), TOGETHER)]
+    which = np.concatenate([w for w, _ in parts] or [np.empty((0, min(width, len(c))), np.int64)])
+    return which, np.concatenate([d for _, d in parts] or [np.empty(which.shape)])
+
+
+def _walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    n, k = len(q), len(c)
+    starts = np.unique(np.linspace(0, k - 1, max(int(4 * np.sqrt(k)), width)).astype(int))
+    d = _distances(q, c[starts])
+    order = np.argsort(d, axis=1, kind="stable")[:, :width]
+    ids, d = starts[order], np.take_along_axis(d, order, 1)
     q, c = q.astype(np.float64), c.astype(np.float64)
-    c2 = (c**2).sum(1)
-    q2 = (q**2).sum(1)
-
-    def dist(which: np.ndarray) -> np.ndarray:
-        return np.maximum(q2[:, None] + c2[which] - 2 * np.einsum("nd,nmd->nm", q, c[which]), 0)
-
-    d = dist(best)
-    for _ in range(12):
-        wide = np.hstack([best, graph[best[:, : max(8, width // 2)]].reshape(n, -1)])
-        wide.sort(axis=1)
-        twice = np.hstack([np.zeros((n, 1), bool), wide[:, 1:] == wide[:, :-1]])
-        far = np.where(twice, np.inf, dist(wide))
-        order = np.argsort(far, axis=1, kind="stable")[:, :width]
-        new, nd = np.take_along_axis(wide, order, 1), np.take_along_axis(far, order, 1)
-        if np.array_equal(new, best):
+    q2, c2 = (q**2).sum(1), (c**2).sum(1)
+    seen, rows = np.zeros((n, k), bool), np.arange(n)[:, None]
+    seen[:, starts] = True
+    followed = np.zeros(ids.shape, bool)
+    for _ in range(STEPS):
+        pick = np.argsort(np.where(followed, np.inf, d), axis=1, kind="stable")[:, :EXPAND]
+        live = ~np.take_along_axis(followed, pick, 1)
+        if not live.any():
             break
-        best, d = new, nd
-    return best, d
+        followed[rows, pick] = True
+        new = graph[np.take_along_axis(ids, pick, 1)].reshape(n, -1)
+        fresh = ~seen[rows, new] & np.repeat(live, graph.shape[1], axis=1)
+        key = np.where(fresh, new, k + np.arange(new.shape[1]))
+        order = np.argsort(key, axis=1, kind="stable")  # a centroid that several lead to counts once
+        same = np.take_along_axis(key, order, 1)
+        again = np.zeros(new.shape, bool)
+        again[rows, order[:, 1:]] = same[:, 1:] == same[:, :-1]
+        far = np.full(new.shape, np.inf)
+        r, w = np.nonzero(fresh & ~again)
+        seen[r, new[r, w]] = True
+        far[r, w] = np.maximum(q2[r] + c2[new[r, w]] - 2 * np.einsum("nd,nd->n", q[r], c[new[r, w]]), 0)
+        ids, d = np.hstack([ids, new]), np.hstack([d, far])
+        followed = np.hstack([followed, ~np.isfinite(far)])
+        order = np.argsort(d, axis=1, kind="stable")[:, :width]
+        ids, d, followed = (np.take_along_axis(x, order, 1) for x in (ids, d, followed))
+    return ids, d
 
 
 def closest(x: np.ndarray, c: np.ndarray, graph: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +297,7 @@ def visited(q: np.ndarray, c: np.ndarray, graph: np.ndarray, rows: np.ndarray, e
 
     Unless half of what a walk holds is farther, it may have missed some and is repeated with four times the width. One of an eighth
     of all centroids would touch nearly all of them, so all distances are taken instead; up to 2 * FIRST_LISTS centroids
-    these cost less than a walk, which may miss the closest one in a dense group, and are taken at once."""
+    these cost less than a walk and are taken at once."""
     out, todo, width = [], np.arange(len(q)), WALK
     while len(todo):
         every = width * 8 >= len(c) or len(c) <= 2 * FIRST_LISTS
