@@ -114,7 +114,8 @@ class TreeModel:
         place = {(a, b): i for i, (a, b) in enumerate(zip(t["tree"], t["node"], strict=True))}
         child = lambda s: np.array([place.get((a, 2 * b + s), i) for i, (a, b) in enumerate(zip(t["tree"], t["node"], strict=True))])
         roots = np.array([place[(a, 0)] for a in sorted(t["tree"].unique())])
-        return t["feature"].to_numpy(), t["threshold"].fillna(0).to_numpy(), t["prediction"].to_numpy(), child(1), child(2), roots
+        small = lambda v: np.asarray(v, np.int32)  # noqa: E731  the model is sent to every task
+        return small(t["feature"]), t["threshold"].fillna(0).to_numpy(), small(t["prediction"]), small(child(1)), small(child(2)), small(roots)
 
     def descend(self, features: Column, output: str = "prediction") -> Column:
         """For each tree the prediction (or heap number of the node) that features reach: array<long>."""
