@@ -181,8 +181,11 @@ def scan(docs: DataFrame, known: Sequence[tuple[str, str]] | DataFrame = KNOWN,
             raise ValueError(f"known texts without one of {SIGNS}: {unmarked}")
         texts, small = docs.sparkSession.createDataFrame(list(known), "license string, text string"), len(known) <= MOST_KNOWN
     table = texts.select("license", F.md5(canonical(F.col("text"))).alias("digest")).distinct()
-    runs = texts.where(F.col("text").rlike(_PARAGRAPHS)).select("license", _paragraph_digests(F.col("text")).alias("d")).where("size(d) > 1")
-    runs = cut(runs.select("license", F.get("d", F.lit(0)).alias("digest"), F.size("d").alias("n"), _run(F.col("d"), F.lit(0), F.size("d")).alias("run")).distinct(), "runs")
+    runs = texts.where(F.col("text").rlike(_PARAGRAPHS)).select("license", F.length(canonical(F.col("text"))).alias("chars"), _paragraph_digests(F.col("text")).alias("d")).where("size(d) > 1")
+    runs = runs.select("license", F.get("d", F.lit(0)).alias("digest"), F.size("d").alias("n"), _run(F.col("d"), F.lit(0), F.size("d")).alias("run"), "chars")
+    runs = cut(runs.distinct(), "runs")
+    # no spelling doubles a word, so a text that holds a run has half its letters and digits
+    least = (runs.agg(F.min("chars")).first()[0] or 0) // 2
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
 
     def signed(c: Column) -> Column:
@@ -197,8 +200,8 @@ def scan(docs: DataFrame, known: Sequence[tuple[str, str]] | DataFrame = KNOWN,
     each = some.select("doc_id", "text", F.explode(F.filter(units, signed)).alias("unit"))
     each = each.select("doc_id", (F.col("unit") == F.col("text")).alias("whole"), F.md5(canonical(F.col("unit"))).alias("digest"))
     found = each.join(known_of(table), "digest").select("doc_id", "license", "whole")
-    marked = some.where(F.col("text").rlike(_PARAGRAPHS)).select("doc_id", _paragraph_digests(F.col("text")).alias("d"))
-    starts = marked.select("doc_id", "d", F.posexplode("d").alias("at", "digest")).join(known_of(runs), "digest")
+    marked = some.where((F.length("text") >= least) & F.col("text").rlike(_PARAGRAPHS)).select("doc_id", _paragraph_digests(F.col("text")).alias("d"))
+    starts = marked.select("doc_id", "d", F.posexplode("d").alias("at", "digest")).join(known_of(runs.drop("chars").distinct()), "digest")
     # a text that is one run was found as a whole
     within = starts.where((F.size("d") > F.col("n")) & (_run(F.col("d"), F.col("at"), F.col("n")) == F.col("run")))
     within = within.select("doc_id", "license", "run").distinct().select("doc_id", "license", F.lit(False).alias("whole"))
