@@ -123,14 +123,12 @@ def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, tokenizer:
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
     made = text_of(docs, id_col, text_col).mapInArrow(partial(_pieces, path=tokenizer or default_tokenizer(), size=length, end=end_id, with_ids=with_ids), schema)
+    if with_ids:
+        made = made.withColumn("piece", F.monotonically_increasing_id())  # written, so that it stays
     pieces = cut(made, "pieces")
     groups = max(1, -(-pieces.count() // GROUP_PIECES))
     # the row number in the written table parts equal rows too
     bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long")
     light = pieces.drop("ids").withColumn("bucket", bucket)
-    placed = light.groupBy("bucket").applyInPandas(partial(_place, size=length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    if not with_ids:
-        return placed
-    same = ["doc_id", "start", "ids_crc32", "doc_tokens"]
-    ids = pieces.select(*[F.col(c).alias(f"__{c}") for c in same], "ids").dropDuplicates([f"__{c}" for c in same])
-    return placed.join(ids, on=[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in same]).select(*placed.columns, "ids")
+    placed = light.groupBy("bucket").applyInPandas(partial(_place, size=length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", piece long" * with_ids + ", sequence_id long, offset long")
+    return placed.join(pieces.select("piece", "ids"), "piece").drop("piece") if with_ids else placed
