@@ -31,8 +31,8 @@ LIST_ROWS_LEAST, LIST_ROWS_MOST, MOST_LISTS = 12, 1024, 65_536
 #: A list this many times the average is cut, in up to 2^MOST_DEPTH parts, by so many sampled entries for each part.
 SPLIT_OVER, SPLIT_SAMPLE, MOST_DEPTH = 2.0, 16, 10
 #: Lists an entry may be in, how much further than the closest their centroids may be, and the multiple of the average
-#: up to which a list takes entries that have a closer list.
-REPLICAS, REPLICA_RATIO, FULL = 4, 1.2, 2.5
+#: up to which a list takes entries that have a closer list; parts in which those of a full list are ranked first.
+REPLICAS, REPLICA_RATIO, FULL, RANK_PARTS = 4, 1.2, 2.5, 64
 #: Recall that the ratio is chosen for, the share of trial queries that must find half of theirs, and how many trial queries.
 #: A query visits lists that hold ENOUGH * k entries at least.
 WANTED_RECALL, WANTED_HALF, TRIALS, ENOUGH = 0.93, 0.995, 400, 16
@@ -538,9 +538,11 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     over = [(r["list"], int(max(0, full - r["n"]))) for r in held if r["all"] > full]
     if over:
         bound = vectors.sparkSession.createDataFrame(over, "list int, room int")
-        extra = listed.where("place > 0").join(F.broadcast(bound), "list")
-        rank = F.row_number().over(Window.partitionBy("list").orderBy("far", "rep"))
-        taken = extra.withColumn("rank", rank).where(F.col("rank") <= F.col("room")).select("list", "rep", "v")
+        extra = listed.where("place > 0").join(F.broadcast(bound), "list").withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(RANK_PARTS)))
+        for keys in (["list", "part"], ["list"]):  # no task ranks more entries of a list than RANK_PARTS times its room
+            rank = F.row_number().over(Window.partitionBy(*keys).orderBy("far", "rep"))
+            extra = extra.withColumn("rank", rank).where(F.col("rank") <= F.col("room"))
+        taken = extra.select("list", "rep", "v")
         rest = listed.where("place > 0").join(F.broadcast(bound), "list", "left_anti").select("list", "rep", "v")
         listed = cut(listed.where("place = 0").select("list", "rep", "v").unionByName(rest).unionByName(taken), "lists")
     counts = {r["list"]: r["n"] for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect()}
