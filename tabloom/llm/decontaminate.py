@@ -16,15 +16,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import cut, drop_ids, once
+from tabloom.llm.common import MOST_HOT, cut, drop_ids, once
 
 WINDOW = 8
 #: Tokens of a window that must not be slots, and how long it may get for that.
 LEAST_LITERALS, WIDEST = 5, 32
 #: Agreeing tokens in a row that make a leak (the whole item, if shorter); or the share of the item's tokens that agrees.
 LEAST_RUN, LEAST_SHARE = 13, 0.8
-#: Item windows that are broadcast; with more, the join shuffles.
-BROADCAST_WINDOWS = 300_000
+#: Item windows that are broadcast; with more, document windows go through a sieve of so many words of 64 bits (broadcast,
+#: 64 MB at most), and those that are left are shuffled, those of hot keys to so many parts.
+BROADCAST_WINDOWS, SIEVE_WORDS, SALTS = 300_000, 1 << 20, 64
 NAME, UNIT, NUMBER = "\ue000", "\ue001", "\ue002"
 UNITS = (
     "mm cm m km in ft yd mi mg g kg lb lbs oz t ml cl l s sec secs min mins h hr hrs day days week weeks month months year years "
@@ -159,6 +160,28 @@ def _runs(z: Column, agree: Callable[[Column], Column]) -> Column:
     return once(edges, lambda e: F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda j: F.struct((F.get(e, j - 1) + 1).alias("lo"), (F.get(e, j) - F.get(e, j - 1) - 1).alias("n"))))
 
 
+def _sieved(there: DataFrame, keys: DataFrame) -> DataFrame:
+    """there without most rows whose h is in no row of keys: a bit for each h, one of 64 * SIEVE_WORDS, is set or not.
+
+    Rows are dropped where they are made, before any shuffle; none is whose h is in keys.
+    """
+    bit = "CAST(shiftrightunsigned(h, 58) AS INT)"
+    word = F.pmod("h", F.lit(SIEVE_WORDS)).alias("word")
+    bits = keys.groupBy(word).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("bits"))
+    return there.select("*", word).join(F.broadcast(bits), "word").where(F.expr(f"bit_get(bits, {bit}) = 1")).drop("word", "bits")
+
+
+def _met_by_shuffle(there: DataFrame, keys: DataFrame) -> DataFrame:
+    """there joined with keys by h, for keys of any number: sieved, then shuffled, with the rows of a hot h in SALTS parts."""
+    hits = cut(_sieved(there, keys), "hits")
+    least = hits.count() // MOST_HOT
+    hot = cut(hits.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > least).select("h"), "hot")  # under MOST_HOT rows
+    cold = hits.join(F.broadcast(hot), "h", "left_anti").join(keys, "h")
+    salted = hits.join(F.broadcast(hot), "h").withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int"))
+    parts = keys.join(F.broadcast(hot), "h").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return cold.unionByName(salted.join(parts, ["h", "salt"]).drop("salt"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and item it holds: doc_id, item_id, n_windows, reparameterised.
 
@@ -185,7 +208,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     there = rows.select("doc_id", F.inline(_doc_keys(F.col("text"), lengths)))
     keys = windows.select("h", "item_id", "item_text", "item_at")
     shift = (F.col("at") - F.col("item_at")).alias("shift")
-    met = cut(there.join(F.broadcast(keys) if small else keys, "h").select("doc_id", "item_id", "item_text", shift).distinct(), "met")
+    joined = there.join(F.broadcast(keys), "h") if small else _met_by_shuffle(there, keys)
+    met = cut(joined.select("doc_id", "item_id", "item_text", shift).distinct(), "met")
 
     # each alignment over the whole item, for the documents that met something
     who = met.select("doc_id").distinct()

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -226,6 +227,24 @@ def test_pack_edges_and_ids(spark):
     assert packing.pack(docs(spark, [])).count() == 0
     with_ids = packing.pack(docs(spark, rows), length=16, with_ids=True)
     assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in with_ids.limit(500).collect())
+    plain = packing.pack(docs(spark, rows), length=16)
+    assert with_ids.drop("ids").columns == plain.columns and with_ids.count() == plain.count()
+    assert with_ids.where(F.size("ids") != F.col("length")).count() == 0
+
+
+def test_pieces_with_one_crc_keep_their_own_ids(spark, monkeypatch):
+    rows = [(7, "river stone cloud"), (7, "maple tower quiet"), (7, "lantern copper bridge")]
+    want = sorted(tuple(r["ids"]) for r in packing.pack(docs(spark, rows), with_ids=True).collect())
+    made = packing._pieces
+
+    def one_crc(batches, **how):
+        for batch in made(batches, **how):
+            at = batch.schema.get_field_index("ids_crc32")
+            yield batch.set_column(at, "ids_crc32", pa.array([0] * batch.num_rows, pa.int64()))
+
+    monkeypatch.setattr(packing, "_pieces", one_crc)
+    got = packing.pack(docs(spark, rows), with_ids=True).collect()
+    assert sorted(tuple(r["ids"]) for r in got) == want and len(set(want)) == 3
 
 
 def test_pack_wastes_little(spark, sf):
@@ -497,7 +516,26 @@ def test_leaks_by_shuffle_join_are_the_same(spark, sf, monkeypatch):
     d, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     one = {tuple(r) for r in decontaminate.leaks(d, items).collect()}
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
-    assert {tuple(r) for r in decontaminate.leaks(d, items).collect()} == one
+    for hot, words in ((20, 1 << 20), (10_000, 7)):  # some keys hot and a sparse sieve; all keys hot and a full one
+        monkeypatch.setattr(decontaminate, "MOST_HOT", hot)
+        monkeypatch.setattr(decontaminate, "SIEVE_WORDS", words)
+        assert {tuple(r) for r in decontaminate.leaks(d, items).collect()} == one
+
+
+def test_sieve_keeps_all_windows_of_items(spark):
+    keys = spark.range(500).select(F.xxhash64("id").alias("h"))
+    there = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("at"), F.xxhash64("id").alias("h"))
+    kept = {r["doc_id"] for r in decontaminate._sieved(there, keys).collect()}
+    assert set(range(500)) <= kept and len(kept) < 520
+    assert decontaminate._sieved(there, keys.limit(0)).count() == 0
+
+
+def test_hot_windows_are_dealt_to_many_parts(spark):
+    keys = spark.createDataFrame([(h, i) for h in (1, 2) for i in range(3)], "h long, item_id long")
+    there = spark.range(3_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("at"), F.when(F.col("id") < 2_900, F.lit(1)).otherwise(F.col("id")).cast("long").alias("h"))
+    met = decontaminate._met_by_shuffle(there, keys)
+    assert met.count() == 2_900 * 3
+    assert "salt" in met._jdf.queryExecution().optimizedPlan().toString()
 
 
 # --- private values -----------------------------------------------------------------------------
