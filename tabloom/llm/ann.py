@@ -508,6 +508,18 @@ def index_of(reps: DataFrame, dim: int, n: int, most: float) -> Index:
     return Index(most, first, splits, c, graph_of(c))
 
 
+def within_room(entries: DataFrame) -> DataFrame:
+    """Of each list the `room` entries with the smallest far, ties to the smaller rep.
+
+    They are ranked in RANK_PARTS parts first, so no task ranks more entries of a list than RANK_PARTS times its room.
+    """
+    out = entries.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(RANK_PARTS)))
+    for keys in (["list", "part"], ["list"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("far", "rep"))
+        out = out.withColumn("rank", rank).where(F.col("rank") <= F.col("room"))
+    return out.drop("part", "rank")
+
+
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", dim: int | None = None) -> DataFrame:
     """The k nearest of each row whose id is divisible by `every`: query_id, rank (from 1), vec_id, score.
 
@@ -538,11 +550,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     over = [(r["list"], int(max(0, full - r["n"]))) for r in held if r["all"] > full]
     if over:
         bound = vectors.sparkSession.createDataFrame(over, "list int, room int")
-        extra = listed.where("place > 0").join(F.broadcast(bound), "list").withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(RANK_PARTS)))
-        for keys in (["list", "part"], ["list"]):  # no task ranks more entries of a list than RANK_PARTS times its room
-            rank = F.row_number().over(Window.partitionBy(*keys).orderBy("far", "rep"))
-            extra = extra.withColumn("rank", rank).where(F.col("rank") <= F.col("room"))
-        taken = extra.select("list", "rep", "v")
+        taken = within_room(listed.where("place > 0").join(F.broadcast(bound), "list")).select("list", "rep", "v")
         rest = listed.where("place > 0").join(F.broadcast(bound), "list", "left_anti").select("list", "rep", "v")
         listed = cut(listed.where("place = 0").select("list", "rep", "v").unionByName(rest).unionByName(taken), "lists")
     counts = {r["list"]: r["n"] for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect()}

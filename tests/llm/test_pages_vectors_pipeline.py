@@ -244,6 +244,17 @@ def test_lists_are_balanced_and_few_are_scanned(spark, n, monkeypatch):
     assert np.mean(recall) >= 0.9 and min(recall) >= 0.5 and scanned < 0.2, (np.mean(recall), min(recall), scanned)
 
 
+def test_full_lists_keep_their_closest(spark):
+    """Ranked by parts as if ranked at once: rooms of none, some, more than there are; equal distances."""
+    r = np.random.default_rng(4)
+    rooms = {0: 0, 1: 7, 2: 300, 3: 10_000}
+    rows = [(int(i), rep, float(far), rooms[int(i)]) for rep, (i, far) in enumerate(zip(r.integers(0, 4, 4000), r.integers(0, 50, 4000), strict=True))]
+    want = {x[:2] for i, room in rooms.items() for x in sorted((x for x in rows if x[0] == i), key=lambda x: (x[2], x[1]))[:room]}
+    got = ann.within_room(spark.createDataFrame(rows, "list int, rep long, far double, room int"))
+    assert got.columns == ["list", "rep", "far", "room"]
+    assert sorted((x["list"], x["rep"]) for x in got.collect()) == sorted(want)
+
+
 def test_search_of_equal_vectors_and_repeated_ids(spark):
     """Copies of a vector are one entry and come out by id; rows with one id are one candidate."""
     r = np.random.default_rng(2)
