@@ -7,6 +7,9 @@ block is closer than D - largest or least - D, by the triangle inequality; the b
 Two rounds of joins. The first reads for each query the blocks of least bound that hold k rows or more: the k-th distance
 found is an upper bound. The second reads every block whose lower bound doesn't exceed it. So the result is that of a full
 comparison; what is saved depends on the rows: nearly all on clustered ones, nothing where all distances are alike.
+
+Blocks are numbered in order, and GROUP training and ASKED query blocks that follow each other are a cell, to which each block that
+a pair of it needs is sent once: where nothing is spared, training rows travel once for each ASKED * QUERIES queries.
 """
 
 from __future__ import annotations
@@ -20,10 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.operators import knn
+from tabloom.sources import tables
 from tabloom.sources.tables import kept
 
-#: Pivots; rows of a training block and of a query block (2^12 at most); training blocks of a group, and those planned together.
-PIVOTS, ROWS, QUERIES, GROUP, ZONES = 64, 256, 256, 64, 1024
+#: Pivots; rows of a training block and of a query block (2^12 at most); training blocks and query blocks of a cell, at most.
+PIVOTS, ROWS, QUERIES, GROUP, ASKED = 64, 256, 256, 64, 128
+#: Training blocks whose bounds are one row; queries compared at once; neighbours that a cell gathers before it merges them.
+ZONES, CHUNK, GATHERED = 1024, 4096, 1 << 18
 #: Relative slack of bounds, for rounding.
 SLACK = 1e-9
 _BLOCK = "cell int, n int, ids binary, labels array<string>, x binary, low binary, high binary"
@@ -92,6 +98,14 @@ def lower_bounds(d: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
     return out
 
 
+def _off_middle(d: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How far queries are from the middles of blocks, at the pivot where that is most."""
+    out = np.zeros((len(d), len(low)))
+    for j in range(d.shape[1]):
+        np.maximum(out, np.abs(d[:, j, None] - (low[None, :, j] + high[None, :, j]) / 2), out=out)
+    return out
+
+
 _PLAN = "row int, col int, is_query boolean, block long, x binary, n int, reach binary, blocks binary, sizes binary, low binary, high binary"
 
 
@@ -106,12 +120,14 @@ def _planned(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, k: int) -> I
             if not row["is_query"]:
                 zones.append((np.frombuffer(row["blocks"], np.int64), np.frombuffer(row["sizes"], np.int32), *[np.frombuffer(row[c]).reshape(-1, len(pivots)) for c in ("low", "high")]))
                 continue
+            if len(zones) > 1:
+                zones = [tuple(map(np.concatenate, zip(*zones, strict=True)))]
             d = _distances(np.frombuffer(row["x"]).reshape(row["n"], -1), pivots)
             for blocks, sizes, low, high in zones:
                 bound = lower_bounds(d, low, high)
                 if row["reach"] is None:
                     # equal bounds, as of all blocks around a query: the closest middle first
-                    order = np.lexsort((np.abs(d[:, None, :] - (low + high)[None] / 2).max(axis=2), bound), axis=1)
+                    order = np.lexsort((_off_middle(d, low, high), bound), axis=1)
                     before = np.cumsum(sizes[order], axis=1) - sizes[order]
                     needed = np.zeros(bound.shape, bool)
                     np.put_along_axis(needed, order, before < k, axis=1)
@@ -123,34 +139,74 @@ def _planned(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, k: int) -> I
                     yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(some)), pa.array(blocks[some]), pa.array(bits, pa.binary())], ["queries", "block", "needed"])
 
 
-_MET = "queries long, group long, kind int, block long, ids binary, labels array<string>, x binary, needed binary"
+class _Cell:
+    """Query blocks, and the k best rows found of each query so far; none beyond its reach."""
+
+    def __init__(self, k: int):
+        self.k, self.blocks, self.first, self.n = k, [], {}, 0
+        self.new, self.gathered, self.best = [], 0, 0
+
+    def ask(self, row: dict) -> None:
+        ids = np.frombuffer(row["ids"], np.int64)
+        reach = np.full(len(ids), np.inf) if row["reach"] is None else np.frombuffer(row["reach"])
+        self.blocks.append((row["block"], ids, row["labels"], np.frombuffer(row["x"]).reshape(len(ids), -1), reach**2 * (1 + SLACK) + SLACK))
+        self.first[row["block"]] = self.n, len(ids)
+        self.n += len(ids)
+
+    def read(self, row: dict) -> None:
+        if not self.new and not self.best:
+            self.x, self.most = (np.concatenate([b[i] for b in self.blocks]) for i in (3, 4))
+        ids, labels = np.frombuffer(row["ids"], np.int64), np.array(row["labels"], object)
+        x = np.frombuffer(row["x"]).reshape(len(ids), -1)
+        who = []
+        for r in row["needed"]:
+            first, n = self.first[r["queries"]]
+            who.append(first + np.flatnonzero(np.unpackbits(np.frombuffer(r["needed"], np.uint8), count=n)))
+        who = np.concatenate(who)
+        for lo in range(0, len(who), CHUNK):
+            some = who[lo : lo + CHUNK]
+            at, to, d = knn._nearest(self.x[some], x, ids, self.k)
+            near = d <= self.most[some[at]]
+            at, to, d = some[at[near]], to[near], d[near]
+            self.new.append((at, ids[to], labels[to], d))
+            self.gathered += len(at)
+        if self.gathered > max(GATHERED, 2 * self.best):
+            self.merge()
+
+    def merge(self) -> None:
+        at, to, labels, d = (np.concatenate(c) for c in zip(*self.new, strict=True))
+        keep = knn._first(at, to, d, self.k)  # in order of query and distance
+        at, to, labels, d = at[keep], to[keep], labels[keep], d[keep]
+        last = np.flatnonzero(np.bincount(at, minlength=self.n)[at] == self.k)[self.k - 1 :: self.k]
+        self.most[at[last]] = d[last]
+        self.new, self.best, self.gathered = [(at, to, labels, d)], len(at), len(at)
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        if not self.new:
+            return
+        self.merge()
+        at, *rest = self.new[0]
+        for block, ids, labels, _, _ in self.blocks:
+            first, n = self.first[block]
+            lo, hi = np.searchsorted(at, (first, first + n))
+            if hi > lo:
+                yield knn.found(block, ids, labels, 0, at[lo:hi] - first, *[c[lo:hi] for c in rest])
 
 
-def _read(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """A query block (kind 0), then the blocks that it needs of a group (1): the k best of each query."""
-    query, own, best = None, None, None
+_MET = "asked long, group long, kind int, block long, ids binary, labels array<string>, x binary, reach binary, needed array<struct<queries:long,needed:binary>>"
 
-    def made() -> Iterator[pa.RecordBatch]:
-        if best is not None and len(best[0]):
-            ids, labels, _ = own
-            yield knn.found(query, ids, labels, 0, *best)
 
+def _read(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Of each cell the query blocks (kind 0), which are held, then the training blocks that they need (1): the k best of each query."""
+    key, cell = None, _Cell(k)
     for batch in batches:
-        for row in batch.to_pylist():
-            ids = np.frombuffer(row["ids"], np.int64)
-            x = np.frombuffer(row["x"]).reshape(len(ids), -1)
-            if row["kind"] == 0:
-                yield from made()
-                query, own, best = row["queries"], (ids, row["labels"], x), None
-                continue
-            who = np.flatnonzero(np.unpackbits(np.frombuffer(row["needed"], np.uint8), count=len(own[0])))
-            at, to, d = knn._nearest(own[2][who], x, ids, k)
-            new = [who[at], ids[to], np.array(row["labels"], object)[to], d]
-            if best is not None:
-                new = [np.concatenate(c) for c in zip(best, new, strict=True)]
-            keep = knn._first(new[0], new[1], new[3], k)
-            best = [c[keep] for c in new]
-    yield from made()
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            if (row["asked"], row["group"]) != key:
+                yield from cell.found()
+                key, cell = (row["asked"], row["group"]), _Cell(k)
+            (cell.read if row["kind"] else cell.ask)(row)
+    yield from cell.found()
 
 
 def _reach(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -175,17 +231,18 @@ class Search:
         self.spark, self.n = train.sparkSession, 0
         if not len(picked):
             return
-        blocks = self._sorted(rows, ROWS)
-        self.blocks = kept(blocks, "shells")
-        self.zones = kept(self.blocks.select("block", "n", "low", "high").mapInArrow(_zones, "blocks binary, sizes binary, low binary, high binary").withColumn("block", F.monotonically_increasing_id()), "zones")
+        self.blocks = kept(self._sorted(rows, ROWS), "shells")
+        packs = self.blocks.select("block", "n", "low", "high").repartition(F.floor(F.col("block") / ZONES)).sortWithinPartitions("block")
+        self.zones = kept(packs.mapInArrow(_zones, "blocks binary, sizes binary, low binary, high binary").withColumn("block", F.monotonically_increasing_id()), "zones")
         self.n = self.zones.count()
 
     def _sorted(self, rows: DataFrame, size: int) -> DataFrame:
-        """Blocks of rows close to each other; a hot cell is cut by distance and id, so no partition grows with it."""
+        """Blocks of rows close to each other, numbered in order; a hot cell is cut by distance and id, so no partition grows with it."""
         placed = rows.mapInArrow(partial(_cells, pivots=self.pivots), "id long, label string, features array<double>, cell int, far double")
         parts = max(2 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         ranged = placed.repartitionByRange(parts, "cell", "far", "id").sortWithinPartitions("cell", "far", "id")
-        return ranged.mapInArrow(partial(_blocks, pivots=self.pivots, rows=size), _BLOCK).withColumn("block", F.monotonically_increasing_id())
+        made = ranged.mapInArrow(partial(_blocks, pivots=self.pivots, rows=size), _BLOCK)
+        return tables._numbered(kept(made.withColumns({"__at": F.monotonically_increasing_id(), "__part": F.spark_partition_id()}), "sorted"), ["__part"], "block")
 
     def plan(self, asked: DataFrame, k: int) -> DataFrame:
         """(queries, block, needed) for blocks of queries with reach (null: the first round)."""
@@ -198,14 +255,20 @@ class Search:
         q = asked.withColumn("row", place(rows)).withColumn("col", every(columns)).select("row", "col", F.lit(True).alias("is_query"), "block", "x", "n", "reach", *none("blocks", "sizes", "low", "high"))
         met = z.unionByName(q).repartition(rows * columns, "row", "col").sortWithinPartitions("row", "col", "is_query")
         planned = met.mapInArrow(partial(_planned, pivots=self.pivots, k=k), "queries long, block long, needed binary")
-        return kept(planned.withColumn("group", F.floor(F.col("block") / GROUP)), "plan")
+        return kept(planned, "plan")
 
     def read(self, asked: DataFrame, plan: DataFrame, k: int) -> DataFrame:
         """The k best rows of each query among the blocks of its plan, as knn.neighbours gives them."""
-        who = plan.select("queries", "group").distinct().join(asked.withColumnRenamed("block", "queries"), "queries")
-        who = who.select("queries", "group", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"), "ids", "labels", "x", F.lit(None).cast("binary").alias("needed"))
-        need = plan.join(self.blocks, "block").select("queries", "group", F.lit(1).alias("kind"), "block", "ids", "labels", "x", "needed")
-        met = who.unionByName(need).repartition("queries", "group").sortWithinPartitions("queries", "group", "kind", "block")
+        tn, qn, group, ask = self.blocks.count(), asked.count(), GROUP, ASKED
+        while max(group, ask) > 1 and -(-tn // group) * -(-qn // ask) < 2 * self.spark.sparkContext.defaultParallelism:
+            group, ask = max(1, group // 2), max(1, ask // 2)
+        cells = plan.select("*", F.floor(F.col("queries") / ask).alias("asked"), F.floor(F.col("block") / group).alias("group"))
+        who = cells.select("asked", "group", "queries").distinct().join(asked.withColumnRenamed("block", "queries"), "queries")
+        who = who.select("asked", "group", F.lit(0).alias("kind"), F.col("queries").alias("block"), "ids", "labels", "x", "reach", F.lit(None).cast("array<struct<queries:long,needed:binary>>").alias("needed"))
+        need = cells.groupBy("asked", "group", "block").agg(F.collect_list(F.struct("queries", "needed")).alias("needed")).join(self.blocks, "block")  # ASKED at most
+        need = need.select("asked", "group", F.lit(1).alias("kind"), "block", "ids", "labels", "x", F.lit(None).cast("binary").alias("reach"), "needed")
+        parts = max(1, -(-tn // group) * -(-qn // ask))
+        met = who.unionByName(need).repartition(parts, "asked", "group").sortWithinPartitions("asked", "group", "kind", "block")
         return knn.ranked(met.mapInArrow(partial(_read, k=k), knn.FOUND), k)
 
     def neighbours(self, queries: DataFrame, k: int) -> DataFrame:
