@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tabloom.sources.tables import kept
 
-#: Rows of a block (2^12 at most); a pair of blocks holds BLOCK * BLOCK distances at once.
-BLOCK = 2048
+#: Rows of a block (2^12 at most), and of a query block compared at once: a task holds a few times CHUNK * BLOCK distances.
+BLOCK, CHUNK = 2048, 512
 #: Blocks of either kind in a group of the grid, at most (on average).
 GROUP = 16
 
@@ -43,11 +43,12 @@ def _first(at: np.ndarray, ids: np.ndarray, distance: np.ndarray, k: int) -> np.
 
 def _nearest(q: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row of t, distance): the k nearest of two blocks."""
-    d = (q**2).sum(1)[:, None] + (t**2).sum(1)[None, :] - 2 * q @ t.T
+    d = (q**2).sum(1)[:, None] + (t**2).sum(1)[None, :]
+    d -= 2 * q @ t.T
     some = min(len(t), k)
-    edge = np.partition(d, some - 1, axis=1)[:, some - 1]
+    edge = np.partition(d, some - 1, axis=1)[:, some - 1].copy()
     # the expanded form loses digits: all near the edge are measured again, directly
-    slack = 1e-9 * (1 + np.abs(d).max(axis=1))
+    slack = 1e-9 * (1 + np.maximum(d.max(axis=1), -d.min(axis=1)))
     at, to = np.nonzero(d <= (edge + slack)[:, None])
     exact = np.zeros(len(at))
     for j in range(q.shape[1]):
@@ -66,20 +67,28 @@ def found(block: int, ids: np.ndarray, labels: Sequence[str], part: int, at: np.
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FOUND.split(", ")])
 
 
+def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows that hold blocks, as Python objects one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+        del batch  # before the next is read
+
+
 def _block_topk(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (row, col, is_query): a group's training blocks are held until its query blocks have passed."""
     key, held = None, {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            if (row["row"], row["col"]) != key:
-                key, held = (row["row"], row["col"]), {}
-            ids = np.frombuffer(row["ids"], np.int64)
-            x = np.frombuffer(row["x"]).reshape(len(ids), -1)
-            if not row["is_query"]:
-                held.setdefault(row["part"], []).append((ids, np.array(row["labels"], object), x))
-                continue
-            for part, blocks in held.items():
-                each = [(at, tid[to], labels[to], d) for tid, labels, t in blocks for at, to, d in [_nearest(x, t, tid, k)]]
+    for row in one_by_one(batches):
+        if (row["row"], row["col"]) != key:
+            key, held = (row["row"], row["col"]), {}
+        ids = np.frombuffer(row["ids"], np.int64)
+        x = np.frombuffer(row["x"]).reshape(len(ids), -1)
+        if not row["is_query"]:
+            held.setdefault(row["part"], []).append((ids, np.array(row["labels"], object), x))
+            continue
+        for part, blocks in held.items():
+            for lo in range(0, len(x), CHUNK):
+                each = [(at + lo, tid[to], labels[to], d) for tid, labels, t in blocks for at, to, d in [_nearest(x[lo : lo + CHUNK], t, tid, k)]]
                 at, to, labels, d = (np.concatenate(c) for c in zip(*each, strict=True))
                 keep = _first(at, to, d, k)
                 yield found(row["block"], ids, row["labels"], part, at[keep], to[keep], labels[keep], d[keep])

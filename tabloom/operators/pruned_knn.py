@@ -199,13 +199,11 @@ _MET = "asked long, group long, kind int, block long, ids binary, labels array<s
 def _read(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Of each cell the query blocks (kind 0), which are held, then the training blocks that they need (1): the k best of each query."""
     key, cell = None, _Cell(k)
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            if (row["asked"], row["group"]) != key:
-                yield from cell.found()
-                key, cell = (row["asked"], row["group"]), _Cell(k)
-            (cell.read if row["kind"] else cell.ask)(row)
+    for row in knn.one_by_one(batches):
+        if (row["asked"], row["group"]) != key:
+            yield from cell.found()
+            key, cell = (row["asked"], row["group"]), _Cell(k)
+        (cell.read if row["kind"] else cell.ask)(row)
     yield from cell.found()
 
 

@@ -1,6 +1,9 @@
 """Neighbours with repeated ids, parts and pruning, against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +111,16 @@ def test_parts_are_training_tables_of_their_own(spark):
     for number, train in ((1, one), (2, two)):
         assert rows(near.where(F.col("number") == number)) == plain(train, queries, 3)
     assert knn.predict(both, q, 3, by="number").groupBy("number").count().orderBy("number").collect() == [(1, 9), (2, 9)]
+
+
+def test_a_pair_of_blocks_takes_little_memory():
+    x = np.random.default_rng(6).normal(0, 1, (2048, 4))
+    row = {"row": 0, "col": 0, "part": 0, "block": 1, "ids": np.arange(2048).tobytes(), "labels": ["L"] * 2048, "x": x.tobytes()}
+    batch = pa.RecordBatch.from_pylist([row | {"is_query": False}, row | {"is_query": True}])
+    tracemalloc.start()
+    found = pa.Table.from_batches(knn._block_topk(iter([batch]), 3)).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6  # all distances at once: 100 MB and more
+    own = [i for i, d in zip(found["train_id"], found["distance"], strict=True) if d == 0]
+    assert len(found["query"]) == 3 * 2048 and sorted(own) == list(range(2048))
