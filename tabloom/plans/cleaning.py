@@ -182,7 +182,7 @@ def parse_numeric(spark, sf):
 
 
 def _with_issue(spark, sf, pattern):
-    rows = cleaning.clean_rows(_dirty(spark, sf), SPEC)
+    rows = tables.kept(cleaning.clean_rows(_dirty(spark, sf), SPEC), "cleaned")  # else the filter goes below the rules and parses all again
     return _issues(rows.where(F.exists("issues", lambda i: i.rlike(pattern)))).select(*_ROW, "issues")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import scalars
 from tabloom.operators import cleaning, experiments, features, knn, metrics, mlp, sampling, trees
+from tabloom.plans import cleaning as cleaning_plans
 from tabloom.sources import tables
 from tabloom.spec import SHAPES, TableSpec
 
@@ -83,6 +84,12 @@ def test_csv_and_spark_plans_push_down(spark, sf):
     assert "PushedFilters" in plan and "ReadSchema: struct<event_id:bigint>" in plan
 
 
+@pytest.mark.parametrize("name", ["sign_repair", "range_rules", "cross_column_rule"])
+def test_a_filter_on_issues_parses_nothing_again(spark, sf, name):
+    plan = cleaning_plans.Q[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "RLIKE" in plan
+
+
 def test_standard_scores(spark):
     df = spark.createDataFrame([("train", 1.0, 5.0), ("train", 3.0, 5.0), ("test", 5.0, 6.0)], "split string, a double, b double")
     z = features.standardize(df, features.standard_stats(df, ["a", "b"]), ["a", "b"]).orderBy("a").collect()
