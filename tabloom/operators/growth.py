@@ -20,8 +20,8 @@ from tabloom.sources.tables import kept
 
 #: Values (weight of a node times features) up to which a subtree is grown in one task.
 LOCAL_VALUES = 1 << 22
-#: Rows of a block; numbers of histograms that a task holds before it sends them; sorted cells that a split search holds.
-ROWS, HELD, CELLS = 8192, 1 << 22, 1 << 22
+#: Rows of a block; numbers of histograms that a task holds before it sends them; counts that a split search holds.
+ROWS, HELD, CELLS = 8192, 1 << 22, 1 << 19
 _STATE = "kind int, x binary, code binary, row binary, tree binary, weight binary, node binary, t int, n long, f int, hist binary"
 _NAMES = [c.split()[0] for c in _STATE.split(", ")]
 _TYPES = [pa.int32(), *[pa.binary()] * 6, pa.int32(), pa.int64(), pa.int32(), pa.binary()]
@@ -289,13 +289,15 @@ def best_of(hists: DataFrame) -> DataFrame:
     return hists.where("gain IS NOT NULL").groupBy("tree", "node").agg(best).select("tree", "node", (-F.col("b.f")).alias("feature"), "b.threshold", "b.gain", "b.left")
 
 
-def _search(x: np.ndarray, code: np.ndarray, weight: np.ndarray, total: np.ndarray, looked_at: np.ndarray, rule: Rule) -> tuple[float, int, float] | None:
-    """(gain, feature, threshold) of the best split of a small node, whose rows are in order of code."""
+def _search(x: np.ndarray, rows: np.ndarray, code: np.ndarray, weight: np.ndarray, total: np.ndarray, looked_at: np.ndarray, rule: Rule) -> tuple[float, int, float] | None:
+    """(gain, feature, threshold) of the best split of a small node, whose rows are in order of code. Features are taken together as
+    far as their counts fit CELLS; where one alone doesn't, its values are counted a run after the other."""
     best = None
-    step = max(1, CELLS // max(1, len(x) * rule.classes))
+    step = max(1, CELLS // max(1, len(rows) * rule.classes))
+    code, weight = code[rows], weight[rows]
     for lo in range(0, len(looked_at), step):
         some = looked_at[lo : lo + step]
-        v = x[:, some]
+        v = x[rows[:, None], some]
         order = v.argsort(axis=0, kind="stable")  # by value, then code
         v, c = np.take_along_axis(v, order, axis=0), code[order]
         edge = v[1:] != v[:-1]
@@ -306,31 +308,35 @@ def _search(x: np.ndarray, code: np.ndarray, weight: np.ndarray, total: np.ndarr
             last = np.minimum.accumulate(np.where(np.vstack([edge, np.ones((1, len(some)), bool)]), at, len(v))[::-1], axis=0)[::-1]
             low, high = np.take_along_axis(c, first, axis=0), np.take_along_axis(c, last, axis=0)
             same &= low[:-1] == high[1:]
-        upto = np.zeros((*v.shape, rule.classes))
-        np.put_along_axis(upto, c[:, :, None], weight[order][:, :, None], axis=2)
-        at, f = np.nonzero((edge & ~same).T)[::-1]  # feature by feature, ascending values
-        if not len(at):
-            continue
-        g = gains(upto.cumsum(axis=0)[at, f], total, rule)
-        i = int(g.argmax())
-        if g[i] >= 0 and (best is None or g[i] > best[0]):
-            here, following = v[at[i], f[i]], v[at[i] + 1, f[i]]
-            best = float(g[i]), int(some[f[i]]), float(here if rule.edges is not None else (here + following) / 2)
+        open_, w, before = edge & ~same, weight[order], 0
+        run = len(v) if step > 1 else max(1, CELLS // rule.classes)
+        for start in range(0, len(open_), run):
+            upto = np.zeros((*c[start : start + run].shape, rule.classes))
+            np.put_along_axis(upto, c[start : start + run, :, None], w[start : start + run, :, None], axis=2)
+            upto[0] += before
+            np.cumsum(upto, axis=0, out=upto)
+            before = upto[-1].copy()
+            at, f = np.nonzero(open_[start : start + run].T)[::-1]  # feature by feature, ascending values
+            if not len(at):
+                continue
+            g = gains(upto[at, f], total, rule)
+            i = int(g.argmax())
+            if g[i] >= 0 and (best is None or g[i] > best[0]):
+                here, following = v[start + at[i], f[i]], v[start + at[i] + 1, f[i]]
+                best = float(g[i]), int(some[f[i]]), float(here if rule.edges is not None else (here + following) / 2)
     return best
 
 
 def subtree(x: np.ndarray, code: np.ndarray, weight: np.ndarray, tree: int, root: int, rule: Rule) -> Iterator[tuple[int, int, int, int, float | None]]:
     """(node, depth, prediction, feature, threshold) of a node and all below it."""
-    order = code.argsort(kind="stable")
-    x, code, weight = x[order], code[order], weight[order]
-    todo = [(root, np.arange(len(x)))]
+    todo = [(root, code.argsort(kind="stable"))]
     while todo:
         node, rows = todo.pop()
         depth = (node + 1).bit_length() - 1
         total = np.bincount(code[rows], weight[rows], minlength=rule.classes)
         found = None
         if (total > 0).sum() > 1 and depth < rule.max_depth and total.sum() >= rule.least_split:
-            found = _search(x[rows], code[rows], weight[rows], total, rule.looked_at(tree, node), rule)
+            found = _search(x, rows, code, weight, total, rule.looked_at(tree, node), rule)
         if found and found[0] >= rule.least_gain:
             left = x[rows, found[1]] <= found[2]
             yield node, depth, int(total.argmax()), found[1], found[2]
@@ -347,6 +353,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Reco
         if key is None:
             return
         x, code, weight = (np.concatenate(c) for c in zip(*parts, strict=True))
+        parts.clear()
         nodes = list(zip(*subtree(x, code, weight, *key, rule), strict=True))
         types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
         yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(nodes[0]), pa.int32()), *map(pa.array, nodes, types)], ["tree", "node", "depth", "prediction", "feature", "threshold"])

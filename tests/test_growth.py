@@ -1,6 +1,9 @@
 """Trees grown by level, by histogram and in one task are the same trees; predictions keep their rows."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +111,20 @@ def test_predictions_keep_rows_whose_ids_repeat(spark):
     want = sorted((x, LABELS[int(np.bincount(v, minlength=4).argmax())]) for x, v in votes.items())
     mine = {tuple(r["features"]): r["predicted_class"] for r in df.withColumn("code", F.col("code")).join(model.predict(df).select("id", "predicted_class"), "id").collect()}
     assert sorted(mine.items()) == want
+
+
+@pytest.mark.parametrize("decimals", [1, 9])
+def test_a_subtree_takes_little_memory_and_runs_change_nothing(monkeypatch, decimals):
+    n, rng = 50_000, np.random.default_rng(8)
+    code = rng.integers(0, 10, n).astype(np.int32)
+    x = np.round(rng.normal(0, 1, (n, 16)) + 0.3 * code[:, None] * (np.arange(16) == 5), decimals)
+    weight = rng.integers(1, 3, n).astype(float)
+    rule = growth.Rule(10, 16, 3, 3, 6, 1e-7, 4, 42, None)
+    piece = growth._state(x, code, np.arange(n), np.zeros(n), weight, np.zeros(n), kind=2, t=0, n=0)
+    tracemalloc.start()
+    grown = pa.Table.from_batches(growth._subtrees(iter([piece]), rule)).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(grown) > 1 and peak < 60e6
+    monkeypatch.setattr(growth, "CELLS", 1 << 24)
+    assert pa.Table.from_batches(growth._subtrees(iter([piece]), rule)).to_pylist() == grown
